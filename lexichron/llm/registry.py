@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from . import bpe
+from . import bpe, toxicity
 
-QUERIES = {"op8_bpe": bpe.op8_bpe}
+QUERIES = {"op7_toxicity": toxicity.op7_toxicity, "op8_bpe": bpe.op8_bpe}
 ORACLES: dict[str, str] = {}
