@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from . import bpe, toxicity
+from . import bpe, neardup, toxicity
 
-QUERIES = {"op7_toxicity": toxicity.op7_toxicity, "op8_bpe": bpe.op8_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_minhash": neardup.op2_minhash, "op7_toxicity": toxicity.op7_toxicity, "op8_bpe": bpe.op8_bpe}
+ORACLES: dict[str, str] = {"op2_minhash": neardup.OP2_SQL}
