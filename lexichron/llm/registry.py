@@ -1,6 +1,12 @@
 """Queries of the training-data operators."""
 
-from . import bpe, neardup, toxicity
+from . import bpe, mixing, neardup, pii, toxicity
 
-QUERIES = {"op2_minhash": neardup.op2_minhash, "op7_toxicity": toxicity.op7_toxicity, "op8_bpe": bpe.op8_bpe}
+QUERIES = {
+    "op2_minhash": neardup.op2_minhash,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_pii": pii.op10_pii,
+}
 ORACLES: dict[str, str] = {"op2_minhash": neardup.OP2_SQL}

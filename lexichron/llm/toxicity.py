@@ -42,8 +42,10 @@ WORD = re.compile(r"\w+")
 DISGUISED = re.compile(
     r"(?<![^\W\d_])[^\W\d_]*(?:(?<=[^\W\d_])[0134578@$!|+*]+(?=[^\W\d_])|(?<!\S)[013457@$!]+(?=[^\W\d_]{2}))[^\W_0-9]+(?:[0134578@$!|+*]+[^\W\d_]+)*[013457@$]*"
 )
-SIGN_NEAR = re.compile(r"[^\W\d_][0134578@$!|+*]+[^\W\d_]|(?<!\S)[013457@$!]+[^\W\d_]{2}")
+SIGN_NEAR = re.compile(r"[0134578@$!|+*](?=[^\W\d_])")
+TRIPLE = re.compile(r"(.)\1\1")
 RUNS = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+RUN_NEAR = re.compile(r"([^\W\d_])\1\1")
 APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_](?!\w)){2,}")
 
 
@@ -146,7 +148,7 @@ def restore(text: str, model: np.ndarray, known: dict[str, str]) -> str:
     text = APART.sub(read, text)
     if SIGN_NEAR.search(text):
         text = DISGUISED.sub(read, text)
-    return RUNS.sub(read, text)
+    return RUNS.sub(read, text) if TRIPLE.search(text) and RUN_NEAR.search(text) else text
 
 
 def word_features(word: str) -> list[int]:
