@@ -1,13 +1,14 @@
 """Queries of the training-data operators."""
 
-from . import bpe, license, mixing, neardup, pii, toxicity
+from . import ann, bpe, license, mixing, neardup, pii, toxicity
 
 QUERIES = {
     "op1_license": license.op1_license,
     "op2_minhash": neardup.op2_minhash,
+    "op3_ann": ann.op3_ann,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
 }
-ORACLES: dict[str, str] = {"op1_license": license.OP1_SQL, "op2_minhash": neardup.OP2_SQL}
+ORACLES: dict[str, str] = {"op1_license": license.OP1_SQL, "op2_minhash": neardup.OP2_SQL, "op3_ann": ann.OP3_SQL}
