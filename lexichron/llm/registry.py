@@ -1,11 +1,14 @@
 """Queries of the training-data operators."""
 
-from . import ann, bpe, license, mixing, neardup, pii, toxicity
+from . import ann, bpe, license, media, mixing, neardup, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_license": license.op1_license,
     "op2_minhash": neardup.op2_minhash,
     "op3_ann": ann.op3_ann,
+    "op4_tokens": tokencount.op4_tokens,
+    "op5_media": media.op5_media,
+    "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
