@@ -98,7 +98,7 @@ def snippet(text: Column, length: int = 300) -> Column:
 
 def client_key(peer: Column, forwarded: Column, hops: Column, trusted: Column) -> Column:
     """Identity for rate limits: the entry `hops` from the right of a trusted forwarding header, else the peer."""
-    entries = F.filter(F.transform(F.split(forwarded, ","), F.trim), lambda x: x != "")
+    entries = F.filter(F.transform(F.split(forwarded, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(trusted & (F.size(entries) > 0), F.get(entries, F.greatest(F.size(entries) - hops, F.lit(0)))).otherwise(peer)
 
 
