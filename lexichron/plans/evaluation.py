@@ -1 +1,140 @@
+"""Queries over evaluation metrics, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import split_words
+from ..operators import evaluation as V
+from ..operators import retrieval as R
+from ..operators.sequence import make_passages
+from . import corpus as C
+from . import quotes as P
+from .base import query
+from .quotes import HITS_SQL
+from .retrieval import terms_sql
+from .sequences import SPEECH_SQL
+
+#: The searched passages are those of the documents that hold a benchmark text; the answer is where it is said.
+EVAL_SQL = f"""{HITS_SQL},
+golden AS (SELECT h.question_id // 1000000000 AS query_id, min_by(h.episode_id, h.episode_id) AS episode_id, min_by(p.at_ms, (h.episode_id, h.n)) AS answer_ms
+  FROM placed p JOIN hit h USING (question_id, n) WHERE p.at_ms IS NOT NULL GROUP BY 1),
+pool AS (SELECT DISTINCT episode_id * 100000 + (n - 1) AS id, episode_id, start_ms, end_ms, text FROM hit),
+post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql("text")}) AS term FROM pool) GROUP BY id, term),
+qt AS (SELECT item_id AS query_id, unnest(list_distinct({terms_sql("text")})) AS term FROM benchmark WHERE item_id IN (SELECT query_id FROM golden)),
+sc AS (SELECT query_id, id, sum(tf)::BIGINT AS score FROM post JOIN qt USING (term) GROUP BY query_id, id),
+leg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc),
+ov AS (SELECT l.query_id, l.id, row_number() OVER (PARTITION BY l.query_id ORDER BY len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(trim(b.text)), '\\s+'), lambda w: w <> '')), list_distinct(list_filter(regexp_split_to_array(lower(trim(p.text)), '\\s+'), lambda w: w <> '')))) DESC, l.rank) AS rank
+  FROM leg l JOIN pool p USING (id) JOIN benchmark b ON b.item_id = l.query_id WHERE l.rank <= 20),
+res AS (SELECT 'keyword' AS mode, query_id, id, rank FROM leg WHERE rank <= 10 UNION ALL SELECT 'rerank', query_id, id, rank FROM ov WHERE rank <= 10),
+jud AS (SELECT r.mode, r.query_id, r.rank, g.answer_ms - p.start_ms AS off, p.episode_id = g.episode_id AND p.start_ms - 500 <= g.answer_ms AND g.answer_ms <= p.end_ms + 500 AS ok
+  FROM res r JOIN pool p USING (id) JOIN golden g USING (query_id)),
+fir AS (SELECT m.mode, g.query_id, min(j.rank) FILTER (j.ok) AS rank, max(j.off) FILTER (j.ok AND j.rank = 1) AS off
+  FROM (VALUES ('keyword'), ('rerank')) m(mode) CROSS JOIN golden g LEFT JOIN jud j ON j.mode = m.mode AND j.query_id = g.query_id GROUP BY 1, 2)
+"""
+
+
+def golden(spark, sf_dir):
+    """query_id, episode_id, answer_ms: where each benchmark text is said first, in the smallest episode."""
+    from ..operators import quotes as Q
+
+    h = P.hits(spark, sf_dir).join(P.pairs(spark, sf_dir).select("question_id", "quote"), "question_id")
+    at = Q.located(h, C.transcripts(spark, sf_dir)).filter("at_ms IS NOT NULL").withColumn("query_id", F.floor(F.col("question_id") / 1_000_000_000))
+    return at.groupBy("query_id").agg(F.min("episode_id").alias("episode_id"), F.min_by("at_ms", F.struct("episode_id", "n")).alias("answer_ms"))
+
+
+def results(spark, sf_dir, asked):
+    """mode, query_id, rank, episode_id, start_ms, end_ms of a keyword search over passages, plain and reranked."""
+    held = P.pairs(spark, sf_dir).select("episode_id").distinct()
+    pool = make_passages(C.transcripts(spark, sf_dir).join(held, "episode_id", "left_semi")).withColumn("id", F.col("episode_id") * 100_000 + F.col("idx"))
+    q = C.questions(spark, sf_dir).join(asked.select("query_id"), "query_id", "left_semi")
+    leg = R.keyword_leg(R.postings(pool), q)
+    hydrated = R.hydrate(leg.filter(F.col("rank") <= R.SHORTLIST), pool)
+    again = R.rerank(hydrated, q, 10)
+    columns = ["query_id", "rank", "episode_id", "start_ms", "end_ms"]
+    plain = hydrated.filter("rank <= 10").select(F.lit("keyword").alias("mode"), *columns)
+    return plain.unionByName(again.select(F.lit("rerank").alias("mode"), *columns))
+
+
+@query("retrieval_first_hits", f"WITH RECURSIVE {EVAL_SQL} SELECT mode, query_id, rank::INTEGER AS rank, off::BIGINT AS offset_ms FROM fir")
+def retrieval_first_hits(spark, sf_dir):
+    g = golden(spark, sf_dir)
+    return V.first_correct(results(spark, sf_dir, g), g)
+
+
+@query("retrieval_eval", f"""WITH RECURSIVE {EVAL_SQL} SELECT mode, count(*) AS queries, avg((coalesce(rank, 99) <= 1)::INT) AS recall_1, avg((coalesce(rank, 99) <= 5)::INT) AS recall_5, avg((coalesce(rank, 99) <= 10)::INT) AS recall_10,
+  avg(coalesce(1.0::DOUBLE / rank, 0)) AS mrr, median(off)::DOUBLE AS median_offset_ms, avg(coalesce((off <= 15000)::INT, 0)) AS within FROM fir GROUP BY mode""")
+def retrieval_eval(spark, sf_dir):
+    return V.retrieval_metrics(retrieval_first_hits(spark, sf_dir))
+
+
+ANSWERS_SQL = """
+answers AS (SELECT event_id AS question_id, event_id % 5 <> 0 AS found, event_id % 6 = 0 AS repaired, event_id % 4 AS removed, event_id % 3 AS rejected, floor(value * 10)::BIGINT AS tokens FROM events),
+gold AS (SELECT event_id AS question_id, user_id AS episode_id, floor(value * 1000)::BIGINT AS answer_ms FROM events),
+cites AS (SELECT event_id AS question_id, CASE WHEN event_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS episode_id, floor(value * 1000)::BIGINT + k * (event_id % 40) * 1000 AS at_ms FROM events, unnest([1, 3]) r(k) WHERE event_id % 5 <> 0)
+"""
+
+
+@query("answers_eval", f"""WITH {ANSWERS_SQL}, best AS (SELECT c.question_id, count(*) AS cited, bool_or(c.episode_id = g.episode_id) AS ok, min(abs(at_ms - answer_ms)) FILTER (c.episode_id = g.episode_id) AS off FROM cites c JOIN gold g USING (question_id) GROUP BY 1)
+  SELECT count(*) AS questions, avg(found::INT) AS answered, avg(coalesce(ok, false)::INT) AS right_episode, avg(repaired::INT) AS repaired, avg(coalesce(off <= 15000, false)::INT) AS within_15s, avg(coalesce(off <= 60000, false)::INT) AS within_60s,
+    (sum(rejected) / (sum(rejected) + coalesce(sum(cited), 0)))::DOUBLE AS rejected_rate, count(*) FILTER (removed > 0) AS lost_sentences, avg(tokens) AS mean_tokens
+  FROM answers LEFT JOIN best USING (question_id)""")
+def answers_eval(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, ms = F.col("event_id"), F.floor(F.col("value") * 1000).cast("bigint")
+    answers = e.select(
+        i.alias("question_id"), (i % 5 != 0).alias("found"), (i % 6 == 0).alias("repaired"), (i % 4).alias("removed"), (i % 3).alias("rejected"), F.floor(F.col("value") * 10).cast("bigint").alias("tokens")
+    )
+    gold = e.select(i.alias("question_id"), F.col("user_id").alias("episode_id"), ms.alias("answer_ms"))
+    cites = e.filter(i % 5 != 0).select(
+        i.alias("question_id"), F.when(i % 8 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("episode_id"), F.explode(F.array(F.lit(1), F.lit(3))).alias("k"), ms.alias("ms")
+    )
+    cites = cites.select("question_id", "episode_id", (F.col("ms") + F.col("k") * (F.col("question_id") % 40) * 1000).alias("at_ms"))
+    return V.answer_metrics(answers, cites, gold)
+
+
+def spoken_pairs(spark, sf_dir):
+    """pair_id, ref, hyp: benchmark texts, and a hearing of them that drops every seventh word and mishears every fifth."""
+    w = split_words(F.col("text"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pair_id"), w.alias("ref"))
+    heard = F.transform(F.filter(F.transform("ref", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: s["i"] % 7 != 6), lambda s: F.when(s["i"] % 5 == 4, F.lit("uh")).otherwise(s["w"]))
+    return b.withColumn("hyp", heard)
+
+
+PAIRS_SQL = r"""
+r AS (SELECT item_id AS pair_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS ref FROM benchmark),
+p AS (SELECT pair_id, ref, list_transform(list_filter(range(len(ref)), lambda i: i % 7 <> 6), lambda i: CASE WHEN i % 5 = 4 THEN 'uh' ELSE ref[i + 1] END) AS hyp FROM r),
+n AS (SELECT *, list_distinct(list_concat(ref, hyp)) AS names FROM p),
+e AS (SELECT pair_id, ref, levenshtein(array_to_string(list_transform(ref, lambda w: chr(list_position(names, w)::INTEGER + 32)), ''), array_to_string(list_transform(hyp, lambda w: chr(list_position(names, w)::INTEGER + 32)), '')) AS edits FROM n)
+"""
+
+
+@query("wer_pooled", f"WITH {PAIRS_SQL} SELECT sum(edits)::BIGINT AS edits, sum(len(ref))::BIGINT AS words, sum(edits)::DOUBLE / sum(len(ref)) AS wer FROM e WHERE len(ref) > 0")
+def wer_pooled(spark, sf_dir):
+    return V.pooled_wer(spoken_pairs(spark, sf_dir))
+
+
+@query("wer_by_pair", f"WITH {PAIRS_SQL} SELECT pair_id, edits::BIGINT AS edits, len(ref)::BIGINT AS words FROM e")
+def wer_by_pair(spark, sf_dir):
+    steps = V.error_counts(V.alignments(spoken_pairs(spark, sf_dir)))
+    words = spoken_pairs(spark, sf_dir).select("pair_id", F.size("ref").cast("bigint").alias("words"))
+    return steps.join(words, "pair_id").select("pair_id", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("edits"), "words")
+
+
+@query("top_substitutions")
+def top_substitutions(spark, sf_dir):
+    return V.top_substitutions(V.alignments(spoken_pairs(spark, sf_dir)))
+
+
+@query("timing_summary", """WITH o AS (SELECT greatest(10 - value, 0.0, value - 60)::DOUBLE AS outside FROM events), s AS (SELECT count(*) AS n, avg((outside <= 0)::INT) AS inside_rate, list_sort(list(outside)) AS s, max(outside) AS worst FROM o)
+  SELECT n, inside_rate, s[floor(0.95 * (n - 1))::BIGINT + 1] AS p95, worst FROM s""")
+def timing_summary(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return V.timing_summary(e.select(V.outside_seconds(F.col("value"), F.lit(10.0), F.lit(60.0)).alias("outside")))
+
+
+@query("golden_sample", f"""WITH {SPEECH_SQL}, s AS (SELECT episode_id, span_id AS idx FROM speech), n AS (SELECT greatest(1, 300 // count(DISTINCT episode_id)) AS m FROM s),
+  r AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY md5('42-' || episode_id || '-' || idx), idx) AS r FROM s) SELECT episode_id, idx FROM r, n WHERE r <= m""")
+def golden_sample(spark, sf_dir):
+    s = C.speech(spark, sf_dir).select("episode_id", F.col("span_id").alias("idx"))
+    return V.golden_sample(s, 300)
