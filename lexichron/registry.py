@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, jobs, quotes, retrieval, sequences, usage  # noqa: F401  (they register their queries)
+from .plans import ask, evaluation, feeds, jobs, quotes, retrieval, sequences, usage  # noqa: F401  (they register their queries)
 from .plans.base import ORACLES, QUERIES, Plan
 
 

@@ -24,3 +24,14 @@ def session(name: str = "lexichron", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; a missing path fails here, before any job runs."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder all executors share: spark.checkpoint.dir, or a temporary one when that is unset (tests)."""
+    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        import tempfile
+
+        known = tempfile.mkdtemp(prefix="lexichron-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known
