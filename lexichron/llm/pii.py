@@ -6,11 +6,12 @@ of its own type and format: digits stay digits, letters stay letters of their al
 titled names keep their gender.
 
 Surrogates come from keyed bijections: a string of m symbols over an alphabet of b is enciphered to another such
-string by an alternating Feistel network over Z(b**m). So one entity gets one surrogate everywhere (coreference) and
-two entities of one format never get the same (distinctness), with no table of entities and no shuffle. The
-collision check is a cycle walk: while a surrogate is not a valid one of its type, or is the entity itself, it is
-enciphered again, which keeps the mapping one-to-one. Names from the lists are permuted within their list; other
-names are enciphered letter by letter.
+string, one step along a keyed cycle through all of them (an alternating Feistel network over Z(b**m), a step, and the
+network's inverse), so that none is its own surrogate. One entity gets one surrogate everywhere (coreference), and two
+entities of one format never get the same (distinctness), with no table of entities and no shuffle. The collision
+check is a cycle walk: while a surrogate is not a valid one of its type, it is enciphered again, which keeps the
+mapping one-to-one. Names from the lists are permuted within their list; other names are enciphered letter by letter
+in their alphabet (Latin, Greek or Cyrillic).
 
 Results: null texts stay null and empty ones empty; repeated rows get equal results; an empty table gives an empty
 table; texts without entities are unchanged. Other columns are carried along by replace_pii and not read.
@@ -35,8 +36,8 @@ ROUNDS = 8
 FEMALE = "Anna Maria Laura Julia Sarah Emma Olivia Sophie Claire Elena Carmen Lucia Ingrid Heidi Amélie Chloé Grace Hannah Alice Nora Marta Irene Ruth Eva Helen Diana Monica Paula Rosa Teresa".split()
 MALE = "John James Peter Paul Thomas Martin Lukas Felix Hans Karl Pierre Louis Antoine Hugo Carlos Miguel Pablo Jorge David Daniel Robert George Henry Oscar Samuel Simon Victor Walter Adam Bruno".split()
 FAMILY = "Smith Jones Brown Taylor Wilson Walker Wright Green Baker Carter Müller Schmidt Weber Wagner Becker Hoffmann Martin Bernard Dubois Moreau Laurent Garcia Lopez Sanchez Romero Torres Navarro Molina Ortega Castro".split()
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra")
-MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "г-жа", "Κυρία")
+MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "г-н", "Κύριος")
 PLAIN_TITLES = ("Dr", "Prof")
 
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *PLAIN_TITLES))
@@ -52,7 +53,7 @@ ENTITY = re.compile(
     |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|(?<=[ .\-])\d{2,4}[ .\-]|\d{3}[.\-])\d{3,4}[ .\-]\d{3,4}(?![\d\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?![\d\-]))
     |(?P<name>(?<!\w)(?P<title>"""
     + _TITLES
-    + r""")\.?[ ](?P<given>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20})(?:[ ](?P<family>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20})?))?(?!\w))""",
+    + r""")\.?[ ](?P<given>{U}{L}{{1,20}})(?:[ ](?P<family>{U}{L}{{1,20}}(?:-{U}{L}{{1,20}})?))?(?!\w))""".format(U="[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]", L="[a-zß-öø-ÿа-яёά-ώ]"),
     re.X,
 )
 #: A text without any of these holds no entity.
@@ -61,7 +62,8 @@ HINT = re.compile(rf"[\d@]|token|secret|passw|key|a[ks]ia|(?<!\w)(?:{_TITLES})\.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 LATIN_LOWER = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
-ALPHABETS = (DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_LOWER.upper())
+CYRILLIC, GREEK = "".join(map(chr, range(0x430, 0x450))), "".join(c for c in map(chr, range(0x3B1, 0x3CA)) if c != "ς")
+ALPHABETS = (DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_LOWER.upper(), CYRILLIC, CYRILLIC.upper(), GREEK, GREEK.upper())
 ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
 
 
@@ -78,17 +80,25 @@ class Cipher:
         return int.from_bytes(raw, "little") % bound
 
     def number(self, x: int, bound: int, tweak: bytes) -> int:
-        """A permutation of 0..bound-1: Feistel steps over two near-square factors, walked back into the range."""
+        """A permutation of 0..bound-1 without fixed points: one step along a keyed cycle through all of them."""
         if bound < 2:
             return x
         a = b = max(2, _root(bound))
         while a * b < bound:
             b += 1
+        x = (self._mix(x, a, b, bound, tweak, forward=True) + 1) % bound
+        return self._mix(x, a, b, bound, tweak, forward=False)
+
+    def _mix(self, x: int, a: int, b: int, bound: int, tweak: bytes, forward: bool) -> int:
+        """Feistel steps over two near-square factors, or their inverse, walked back into the range."""
+        sign = 1 if forward else -1
         while True:
             left, right = divmod(x, b)
-            for r in range(0, ROUNDS, 2):
-                left = (left + self.noise(tweak, r, right, a)) % a
-                right = (right + self.noise(tweak, r + 1, left, b)) % b
+            for r in range(ROUNDS) if forward else reversed(range(ROUNDS)):
+                if r % 2:
+                    right = (right + sign * self.noise(tweak, r, left, b)) % b
+                else:
+                    left = (left + sign * self.noise(tweak, r, right, a)) % a
             x = left * b + right
             if x < bound:
                 return x

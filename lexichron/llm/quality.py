@@ -6,7 +6,7 @@ fitted by minimising the non-negative unbiased risk (Kiryo et al., 2017)
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
-on trusted positives (labelled quality 1) and unlabelled text (documents without a label that may be learnt from),
+on trusted positives (labelled quality 1) and unlabelled text (any documents but held-out ones, labels unseen),
 with the class prior estimated from the labelled rows that may be learnt from. When the second term turns negative,
 the step goes up its gradient instead, as published. Scores are calibrated so that the mean over unlabelled text is
 the prior.
@@ -148,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Netwo
     known = labelled(labels, "quality", 4 * sample)
     counts = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = (counts[1] + 1) / (counts[0] + 2)
-    # unlabelled: no label at all; a held-out row's label is unknown here, but it is left out all the same
-    free = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out()).join(labels.select("doc_id"), "doc_id", "left_anti")
+    # unlabelled text is drawn from all documents, as the risk's second expectation asks; their labels are not looked at
+    free = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out())
     free = free.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     p, u = sampled_features(docs, known.filter("label = 1").limit(sample)), sampled_features(docs, free)
     return (fit_network(p, u, prior) if len(p) and len(u) else None), prior if counts[0] else 0.5
