@@ -30,7 +30,7 @@ SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Pre-tokens of more bytes than this get a tree of their own.
 LONG = 64
 #: Pre-tokens remembered by a Python worker; at this many it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 180_000
 NEVER = np.int64(2**62)
 
 

@@ -219,7 +219,7 @@ class Toxicity:
     def hits(self, text: str) -> tuple[list[float], int]:
         """Strengths of the distinct words that hit, and the number of distinct words."""
         words, known, found = set(WORD.findall(restore(text, self.model, self.known))), self.words, []
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for w in words:
             s = known.get(w)
