@@ -34,8 +34,11 @@ def split_words(text: Column) -> Column:
 
 def quote_tokens(text: Column) -> Column:
     """Comparable tokens: straight apostrophes, lower case, other signs as gaps, apostrophes stripped at the ends."""
-    plain = F.regexp_replace(F.lower(F.translate(text, *STRAIGHT)), r"[^\p{L}\p{N}_\s']", " ")
-    return F.filter(F.transform(F.split(plain, r"\s+"), lambda w: F.regexp_replace(w, r"^'+|'+$", "")), lambda w: w != "")
+    straight = F.replace(F.replace(text, F.lit(STRAIGHT[0][0]), F.lit("'")), F.lit(STRAIGHT[0][1]), F.lit("'"))
+    plain = F.regexp_replace(F.lower(straight), r"[^\p{L}\p{N}_\s']+", " ")
+    # apostrophes at the ends of words go in one pass over the text rather than one a word
+    bare = F.regexp_replace(plain, r"(?<!\S)'+|'+(?!\S)", "")
+    return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
 
 
 def phrase(tokens: Column) -> Column:

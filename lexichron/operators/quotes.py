@@ -20,11 +20,12 @@ def find_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     of the texts, so the cost follows the matches and no pair without a common run is formed.
     """
     q = quotes.select("quote_id", quote_tokens(F.col("quote")).alias("needle")).filter(F.size("needle") >= MIN_QUOTE_TOKENS)
-    q = q.withColumn("gram", F.xxhash64(F.slice("needle", 1, MIN_QUOTE_TOKENS)))
+    run = lambda words, i: F.xxhash64(*[F.get(words, i + j) for j in range(MIN_QUOTE_TOKENS)])
+    q = q.withColumn("gram", run(F.col("needle"), F.lit(0)))
     t = texts.select("text_id", quote_tokens(F.col("text")).alias("hay")).filter(F.size("hay") >= MIN_QUOTE_TOKENS)
-    grams = F.transform(F.sequence(F.lit(1), F.size("hay") - (MIN_QUOTE_TOKENS - 1)), lambda i: F.xxhash64(F.slice("hay", i, MIN_QUOTE_TOKENS)))
-    runs = t.select("text_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    pairs = runs.join(q.select("quote_id", "gram"), "gram").select("quote_id", "text_id")
+    grams = F.transform(F.sequence(F.lit(0), F.size("hay") - MIN_QUOTE_TOKENS), lambda i: run(F.col("hay"), i))
+    runs = t.select("text_id", F.explode(grams).alias("gram"))
+    pairs = runs.join(q.select("quote_id", "gram"), "gram").select("quote_id", "text_id").distinct()
     both = pairs.join(q.select("quote_id", "needle"), "quote_id").join(t, "text_id")
     return both.filter(contains_phrase(F.col("hay"), F.col("needle"))).select("quote_id", "text_id")
 
@@ -41,7 +42,8 @@ def locate(needle: Column, tokens: Column, starts: Column, low: Column, high: Co
 
 def located(quotes: DataFrame, transcripts: DataFrame) -> DataFrame:
     """quotes(…, episode_id, quote, start_ms, end_ms) with at_ms. Joins on the episode, then looks inside the passage."""
-    t = transcripts.select("episode_id", "tokens", "starts")
+    # only the episodes asked about; the semi join goes below the arrays' making
+    t = transcripts.select("episode_id", "tokens", "starts").join(quotes.select("episode_id").distinct(), "episode_id", "left_semi")
     low, high = F.col("start_ms") - SLACK_MS, F.col("end_ms") + SLACK_MS
     at = locate(quote_tokens(F.col("quote")), F.col("tokens"), F.col("starts"), low, high)
     return quotes.join(t, "episode_id", "left").withColumn("at_ms", at).drop("tokens", "starts")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..models import extractive
 from ..operators import quotes as Q
 from ..operators.sequence import make_passages
+from ..session import written
 from . import corpus as C
 from .base import query
 
@@ -59,11 +60,11 @@ def asked(spark, sf_dir):
     from .quotes import pairs
 
     held = pairs(spark, sf_dir).select("episode_id").distinct()
-    pool = make_passages(C.transcripts(spark, sf_dir).join(held, "episode_id", "left_semi")).withColumn("id", F.col("episode_id") * 100_000 + F.col("idx"))
+    pool = written(make_passages(C.transcripts(spark, sf_dir).join(held, "episode_id", "left_semi")).withColumn("id", F.col("episode_id") * 100_000 + F.col("idx")))
     q = C.questions(spark, sf_dir)
     found = R.hydrate(R.keyword_leg(R.postings(pool), q).filter("rank <= 5"), pool)
     titles = C.episodes(spark, sf_dir).select(F.col("id").alias("episode_id"), "title")
-    hits = found.join(titles, "episode_id").select(F.col("query_id").alias("question_id"), F.col("rank").alias("n"), "episode_id", "title", "start_ms", "end_ms", "text")
+    hits = written(found.join(titles, "episode_id").select(F.col("query_id").alias("question_id"), F.col("rank").alias("n"), "episode_id", "title", "start_ms", "end_ms", "text"))
     return q.withColumnRenamed("query_id", "question_id"), hits
 
 

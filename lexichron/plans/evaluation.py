@@ -8,6 +8,7 @@ from ..functions.text import split_words
 from ..operators import evaluation as V
 from ..operators import retrieval as R
 from ..operators.sequence import make_passages
+from ..session import written
 from . import corpus as C
 from . import quotes as P
 from .base import query
@@ -34,22 +35,22 @@ fir AS (SELECT m.mode, g.query_id, min(j.rank) FILTER (j.ok) AS rank, max(j.off)
 """
 
 
-def golden(spark, sf_dir):
+def golden(spark, sf_dir, asked):
     """query_id, episode_id, answer_ms: where each benchmark text is said first, in the smallest episode."""
     from ..operators import quotes as Q
 
-    h = P.hits(spark, sf_dir).join(P.pairs(spark, sf_dir).select("question_id", "quote"), "question_id")
+    h = P.hits(spark, sf_dir, asked).join(asked.select("question_id", "quote"), "question_id")
     at = Q.located(h, C.transcripts(spark, sf_dir)).filter("at_ms IS NOT NULL").withColumn("query_id", F.floor(F.col("question_id") / 1_000_000_000))
-    return at.groupBy("query_id").agg(F.min("episode_id").alias("episode_id"), F.min_by("at_ms", F.struct("episode_id", "n")).alias("answer_ms"))
+    return written(at.groupBy("query_id").agg(F.min("episode_id").alias("episode_id"), F.min_by("at_ms", F.struct("episode_id", "n")).alias("answer_ms")))
 
 
-def results(spark, sf_dir, asked):
+def results(spark, sf_dir, pairs, asked):
     """mode, query_id, rank, episode_id, start_ms, end_ms of a keyword search over passages, plain and reranked."""
-    held = P.pairs(spark, sf_dir).select("episode_id").distinct()
-    pool = make_passages(C.transcripts(spark, sf_dir).join(held, "episode_id", "left_semi")).withColumn("id", F.col("episode_id") * 100_000 + F.col("idx"))
+    held = pairs.select("episode_id").distinct()
+    pool = written(make_passages(C.transcripts(spark, sf_dir).join(held, "episode_id", "left_semi")).withColumn("id", F.col("episode_id") * 100_000 + F.col("idx")))
     q = C.questions(spark, sf_dir).join(asked.select("query_id"), "query_id", "left_semi")
     leg = R.keyword_leg(R.postings(pool), q)
-    hydrated = R.hydrate(leg.filter(F.col("rank") <= R.SHORTLIST), pool)
+    hydrated = written(R.hydrate(leg.filter(F.col("rank") <= R.SHORTLIST), pool))
     again = R.rerank(hydrated, q, 10)
     columns = ["query_id", "rank", "episode_id", "start_ms", "end_ms"]
     plain = hydrated.filter("rank <= 10").select(F.lit("keyword").alias("mode"), *columns)
@@ -58,8 +59,9 @@ def results(spark, sf_dir, asked):
 
 @query("retrieval_first_hits", f"WITH RECURSIVE {EVAL_SQL} SELECT mode, query_id, rank::INTEGER AS rank, off::BIGINT AS offset_ms FROM fir")
 def retrieval_first_hits(spark, sf_dir):
-    g = golden(spark, sf_dir)
-    return V.first_correct(results(spark, sf_dir, g), g)
+    pairs = P.pairs(spark, sf_dir)
+    g = golden(spark, sf_dir, pairs)
+    return V.first_correct(results(spark, sf_dir, pairs, g), g)
 
 
 @query("retrieval_eval", f"""WITH RECURSIVE {EVAL_SQL} SELECT mode, count(*) AS queries, avg((coalesce(rank, 99) <= 1)::INT) AS recall_1, avg((coalesce(rank, 99) <= 5)::INT) AS recall_5, avg((coalesce(rank, 99) <= 10)::INT) AS recall_10,

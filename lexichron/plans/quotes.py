@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import citation_parts, quote_tokens
 from ..operators import quotes as Q
 from ..operators.sequence import make_passages
+from ..session import written
 from . import corpus as C
 from . import sequences  # noqa: F401  (its passages query comes first)
 from .base import ORACLES, query
@@ -35,13 +36,14 @@ def pairs(spark, sf_dir):
     quotes = C.questions(spark, sf_dir).select(F.col("query_id").alias("quote_id"), F.col("question").alias("quote"))
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
     found = Q.find_quotes(quotes, texts).join(quotes, "quote_id")
-    return found.select((F.col("quote_id") * 1_000_000_000 + F.col("text_id")).alias("question_id"), F.col("text_id").alias("episode_id"), "quote")
+    return written(found.select((F.col("quote_id") * 1_000_000_000 + F.col("text_id")).alias("question_id"), F.col("text_id").alias("episode_id"), "quote"))
 
 
-def hits(spark, sf_dir):
+def hits(spark, sf_dir, asked=None):
     """question_id, n, episode_id, start_ms, end_ms, text: the passages of each question's document."""
-    p = make_passages(C.transcripts(spark, sf_dir).join(pairs(spark, sf_dir).select("episode_id").distinct(), "episode_id", "left_semi"))
-    return pairs(spark, sf_dir).join(p, "episode_id").select("question_id", (F.col("idx") + 1).alias("n"), "episode_id", "start_ms", "end_ms", "text")
+    asked = pairs(spark, sf_dir) if asked is None else asked
+    p = make_passages(C.transcripts(spark, sf_dir).join(asked.select("episode_id").distinct(), "episode_id", "left_semi"))
+    return asked.join(p, "episode_id").select("question_id", (F.col("idx") + 1).alias("n"), "episode_id", "start_ms", "end_ms", "text")
 
 
 @query("normalize_tokens", f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
@@ -73,13 +75,14 @@ placed AS (SELECT question_id, n, quote, CASE WHEN plc > 0 THEN s[length(hay[1:p
 
 @query("locate_quote", f"WITH RECURSIVE {HITS_SQL} SELECT question_id, n::INTEGER AS n, at_ms::BIGINT AS at_ms FROM placed")
 def locate_quote(spark, sf_dir):
-    q = hits(spark, sf_dir).join(pairs(spark, sf_dir).select("question_id", "quote"), "question_id")
+    asked = pairs(spark, sf_dir)
+    q = hits(spark, sf_dir, asked).join(asked.select("question_id", "quote"), "question_id")
     return Q.located(q, C.transcripts(spark, sf_dir)).select("question_id", "n", "at_ms")
 
 
-def raw_citations(spark, sf_dir):
+def raw_citations(asked, hits):
     """question_id, citations: a model's JSON with, for each question, a quote for every passage and five bad ones."""
-    n = hits(spark, sf_dir).groupBy("question_id").agg(F.max("n").alias("last"))
+    n = hits.groupBy("question_id").agg(F.max("n").alias("last"))
     cite = lambda k, q: F.struct(k.cast("int").alias("n"), q.alias("quote"))
     made = F.concat(
         F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: cite(i, F.col("quote"))),
@@ -91,7 +94,7 @@ def raw_citations(spark, sf_dir):
             cite(F.lit(None), F.col("quote")),
         ),
     )
-    return pairs(spark, sf_dir).join(n, "question_id").select("question_id", F.to_json(made).alias("citations"))
+    return asked.join(n, "question_id").select("question_id", F.to_json(made).alias("citations"))
 
 
 CITED_SQL = """
@@ -110,8 +113,9 @@ verdict AS (SELECT c.question_id, c.ord, c.n, CASE WHEN c.n IS NULL OR c.n > l.l
 
 
 def critic(spark, sf_dir):
-    cited = Q.parse_citations(raw_citations(spark, sf_dir))
-    return Q.verdicts(cited, hits(spark, sf_dir).drop("text"), C.transcripts(spark, sf_dir))
+    asked = pairs(spark, sf_dir)
+    found = written(hits(spark, sf_dir, asked).drop("text"))
+    return Q.verdicts(Q.parse_citations(raw_citations(asked, found)), found, C.transcripts(spark, sf_dir))
 
 
 @query("critic_verdicts", f"WITH RECURSIVE {HITS_SQL}, {CITED_SQL} SELECT question_id, ord, n, reason, CASE WHEN reason IS NULL THEN found_ms::BIGINT END AS at_ms FROM verdict")

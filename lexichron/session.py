@@ -35,3 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
         known = tempfile.mkdtemp(prefix="lexichron-")
         spark.sparkContext.setCheckpointDir(known)
     return known
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: made once however often a plan uses it, and safe from lost executors."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
