@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 
 #: Characters of text handled together inside one Python worker.
 SLICE_CHARS = 1_000_000
+BATCH = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts of at most BATCH, where the session keeps Spark's default: rows of any length then take
+    bounded memory on both sides of a Python worker's pipe."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(key, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: spark.checkpoint.dir, or a temporary one when that is unset (tests)."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +41,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/shelf-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -67,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
 
 def map_texts(df: DataFrame, score: Callable[[list[str]], dict[str, pa.Array]], columns: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Row-wise map: score(texts) gives the new columns; the columns in keep are carried along. One row out per row in."""
+    bounded_batches(df.sparkSession)
     out_names = [c.split()[0] for c in columns.split(", ")]
     source = df.select(*keep, "text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep)

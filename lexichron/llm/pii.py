@@ -28,7 +28,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, slices, table
+from .common import bounded_batches, map_texts, slices, table
 
 KEY = b"surrogate-key-1"
 ROUNDS = 8
@@ -252,6 +252,7 @@ def pii_spans(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with surrogates in text; all other columns stay."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
