@@ -174,3 +174,51 @@ def golden_sample(passages: DataFrame, total: int, seed: int = 42) -> DataFrame:
     place = Window.partitionBy("episode_id").orderBy("key", "idx")
     drawn = passages.withColumn("key", key).withColumn("r", F.row_number().over(place))
     return drawn.crossJoin(F.broadcast(n)).filter(F.col("r") <= each).drop("key", "r", "episodes")  # n is one row
+
+
+def session_words(sessions: DataFrame) -> DataFrame:
+    """session_id, utterance, kind, outside of sessions(session_id, ref, hyp, spans).
+
+    ref: array<struct<word, utterance>> in order; hyp: array<struct<word, start, end>>; spans: array<struct<utterance,
+    start, end>>. One row a step of the alignment: an inserted word belongs to the utterance seen last; a right word has the
+    distance of its middle from its utterance.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for session, ref, hyp, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                span = {s["utterance"]: (s["start"], s["end"]) for s in spans}
+                seen = ref[0]["utterance"] if ref else None
+                for kind, i, j in align([r["word"] for r in ref], [h["word"] for h in hyp]):
+                    seen = ref[i]["utterance"] if kind != "ins" else seen
+                    off = None
+                    if kind == "equal":
+                        mid = (hyp[j]["start"] + hyp[j]["end"]) / 2
+                        off = max(span[seen][0] - mid, 0.0, mid - span[seen][1])
+                    for c, v in zip(out, (session, seen, kind, off), strict=True):
+                        c.append(v)
+            types = (batch.schema.field(0).type, pa.int64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["session_id", "utterance", "kind", "outside"])
+
+    kind = sessions.schema["session_id"].dataType.simpleString()
+    return sessions.select("session_id", "ref", "hyp", "spans").mapInArrow(run, f"session_id {kind}, utterance bigint, kind string, outside double")
+
+
+def worst_utterances(steps: DataFrame, k: int = 5) -> DataFrame:
+    """session_id, utterance, errors of the k worst of each session_words(); equal counts by utterance."""
+    n = steps.groupBy("session_id", "utterance").agg(F.count_if(F.col("kind") != "equal").alias("errors"))
+    place = Window.partitionBy("session_id").orderBy(F.desc("errors"), "utterance")
+    return n.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= k).drop("r")
+
+
+def clip_report(pairs: DataFrame, drafts: DataFrame) -> DataFrame:
+    """One row a pair of pairs(pair_id, ref, hyp, audio_s, took_s) and drafts(pair_id, draft): error rate, speed in times of
+    real time, and whether the reference was hardly changed from its draft."""
+    counted = error_counts(alignments(pairs)).select("pair_id", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("edits"))
+    changed = pairs.join(drafts, "pair_id").select("pair_id", F.col("draft").alias("hyp"), "ref")
+    fixes = error_counts(alignments(changed)).select("pair_id", (F.col("substitutions") + F.col("deletions") + F.col("insertions")).alias("fixes"))
+    both = pairs.join(counted, "pair_id", "left").join(fixes, "pair_id", "left").withColumn("words", F.size("ref"))
+    return both.select(
+        "pair_id", "words", (F.coalesce("edits", F.lit(0)) / F.col("words")).alias("wer"), (F.col("audio_s") / F.col("took_s")).alias("speed"), uncorrected(F.coalesce("fixes", F.lit(0)), F.col("words")).alias("uncorrected")
+    )
