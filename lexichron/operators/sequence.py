@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +64,33 @@ def make_passages(transcripts: DataFrame, window_ms: int = 45_000, stride_ms: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for episode, tokens, starts, ends in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for idx, (i, j, end) in enumerate(cut_passages(starts or [], ends or [], window_ms, stride_ms)):
-                    for c, v in zip(cols, (episode, idx, starts[i], end, j - i, " ".join(tokens[i:j])), strict=True):
-                        c.append(v)
-            types = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["episode_id", "idx", "start_ms", "end_ms", "n_words", "text"])
+            tokens, starts, ends = (batch.column(i) for i in (1, 2, 3))
+            bounds = tokens.offsets.to_numpy()
+            s_all, e_all = starts.values.to_numpy(), ends.values.to_numpy()
+            s_bounds = starts.offsets.to_numpy()
+            rows, idxs, spans, takes = [], [], [], []
+            for r in range(batch.num_rows):
+                at, stop, base = s_bounds[r], s_bounds[r + 1], bounds[r]
+                for idx, (i, j, end) in enumerate(cut_passages(s_all[at:stop].tolist(), e_all[at:stop].tolist(), window_ms, stride_ms)):
+                    rows.append(r)
+                    idxs.append(idx)
+                    spans.append((int(s_all[at + i]), end, j - i))
+                    takes.append(np.arange(base + i, base + j))
+            # texts are joined from the batch's own words, without a Python string a word
+            offsets = np.concatenate([[0], np.cumsum([n for _, _, n in spans])]).astype(np.int32)
+            picked = tokens.values.take(pa.array(np.concatenate(takes) if takes else np.zeros(0, np.int64)))
+            texts = pc.binary_join(pa.ListArray.from_arrays(offsets, picked), " ")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows, pa.int64())),
+                    pa.array(idxs, pa.int32()),
+                    pa.array([s for s, _, _ in spans], pa.int64()),
+                    pa.array([e for _, e, _ in spans], pa.int64()),
+                    pa.array([n for _, _, n in spans], pa.int32()),
+                    texts,
+                ],
+                names=["episode_id", "idx", "start_ms", "end_ms", "n_words", "text"],
+            )
 
     kind = transcripts.schema["episode_id"].dataType.simpleString()
     source = transcripts.select("episode_id", "tokens", "starts", "ends")
