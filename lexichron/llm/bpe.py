@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_texts, table
 
 #: Unicode white space, which separates pre-tokens.
-SPACE = r"\t-\r \x85\xa0  -     　"
-PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^{space}{l}{n}]+"
+#: For texts within Latin-1.
+PRE_TOKEN = regex.compile(PIECES.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"\p{N}", space=SPACE))
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Pre-tokens of more bytes than this get a tree of their own.
 LONG = 64
@@ -40,6 +42,38 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def wide_pre_token() -> regex.Pattern:
+    """For all other texts: letters and numbers of Unicode versions after that of the tokenizer library's engine count as
+    signs. Which they are is asked of that engine, for the code points that the standard library does not know yet."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    known = regex.compile(r"[\p{L}\p{N}]")
+    unsure = [c for c in range(0x100, 0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+    theirs = Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str(" ".join(map(chr, unsure)))
+    newer = sorted(set(unsure) - {ord(x) for x, _ in theirs})
+    runs: list[list[int]] = []
+    for c in newer:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    late = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+    letter, number = (rf"[\p{{{x}}}--[{late}]]" if late else rf"\p{{{x}}}" for x in "LN")
+    return regex.compile("(?V1)" + PIECES.format(L=letter, N=number, l=letter, n=number, space=SPACE))
+
+
+def cut(text: str) -> list[str]:
+    """Pre-tokens of a text without special tokens."""
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return wide_pre_token().findall(text)
+    return PRE_TOKEN.findall(text)
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable bytes stand for themselves, the others follow from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -226,24 +260,24 @@ class Encoder:
     @staticmethod
     def pre_tokens(text: str) -> list[str]:
         if "<|" not in text:
-            return PRE_TOKEN.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            return cut(text)
         out: list[str] = []
         for k, piece in enumerate(SPECIAL.split(text)):
-            out += [piece] if k % 2 else PRE_TOKEN.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+            out += [piece] if k % 2 else cut(piece)
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        cut = [self.pre_tokens(t) for t in texts]
-        new = {w for words in cut for w in words} - self.ids.keys()
+        rows = [self.pre_tokens(t) for t in texts]
+        new = {w for words in rows for w in words} - self.ids.keys()
         if len(self.ids) + len(new) > REMEMBERED:
             held = [*self.special]
             self.ids, self.shown = {k: self.ids[k] for k in held}, {k: self.shown[k] for k in held}
-            new = {w for words in cut for w in words} - self.ids.keys()
+            new = {w for words in rows for w in words} - self.ids.keys()
         if new:
             self.learn(new)
         ids, shown = self.ids, self.shown
-        return [b"".join([ids[w] for w in words]) for words in cut], [" ".join([shown[w] for w in words]) for words in cut]
+        return [b"".join([ids[w] for w in words]) for words in rows], [" ".join([shown[w] for w in words]) for words in rows]
 
 
 @lru_cache(maxsize=2)
