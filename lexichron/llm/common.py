@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +46,16 @@ class Shelf:
         bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/shelf-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self.clear)
+
+    def clear(self) -> None:
+        """Delete all tables; runs when the driver ends, as results may read them until then."""
+        with contextlib.suppress(Exception):  # the session may have gone first, and its folder with it
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write df and read it back, which cuts its lineage; lost executors only cost a re-read."""
@@ -58,9 +70,7 @@ class Shelf:
         """Delete a table that no later plan reads."""
         path = getattr(df, "_shelf_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self._delete(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
