@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_terms
+from ..functions.text import keyword_terms, stems
 
 CANDIDATES, SHORTLIST, RRF_K = 50, 20, 60
 #: Queries that travel to the vectors together.
@@ -28,22 +28,26 @@ def ranked(scores: DataFrame, k: int, *best: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "id", "rank")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, id, tf of docs(id, text): what an index would store."""
-    return docs.select("id", F.explode(keyword_terms(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
+    """term, id, tf of docs(id, text): what an index would store. analyze may also be stemmed_terms, on both sides."""
+    return docs.select("id", F.explode(analyze(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
+def stemmed_terms(text: Column) -> Column:
+    return stems(keyword_terms(text))
+
+
+def keyword_scores(index: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
     """query_id, id, score: matching places of any term of queries(query_id, question).
 
     With terms joined by OR every minimal cover is one place, so cover density counts matching places.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(keyword_terms(F.col("question")))).alias("term"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
     return index.join(terms, "term").groupBy("query_id", "id").agg(F.sum("tf").alias("score"))
 
 
-def keyword_leg(index: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    return ranked(keyword_scores(index, queries), k, F.desc("score"))
+def keyword_leg(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
+    return ranked(keyword_scores(index, queries, analyze), k, F.desc("score"))
 
 
 def _matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,10 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table when the driver ends; results may read it until then."""
+    with contextlib.suppress(Exception):  # the session may have gone first, and its folder with it
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: made once however often a plan uses it, and safe from lost executors."""
-    import uuid
-
     path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_delete, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import urllib.error
 import urllib.request
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,34 @@ def fetch_feed(url: str, path: str, timeout: float = 20.0) -> str:
     return path
 
 
+class DownloadFailed(Exception):
+    def __init__(self, reason: str, permanent: bool):
+        super().__init__(reason)
+        self.permanent = permanent
+
+
+def download(url: str, path: str, most_bytes: int = 400 * 1024 * 1024, timeout: float = 60.0) -> str:
+    """Lands a file piece by piece. Client errors but 429, and files over most_bytes, fail for good; all else may be
+    tried again. No part of a failed file stays."""
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as got, open(path, "wb") as out:  # noqa: S310
+            size = 0
+            while piece := got.read(1 << 20):
+                size += len(piece)
+                if size > most_bytes:
+                    raise DownloadFailed("too large", permanent=True)
+                out.write(piece)
+    except BaseException as e:
+        if os.path.exists(path):
+            os.remove(path)
+        if isinstance(e, urllib.error.HTTPError):
+            raise DownloadFailed(f"status {e.code}", permanent=400 <= e.code < 500 and e.code != 429) from e
+        if isinstance(e, OSError):
+            raise DownloadFailed(str(e), permanent=False) from e
+        raise
+    return path
+
+
 def first_audio(enclosures: Column) -> Column:
     """URL of the first enclosure that has one and whose type is empty or audio."""
     fits = F.filter(enclosures, lambda e: (F.coalesce(e["_url"], F.lit("")) != "") & ((F.coalesce(e["_type"], F.lit("")) == "") | F.startswith(e["_type"], F.lit("audio/"))))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..operators.usage import next_id, wide_fingerprint
 from ..schemas import SCHEMAS
 
 
@@ -31,6 +34,45 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
 
+def write_once(df: DataFrame, path: str) -> None:
+    """Writes df unless path is there already; an edited reference is never overwritten."""
+    df.write.mode("ignore").parquet(path)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, made and written on the first call: slow inference runs once."""
+    if not _exists(spark, path):
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Evaluation results as JSON, one file a run."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+#: Parents before children.
+COPY_ORDER = ("episodes", "jobs", "chunks", "passages")
+
+
+def copy_all(spark: SparkSession, source: str, target: str) -> dict[str, int]:
+    """Copies the tables with their ids to a target that must hold none, verifies each by an order-free fingerprint, and
+    returns the next free id of the tables that have ids."""
+    taken = [name for name in COPY_ORDER if _exists(spark, f"{target}/{name}") and not load(spark, target, name).isEmpty()]
+    if taken:
+        raise ValueError(f"{target} is not empty: {', '.join(taken)}")
+    free = {}
+    for name in COPY_ORDER:
+        rows = load(spark, source, name)
+        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+        back = load(spark, target, name)
+        if wide_fingerprint(rows, *rows.columns).first() != wide_fingerprint(back, *back.columns).first():
+            raise ValueError(f"the copy of {name} differs from its source")
+        if "id" in back.columns:
+            free[name] = next_id(back).first().next_id
+    return free
+
+
 def append(df: DataFrame, root: str, name: str) -> None:
     """Appends rows in the declared column order and types."""
     df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]).write.mode("append").parquet(f"{root}/{name}")
