@@ -44,7 +44,7 @@ DISGUISED = re.compile(
 )
 SIGN_NEAR = re.compile(r"[0134578@$!|+*](?=[^\W\d_])")
 TRIPLE = re.compile(r"(.)\1\1")
-RUNS = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+RUNS = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")  # tried at starts of words only: linear in the text
 RUN_NEAR = re.compile(r"([^\W\d_])\1\1")
 APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_](?!\w)){2,}")
 

@@ -67,6 +67,15 @@ def test_viterbi_equals_all_paths(spark, corpus):
         assert made == brute_restore(span, model)[1]
 
 
+def test_very_long_words_take_linear_time():
+    import time
+
+    model, began = np.zeros((X.SYMBOLS,) * 3, np.float32), time.time()
+    for text in ("ab" * 200_000 + " yesss", "a1" * 100_000, "x " * 100_000, "$" * 200_000, "!a" * 100_000, "aaa" * 100_000):
+        X.restore(text, model, {})
+    assert time.time() - began < 60
+
+
 def test_character_counts_cover_all_text(spark):
     docs = spark.createDataFrame([(1, "abab"), (2, None), (3, "é")], "doc_id long, text string").repartition(2)
     assert X.trigram_counts(docs).agg({"n": "sum"}).first()[0] > 0
