@@ -2,9 +2,11 @@
 
 A recording (16-bit mono samples) is cut into overlapping frames; each frame's spectrum is folded into the twelve pitch
 classes. Over an integral image of the frames, sixteen box filters each give a number that is quantised to two bits, so
-every place yields one packed 32-bit integer. Recordings that share integers meet in buckets; a bucket gives star-shaped
-candidates with their offset, an offset histogram a pair keeps its highest peak, and the bit error rate of the aligned
-fingerprints decides. Linked recordings form groups.
+every place yields one packed 32-bit integer. Recordings that share integers meet in buckets. A pair is linked if at any
+offset with VOTES equal integers (all places vote) the aligned fingerprints overlap enough and differ in few bits. A
+bucket first gives candidates in the shape of a star; then, in buckets that hold several components, the recordings of
+different components are compared on whole fingerprints, in blocks of bounded size, so that no pair that shares VOTES
+integers at an offset goes untested. Linked recordings form groups.
 
 The test tables hold no audio, so op5 renders every embedding as a melody of one note a number and treats that as its
 media column; fingerprint() and aligned_groups() take any recordings.
@@ -18,6 +20,7 @@ rec_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ RATE, FRAME, HOP = 4_000, 1_024, 512
 WIDTH = 8
 #: Links need this many shared integers at one offset, this share of bits equal, and this overlap of the shorter one.
 VOTES, BIT_ERRORS, OVERLAP = 3, 0.15, 0.75
+#: Outsiders and members of a bucket that meet in one block; larger buckets are dealt into more blocks.
+OUTSIDE, INSIDE = 500, 500
+#: Beyond so many offsets a pair, the unequal bits of all offsets are counted at once.
+DIRECT = 64
 LOW, HIGH = 55.0, 1_760.0
 
 
@@ -149,26 +156,144 @@ def error_rate(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(POP[x].sum()) / (32 * (hi - lo)), hi - lo
 
 
-def aligned_links(classes: DataFrame) -> DataFrame:
-    """(u, v) of linked fingerprint classes. classes: cls, ints."""
-    keys = classes.select("cls", F.posexplode("ints").alias("pos", "key"))
-    # one place a class and integer is enough to propose an offset
-    keys = keys.groupBy("key", "cls").agg(F.min("pos").alias("pos"))
-    hubs = keys.groupBy("key").agg(F.min(F.struct("cls", "pos")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    votes = keys.join(hubs, "key").filter(F.col("cls") != F.col("hub.cls"))
-    votes = votes.groupBy(F.col("hub.cls").alias("u"), F.col("cls").alias("v"), (F.col("hub.pos") - F.col("pos")).alias("offset")).agg(F.count("*").alias("votes"))
-    peaks = votes.groupBy("u", "v").agg(F.max(F.struct("votes", F.col("offset").alias("offset"))).alias("peak")).filter(F.col("peak.votes") >= VOTES)
-    both = peaks.join(classes.select(F.col("cls").alias("v"), F.col("ints").alias("b")), "v").join(classes.select(F.col("cls").alias("u"), F.col("ints").alias("a")), "u")
+def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of places with a[i + offset] == b[i] for each offset from 1 - len(b) to len(a) - 1; all places vote."""
+    n, m = len(a), len(b)
+    keys, at, ca = np.unique(a, return_inverse=True, return_counts=True)
+    own = np.minimum(np.searchsorted(keys, b), len(keys) - 1)
+    meets = np.flatnonzero(keys[own] == b)
+    cb = np.bincount(own[meets], minlength=len(keys))
+    often = ca * cb > n + m  # as in silence and drones: counted as a correlation, not place by place
+    some = meets[~often[own[meets]]]
+    order, first, times = np.argsort(at, kind="stable"), np.cumsum(ca) - ca, ca[own[some]]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    places = order[np.repeat(first[own[some]], times) + step]
+    out = np.bincount(places - np.repeat(some, times) + m - 1, minlength=n + m - 1)
+    for k in np.flatnonzero(often):
+        out += correlation((at == k)[:, None], (b == keys[k])[:, None])
+    return out
+
+
+def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of the products of the rows a[i + offset] and b[i], whole numbers, for each offset from 1 - len(b) to len(a) - 1."""
+    size = 1 << (len(a) + len(b) - 2).bit_length()
+    total = sum(np.fft.rfft(x.astype(float), size) * np.fft.rfft(y[::-1].astype(float), size) for x, y in zip(a.T, b.T, strict=True))
+    return np.rint(np.fft.irfft(total, size)[: len(a) + len(b) - 1]).astype(np.int64) if size > 1 else np.array([int((a * b).sum())])
+
+
+def signs(x: np.ndarray) -> np.ndarray:
+    """Each integer's 32 bits as 1 and -1."""
+    return np.unpackbits(np.ascontiguousarray(x).view(np.uint8)).reshape(-1, 32).astype(np.int8) * 2 - 1
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether at some offset a and b share VOTES integers, overlap enough and have few unequal bits."""
+    offsets = np.arange(1 - len(b), len(a))
+    met = np.minimum(len(b), len(a) - offsets) - np.maximum(0, -offsets)
+    votes = np.where(met >= OVERLAP * min(len(a), len(b)), offset_votes(a, b), 0)
+    at = np.flatnonzero(votes >= VOTES)
+    if len(at) > DIRECT:
+        wrong = (32 * met - correlation(signs(a), signs(b))) // 2
+        return bool((wrong[at] / (32 * met[at]) <= BIT_ERRORS).any())
+    return any(error_rate(a, b, int(offsets[i]))[0] <= BIT_ERRORS for i in at[np.argsort(-votes[at], kind="stable")])
+
+
+def star_links(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v) of linked classes, one of which is the smallest of a bucket. met: key, cls, n (places)."""
+    hubs = met.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"))
+    pairs = met.join(hubs, "key").filter(F.col("cls") != F.col("hub.cls"))
+    # no offset has more votes of an integer than the side with fewer of its places
+    most = pairs.groupBy(F.col("hub.cls").alias("u"), F.col("cls").alias("v")).agg(F.sum(F.least("hub.n", "n")).alias("most")).filter(F.col("most") >= VOTES)
+    both = most.join(classes.select(F.col("cls").alias("v"), F.col("ints").alias("b")), "v").join(classes.select(F.col("cls").alias("u"), F.col("ints").alias("a")), "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for offset, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                rate, met = error_rate(np.array(a, np.int32), np.array(b, np.int32), offset)
-                keep.append(rate <= BIT_ERRORS and met >= OVERLAP * min(len(a), len(b)))
+            keep = [aligned(np.array(a.as_py(), np.int32), np.array(b.as_py(), np.int32)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "peak.offset", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def links_of_block(key: int, cls: np.ndarray, root: np.ndarray, outside: np.ndarray, inside: np.ndarray, ints: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links between the outsiders and the members of other components of one block of a bucket."""
+    members = np.flatnonzero(inside)
+    for o in np.flatnonzero(outside == 1):
+        # of two outsiders each meets the other
+        at = members[(root[members] != root[o]) & ((outside[members] == 0) | (cls[members] > cls[o]))]
+        if not len(at):
+            continue
+        mine, theirs = np.unique(ints[o]), [ints[i] for i in at]
+        sizes = np.array([len(x) for x in theirs])
+        flat = np.concatenate(theirs)
+        shared = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        starts = np.cumsum(sizes) - sizes
+        # a pair is compared in its first common bucket only
+        first = np.minimum.reduceat(np.where(shared, flat, np.iinfo(np.int32).max), starts) == key
+        for i in at[first & (np.add.reduceat(shared.astype(np.int64), starts) >= VOTES)]:
+            if aligned(ints[i], ints[o]):
+                yield int(cls[o]), int(cls[i])
+
+
+def missed_links(met: DataFrame, roots: DataFrame, classes: DataFrame, shelf: Shelf) -> DataFrame:
+    """(u, v) of linked classes in different components that share a bucket. met: key, cls; roots: node, root.
+
+    Classes outside a bucket's largest component meet the members of the others in blocks of bounded size; a bucket
+    of one block sends each class once. Only links leave a task.
+    """
+    placed = met.join(roots, met["cls"] == roots["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    several = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("all")).filter("parts > 1")
+    rows = placed.join(several, "key")
+    out_blocks = F.ceil((F.col("all") - F.col("main.size")) / OUTSIDE).cast("int")
+    rows = shelf.put(rows.select("key", "cls", "root", (F.col("root") != F.col("main.root")).cast("int").alias("out"), out_blocks.alias("ob"), F.ceil(F.col("all") / INSIDE).cast("int").alias("ib")))
+    own_out, own_in = F.pmod(F.xxhash64("cls"), F.col("ob")).cast("int"), F.pmod(F.xxhash64("cls"), F.col("ib")).cast("int")
+    # outside: 1 for an outsider that looks for links, -1 for one that is only looked at, 0 for the main component
+    one = rows.filter("ob = 1 AND ib = 1").select("key", "cls", "root", F.col("out").alias("outside"), F.lit(1).alias("inside"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    more = rows.filter("ob > 1 OR ib > 1")
+    outsiders = more.filter("out = 1").select("key", "cls", "root", F.lit(1).alias("outside"), F.lit(0).alias("inside"), own_out.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ib") - 1)).alias("j"))
+    insiders = more.select("key", "cls", "root", (-F.col("out")).alias("outside"), F.lit(1).alias("inside"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("i"), own_in.alias("j"))
+    full = one.union(outsiders).union(insiders).join(classes.select("cls", "ints"), "cls").select("key", "i", "j", "cls", "root", "outside", "inside", "ints")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            held += [] if batch is None else [batch]
+            if not sum(x.num_rows for x in held):
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key, i, j, cls, root, outside, inside = (rows.column(c).to_numpy() for c in range(7))
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = [0, *edges.tolist(), *([len(key)] if batch is None else [])]  # the last block may go on in the next batch
+            prints = rows.column(7)
+            ends, flat = prints.offsets.to_numpy(), prints.values.to_numpy()
+            found = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b - a > 1:
+                    found += links_of_block(int(key[a]), cls[a:b], root[a:b], outside[a:b], inside[a:b], [flat[ends[x] : ends[x + 1]] for x in range(a, b)])
+            held = [] if batch is None else [rows.slice(edges[-1])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
+
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u bigint, v bigint")
+
+
+def class_roots(classes: DataFrame, shelf: Shelf) -> DataFrame:
+    """node, root of the linked fingerprint classes. classes: cls, ints."""
+    keys = classes.select("cls", F.explode("ints").alias("key")).groupBy("key", "cls").agg(F.count("*").alias("n"))
+    several = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    met = shelf.put(keys.join(several, "key", "left_semi"))
+    roots = shelf.put(components(shelf.put(star_links(met, classes)), shelf))
+    missed = shelf.put(missed_links(met, roots, classes, shelf))
+    shelf.drop(met)
+    if missed.isEmpty():
+        return roots
+    root_u = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
+    root_v = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    bridges = missed.join(root_u, "u", "left").join(root_v, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    # a bridge's ends are roots or classes without a star link
+    merged = shelf.put(components(bridges, shelf)).select("node", F.col("root").alias("top"))
+    moved = roots.join(merged.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    lone = merged.join(roots.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
+    return moved.union(lone)
 
 
 def aligned_groups(recordings: DataFrame) -> DataFrame:
@@ -176,8 +301,7 @@ def aligned_groups(recordings: DataFrame) -> DataFrame:
     shelf = Shelf(recordings.sparkSession)
     rows = shelf.put(fingerprints(recordings))
     classes = shelf.put(rows.filter("cls is not null").groupBy("cls").agg(F.min("rec_id").alias("rec_id"), F.first("ints").alias("ints")))
-    links = shelf.put(aligned_links(classes.select("cls", "ints")))
-    roots = shelf.put(components(links, shelf))
+    roots = shelf.put(class_roots(classes.select("cls", "ints"), shelf))
     labelled = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "rec_id", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rec_id").alias("group_id"))
     ids = labelled.join(least, "root").select("cls", "group_id")

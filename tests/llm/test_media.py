@@ -62,3 +62,55 @@ def test_awkward_vectors(spark):
     assert len(got) == 9 and all(r.group_id == 1 for r in got if r.rec_id in (1, 2, None))
     assert sorted((r.n_ints, r.group_id) for r in got if r.rec_id in (3, 4, 5, 6, 7)) == [(0, i) for i in (3, 4, 5, 6, 7)]
     assert M.aligned_groups(M.rendered(df.limit(0))).collect() == []
+
+
+def grouped(spark, monkeypatch, prints):
+    """group_id by rec_id of fingerprints given as they are; a class's hash is its rec_id."""
+    rows = [(i, i, [int(x) for x in p]) for i, p in prints.items()]
+    df = spark.createDataFrame(rows, "rec_id long, cls long, ints array<int>").repartition(3)
+    monkeypatch.setattr(M, "fingerprints", lambda recordings: recordings)
+    return {r.rec_id: r.group_id for r in M.aligned_groups(df).collect()}
+
+
+def test_links_between_others_than_the_smallest_of_a_bucket(spark, monkeypatch):
+    """Every integer that near copies share also stands in an unrelated recording of smaller hash; blocks of all sizes."""
+    rng = np.random.default_rng(5)
+    ints = lambda n: rng.integers(-(2**31), 2**31, n)
+    base, prints = ints(40), {}
+    for i in range(10):
+        prints[i] = np.concatenate([ints(30), base[4 * i : 4 * i + 4], ints(30)])
+    for i in range(100, 112):
+        prints[i] = np.concatenate([ints(i % 3), base])
+        prints[i][-(i % 7 + 1)] ^= 1
+    want = dict.fromkeys(range(10)) | dict.fromkeys(range(100, 112), 100)
+    want |= {i: i for i in range(10)}
+    assert grouped(spark, monkeypatch, prints) == want
+    for outside, inside in ((3, 4), (1, 100)):
+        monkeypatch.setattr(M, "OUTSIDE", outside)
+        monkeypatch.setattr(M, "INSIDE", inside)
+        assert grouped(spark, monkeypatch, prints) == want
+
+
+def test_repeated_integers_and_every_offset(spark, monkeypatch):
+    """In a loop the first places align wrongly, and the highest peak is not the offset that fits."""
+    rng = np.random.default_rng(6)
+    ints = lambda n: rng.integers(-(2**31), 2**31, n)
+    loop, tail = ints(4), ints(20)
+    a = np.concatenate([np.tile(loop, 3), tail])
+    b = np.concatenate([np.tile(loop, 4), tail ^ 1])
+    assert grouped(spark, monkeypatch, {1: a, 2: b, 3: ints(30)}) == {1: 1, 2: 1, 3: 3}
+
+
+def test_votes_and_bits_of_all_offsets_equal_plain_counts(monkeypatch):
+    rng = np.random.default_rng(7)
+    for n, m, kinds in ((1, 1, 1), (1, 5, 2), (40, 23, 3), (60, 60, 50), (90, 90, 1)):
+        a, b = rng.integers(0, kinds, n).astype(np.int32), rng.integers(0, kinds, m).astype(np.int32)
+        met = {o: (a[max(o, 0) : m + o], b[max(-o, 0) : n - o]) for o in range(1 - m, n)}
+        met = {o: (x[: len(y)], y[: len(x)]) for o, (x, y) in met.items()}
+        assert M.offset_votes(a, b).tolist() == [int((x == y).sum()) for x, y in met.values()]
+        same = [32 * len(x) - 2 * sum(bin(int(i) ^ int(j)).count("1") for i, j in zip(x, y, strict=True)) for x, y in met.values()]
+        assert M.correlation(M.signs(a), M.signs(b)).tolist() == same
+        slow = M.aligned(a, b)
+        monkeypatch.setattr(M, "DIRECT", -1)
+        assert M.aligned(a, b) == slow
+        monkeypatch.undo()
