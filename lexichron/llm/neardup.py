@@ -9,8 +9,8 @@ found by alternating stars. What stars may have missed are links between a bucke
 outside it: in the few buckets that hold several components, each outsider is compared on full sets with the members
 of other components, in blocks of bounded size, and only confirmed links leave the task. Those join the components.
 
-A pair at similarity 0.8 misses all of 40 bands of 5 rows with a chance of 1.2e-7; sets of under five shingles are
-similar at 0.8 only if equal, and need no bands. Sets are told apart by 64-bit hashes.
+A pair at similarity 0.8 misses all of 40 bands of 5 rows with a chance of 1.2e-7; sets of under four shingles are
+similar at 0.8 only if equal, and need no bands (four within five are). Sets are told apart by 64-bit hashes.
 
 Results: null or empty texts have an empty set and are linked with nothing; repeated rows (also with a clashing
 doc_id) are copies and get one component; a component's id is its smallest doc_id, so a null doc_id is never one
@@ -92,7 +92,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), cls (key of the set; null if empty), bands (none for sets under five)."""
+    """doc_id, n (set size), cls (key of the set; null if empty), bands (none for sets under four)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([band_hashes(s).view(np.int64) if len(s) >= 5 else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([band_hashes(s).view(np.int64) if len(s) >= 4 else [] for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n", "cls", "bands"],
             )

@@ -66,6 +66,13 @@ def test_outsiders_of_a_crowded_bucket(spark, rng, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df, 2).collect()) == brute(rows, 2)
 
 
+@pytest.mark.parametrize(("k", "short"), [(2, "a b c d e"), (5, "a b c d e f g h")])
+def test_four_shingles_within_five(spark, k, short):
+    rows = [(1, short), (2, short + " i"), (3, " ".join(short.split()[:-1])), (4, "z " + short)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, k) == [(1, 4, 1), (2, 5, 1), (3, 3, 3), (4, 5, 1)]
+
+
 def test_awkward_rows(spark, awkward, nothing):
     got = N.near_duplicates(awkward, 2).collect()
     assert len(got) == 11
