@@ -35,8 +35,8 @@ SYMBOLS = 64
 #: Letters that a sign may stand for.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"}
 SIGN_COST, DROP_COST, JOIN_COST, ODD_COST = math.log(0.2), math.log(0.3), math.log(0.7), math.log(0.02)
-#: A disguised stretch has at most this many characters to a lattice; longer ones are decoded in several lattices.
-LATTICE = 80
+#: Readings of stretches up to this length are remembered.
+REMEMBERED = 200
 
 WORD = re.compile(r"\w+")
 DISGUISED = re.compile(
@@ -115,11 +115,14 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 
 def restore_span(span: str, model: np.ndarray) -> str:
-    """Likeliest reading of one disguised stretch, by Viterbi over states of two output symbols."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """Likeliest reading of one disguised stretch, by Viterbi over states of two output symbols.
+
+    Readings are chains of cells that share their beginnings, so time and memory are linear in the stretch.
+    """
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in lattice(span):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, cell) in best.items():
             row = model[a, b]
             for c, cost in choices:
                 if c:
@@ -128,9 +131,14 @@ def restore_span(span: str, model: np.ndarray) -> str:
                 else:
                     state, value = (a, b), score + cost
                 if state not in after or value > after[state][0]:
-                    after[state] = (value, text + c)
+                    after[state] = (value, (cell, c) if c else cell)
         best = after
-    return max((v + float(model[a, b, 0]), t) for (a, b), (v, t) in best.items())[1]
+    cell = max(((v + float(model[a, b, 0]), cell) for (a, b), (v, cell) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while cell:
+        cell, c = cell
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def restore(text: str, model: np.ndarray, known: dict[str, str]) -> str:
@@ -138,10 +146,12 @@ def restore(text: str, model: np.ndarray, known: dict[str, str]) -> str:
 
     def read(m: re.Match) -> str:
         span = m.group()
+        if len(span) > REMEMBERED:
+            return restore_span(span, model)
         if span not in known:
             if len(known) > 100_000:
                 known.clear()
-            known[span] = "".join(restore_span(span[i : i + LATTICE], model) for i in range(0, len(span), LATTICE))
+            known[span] = restore_span(span, model)
         return known[span]
 
     text = text.lower()

@@ -67,6 +67,13 @@ def test_viterbi_equals_all_paths(spark, corpus):
         assert made == brute_restore(span, model)[1]
 
 
+def test_long_stretches_are_read_as_a_whole(spark):
+    words = ["idiot", "moron", "gentle", "people"] * 50
+    model = X.language_model(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))
+    for k in range(3):
+        assert X.restore(" ".join("".join(words[k:30])), model, {}) == " ".join(words[k:30])
+
+
 def test_very_long_words_take_linear_time():
     import time
 
