@@ -1,7 +1,7 @@
 """Operator 7: toxicity by noisy-channel deobfuscation.
 
 A trigram character model is counted over every document. Stretches of a text that look disguised (digits or
-signs between letters, letters in long runs, letters set apart) become character lattices: each sign may stand
+signs next to letters, doubled letters, letters set apart) become character lattices: each sign may stand
 for itself or for the letters it imitates, a repeated letter may be dropped, a gap between single letters may be
 closed. Viterbi finds the likeliest restored text under the character model; the restored text is then scored by
 a lexicon of words and word beginnings, learnt from labelled rows, and a logistic curve over its strongest hits.
@@ -35,17 +35,20 @@ SYMBOLS = 64
 #: Letters that a sign may stand for.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"}
 SIGN_COST, DROP_COST, JOIN_COST, ODD_COST = math.log(0.2), math.log(0.3), math.log(0.7), math.log(0.02)
+TWICE_COST = ODD_COST
+#: Punctuation after a word's last letter mostly stands for itself.
+CLOSING_COST = math.log(0.5)
 #: Readings of stretches up to this length are remembered.
 REMEMBERED = 200
 
 WORD = re.compile(r"\w+")
+#: Words that hold letters and signs in any order, or a doubled letter; tried at starts of words only: linear in the text.
 DISGUISED = re.compile(
-    r"(?<![^\W\d_])[^\W\d_]*(?:(?<=[^\W\d_])[0134578@$!|+*]+(?=[^\W\d_])|(?<!\S)[013457@$!]+(?=[^\W\d_]{2}))[^\W_0-9]+(?:[0134578@$!|+*]+[^\W\d_]+)*[013457@$]*"
+    r"(?<![^\W\d_])(?<![01345789@$!|+*])(?:[^\W\d_]++[01345789@$!|+*]|[01345789@$!|+*]++[^\W\d_])(?:[^\W\d_]|[01345789@$!|+*])*+"
+    + r"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*"
 )
-SIGN_NEAR = re.compile(r"[0134578@$!|+*](?=[^\W\d_])")
-TRIPLE = re.compile(r"(.)\1\1")
-RUNS = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")  # tried at starts of words only: linear in the text
-RUN_NEAR = re.compile(r"([^\W\d_])\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+SIGN_NEAR = re.compile(r"[01345789@$!|+*][^\W\d_]|[^\W\d_][01345789@$!|+*]")
 APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_](?!\w)){2,}")
 
 
@@ -95,17 +98,20 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """The choices (output, log probability) of every input character."""
-    out = []
+    out, last = [], len(span.rstrip("!|+*"))
     for i, c in enumerate(span):
         prev = span[i - 1] if i else ""
+        # most letters that stand twice are spelled so
+        drop = DROP_COST if (i > 1 and span[i - 2] == c) or span[i + 1 : i + 2] == c else TWICE_COST
         if c.isalpha():
             choices = [(c, 0.0)]
             if c == prev:
-                choices = [(c, ODD_COST / 2 if i > 1 and span[i - 2] == c else 0.0), ("", DROP_COST)]
+                choices = [(c, ODD_COST / 2 if i > 1 and span[i - 2] == c else 0.0), ("", drop)]
         elif c in IMITATES:
-            choices = [(c, ODD_COST), *((x, SIGN_COST - math.log(len(IMITATES[c]))) for x in IMITATES[c])]
+            closing = c in "!|+*" and i >= last
+            choices = [(c, CLOSING_COST if closing else ODD_COST), *((x, SIGN_COST - math.log(len(IMITATES[c]))) for x in IMITATES[c])]
             if c == prev:
-                choices.append(("", DROP_COST))
+                choices.append(("", drop))
             if c == "*":
                 choices.append(("", ODD_COST))
         else:
@@ -156,9 +162,7 @@ def restore(text: str, model: np.ndarray, known: dict[str, str]) -> str:
 
     text = text.lower()
     text = APART.sub(read, text)
-    if SIGN_NEAR.search(text):
-        text = DISGUISED.sub(read, text)
-    return RUNS.sub(read, text) if TRIPLE.search(text) and RUN_NEAR.search(text) else text
+    return DISGUISED.sub(read, text) if SIGN_NEAR.search(text) or DOUBLE.search(text) else text
 
 
 def word_features(word: str) -> list[int]:

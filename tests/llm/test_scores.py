@@ -74,6 +74,15 @@ def test_long_stretches_are_read_as_a_whole(spark):
         assert X.restore(" ".join("".join(words[k:30])), model, {}) == " ".join(words[k:30])
 
 
+def test_signs_anywhere_and_doubled_letters(spark, rng):
+    clean = "better people really pass all tall grass hat shift dim pin"
+    text = " ".join(rng.choice([*clean.split(), "ass", "die", "shit", "hate", "piss", "stupid", "idiot"]) for _ in range(4000))
+    model = X.language_model(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert X.restore("a$$ a55 d13 shi7 hat3 pi55 stuupid id10t 5tupid", model, {}) == "ass ass die shit hate piss stupid idiot stupid"
+    assert X.restore(clean, model, {}) == clean
+    assert X.restore("better! 1999 $100,", model, {}) == "better! 1999 $100,"
+
+
 def test_very_long_words_take_linear_time():
     import time
 
