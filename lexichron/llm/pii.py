@@ -32,6 +32,8 @@ from .common import bounded_batches, map_texts, slices, table
 
 KEY = b"surrogate-key-1"
 ROUNDS = 8
+#: Longer strings are enciphered in blocks of this many symbols, in linear time.
+BLOCK = 200
 #: Given names by gender; a titled name from one list is replaced by another of the same list.
 FEMALE = "Anna Maria Laura Julia Sarah Emma Olivia Sophie Claire Elena Carmen Lucia Ingrid Heidi Amélie Chloé Grace Hannah Alice Nora Marta Irene Ruth Eva Helen Diana Monica Paula Rosa Teresa".split()
 MALE = "John James Peter Paul Thomas Martin Lukas Felix Hans Karl Pierre Louis Antoine Hugo Carlos Miguel Pablo Jorge David Daniel Robert George Henry Oscar Samuel Simon Victor Walter Adam Bruno".split()
@@ -43,8 +45,8 @@ PLAIN_TITLES = ("Dr", "Prof")
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *PLAIN_TITLES))
 #: One alternative a type; the first that matches at a place wins.
 ENTITY = re.compile(
-    r"""(?P<email>[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-](?:[A-Za-z0-9À-ÖØ-öø-ÿ_%+.\-]{0,62}[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,4}[A-Za-z]{2,24}(?![A-Za-z]))
-    |(?P<secret>(?<![A-Za-z])(?i:(?:[a-z]{1,20}[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,2}[:=][ ]{0,2}["']?)(?P<value>[A-Za-z0-9+/_\-]{12,200}={0,2}))
+    r"""(?P<email>[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-](?:[A-Za-z0-9À-ÖØ-öø-ÿ_%+.\-]{0,62}[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z]))
+    |(?P<secret>(?<![A-Za-z])(?i:(?:[a-z]{1,20}[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,2}[:=][ ]{0,2}["']?)(?P<value>[A-Za-z0-9+/_\-]{12,}+={0,2}))
     |(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
@@ -104,7 +106,14 @@ class Cipher:
                 return x
 
     def string(self, text: str, alphabet: str, tweak: bytes) -> str:
-        """Another string of the same length over alphabet."""
+        """Another string of the same length over alphabet. Long ones go block by block, each keyed by all before it."""
+        if len(text) > BLOCK:
+            out, before = [], hashlib.sha256(tweak)
+            for at in range(0, len(text), BLOCK):
+                part = text[at : at + BLOCK]
+                out.append(self.string(part, alphabet, b"%b|%d|%b" % (tweak, at, before.digest())))
+                before.update(part.encode())
+            return "".join(out)
         base, x = len(alphabet), 0
         for c in text:
             x = x * base + alphabet.index(c)

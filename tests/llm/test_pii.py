@@ -57,6 +57,27 @@ def test_long_strings_round(rng):
     assert len(c.shaped(long, b"x")) == 200 and c.shaped(long, b"x") != long
 
 
+def test_long_secrets_and_deep_domains_are_replaced_whole(rng):
+    value = "".join(rng.choice(pii.LOWER + pii.DIGITS) for _ in range(360))
+    r = pii.Replacer()
+    new, found = r.replace(f"token={value}, end")
+    assert [(f[1], f[2]) for f in found] == [(6, 366)] and new.endswith(", end") and len(new) == 371
+    assert not any(value[i : i + 12] in new for i in range(349))
+    assert len({r._surrogate("secret", value[:i] + c + value[i + 1 :]) for i in (0, 200, 359) for c in "abcdef"} - {value}) >= 16
+    for address in ("joe@m1.m2.m3.m4.m5.example.com", "joe@mail.eu.corp.dept.example.com"):
+        new, found = r.replace(f"Write to {address}.")
+        assert [(f[0], f[1], f[2]) for f in found] == [("email", 9, 9 + len(address))] and new.endswith(".com.") and "example" not in new
+
+
+def test_long_values_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("token=" + "aB3" * 100_000, "a@" + "b." * 100_000 + "1", "a@b." * 50_000, "token=" * 50_000):
+        pii.Replacer().replace(text)
+    assert time.time() - began < 30
+
+
 def test_scripts_and_gender():
     new, found = pii.Replacer().replace("госпожа Иванова и г-н Петров, Κύριος Παπαδακη, Dr. Elena Smith, Ms. Zoë-Anne")
     made = [f[3] for f in found]
