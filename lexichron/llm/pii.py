@@ -1,7 +1,8 @@
 """Operator 10: surrogates for personal data.
 
 Detected entities: e-mail addresses, access key ids, IPv4 addresses, card-like numbers, phone numbers, US social security numbers,
-IBANs, keys assigned to secret-like names, and personal names after a title. Each is replaced by a keyed surrogate
+IBANs, keys assigned to secret-like names, and personal names: after a title, as a listed given and family name in a
+pair, and wherever else in the text a name so found stands. Each is replaced by a keyed surrogate
 of its own type and format: digits stay digits, letters stay letters of their alphabet and case, separators stay,
 titled names keep their gender.
 
@@ -61,6 +62,11 @@ ENTITY = re.compile(
 #: A text without any of these holds no entity.
 HINT = re.compile(rf"[\d@]|token|secret|passw|key|a[ks]ia|(?<!\w)(?:{_TITLES})\.? ", re.I)
 
+#: Listed names in a pair, with or without a title; what stands before is looked at afterwards, so that the search can skip.
+PAIR = re.compile(rf"(?P<given>{'|'.join(sorted({*FEMALE, *MALE}))})[ ](?P<family>{'|'.join(sorted(FAMILY))})(?!\w)")
+#: Words that may mention a name found elsewhere in the text; hyphenated ones first as a whole.
+MENTION = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
 LATIN_LOWER = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
@@ -176,6 +182,7 @@ class Replacer:
     def __init__(self, key: bytes = KEY):
         self.cipher = Cipher(key)
         self.surrogate = lru_cache(50_000)(self._surrogate)
+        self.name = lru_cache(50_000)(self._name)
 
     def _surrogate(self, kind: str, text: str) -> str:
         """The surrogate of an entity. The outcome depends on key, kind and text alone."""
@@ -210,10 +217,11 @@ class Replacer:
             return text[:2] + c.shaped(text[2:], tweak + text[:2].encode())
         return walk(text, lambda x: c.shaped(x, tweak), lambda x: x != text)
 
-    def name(self, title: str, given: str, family: str | None) -> tuple[str, str | None]:
+    def _name(self, title: str, given: str, family: str | None) -> tuple[str, str | None]:
         c = self.cipher
-        female = title in FEMALE_TITLES or title in PLAIN_TITLES and given in FEMALE
-        male = title in MALE_TITLES or title in PLAIN_TITLES and given in MALE
+        plain = not title or title in PLAIN_TITLES
+        female = title in FEMALE_TITLES or plain and given in FEMALE
+        male = title in MALE_TITLES or plain and given in MALE
         if family is None:  # a title and one name: a family name
             return c.listed(given, FAMILY, b"family") or c.shaped(given, b"family"), None
         pool, tweak = (FEMALE, b"female") if female else (MALE, b"male") if male else ([], b"given")
@@ -221,26 +229,68 @@ class Replacer:
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         """The text with surrogates, and its entities as (kind, start, end, surrogate) in order of place."""
-        if not HINT.search(text):
-            return text, []
-        out, found, last = [], [], 0
-        for m in ENTITY.finditer(text):
+        found, named = [], []
+        for m in ENTITY.finditer(text) if HINT.search(text) else ():
             kind = m.lastgroup if m.lastgroup in ("email", "access", "iban", "ip", "ssn", "card", "phone") else "secret" if m.group("secret") else "name"
             if kind == "secret":
-                spans = [(m.start("value"), m.end("value"), self.surrogate(kind, m.group("value")))]
+                found.append((kind, m.start("value"), m.end("value"), self.surrogate(kind, m.group("value"))))
             elif kind == "name":
-                given, family = self.name(m.group("title"), m.group("given"), m.group("family"))
-                spans = [(m.start("given"), m.end("given"), given)]
-                if family is not None:
-                    spans.append((m.start("family"), m.end("family"), family))
+                named.append(m)
             else:
-                spans = [(m.start(), m.end(), self.surrogate(kind, m.group()))]
-            for a, b, new in spans:
-                out += [text[last:a], new]
-                last = b
-                found.append((kind, a, b, new))
+                found.append((kind, m.start(), m.end(), self.surrogate(kind, m.group())))
+        pairs = [m for m in PAIR.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
+        if named or pairs:
+            found = self._with_names(text, found, named, pairs)
+        out, last = [], 0
+        for _, a, b, new in found:
+            out += [text[last:a], new]
+            last = b
         return ("".join([*out, text[last:]]), found) if found else (text, [])
 
+    def _with_names(self, text: str, found: list, named: list[re.Match], pairs: list[re.Match]) -> list:
+        """found, with the names after titles, listed pairs, and every other mention of those names in the text."""
+        known: dict[str, str] = {}
+        # full names first: they tell given names from family names
+        for m, title in sorted([*((m, m.group("title")) for m in named), *((m, "") for m in pairs)], key=lambda x: (not x[0].group("family"), not x[1])):
+            for old, new in zip(m.group("given", "family"), self.name(title, m.group("given"), m.group("family")), strict=True):
+                if old is not None:
+                    known.setdefault(old, new)
+        # a name that is both a given and a family name is told apart where it stands in a full name
+        placed = list(found)
+        taken = set()
+        for m, title in [*((m, m.group("title")) for m in named), *((m, "") for m in pairs)]:
+            if m.start("given") in taken or m.group("family") and m.start("family") in taken:
+                continue
+            made = self.name(title, m.group("given"), m.group("family")) if m.group("family") else (known[m.group("given")],)
+            for group, new in zip(("given", "family"), made, strict=False):
+                placed.append(("name", m.start(group), m.end(group), new))
+                taken.add(m.start(group))
+        placed.sort(key=lambda x: (x[1], x[0] == "name"))
+        out, last = [], 0
+        for kind, a, b, new in [*placed, ("", len(text), len(text), "")]:
+            if a < last:  # a listed pair inside another entity
+                continue
+            out += [("name", x, y, known[text[x:y]]) for x, y in _mentions(text, last, a, known)]
+            if kind:
+                out.append((kind, a, b, new))
+            last = b
+        return out
+
+
+def _mentions(text: str, start: int, end: int, known: dict[str, str]) -> Iterator[tuple[int, int]]:
+    """Places from start to end where a known name stands as a word or a part of a hyphenated one."""
+    for m in MENTION.finditer(text, start, end):
+        a, b = m.span()
+        if a and a == start and (text[a - 1].isalnum() or text[a - 1] == "_") or text[b : b + 1].isalnum():
+            continue
+        if m.group() in known:
+            yield a, b
+        elif "-" in m.group():
+            for part in m.group().split("-"):
+                if part in known:
+                    yield a, a + len(part)
+                a += len(part) + 1
+
 
 @lru_cache(maxsize=4)
 def replacer(key: bytes) -> Replacer:

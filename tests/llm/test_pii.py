@@ -78,6 +78,31 @@ def test_long_values_take_linear_time():
     assert time.time() - began < 30
 
 
+def test_mentions_of_a_name_are_one_person():
+    text = "Smith called. Mr John Smith met Mrs Anna Quux-Weber; later John Smith, or Smith's friend John, saw Quux and Anna Quux-Weber. Smithson and johnny stay."
+    new, found = pii.Replacer().replace(text)
+    assert [text[a:b] for _, a, b, _ in found] == "Smith John Smith Anna Quux-Weber John Smith Smith John Anna Quux-Weber".split()
+    assert len({(text[a:b], made) for _, a, b, made in found}) == 4 and not {"John", "Smith", "Anna", "Quux-Weber"} & set(re.findall(r"[\w-]+", new))
+    assert new.endswith("Smithson and johnny stay.")
+    assert pii.Replacer().replace("Dr. Smith and Mr. John, that is John Smith")[0].count(dict((text[a:b], m) for _, a, b, m in found)["John"]) == 2
+
+
+def test_listed_pairs_without_a_title():
+    new, found = pii.Replacer().replace("So Peter Taylor and Julia Müller came, then Taylor left. Hans and Green fields stay, as does XPeter Taylors.")
+    assert len(found) == 5 and found[1][3] == found[4][3] and found[0][3] in pii.MALE and found[2][3] in pii.FEMALE
+    assert "Hans and Green fields stay, as does XPeter Taylors." in new
+    assert pii.Replacer().replace("mail Peter.Taylor@x.example.com, Peter Taylor")[1][0][0] == "email"
+
+
+def test_many_names_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("Mr John Smith " * 20_000, " ".join("Mr A" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(5_000)), "Mr John Smith " + "a-" * 100_000 + "Smith" * 50_000):
+        pii.Replacer().replace(text)
+    assert time.time() - began < 30
+
+
 def test_scripts_and_gender():
     new, found = pii.Replacer().replace("госпожа Иванова и г-н Петров, Κύριος Παπαδακη, Dr. Elena Smith, Ms. Zoë-Anne")
     made = [f[3] for f in found]
