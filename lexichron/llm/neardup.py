@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Shelf, slices, table
 from .graph import components
@@ -124,7 +125,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "cls").mapInArrow(run, "cls bigint, members array<bigint>")
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches):
+            sets = [s for s in (shingle_set(t, k) for t in texts) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "members"])
+
+    named = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "cls").mapInArrow(run, "cls bigint, members array<bigint>")
+    # classes that only rows without a doc_id hold are found by their key
+    unnamed = docs.filter("doc_id IS NULL").select("text").mapInArrow(every, "cls bigint, members array<bigint>")
+    return named.union(unnamed.join(wanted.filter("doc_id IS NULL").select("cls"), "cls", "left_semi"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,8 +202,8 @@ def missed_links(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: Dat
     return full.groupBy("band", "i", "j").applyInArrow(links_across(percent), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of docs, and cls, component_id, root (key of the component) of every class."""
     shelf = Shelf(docs.sparkSession)
     rows = shelf.put(sketches(docs, k))
     classes = shelf.put(
@@ -216,9 +225,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         merged = shelf.put(components(bridges, shelf)).withColumnRenamed("root", "top")
         labelled = labelled.join(merged, labelled["root"] == merged["node"], "left").select("cls", "doc_id", F.coalesce("top", "root").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = shelf.put(labelled.join(least, "root").select("cls", "component_id"))
+    ids = shelf.put(labelled.join(least, "root").select("cls", "component_id", "root"))
     for gone in (classes, met, weights, sets):
         shelf.drop(gone)
+    return rows, ids
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs."""
+    return _verdicts(*grouped(docs, k, percent))
+
+
+def _verdicts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     out = rows.select("doc_id", "n", "cls").join(ids, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -227,12 +245,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is that of their component; one row of repeated ones.
 
-    Rows without a doc_id name no component: they stay, one of each text. The semi join and the choice among repeated
-    rows share one shuffle by doc_id.
+    Of a component whose rows all lack a doc_id one row stays; rows without a doc_id in other components go. Without
+    any words, one row of each text stays. The semi join and the choice among repeated rows share one shuffle by doc_id.
     """
-    kept = near_duplicates(docs, k, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows, ids = grouped(docs, k, percent)
+    kept = _verdicts(rows, ids).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
+    schema = StructType([*docs.schema.fields, StructField("__cls", LongType())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            sets = [shingle_set(t, k) for t in texts]
+            key = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, key], names=[*part.schema.names, "__cls"])
+
+    unnamed = docs.filter("doc_id IS NULL").mapInArrow(keyed, schema)
+    groups = ids.filter("component_id IS NULL").select(F.col("cls").alias("__cls"), F.col("root").alias("__root"))
+    wordless = unnamed.filter("__cls IS NULL").dropDuplicates(["text"]).select(docs.columns)
+    alone = unnamed.join(groups, "__cls").dropDuplicates(["__root"]).select(docs.columns)
+    return named.select(docs.columns).union(wordless).union(alone)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

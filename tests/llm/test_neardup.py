@@ -84,6 +84,18 @@ def test_awkward_rows(spark, awkward, nothing):
     assert N.drop_near_duplicates(nothing).collect() == []
 
 
+def test_near_copies_without_an_id(spark, rng):
+    """A class that only rows without a doc_id hold joins components like any other; also two such classes."""
+    a, b, c = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    rows = [(1, a), (None, a + " more"), (None, "more " + b), (None, b), (None, b), (2, c), (None, ""), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df, 2).collect()]
+    assert (None, 40, 1) in got and (1, 39, 1) in got and sum(x[2] is None for x in got) == 6
+    kept = sorted(N.drop_near_duplicates(df, 2).collect(), key=str)
+    assert len(kept) == 5 and {r.doc_id for r in kept} == {1, 2, None}
+    assert sum(r.doc_id is None and r.text in (b, "more " + b) for r in kept) == 1
+
+
 def test_repeated_id_with_other_text(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h"), (1, "z y x w v u"), (2, "a b c d e f g h")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in N.near_duplicates(df, 2).collect()) == [(1, 1), (1, 1), (2, 1)]
