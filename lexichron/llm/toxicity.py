@@ -120,26 +120,33 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+#: The model last used and its numbers as a list, which is quicker to read one by one.
+_FLAT: list = [None, None]
+
+
 def restore_span(span: str, model: np.ndarray) -> str:
     """Likeliest reading of one disguised stretch, by Viterbi over states of two output symbols.
 
     Readings are chains of cells that share their beginnings, so time and memory are linear in the stretch.
     """
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    if _FLAT[0] is not model:
+        _FLAT[:] = model, model.ravel().tolist()
+    flat = _FLAT[1]
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by a * SYMBOLS + b
     for choices in lattice(span):
-        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, cell) in best.items():
-            row = model[a, b]
-            for c, cost in choices:
+        steps = [(c, symbol(c) if c else 0, cost) for c, cost in choices]
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for ab, (score, cell) in best.items():
+            row, low = ab * SYMBOLS, ab % SYMBOLS * SYMBOLS
+            for c, s, cost in steps:
                 if c:
-                    s = symbol(c)
-                    state, value = (b, s), score + cost + float(row[s])
+                    state, value = low + s, score + cost + flat[row + s]
                 else:
-                    state, value = (a, b), score + cost
+                    state, value = ab, score + cost
                 if state not in after or value > after[state][0]:
                     after[state] = (value, (cell, c) if c else cell)
         best = after
-    cell = max(((v + float(model[a, b, 0]), cell) for (a, b), (v, cell) in best.items()), key=lambda x: x[0])[1]
+    cell = max(((v + flat[ab * SYMBOLS], cell) for ab, (v, cell) in best.items()), key=lambda x: x[0])[1]
     out = []
     while cell:
         cell, c = cell
