@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_key, split_words
-from ..session import table
+from ..session import spread, table
 
 #: The clock of all job and usage views; never the wall clock, so that runs agree.
 NOW = "2024-01-15 00:00:00"
@@ -32,7 +32,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, tokens, starts, ends (milliseconds): a word every 400 ms, with a pause of 20 s after each 50."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     w = d.select(F.col("doc_id").alias("episode_id"), split_words(F.col("text")).alias("tokens"))
     starts = F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i * 400 + F.floor(i / 50) * 20_000).cast("bigint"))).otherwise(
         F.array().cast("array<bigint>")
@@ -42,7 +42,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, pos, text, start_ms, end_ms: a row a word, in the order of pos."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     w = d.select(F.col("doc_id").alias("episode_id"), F.posexplode(split_words(F.col("text"))).alias("pos", "text"))
     start = (F.col("pos") * 400 + F.floor(F.col("pos") / 50) * 20_000).cast("bigint")
     return w.withColumn("start_ms", start).withColumn("end_ms", start + 300)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import citation_parts, quote_tokens
 from ..operators import quotes as Q
 from ..operators.sequence import make_passages
-from ..session import written
+from ..session import spread, table, written
 from . import corpus as C
 from . import sequences  # noqa: F401  (its passages query comes first)
 from .base import ORACLES, query
@@ -34,7 +34,7 @@ pairs AS (SELECT b.item_id AS quote_id, d.doc_id AS text_id, b.text AS quote, b.
 def pairs(spark, sf_dir):
     """question_id, episode_id, quote of every question."""
     quotes = C.questions(spark, sf_dir).select(F.col("query_id").alias("quote_id"), F.col("question").alias("quote"))
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
+    texts = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("text_id"), "text")
     found = Q.find_quotes(quotes, texts).join(quotes, "quote_id")
     return written(found.select((F.col("quote_id") * 1_000_000_000 + F.col("text_id")).alias("question_id"), F.col("text_id").alias("episode_id"), "quote"))
 
@@ -48,7 +48,7 @@ def hits(spark, sf_dir, asked=None):
 
 @query("normalize_tokens", f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def normalize_tokens(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", quote_tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", quote_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 

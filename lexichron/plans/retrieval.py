@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, snippet, vector_literal
 from ..operators import retrieval as R
+from ..session import spread, table
 from . import corpus as C
 from .base import query
 
@@ -40,11 +41,11 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 
 def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text")
 
 
 def vectors(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    return spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("id"), "embedding")
 
 
 def asked(spark, sf_dir):
@@ -89,7 +90,7 @@ _SET = "list_distinct(list_filter(regexp_split_to_array(lower(trim({x})), '\\s+'
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank)::INTEGER AS rank FROM s)
   SELECT query_id, id, rank, fused_rank, score, title FROM r WHERE rank <= 5""")
 def hybrid_rerank(spark, sf_dir):
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title"))
+    texts = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title"))
     found = R.hydrate(R.fused(*legs(spark, sf_dir)), texts)
     return R.rerank(found, C.questions(spark, sf_dir), 5).select("query_id", "id", "rank", "fused_rank", "score", "title")
 

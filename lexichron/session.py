@@ -7,6 +7,7 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "lexichron", **conf: str) -> SparkSession:
@@ -25,15 +26,34 @@ def session(name: str = "lexichron", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of a scan that keep one core busy; larger tables have splits enough by themselves.
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is small and its files hold fewer row groups than there are cores, else df itself.
+
+    A small table is often one row group, so that one task would do all the work on its rows. Only the footers of small
+    tables are looked at.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    if size >= cores * SPLIT or df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; a missing path fails here, before any job runs."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder all executors share: spark.checkpoint.dir, or a temporary one when that is unset (tests)."""
+    """A folder all executors share: spark.checkpoint.dir, or a temporary one when that is unset in a local session."""
     known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         known = tempfile.mkdtemp(prefix="lexichron-")
