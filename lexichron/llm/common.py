@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, spread
+
 #: Characters of text handled together inside one Python worker.
 SLICE_CHARS = 1_000_000
 BATCH = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder; a small one whose files hold few row groups is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -29,13 +31,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or a temporary one when that is unset (tests)."""
-    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="lexichron-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known
+#: Shelves whose tables may still be read.
+_OPEN: list[Shelf] = []
+
+
+def clear_shelves(since: int = 0) -> None:
+    """Deletes the intermediate tables of all operators run so far (from the since-th open shelf on); call it when their
+    results have been written or collected. What is left goes when the driver ends."""
+    while len(_OPEN) > since:
+        _OPEN.pop().clear()
+
+
+def open_shelves() -> int:
+    return len(_OPEN)
 
 
 class Shelf:
@@ -46,10 +54,10 @@ class Shelf:
         bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/shelf-{uuid.uuid4().hex}"
         self.n = 0
-        atexit.register(self.clear)
+        _OPEN.append(self)
 
     def clear(self) -> None:
-        """Delete all tables; runs when the driver ends, as results may read them until then."""
+        """Delete all tables."""
         with contextlib.suppress(Exception):  # the session may have gone first, and its folder with it
             self._delete(self.root)
 
@@ -104,3 +112,6 @@ def map_texts(df: DataFrame, score: Callable[[list[str]], dict[str, pa.Array]],
 def held_out(doc_id: str = "doc_id"):
     """True for rows whose label must not be learnt from: crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+atexit.register(clear_shelves)

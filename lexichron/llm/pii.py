@@ -9,13 +9,23 @@ titled names keep their gender.
 Surrogates come from keyed bijections: a string of m symbols over an alphabet of b is enciphered to another such
 string, one step along a keyed cycle through all of them (an alternating Feistel network over Z(b**m), a step, and the
 network's inverse), so that none is its own surrogate. One entity gets one surrogate everywhere (coreference), and two
-entities of one format never get the same (distinctness), with no table of entities and no shuffle. The collision
-check is a cycle walk: while a surrogate is not a valid one of its type, it is enciphered again, which keeps the
-mapping one-to-one. Names from the lists are permuted within their list; other names are enciphered letter by letter
-in their alphabet (Latin, Greek or Cyrillic).
-
-Results: null texts stay null and empty ones empty; repeated rows get equal results; an empty table gives an empty
-table; texts without entities are unchanged. Other columns are carried along by replace_pii and not read.
+entities never get the same (distinctness), with no table of entities and no shuffle. The collision check is a cycle
+walk: while a surrogate is not a valid one of its type, it is enciphered again, which keeps the mapping one-to-one.
+
+- Names: one mapping for given and family names, so that a name is the same wherever it stands. Listed ones are permuted
+  within their list (of a gender, or of family names); others are enciphered letter by letter in their alphabet (Latin,
+  Greek or Cyrillic) and walked until they are on no list, so that none meets a listed name's surrogate. The parts of a
+  hyphenated name are names of their own.
+- Phones: the national number is enciphered, so that a number with and without its country code stays one; country and
+  separators stay. E-mails: the mapping is that of the address in lower case, and capitals stay where they are.
+- Cards and IBANs with right check digits get a new body with right check digits, others stay invalid; social security
+  numbers stay possible or impossible ones; IP addresses stay in their private range, or public.
+
+The key comes from the caller (at least 16 bytes, kept secret): whoever has it can undo the mapping, nobody else can.
+
+Results: null texts stay null and empty ones empty; very long texts and entities are replaced whole, in linear time;
+repeated rows get equal results; an empty table gives an empty table; texts without entities are unchanged. Other
+columns, whatever their names, are carried along by replace_pii and not read; pii_spans reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -28,25 +38,33 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_texts, slices, table
 
-KEY = b"surrogate-key-1"
 ROUNDS = 8
+#: The key of the test query alone, so that its reruns agree.
+QUERY_KEY = b"not a secret: op10 on public rows"
+LEAST_KEY = 16
 #: Longer strings are enciphered in blocks of this many symbols, in linear time.
 BLOCK = 200
 #: Given names by gender; a titled name from one list is replaced by another of the same list.
 FEMALE = "Anna Maria Laura Julia Sarah Emma Olivia Sophie Claire Elena Carmen Lucia Ingrid Heidi Amélie Chloé Grace Hannah Alice Nora Marta Irene Ruth Eva Helen Diana Monica Paula Rosa Teresa".split()
 MALE = "John James Peter Paul Thomas Martin Lukas Felix Hans Karl Pierre Louis Antoine Hugo Carlos Miguel Pablo Jorge David Daniel Robert George Henry Oscar Samuel Simon Victor Walter Adam Bruno".split()
-FAMILY = "Smith Jones Brown Taylor Wilson Walker Wright Green Baker Carter Müller Schmidt Weber Wagner Becker Hoffmann Martin Bernard Dubois Moreau Laurent Garcia Lopez Sanchez Romero Torres Navarro Molina Ortega Castro".split()
+FAMILY = "Smith Jones Brown Taylor Wilson Walker Wright Green Baker Carter Müller Schmidt Weber Wagner Becker Hoffmann Bernard Dubois Moreau Laurent Garcia Lopez Sanchez Romero Torres Navarro Molina Ortega Castro".split()
+LISTED = frozenset((*FEMALE, *MALE, *FAMILY))
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "г-жа", "Κυρία")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "г-н", "Κύριος")
 PLAIN_TITLES = ("Dr", "Prof")
 
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *PLAIN_TITLES))
 #: One alternative a type; the first that matches at a place wins.
+_MAIL, _LABEL = r"A-Za-z0-9À-ÖØ-öø-ÿ_%+\-", "[A-Za-z0-9À-ÖØ-öø-ÿ]"
+_CAPITAL, _SMALL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]", "[a-zß-öø-ÿа-яёά-ώ]"
 ENTITY = re.compile(
-    r"""(?P<email>[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-](?:[A-Za-z0-9À-ÖØ-öø-ÿ_%+.\-]{0,62}[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z]))
+    # an address is looked for only where a run of its letters starts: linear in the text
+    rf"""(?<![{_MAIL}.])\.*+(?P<email>[{_MAIL}][{_MAIL}.]*+@(?:{_LABEL}(?:(?:{_LABEL}|-){{0,61}}{_LABEL})?\.)+[A-Za-z]{{2,24}}(?![A-Za-z]))"""
+    r"""
     |(?P<secret>(?<![A-Za-z])(?i:(?:[a-z]{1,20}[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,2}[:=][ ]{0,2}["']?)(?P<value>[A-Za-z0-9+/_\-]{12,}+={0,2}))
     |(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
@@ -54,11 +72,11 @@ ENTITY = re.compile(
     |(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))
     |(?P<card>(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-]))
     |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|(?<=[ .\-])\d{2,4}[ .\-]|\d{3}[.\-])\d{3,4}[ .\-]\d{3,4}(?![\d\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?![\d\-]))
-    |(?P<name>(?<!\w)(?P<title>"""
-    + _TITLES
-    + r""")\.?[ ](?P<given>{U}{L}{{1,20}})(?:[ ](?P<family>{U}{L}{{1,20}}(?:-{U}{L}{{1,20}})?))?(?!\w))""".format(U="[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]", L="[a-zß-öø-ÿа-яёά-ώ]"),
+    """
+    rf"""|(?P<name>(?<!\w)(?P<title>{_TITLES})\.?[ ](?P<given>{_CAPITAL}{_SMALL}++)(?:[ ](?P<family>{_CAPITAL}{_SMALL}++(?:-{_CAPITAL}{_SMALL}++)*+))?(?!\w))""",
     re.X,
 )
+KINDS = ("email", "access", "iban", "ip", "ssn", "card", "phone", "secret")
 #: A text without any of these holds no entity.
 HINT = re.compile(rf"[\d@]|token|secret|passw|key|a[ks]ia|(?<!\w)(?:{_TITLES})\.? ", re.I)
 
@@ -176,22 +194,62 @@ def _only_digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
 
+def _with_digits(text: str, digits: str) -> str:
+    """text with its digits replaced by those given, in order."""
+    new = iter(digits)
+    return "".join(next(new) if c in DIGITS else c for c in text)
+
+
+def check_digits(country: str, body: str) -> str:
+    """The two check digits of an IBAN (ISO 7064, 97-10)."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{body}{country}00')) % 97:02d}"
+
+
+def country_digits(digits: str) -> int:
+    """How many digits the country code takes at the start of an international number (zones of the numbering plan)."""
+    if digits[0] in "17":
+        return 1
+    two = {"2": "07", "3": "0123469", "4": "013456789", "5": "12345678", "6": "0123456", "8": "1246", "9": "0123458"}
+    return 2 if digits[1:2] and digits[1] in two.get(digits[0], "") else 3
+
+
+def possible_ssn(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+#: Reserved ranges of addresses, (first, number): each is enciphered within itself.
+RANGES = [(10 << 24, 1 << 24), ((172 << 24) + (16 << 16), 1 << 20), ((192 << 24) + (168 << 16), 1 << 16), (127 << 24, 1 << 24)]
+
+
+def address_class(number: int) -> int:
+    """Which of RANGES an address is in; -1 for other usual ones and -2 for the rest."""
+    for i, (first, n) in enumerate(RANGES):
+        if first <= number < first + n:
+            return i
+    return -1 if 0 < number >> 24 < 224 else -2
+
+
 class Replacer:
     """Finds and replaces entities; remembers surrogates within a worker only to save time."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
+        if not isinstance(key, bytes) or len(key) < LEAST_KEY:
+            raise ValueError(f"a secret key of at least {LEAST_KEY} bytes is required")
         self.cipher = Cipher(key)
-        self.surrogate = lru_cache(50_000)(self._surrogate)
+        self.cached = lru_cache(50_000)(self._surrogate)
         self.name = lru_cache(50_000)(self._name)
 
+    def surrogate(self, kind: str, text: str) -> str:
+        """The surrogate of an entity. The outcome depends on key, kind and text alone; long ones are not remembered."""
+        return self.cached(kind, text) if len(text) <= BLOCK else self._surrogate(kind, text)
+
     def _surrogate(self, kind: str, text: str) -> str:
-        """The surrogate of an entity. The outcome depends on key, kind and text alone."""
         c, tweak = self.cipher, kind.encode()
         if kind == "email":
-            local, _, domain = text.rpartition("@")
+            local, _, domain = text.lower().rpartition("@")
             host, _, top = domain.rpartition(".")
-            made = walk(local, lambda x: c.shaped(x, b"local"), lambda x: x != local)
-            return f"{made}@{c.shaped(host, b'host')}.{top}"
+            made = f"{walk(local, lambda x: c.shaped(x, b'local'), lambda x: x != local)}@{c.shaped(host, b'host')}.{top}"
+            return "".join(new.upper() if old.isupper() else new for old, new in zip(text, made, strict=True))
         if kind == "secret":
             if set(text) <= set(HEX):
                 return c.string(text, HEX, tweak)
@@ -199,45 +257,62 @@ class Replacer:
         if kind == "access":
             return text[:4] + c.string(text[4:], UPPER + DIGITS, tweak)
         if kind == "ip":
-            parts = [int(x) for x in text.split(".")]
-            number = sum(p << 8 * (3 - i) for i, p in enumerate(parts))
-            usual = 0 < parts[0] < 224  # unusual addresses are walked among themselves
-            now = c.number(number, 1 << 32, tweak)
-            while now != number and (0 < now >> 24 < 224) != usual:
-                now = c.number(now, 1 << 32, tweak)
+            number = sum(int(x) << 8 * (3 - i) for i, x in enumerate(text.split(".")))
+            group = address_class(number)
+            first, size = RANGES[group] if group >= 0 else (0, 1 << 32)
+            now = first + c.number(number - first, size, tweak)
+            while now != number and address_class(now) != group:
+                now = c.number(now, size, tweak)
             return ".".join(str(now >> s & 255) for s in (24, 16, 8, 0))
         if kind == "card":
-            want, zero = luhn(_only_digits(text)), text[0] == "0"
-            return walk(text, lambda x: c.shaped(x, tweak), lambda x: luhn(_only_digits(x)) == want and (x[0] == "0") == zero)
+            digits = _only_digits(text)
+            zero = digits[0] == "0"
+            if luhn(digits):  # a new body, with the check digit that makes it right
+                body = walk(digits[:-1], lambda x: c.string(x, DIGITS, b"card body"), lambda x: (x[0] == "0") == zero)
+                return _with_digits(text, body + next(d for d in DIGITS if luhn(body + d)))
+            return _with_digits(text, walk(digits, lambda x: c.string(x, DIGITS, tweak), lambda x: not luhn(x) and (x[0] == "0") == zero))
         if kind == "phone":
-            lead = re.match(r"\+\d{1,3}(?=[ .\-(])", text)
-            head = lead.group() if lead else ""  # the country stays
-            return head + walk(text[len(head) :], lambda x: c.shaped(x, tweak + head.encode()), lambda x: x != text[len(head) :])
+            digits = _only_digits(text)
+            # the country stays, and so does the zero that stands before the area
+            keep = min(country_digits(digits), len(digits) - 1) if text[0] == "+" else int(digits[0] == "0")
+            keep += text[0] == "+" and digits[keep] == "0" and keep + 1 < len(digits)
+            number = digits[keep:]
+            made = walk(number, lambda x: c.string(x, DIGITS, tweak), lambda x: (x[0] == "0") == (number[0] == "0"))
+            return _with_digits(text, digits[:keep] + made)
         if kind == "iban":
-            return text[:2] + c.shaped(text[2:], tweak + text[:2].encode())
-        return walk(text, lambda x: c.shaped(x, tweak), lambda x: x != text)
-
-    def _name(self, title: str, given: str, family: str | None) -> tuple[str, str | None]:
+            plain = text.replace(" ", "")
+            country, body = plain[:2], plain[4:]
+            if plain[2:4] == check_digits(country, body):
+                made = c.shaped(body, b"iban body " + country.encode())
+                made = iter(country + check_digits(country, made) + made)
+            else:
+                wrong = lambda x: x[:2] != check_digits(country, x[2:])
+                made = iter(country + walk(plain[2:], lambda x: c.shaped(x, tweak + country.encode()), wrong))
+            return "".join(" " if x == " " else next(made) for x in text)
+        digits = _only_digits(text)  # a social security number
+        right = possible_ssn(digits)
+        return _with_digits(text, walk(digits, lambda x: c.string(x, DIGITS, tweak), lambda x: possible_ssn(x) == right))
+
+    def _name(self, name: str) -> str:
+        """The surrogate of a given or family name."""
+        if "-" in name:
+            return "-".join(self.name(x) for x in name.split("-"))
         c = self.cipher
-        plain = not title or title in PLAIN_TITLES
-        female = title in FEMALE_TITLES or plain and given in FEMALE
-        male = title in MALE_TITLES or plain and given in MALE
-        if family is None:  # a title and one name: a family name
-            return c.listed(given, FAMILY, b"family") or c.shaped(given, b"family"), None
-        pool, tweak = (FEMALE, b"female") if female else (MALE, b"male") if male else ([], b"given")
-        return c.listed(given, pool, tweak) or c.shaped(given, tweak), c.listed(family, FAMILY, b"family") or c.shaped(family, b"family")
+        for tweak, names in ((b"female", FEMALE), (b"male", MALE), (b"family", FAMILY)):
+            if name in names:
+                return c.listed(name, names, tweak)
+        return walk(name, lambda x: c.shaped(x, b"name"), lambda x: x not in LISTED)
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         """The text with surrogates, and its entities as (kind, start, end, surrogate) in order of place."""
         found, named = [], []
         for m in ENTITY.finditer(text) if HINT.search(text) else ():
-            kind = m.lastgroup if m.lastgroup in ("email", "access", "iban", "ip", "ssn", "card", "phone") else "secret" if m.group("secret") else "name"
-            if kind == "secret":
-                found.append((kind, m.start("value"), m.end("value"), self.surrogate(kind, m.group("value"))))
-            elif kind == "name":
+            kind = next((k for k in KINDS if m.group(k) is not None), "name")
+            if kind == "name":
                 named.append(m)
             else:
-                found.append((kind, m.start(), m.end(), self.surrogate(kind, m.group())))
+                group = "value" if kind == "secret" else kind
+                found.append((kind, m.start(group), m.end(group), self.surrogate(kind, m.group(group))))
         pairs = [m for m in PAIR.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
         if named or pairs:
             found = self._with_names(text, found, named, pairs)
@@ -249,22 +324,14 @@ class Replacer:
 
     def _with_names(self, text: str, found: list, named: list[re.Match], pairs: list[re.Match]) -> list:
         """found, with the names after titles, listed pairs, and every other mention of those names in the text."""
-        known: dict[str, str] = {}
-        # full names first: they tell given names from family names
-        for m, title in sorted([*((m, m.group("title")) for m in named), *((m, "") for m in pairs)], key=lambda x: (not x[0].group("family"), not x[1])):
-            for old, new in zip(m.group("given", "family"), self.name(title, m.group("given"), m.group("family")), strict=True):
-                if old is not None:
-                    known.setdefault(old, new)
-        # a name that is both a given and a family name is told apart where it stands in a full name
-        placed = list(found)
-        taken = set()
-        for m, title in [*((m, m.group("title")) for m in named), *((m, "") for m in pairs)]:
-            if m.start("given") in taken or m.group("family") and m.start("family") in taken:
-                continue
-            made = self.name(title, m.group("given"), m.group("family")) if m.group("family") else (known[m.group("given")],)
-            for group, new in zip(("given", "family"), made, strict=False):
-                placed.append(("name", m.start(group), m.end(group), new))
-                taken.add(m.start(group))
+        placed, taken, known = list(found), set(), {}
+        for m in (*named, *pairs):
+            for group in ("given", "family"):
+                if m.group(group) is not None and m.start(group) not in taken:
+                    for part in (m.group(group), *m.group(group).split("-")):
+                        known[part] = self.name(part)
+                    placed.append(("name", m.start(group), m.end(group), known[m.group(group)]))
+                    taken.add(m.start(group))
         placed.sort(key=lambda x: (x[1], x[0] == "name"))
         out, last = [], 0
         for kind, a, b, new in [*placed, ("", len(text), len(text), "")]:
@@ -297,8 +364,9 @@ def replacer(key: bytes) -> Replacer:
     return Replacer(key)
 
 
-def pii_spans(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pii_spans(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text (with surrogates; null stays null), n_entities, entities (kind, start, end, surrogate) of every row."""
+    Replacer(key)
 
     def score(texts: list[str]) -> dict[str, pa.Array]:
         made = [replacer(key).replace(t) for t in texts]
@@ -306,11 +374,14 @@ def pii_spans(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         spans = [[dict(zip(("kind", "start", "end", "surrogate"), s, strict=True)) for s in found] for _, found in made]
         return {"clean": pa.array([t for t, _ in made], pa.string()), "n_entities": pa.array([len(f) for _, f in made], pa.int64()), "entities": pa.array(spans, kind)}
 
-    return map_texts(docs, score, "clean string, n_entities bigint, entities array<struct<kind:string,start:int,end:int,surrogate:string>>")
+    rows = docs.select("doc_id", "text", F.col("text").isNull().alias("gone"))
+    made = map_texts(rows, score, "clean string, n_entities bigint, entities array<struct<kind:string,start:int,end:int,surrogate:string>>", keep=("doc_id", "gone"))
+    return made.select("doc_id", F.when(~F.col("gone"), F.col("clean")).alias("text"), "n_entities", "entities")
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with surrogates in text; all other columns stay."""
+    Replacer(key)  # a missing key fails here, before any job runs
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -326,5 +397,5 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the whole text with surrogates, the number of entities and their kinds in order of place."""
-    made = pii_spans(table(spark, sf_dir, "documents"))
-    return made.selectExpr("doc_id", "clean AS text", "n_entities", "array_join(transform(entities, e -> e.kind), ',') AS kinds")
+    made = pii_spans(table(spark, sf_dir, "documents"), QUERY_KEY)
+    return made.selectExpr("doc_id", "text", "n_entities", "array_join(transform(entities, e -> e.kind), ',') AS kinds")
