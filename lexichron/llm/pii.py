@@ -18,6 +18,7 @@ walk: while a surrogate is not a valid one of its type, it is enciphered again,
   hyphenated name are names of their own.
 - Phones: the national number is enciphered, so that a number with and without its country code stays one; country and
   separators stay. E-mails: the mapping is that of the address in lower case, and capitals stay where they are.
+- Digits in one run are a card only if their check digit is right; in groups of a card's form they are one anyhow.
 - Cards and IBANs with right check digits get a new body with right check digits, others stay invalid; social security
   numbers stay possible or impossible ones; IP addresses stay in their private range, or public.
 
@@ -310,7 +311,7 @@ class Replacer:
             kind = next((k for k in KINDS if m.group(k) is not None), "name")
             if kind == "name":
                 named.append(m)
-            else:
+            elif kind != "card" or not m.group().isdigit() or luhn(m.group()):
                 group = "value" if kind == "secret" else kind
                 found.append((kind, m.start(group), m.end(group), self.surrogate(kind, m.group(group))))
         pairs = [m for m in PAIR.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
