@@ -37,7 +37,7 @@ def spread(df: DataFrame) -> DataFrame:
     tables are looked at.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if size >= cores * SPLIT or df.select(F.spark_partition_id()).distinct().count() >= cores:
         return df
     return df.repartition(cores)
