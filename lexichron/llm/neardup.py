@@ -12,9 +12,13 @@ of other components, in blocks of bounded size, and only confirmed links leave t
 A pair at similarity 0.8 misses all of 40 bands of 5 rows with a chance of 1.2e-7; sets of under four shingles are
 similar at 0.8 only if equal, and need no bands (four within five are). Sets are told apart by 64-bit hashes.
 
-Results: null or empty texts have an empty set and are linked with nothing; repeated rows (also with a clashing
-doc_id) are copies and get one component; a component's id is its smallest doc_id, so a null doc_id is never one
-unless the component has no other; an empty table gives an empty table. Other columns are not read.
+A row is told apart by its doc_id and text together (96 bits of hashes), never by doc_id alone.
+
+Results: null or empty texts have an empty set and are linked with nothing; very long texts are read whole; repeated rows
+are copies and get one component; different texts under one doc_id are rows of their own; a component's id is its
+smallest doc_id, so a null doc_id is never one unless the component has no other; an empty table gives an empty table.
+near_duplicates reads doc_id and text only; drop_near_duplicates carries all other columns along, whatever their names
+(but for __row and __mark, which it adds and removes).
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Shelf, slices, table
 from .graph import components
@@ -92,48 +95,41 @@ def set_key(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
+def row_keys() -> list:
+    """Two columns that tell a row by its doc_id and text."""
+    return [F.xxhash64("doc_id", "text").alias("__row"), F.hash("text", "doc_id").alias("__mark")]
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), cls (key of the set; null if empty), bands (none for sets under four)."""
+    """doc_id, __row, __mark (as of row_keys), n (set size), cls (key of the set; null if empty), bands (none for sets under four)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             sets = [shingle_set(t, k) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"),
+                    *(part.column(c) for c in ("doc_id", "__row", "__mark")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([band_hashes(s).view(np.int64) if len(s) >= 4 else [] for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "cls", "bands"],
+                names=["doc_id", "__row", "__mark", "n", "cls", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, cls bigint, bands array<bigint>")
+    return docs.select("doc_id", "text", *row_keys()).mapInArrow(run, f"doc_id {kind}, __row bigint, __mark int, n bigint, cls bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cls, members (the full set) for the classes in wanted(doc_id, cls)."""
+    """cls, members (the full set) for the classes in wanted(__row, __mark, cls), each of which names one row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            keys, sets = [], []
-            for text, cls in zip(texts, part.column("cls").to_pylist(), strict=True):
-                s = shingle_set(text, k)
-                if len(s) and set_key(s) == cls:  # not so for another row that has the same doc_id
-                    keys.append(cls)
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"])
+            sets = [shingle_set(t, k).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("cls")), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"])
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches):
-            sets = [s for s in (shingle_set(t, k) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "members"])
-
-    named = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "cls").mapInArrow(run, "cls bigint, members array<bigint>")
-    # classes that only rows without a doc_id hold are found by their key
-    unnamed = docs.filter("doc_id IS NULL").select("text").mapInArrow(every, "cls bigint, members array<bigint>")
-    return named.union(unnamed.join(wanted.filter("doc_id IS NULL").select("cls"), "cls", "left_semi"))
+    rows = docs.select("text", *row_keys()).join(wanted, ["__row", "__mark"])
+    return rows.select("text", "cls").mapInArrow(run, "cls bigint, members array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,6 +174,7 @@ def links_across(percent: int):
             starts = np.cumsum(sizes[at]) - sizes[at]
             common = np.add.reduceat((mine[place] == theirs).astype(np.int64), starts)
             found = at[common * 100 >= (sizes[at] + sizes[o] - common) * percent]
+            found = found[np.unique(root[found], return_index=True)[1]]  # one link joins the outsider to a whole component
             u += [cls[o]] * len(found)
             v += cls[found].tolist()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -203,29 +200,32 @@ def missed_links(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: Dat
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches of docs, and cls, component_id, root (key of the component) of every class."""
+    """The sketches of docs, and cls, component_id, __row, __mark (the row that stands for the component) of every class."""
     shelf = Shelf(docs.sparkSession)
     rows = shelf.put(sketches(docs, k))
     classes = shelf.put(
-        rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "__mark")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .select("cls", "least.doc_id", "least.__row", "least.__mark", "n", "bands")
     )
     exploded = classes.select(F.explode("bands").alias("band"), "cls", "n")
     shared = exploded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     met = shelf.put(exploded.join(shared, "band"))
     weights = shelf.put(met.groupBy("cls").agg(F.sum("size").alias("weight")))
-    sets = shelf.put(full_sets(docs, classes.select("doc_id", "cls").join(weights.select("cls"), "cls", "left_semi"), k).dropDuplicates(["cls"]))
+    sets = shelf.put(full_sets(docs, classes.select("__row", "__mark", "cls").join(weights.select("cls"), "cls", "left_semi"), k).dropDuplicates(["cls"]))
     links = shelf.put(confirmed(stars(met.join(weights, "cls"), percent), sets, percent))
     roots = shelf.put(components(links, shelf))
     missed = shelf.put(missed_links(met, roots, classes, sets, percent).distinct())
-    labelled = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    named = ["cls", "doc_id", "__row", "__mark"]
+    labelled = classes.join(roots, classes["cls"] == roots["node"], "left").select(*named, F.coalesce("root", "cls").alias("root"))
     if not missed.isEmpty():
         root_u = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         root_v = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         bridges = missed.join(root_u, "u", "left").join(root_v, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
         merged = shelf.put(components(bridges, shelf)).withColumnRenamed("root", "top")
-        labelled = labelled.join(merged, labelled["root"] == merged["node"], "left").select("cls", "doc_id", F.coalesce("top", "root").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = shelf.put(labelled.join(least, "root").select("cls", "component_id", "root"))
+        labelled = labelled.join(merged, labelled["root"] == merged["node"], "left").select(*named, F.coalesce("top", "root").alias("root"))
+    # the row of smallest doc_id stands for its component
+    least = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "__mark")).alias("least"))
+    ids = shelf.put(labelled.join(least, "root").select("cls", F.col("least.doc_id").alias("component_id"), F.col("least.__row").alias("__row"), F.col("least.__mark").alias("__mark")))
     for gone in (classes, met, weights, sets):
         shelf.drop(gone)
     return rows, ids
@@ -233,37 +233,21 @@ def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    return _verdicts(*grouped(docs, k, percent))
-
-
-def _verdicts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    out = rows.select("doc_id", "n", "cls").join(ids, "cls", "left")
+    rows, ids = grouped(docs, k, percent)
+    out = rows.select("doc_id", "n", "cls").join(ids.select("cls", "component_id"), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is that of their component; one row of repeated ones.
+    """One row of docs, with all its columns, of each component: that of smallest doc_id (of several, of smallest hash).
 
-    Of a component whose rows all lack a doc_id one row stays; rows without a doc_id in other components go. Without
-    any words, one row of each text stays. The semi join and the choice among repeated rows share one shuffle by doc_id.
+    Rows without words are linked with nothing and stay, each doc_id's and text's once. The semi join and the choice
+    among repeated rows share one shuffle.
     """
     rows, ids = grouped(docs, k, percent)
-    kept = _verdicts(rows, ids).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    schema = StructType([*docs.schema.fields, StructField("__cls", LongType())])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
-            sets = [shingle_set(t, k) for t in texts]
-            key = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*part.columns, key], names=[*part.schema.names, "__cls"])
-
-    unnamed = docs.filter("doc_id IS NULL").mapInArrow(keyed, schema)
-    groups = ids.filter("component_id IS NULL").select(F.col("cls").alias("__cls"), F.col("root").alias("__root"))
-    wordless = unnamed.filter("__cls IS NULL").dropDuplicates(["text"]).select(docs.columns)
-    alone = unnamed.join(groups, "__cls").dropDuplicates(["__root"]).select(docs.columns)
-    return named.select(docs.columns).union(wordless).union(alone)
+    stay = ids.select("__row", "__mark").union(rows.filter("cls IS NULL").select("__row", "__mark")).distinct()
+    return docs.select("*", *row_keys()).join(stay, ["__row", "__mark"], "left_semi").dropDuplicates(["__row", "__mark"]).select(docs.columns)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
