@@ -114,4 +114,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+
+def labelled(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """At most `most` rows (doc_id, label) that may be learnt from, those of smallest hash."""
+    rows = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def sampled_rows(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """text and the columns of ids (one row a doc_id, bounded in number) of at most `most` documents of those ids.
+
+    The bound holds however often a doc_id is repeated: texts of an id are told apart by hash, equal ones count once, and
+    those of smallest hash are taken before any text is moved.
+    """
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("__mark")).join(F.broadcast(ids), "doc_id")
+    taken = marked.select("doc_id", "__mark").distinct().orderBy(F.xxhash64("doc_id", "__mark"), "doc_id", "__mark").limit(most)
+    return marked.join(F.broadcast(taken), ["doc_id", "__mark"], "left_semi").dropDuplicates(["doc_id", "__mark"]).drop("__mark")
+
+
 atexit.register(clear_shelves)

@@ -1,104 +1,193 @@
 """Operator 7: toxicity by noisy-channel deobfuscation.
 
-A trigram character model is counted over every document. Stretches of a text that look disguised (digits or
-signs next to letters, doubled letters, letters set apart) become character lattices: each sign may stand
-for itself or for the letters it imitates, a repeated letter may be dropped, a gap between single letters may be
-closed. Viterbi finds the likeliest restored text under the character model; the restored text is then scored by
-a lexicon of words and word beginnings, learnt from labelled rows, and a logistic curve over its strongest hits.
-
-Bounds: the fit uses at most SAMPLE labelled rows (those of smallest hash); the lexicon has at most 2**FEATURE_BITS
-entries and the character model SYMBOLS**3. Both are broadcast, whatever the input's size. Scoring is row-wise over
-whole texts.
-
-Results: a null or empty text gets the score of a text without hits; repeated rows repeat their result; an empty
-table gives an empty table. Labels that are null, or whose document is missing, are not used; without any toxic
-label every score is 0. Of several labels of a document the largest counts.
+A trigram character model is counted over every document, in the corpus's own letters: what it holds grows with the
+scripts and letter sequences of the input. Words of a text that look disguised (digits or signs next to letters, doubled
+letters, letters of two scripts, letters set apart) become character lattices: each sign may stand for itself or for the
+letters of the word's script that it imitates, a repeated letter may be dropped, a gap between single letters may be
+closed. Viterbi finds the likeliest restored text under the character model; the restored text is then scored by a lexicon
+of words and word beginnings, learnt from labelled rows, and a logistic curve over its strongest hits.
+
+Bounds: the fit uses at most SAMPLE labelled rows (those of smallest hash, however often a doc_id is repeated); the
+lexicon has at most 2**FEATURE_BITS entries. The character model has a count for each trigram of letters seen; letters of
+scripts without look-alikes and with thousands of signs (all beyond U+2E80) share one symbol, so it is bounded by the
+letter sequences of alphabets (a few MB for a dozen languages). Both are broadcast. Scoring is row-wise over whole texts.
+
+Results: a null or empty text gets the score of a text without hits; very long texts and words are read whole, in linear
+time; repeated rows repeat their result; an empty table gives an empty table. Labels that are null, or whose document is
+missing, are not used; without any toxic label every score is 0. Of several labels of a document the largest counts.
+Columns of docs other than doc_id and text, whatever their names, are not read by toxicity_scores and carried along by
+drop_toxic.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, held_out, map_texts, slices, table
+from .common import Shelf, held_out, labelled, map_texts, sampled_rows, slices, table
 
 SAMPLE = 30_000
 FEATURE_BITS = 20
-SYMBOLS = 64
-#: Letters that a sign may stand for.
-IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"}
+#: Letters that a sign may stand for, by script (fixed values).
+IMITATES = {
+    "latin": {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"},
+    "cyrillic": {"0": "о", "1": "і", "3": "з", "4": "ч", "6": "б", "8": "в", "9": "д", "@": "а", "$": "с", "!": "і", "|": "іл", "+": "т", "*": "аеиоу"},
+    "greek": {"0": "ο", "1": "ι", "3": "ε", "4": "α", "5": "σ", "7": "τ", "8": "β", "9": "ρ", "@": "α", "$": "σ", "!": "ι", "|": "ιλ", "+": "τ", "*": "αειου"},
+}
+#: Letters of other scripts that look like Latin ones (fixed values).
+LOOKALIKES = str.maketrans("аеіјкмнорсѕтухԁαειορυ", "aeijkmhopcstyxdaeiopu")
+SIGNS = "01345789@$!|+*6"
 SIGN_COST, DROP_COST, JOIN_COST, ODD_COST = math.log(0.2), math.log(0.3), math.log(0.7), math.log(0.02)
 TWICE_COST = ODD_COST
 #: Punctuation after a word's last letter mostly stands for itself.
 CLOSING_COST = math.log(0.5)
-#: Readings of stretches up to this length are remembered.
-REMEMBERED = 200
+#: Tokens up to this length are remembered, and so many characters of them.
+REMEMBERED, REMEMBERED_CHARS = 200, 4_000_000
 
 WORD = re.compile(r"\w+")
-#: Words that hold letters and signs in any order, or a doubled letter; tried at starts of words only: linear in the text.
-DISGUISED = re.compile(
-    r"(?<![^\W\d_])(?<![01345789@$!|+*])(?:[^\W\d_]++[01345789@$!|+*]|[01345789@$!|+*]++[^\W\d_])(?:[^\W\d_]|[01345789@$!|+*])*+"
-    + r"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*"
-)
-DOUBLE = re.compile(r"([^\W\d_])\1")
-SIGN_NEAR = re.compile(r"[01345789@$!|+*][^\W\d_]|[^\W\d_][01345789@$!|+*]")
+#: What is restored at once: a run of letters, digits and signs.
+TOKEN = re.compile(r"[\w@$!|+*]+")
+LETTER, SIGN = r"[^\W\d_]", r"[013456789@$!|+*]"
+#: Stretches of a token that hold letters and signs in any order, or a doubled letter; tried at starts of words only: linear.
+DISGUISED = re.compile(rf"(?<!{LETTER})(?<!{SIGN})(?:{LETTER}++{SIGN}|{SIGN}++{LETTER})(?:{LETTER}|{SIGN})*+|(?<!{LETTER}){LETTER}*({LETTER})\1{LETTER}*")
+ODD = re.compile(rf"{SIGN}{LETTER}|{LETTER}{SIGN}|({LETTER})\1")
 APART = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_](?!\w)){2,}")
+LATIN, OTHER = re.compile(r"[a-zß-öø-ÿ]"), re.compile(r"[\u0370-\u052f]")
+#: Letters from here on share one symbol.
+WIDE = 0x2E80
 
 
+@lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point below 256; 0 is a gap and 1 any other letter."""
-    out = np.zeros(257, np.int64)
-    letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()][: SYMBOLS - 2]
-    for i, c in enumerate(letters):
-        out[ord(c)] = i + 2
-    out[256] = 1
-    return out
+    """Symbol of each code point: 0 is a gap, WIDE any letter from there on, and other letters are themselves."""
+    narrow = np.array([i if chr(i).isalpha() else 0 for i in range(WIDE)], np.int64)
+    wide = np.array([WIDE if chr(i).isalpha() else 0 for i in range(WIDE, 0x110000)], np.int64)
+    return np.concatenate([narrow, wide])
 
 
-SYMBOL = symbol_table()
+def symbol(c: str) -> int:
+    return min(ord(c), WIDE) if c.isalpha() else 0
 
 
-def symbol(c: str) -> int:
-    o = ord(c)
-    return int(SYMBOL[o]) if o < 256 else int(c.isalpha())
+BITS = 14
+#: The letters of Latin-1 have small numbers too, by which most trigrams are counted without sorting; 0 is a gap, SMALL - 1 any other.
+SMALL = 64
+
+
+@lru_cache(maxsize=1)
+def small_table() -> tuple[np.ndarray, np.ndarray]:
+    """The small number of each symbol, and the symbol of each small number."""
+    letters = [i for i in range(256) if chr(i).isalpha() and chr(i) == chr(i).lower()][: SMALL - 2]
+    number = np.full(WIDE + 1, SMALL - 1, np.int64)
+    number[0] = 0
+    number[letters] = np.arange(1, len(letters) + 1)
+    return number, np.array([0, *letters, *[0] * (SMALL - 1 - len(letters))], np.int64)
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
-    """key, n over all characters of all texts; each task sums its part first, so at most SYMBOLS**3 rows a task are shuffled."""
+    """key, n over all characters of all texts; each task sums its part first, so that only distinct trigrams are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total, rare = np.zeros(SMALL**3, np.int64), []
+        number, back = small_table()
         for _, texts in slices(batches):
-            raw = np.frombuffer("  ".join(["", *texts, ""]).lower().encode("utf-32-le", "replace"), "<u4")
-            s = SYMBOL[np.minimum(raw, 256)]
-            total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+            raw = np.frombuffer(plain("  ".join(["", *texts, ""])).encode("utf-32-le", "replace"), "<u4")
+            s = symbol_table()[raw]
+            t = number[s]
+            total += np.bincount((t[:-2] * SMALL + t[1:-1]) * SMALL + t[2:], minlength=SMALL**3)
+            other = t == SMALL - 1
+            if other.any():
+                at = np.flatnonzero(other[:-2] | other[1:-1] | other[2:])
+                rare.append(np.unique((s[at] << 2 * BITS) | (s[at + 1] << BITS) | s[at + 2], return_counts=True))
+                if sum(len(k) for k, _ in rare) > 1_000_000:
+                    rare = [added(rare)]
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["key", "n"])
+        a, b, c = at // SMALL**2, at // SMALL % SMALL, at % SMALL
+        whole = (a < SMALL - 1) & (b < SMALL - 1) & (c < SMALL - 1)  # the others are among the rare ones
+        keys = (back[a] << 2 * BITS) | (back[b] << BITS) | back[c]
+        rare_keys, rare_n = added(rare) if rare else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[whole], rare_keys])), pa.array(np.concatenate([total[at][whole], rare_n]))], names=["key", "n"])
 
     return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def language_model(docs: DataFrame) -> np.ndarray:
-    """log P(c | a, b) of every symbol triple, smoothed by the bigram and unigram shares."""
-    n = np.zeros(SYMBOLS**3)
-    for key, count in trigram_counts(docs).toPandas().itertuples(index=False):
-        n[key] = count
-    n = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    one = (n.sum((0, 1)) + 1) / (n.sum() + SYMBOLS)
-    two = (n.sum(0) + 20 * one) / (n.sum((0, 2))[:, None] + 20)
-    return np.log((n + 10 * two) / (n.sum(2)[:, :, None] + 10)).astype(np.float32)
+def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key."""
+    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)
+
+
+class CharModel:
+    """log P(c | a, b) of symbols, smoothed by the bigram and unigram shares. Keys pack symbols in BITS bits each."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], n[order]
+        self.known: dict[int, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "n": self.n}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["keys"], state["n"])
+
+    def _counts(self) -> None:
+        mask, n = (1 << BITS) - 1, self.n.tolist()
+
+        def sums(keys: np.ndarray) -> dict[int, int]:
+            k, total = added([(keys, self.n)])
+            return dict(zip(k.tolist(), total.tolist(), strict=True))
+
+        self.three = dict(zip(self.keys.tolist(), n, strict=True))
+        self.first_two, self.last_two = sums(self.keys >> BITS), sums(self.keys & ((1 << 2 * BITS) - 1))
+        self.middle, self.last = sums((self.keys >> BITS) & mask), sums(self.keys & mask)
+        self.total = sum(n)
+
+    def log(self, key: int) -> float:
+        """log P of the last symbol of a packed triple after the other two."""
+        got = self.known.get(key)
+        if got is None:
+            if not self.known:
+                self._counts()
+            elif len(self.known) > 500_000:
+                self.known.clear()
+            mask = (1 << BITS) - 1
+            one = (self.last.get(key & mask, 0) + 1) / (self.total + len(self.last) + 1)
+            two = (self.last_two.get(key & ((1 << 2 * BITS) - 1), 0) + 20 * one) / (self.middle.get(key >> BITS & mask, 0) + 20)
+            got = self.known[key] = math.log((self.three.get(key, 0) + 10 * two) / (self.first_two.get(key >> BITS, 0) + 10))
+        return got
+
+
+def language_model(docs: DataFrame) -> CharModel:
+    got = trigram_counts(docs).toPandas()
+    return CharModel(got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
+
+
+def plain(text: str) -> str:
+    """Lower case; letters of compatibility forms (wide, mathematical, ligatures) as plain ones."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
+
+
+def script(span: str) -> str:
+    """The script of a span's letters (Latin where there are several)."""
+    if LATIN.search(span):
+        return "latin"
+    letter = OTHER.search(span)
+    return "latin" if letter is None else "greek" if letter.group() < "\u0400" else "cyrillic"
 
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """The choices (output, log probability) of every input character."""
-    out, last = [], len(span.rstrip("!|+*"))
+    out, last, imitates = [], len(span.rstrip("!|+*")), IMITATES[script(span)]
     for i, c in enumerate(span):
         prev = span[i - 1] if i else ""
         # most letters that stand twice are spelled so
@@ -107,46 +196,43 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             choices = [(c, 0.0)]
             if c == prev:
                 choices = [(c, ODD_COST / 2 if i > 1 and span[i - 2] == c else 0.0), ("", drop)]
-        elif c in IMITATES:
+        elif c in imitates:
             closing = c in "!|+*" and i >= last
-            choices = [(c, CLOSING_COST if closing else ODD_COST), *((x, SIGN_COST - math.log(len(IMITATES[c]))) for x in IMITATES[c])]
+            choices = [(c, CLOSING_COST if closing else ODD_COST), *((x, SIGN_COST - math.log(len(imitates[c]))) for x in imitates[c])]
             if c == prev:
                 choices.append(("", drop))
             if c == "*":
                 choices.append(("", ODD_COST))
+        elif c.isdigit():
+            choices = [(c, 0.0)]
         else:
             choices = [(c, 0.0), ("", JOIN_COST)] if 0 < i < len(span) - 1 else [(c, 0.0)]
         out.append(choices)
     return out
 
 
-#: The model last used and its numbers as a list, which is quicker to read one by one.
-_FLAT: list = [None, None]
-
-
-def restore_span(span: str, model: np.ndarray) -> str:
+def restore_span(span: str, model: CharModel) -> str:
     """Likeliest reading of one disguised stretch, by Viterbi over states of two output symbols.
 
     Readings are chains of cells that share their beginnings, so time and memory are linear in the stretch.
     """
-    if _FLAT[0] is not model:
-        _FLAT[:] = model, model.ravel().tolist()
-    flat = _FLAT[1]
-    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by a * SYMBOLS + b
+    low, log, known = (1 << BITS) - 1, model.log, model.known
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by two packed symbols
     for choices in lattice(span):
         steps = [(c, symbol(c) if c else 0, cost) for c, cost in choices]
         after: dict[int, tuple[float, tuple | None]] = {}
         for ab, (score, cell) in best.items():
-            row, low = ab * SYMBOLS, ab % SYMBOLS * SYMBOLS
+            row, state_low = ab << BITS, (ab & low) << BITS
             for c, s, cost in steps:
                 if c:
-                    state, value = low + s, score + cost + flat[row + s]
+                    p = known.get(row | s)
+                    state, value = state_low | s, score + cost + (log(row | s) if p is None else p)
                 else:
                     state, value = ab, score + cost
                 if state not in after or value > after[state][0]:
                     after[state] = (value, (cell, c) if c else cell)
         best = after
-    cell = max(((v + flat[ab * SYMBOLS], cell) for ab, (v, cell) in best.items()), key=lambda x: x[0])[1]
+    cell = max(((v + log(ab << BITS), cell) for ab, (v, cell) in best.items()), key=lambda x: x[0])[1]
     out = []
     while cell:
         cell, c = cell
@@ -154,22 +240,43 @@ def restore_span(span: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-def restore(text: str, model: np.ndarray, known: dict[str, str]) -> str:
-    """The text in lower case with every disguised stretch restored."""
+class Reader:
+    """Words of texts with every disguise undone. Remembers short tokens, REMEMBERED_CHARS characters of them at most."""
+
+    def __init__(self, model: CharModel):
+        self.model, self.known, self.chars = model, {}, 0
+
+    def restored(self, token: str) -> str:
+        """A token of a text in plain form, with its disguised stretches restored."""
+        if not token.isascii() and LATIN.search(token) and OTHER.search(token):
+            token = token.translate(LOOKALIKES)
+        return DISGUISED.sub(lambda m: restore_span(m.group(), self.model), token) if ODD.search(token) else token
+
+    def spans(self, text: str) -> str:
+        """The text in plain form, with letters that are set apart joined where that reads likelier."""
+        return APART.sub(lambda m: restore_span(m.group(), self.model), plain(text))
+
+    def words(self, text: str) -> set[str]:
+        """The distinct words of the restored text."""
+        known, out = self.known, set()
+        for token in set(TOKEN.findall(self.spans(text))):
+            words = known.get(token)
+            if words is None:
+                words = tuple(WORD.findall(self.restored(token)))
+                if len(token) <= REMEMBERED:
+                    if self.chars > REMEMBERED_CHARS:
+                        known.clear()
+                        self.chars = 0
+                    known[token] = words
+                    self.chars += len(token) + 50
+            out.update(words)
+        return out
 
-    def read(m: re.Match) -> str:
-        span = m.group()
-        if len(span) > REMEMBERED:
-            return restore_span(span, model)
-        if span not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[span] = restore_span(span, model)
-        return known[span]
 
-    text = text.lower()
-    text = APART.sub(read, text)
-    return DISGUISED.sub(read, text) if SIGN_NEAR.search(text) or DOUBLE.search(text) else text
+def restore(text: str, model: CharModel) -> str:
+    """The text in plain form with every disguised stretch restored."""
+    reader = Reader(model)
+    return TOKEN.sub(lambda m: reader.restored(m.group()), reader.spans(text))
 
 
 def word_features(word: str) -> list[int]:
@@ -178,9 +285,9 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) & ((1 << FEATURE_BITS) - 1) for x in raw]
 
 
-def text_features(text: str) -> set[int]:
+def word_set_features(words: set[str]) -> set[int]:
     out: set[int] = set()
-    for w in set(WORD.findall(text)):
+    for w in words:
         out.update(word_features(w))
     return out
 
@@ -223,29 +330,34 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def labelled(labels: DataFrame, column: str, most: int) -> DataFrame:
-    """At most `most` rows (doc_id, label) that may be learnt from, those of smallest hash."""
-    rows = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
-    return rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 class Toxicity:
     """What scoring needs on every executor."""
 
-    def __init__(self, model: np.ndarray, strengths: dict[int, float], curve: list[float] | None):
+    def __init__(self, model: CharModel, strengths: dict[int, float], curve: list[float] | None):
         self.model, self.strengths, self.curve = model, strengths, curve
-        self.known: dict[str, str] = {}
-        self.words: dict[str, float] = {}
+        self._start()
+
+    def _start(self) -> None:
+        self.reader, self.strong, self.chars = Reader(self.model), {}, 0
+
+    def __getstate__(self) -> tuple:
+        return self.model, self.strengths, self.curve
+
+    def __setstate__(self, state: tuple) -> None:
+        self.model, self.strengths, self.curve = state
+        self._start()
 
     def hits(self, text: str) -> tuple[list[float], int]:
         """Strengths of the distinct words that hit, and the number of distinct words."""
-        words, known, found = set(WORD.findall(restore(text, self.model, self.known))), self.words, []
-        if len(known) > 150_000:
-            known.clear()
+        words, strong, found = self.reader.words(text), self.strong, []
+        if self.chars > REMEMBERED_CHARS:
+            strong.clear()
+            self.chars = 0
         for w in words:
-            s = known.get(w)
+            s = strong.get(w)
             if s is None:
-                s = known[w] = max([self.strengths.get(f, 0.0) for f in word_features(w)])
+                s = strong[w] = max([self.strengths.get(f, 0.0) for f in word_features(w)])
+                self.chars += len(w) + 50
             if s:
                 found.append(s)
         return found, len(words)
@@ -263,14 +375,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     model = language_model(docs)
     shared = spark.sparkContext.broadcast(model)
     shelf = Shelf(spark)
-    # sample rows of two numbers each: small enough to broadcast whatever the input
-    rows = shelf.put(docs.select("doc_id", "text").join(F.broadcast(labelled(labels, "toxic", sample)), "doc_id"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, known = np.zeros((2, 1 + (1 << FEATURE_BITS)), np.int32), {}
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
         for part, texts in slices(batches):
-            for text, label in zip(texts, part.column("label").to_pylist(), strict=True):
-                n[label, [-1, *text_features(restore(text, shared.value, known))]] += 1
+            words = [sorted(reader.words(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), part.column(part.schema.get_field_index("label"))], names=["words", "label"])
+
+    # sample rows, read once: their restored words serve the lexicon and the curve
+    sampled = sampled_rows(docs, labelled(labels, "toxic", sample), sample)
+    rows = shelf.put(sampled.select("text", "label").mapInArrow(read, "words array<string>, label int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 1 + (1 << FEATURE_BITS)), np.int32)
+        for batch in batches:
+            for words, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                n[label, [-1, *word_set_features(set(words.as_py()))]] += 1
         at = np.flatnonzero(n.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], names=["feature", "t", "c"])
 
@@ -286,29 +406,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     lexicon = Lexicon(toxic, clean, n_toxic, n_clean)
     lex = spark.sparkContext.broadcast(lexicon)
 
-    def sums(texts: list[str], labels: list[int]) -> list[list[float]]:
-        out, known, strong = [], {}, lex.value.by_feature
-        for text, label in zip(texts, labels, strict=True):
-            words, hits = set(WORD.findall(restore(text, shared.value, known))), []
-            for w in words:
-                if s := max([lex.value.without(f, bool(label)) if f in strong else 0.0 for f in word_features(w)]):
-                    hits.append(s)
-            out.append(summary(hits, len(words)))
-        return out
-
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
-            y = part.column("label").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(sums(texts, y), pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+        strong = lex.value.by_feature
+        for batch in batches:
+            y, x = batch.column(1).to_pylist(), []
+            for words, label in zip(batch.column(0).to_pylist(), y, strict=True):
+                hits = [max([lex.value.without(f, bool(label)) if f in strong else 0.0 for f in word_features(w)]) for w in words]
+                x.append(summary([h for h in hits if h], len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
 
     got = rows.mapInArrow(summarize, "x array<double>, y int").toPandas()
-    curve = fit_curve(np.stack(got["x"].to_numpy()), got["y"].to_numpy(float))
+    order = sorted(range(len(got)), key=lambda i: (int(got["y"].iloc[i]), *got["x"].iloc[i]))  # sums do not depend on the order of tasks
+    curve = fit_curve(np.stack(got["x"].to_numpy())[order], got["y"].to_numpy(float)[order])
     shelf.drop(rows)
     return Toxicity(model, lexicon.by_feature, [float(w) for w in curve])
 
 
-
-
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
