@@ -5,8 +5,11 @@ the leftmost pair of lowest rank. A merge changes three leaves (the pair itself,
 absorbed right symbol), each a logarithmic point update. Short pre-tokens of a slice of texts are encoded
 together, one tree a row of a matrix; long ones use one tree each, so a pre-token of n bytes costs O(n log n).
 
+Where the standard library knows a character, texts are normalised and lower-cased by it, else by the tokenizer library.
+
 Results: a null or empty text has no tokens; rows are independent, so repeated rows repeat their result and an
-empty table gives an empty table. Texts are never cut.
+empty table gives an empty table. Texts are never cut, however long. Columns other than doc_id and text, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +35,8 @@ PRE_TOKEN = regex.compile(PIECES.format(L=r"\p{L}", N=r"\p{N}", l=r"\p{L}", n=r"
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Pre-tokens of more bytes than this get a tree of their own.
 LONG = 64
-#: Pre-tokens remembered by a Python worker; at this many it starts afresh.
-REMEMBERED = 180_000
+#: Characters of pre-tokens remembered by a Python worker, each with ENTRY more for its entry; beyond them it starts afresh.
+REMEMBERED, ENTRY = 12_000_000, 60
 NEVER = np.int64(2**62)
 
 
@@ -42,36 +46,54 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _class_of(codes: list[int]) -> str:
+    """The inside of a character class that holds the given code points."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 @lru_cache(maxsize=1)
-def wide_pre_token() -> regex.Pattern:
-    """For all other texts: letters and numbers of Unicode versions after that of the tokenizer library's engine count as
-    signs. Which they are is asked of that engine, for the code points that the standard library does not know yet."""
+def wide_pre_token() -> tuple[regex.Pattern, regex.Pattern]:
+    """For texts beyond Latin-1: the pre-tokens, and the characters that the standard library does not know.
+
+    Letters and numbers of Unicode versions after that of the tokenizer library's engine count as signs. Which they are is
+    asked of that engine, for the code points that the standard library does not know yet.
+    """
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
     known = regex.compile(r"[\p{L}\p{N}]")
-    unsure = [c for c in range(0x100, 0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))]
+    new = [c for c in range(0x100, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    unsure = [c for c in new if known.match(chr(c))]
     theirs = Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str(" ".join(map(chr, unsure)))
-    newer = sorted(set(unsure) - {ord(x) for x, _ in theirs})
-    runs: list[list[int]] = []
-    for c in newer:
-        if runs and c == runs[-1][1] + 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    late = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+    late = _class_of(sorted(set(unsure) - {ord(x) for x, _ in theirs}))
     letter, number = (rf"[\p{{{x}}}--[{late}]]" if late else rf"\p{{{x}}}" for x in "LN")
-    return regex.compile("(?V1)" + PIECES.format(L=letter, N=number, l=letter, n=number, space=SPACE))
+    return regex.compile("(?V1)" + PIECES.format(L=letter, N=number, l=letter, n=number, space=SPACE)), regex.compile(f"[{_class_of(new)}]")
+
+
+@lru_cache(maxsize=1)
+def their_normal_form() -> Callable[[str], str]:
+    """The tokenizer library's own normal form and lower-casing, for texts with characters newer than the standard library."""
+    from tokenizers.normalizers import NFC, Lowercase, Sequence
+
+    return Sequence([NFC(), Lowercase()]).normalize_str
 
 
 def cut(text: str) -> list[str]:
     """Pre-tokens of a text without special tokens."""
-    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return wide_pre_token().findall(text)
-    return PRE_TOKEN.findall(text)
+        pieces, new = wide_pre_token()
+        if new.search(text):
+            return pieces.findall(their_normal_form()(text))
+        return pieces.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    return PRE_TOKEN.findall(text.lower())  # Latin-1 is in normal form
 
 
 def byte_letters() -> list[str]:
@@ -110,7 +132,7 @@ class Encoder:
         self.shown: dict[str, str] = {}
         for text, i in self.special.items():
             self.ids[text], self.shown[text] = int(i).to_bytes(4, "little"), text
-        self.kept = len(self.ids)
+        self.chars = 0
 
     def _hash(self, keys: np.ndarray) -> None:
         """Open-addressing table from pair key to rank; probes are counted so that lookups know when to stop."""
@@ -270,12 +292,13 @@ class Encoder:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         rows = [self.pre_tokens(t) for t in texts]
         new = {w for words in rows for w in words} - self.ids.keys()
-        if len(self.ids) + len(new) > REMEMBERED:
+        if self.chars > REMEMBERED:
             held = [*self.special]
-            self.ids, self.shown = {k: self.ids[k] for k in held}, {k: self.shown[k] for k in held}
+            self.ids, self.shown, self.chars = {k: self.ids[k] for k in held}, {k: self.shown[k] for k in held}, 0
             new = {w for words in rows for w in words} - self.ids.keys()
         if new:
             self.learn(new)
+            self.chars += sum(map(len, new)) + ENTRY * len(new)
         ids, shown = self.ids, self.shown
         return [b"".join([ids[w] for w in words]) for words in rows], [" ".join([shown[w] for w in words]) for words in rows]
 

@@ -1,16 +1,21 @@
 """Operator 4: token counts by dynamic programming shared along a trie.
 
-The vocabulary is a public one of scored pieces; a pre-token (a word with the word mark in front) is segmented to the
-pieces of largest total score, as a unigram model does: best[j] = max over pieces that end at j of best[i] + score.
-The distinct pre-tokens of a run of texts are inserted in a trie, and best[] of a node is computed once for all words
-that pass it, walking the trie in depth-first order; a node where words end stores their token count. Counts of a text
-are sums over its words.
-
-A piece of rank r scores -log(r + 2), as under Zipf's law; a character outside all pieces costs BYTE a byte (byte
-fallback). Of equal scores the segmentation of fewer tokens counts.
-
-Memory is bounded by the distinct words of SLICE_CHARS characters plus REMEMBERED counts a worker. Rows are
-independent: repeated rows repeat their result, null or empty texts count 0, an empty table gives an empty table.
+The vocabulary is one of scored pieces; a pre-token (a word with the word mark in front) is segmented to the pieces of
+largest total score, as a unigram model does: best[j] = max over pieces that end at j of best[i] + score. Distinct
+pre-tokens are inserted in a trie, and the forward score of a node is computed once, when the first word that passes it
+makes it; all later words with that prefix find it there. A node where a word ends stores the word's token count. Counts
+of a text are sums over its words.
+
+Scores: those of a unigram model file are taken as they are. The public files at hand hold merge vocabularies, whose
+scores are places of merges and no log probabilities (and tokenizers are not trained here); for these a piece of rank r
+scores -log(r + 2), as under Zipf's law, and the counts are those of that unigram model, not of the file's own merges. A
+character outside all pieces costs BYTE a byte (byte fallback). Of equal scores the segmentation of fewer tokens counts.
+
+Memory is bounded whatever the words: a trie of NODES nodes and REMEMBERED characters of words make a worker start
+afresh, and words of more than LONG characters, which share no prefix worth keeping, run through a window of as many
+scores as the longest piece has letters. Rows are independent: repeated rows repeat their result, null or empty texts
+count 0, very long texts are counted whole, an empty table gives an empty table. Columns other than doc_id and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ from .common import map_texts, table
 MARK = "▁"
 #: Score of one fallback byte.
 BYTE = -14.0
-REMEMBERED = 400_000
+#: Nodes of a worker's trie, and characters of its words (with 60 more a word).
+NODES, REMEMBERED = 300_000, 12_000_000
+LONG = 200
 
 
-def read_pieces(path: str | None = None) -> list[str]:
-    """Pieces in order of rank, without special ones. Read on the driver and sent along (32,000 pieces)."""
+def read_pieces(path: str | None = None) -> dict[str, float]:
+    """Score of each piece but special ones. Read on the driver and sent along (32,000 pieces)."""
     import sentencepiece
 
     if path is None:
@@ -39,70 +46,96 @@ def read_pieces(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     usual = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return [model.id_to_piece(i) for i in usual]
+    pieces = {model.id_to_piece(i): model.get_score(i) for i in usual}
+    if all(x == round(x) for x in pieces.values()):  # places of merges
+        return zipf_scores(list(pieces))
+    return pieces
+
+
+def zipf_scores(pieces: list[str]) -> dict[str, float]:
+    """Scores of pieces in order of rank."""
+    return {piece: -math.log(rank + 2) for rank, piece in reversed(list(enumerate(pieces)))}
 
 
 class Counter:
-    """Counts tokens of words; keeps counts between calls."""
-
-    def __init__(self, pieces: list[str]):
-        self.score = {}
-        for rank, piece in enumerate(pieces):
-            self.score.setdefault(piece, -math.log(rank + 2))
-        self.longest = max(map(len, self.score), default=1)
-        self.starts = {}  # longest piece that ends with a character
-        for piece in self.score:
-            c = piece[-1]
-            self.starts[c] = max(self.starts.get(c, 0), len(piece))
+    """Counts tokens of words along a trie that is kept between calls."""
+
+    def __init__(self, pieces: dict[str, float]):
+        self.score = pieces
+        self.starts: dict[str, int] = {}  # longest piece that ends with a character
+        for piece in pieces:
+            self.starts[piece[-1]] = max(self.starts.get(piece[-1], 0), len(piece))
+        self.longest = max(map(len, pieces), default=1)
+        self._start()
+
+    def _start(self) -> None:
+        # a node: its children by letter, and (score, -tokens) of the best segmentation of its prefix
+        self.root: tuple[dict, tuple[float, int]] = ({}, (0.0, 0))
+        self.nodes, self.chars = 1, 0
         self.known: dict[str, int] = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Counts of words, in depth-first order of their trie: a shared prefix keeps its scores on the stack."""
-        score, ends, known = self.score, self.starts, self.known
-        best: list[tuple[float, int]] = [(0.0, 0)]  # (score, -tokens) of every prefix of the word at hand
-        before = ""
-        for word in sorted(words):
-            marked = MARK + word
-            keep, most = 0, min(len(before), len(marked))
-            while keep < most and before[keep] == marked[keep]:
-                keep += 1
-            del best[keep + 1 :]
-            for j in range(keep + 1, len(marked) + 1):
-                c = marked[j - 1]
-                raw = len(c.encode("utf-8", "replace"))
-                s, t = best[j - 1]
-                top = (s + BYTE * raw, t - raw)
-                for i in range(max(0, j - ends.get(c, 0)), j):
-                    p = score.get(marked[i:j])
-                    if p is not None:
-                        b = best[i]
-                        made = (b[0] + p, b[1] - 1)
-                        if made > top:
-                            top = made
-                best.append(top)
-            known[word] = -best[-1][1]
-            before = marked
+    def forward(self, word: str, j: int, best: list[tuple[float, int]], shift: int = 0) -> tuple[float, int]:
+        """(score, -tokens) of word[:j]; best[i - shift] holds those of word[:i]."""
+        c = word[j - 1]
+        raw = len(c.encode("utf-8", "replace"))
+        s, t = best[j - 1 - shift]
+        top = (s + BYTE * raw, t - raw)
+        score = self.score
+        for i in range(max(0, j - self.starts.get(c, 0)), j):
+            p = score.get(word[i:j])
+            if p is not None:
+                s, t = best[i - shift]
+                made = (s + p, t - 1)
+                if made > top:
+                    top = made
+        return top
+
+    def insert(self, word: str) -> int:
+        """Token count of a word; nodes that earlier words made are passed, others are made."""
+        word = MARK + word
+        if len(word) > LONG:
+            return self.windowed(word)
+        children, top = self.root
+        best = [top]
+        for j, c in enumerate(word, 1):
+            node = children.get(c)
+            if node is None:
+                node = children[c] = ({}, self.forward(word, j, best))
+                self.nodes += 1
+            children, top = node
+            best.append(top)
+        return -top[1]
+
+    def windowed(self, word: str) -> int:
+        best, shift = [(0.0, 0)], 0
+        for j in range(1, len(word) + 1):
+            best.append(self.forward(word, j, best, shift))
+            if len(best) > 2 * self.longest:
+                shift += len(best) - self.longest
+                del best[: -self.longest]
+        return -best[-1][1]
 
     def count(self, texts: list[str]) -> tuple[list[int], list[int]]:
         """Tokens and words of each text."""
         cut = [t.split() for t in texts]
-        new = {w for words in cut for w in words} - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w for words in cut for w in words}
-        self.learn(list(new))
+        if self.nodes > NODES or self.chars > REMEMBERED:
+            self._start()
         known = self.known
+        new = {w for words in cut for w in words} - known.keys()
+        for w in sorted(new):
+            known[w] = self.insert(w)
+        self.chars += sum(map(len, new)) + 60 * len(new)
         return [sum([known[w] for w in words]) for words in cut], [len(words) for words in cut]
 
 
 @lru_cache(maxsize=2)
-def counter(pieces: tuple[str, ...]) -> Counter:
-    return Counter(list(pieces))
+def counter(pieces: tuple[tuple[str, float], ...]) -> Counter:
+    return Counter(dict(pieces))
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_words of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(read_pieces(path)))
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(read_pieces(path).items()))
 
     def score(texts: list[str]) -> dict[str, pa.Array]:
         tokens, words = counter(sent.value).count(texts)

@@ -80,9 +80,33 @@ def brute(counter, word):
 def test_counts_equal_brute_force(spark, awkward, nothing, rng):
     counter = tokencount.Counter(tokencount.read_pieces())
     words = ["".join(rng.choice("thearinos é😀") for _ in range(rng.randint(1, 14))).replace(" ", "") or "x" for _ in range(400)]
-    counter.learn(words)
-    assert all(counter.known[w] == brute(counter, w) for w in words)
+    assert all(counter.insert(w) == brute(counter, w) for w in words)
+    assert counter.nodes < sum(len(w) + 1 for w in words) - 100  # shared prefixes are made once
     got = {(r.doc_id, r.n_words): r.n_tokens for r in tokencount.token_counts(awkward).collect()}
     assert got[(1, 0)] == got[(2, 0)] == got[(3, 0)] == 0 and got[(4, 1)] == brute(counter, "one")
     assert got[(6, 30_000)] == 30_000 * brute(counter, "word")
     assert tokencount.token_counts(awkward).count() == 11 and tokencount.token_counts(nothing).collect() == []
+
+
+def test_forgetting_and_long_words(monkeypatch, rng):
+    pieces = tokencount.read_pieces()
+    texts = [" ".join("".join(rng.choice("thearinos") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(20)]
+    want = tokencount.Counter(pieces).count(texts)
+    monkeypatch.setattr(tokencount, "NODES", 50)
+    small = tokencount.Counter(pieces)
+    got = [small.count([t]) for t in texts]
+    assert ([g[0][0] for g in got], [g[1][0] for g in got]) == want and small.nodes < 2_000
+    word = "".join(rng.choice("thearinos é😀") for _ in range(5_000)).replace(" ", "")
+    assert small.insert(word) == brute(small, word) and small.insert("x" * 200_000) > 0
+    assert tokencount.zipf_scores(["b", "a", "b"])["b"] == -np.log(2)
+
+
+def test_every_code_point(tokenizer):
+    """Each code point alone, in a word, and doubled has the library's ids."""
+    encoder = bpe.Encoder(bpe.read_spec())
+    codes = [c for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 2_000):
+        texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}" for c in codes[at : at + 2_000]]
+        want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        got = encoder.encode(texts)[0]
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
