@@ -2,17 +2,26 @@
 mixed to target weights, and token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the shared folder
-and reads them again for the next, so a lost executor costs at most a part of one stage. All stages but the last
-return the columns of documents. No SQL expresses the fitted classifier, the keyed surrogates or the random rounding;
-tests hold each stage against the brute-force forms of its operator.
+and reads them again for the next, so a lost executor costs at most a part of one stage. When a stage is written, the
+tables it was made from are deleted. All stages but the last return the columns of documents. No SQL expresses the fitted
+classifier, the keyed surrogates or the random rounding; tests hold each stage against the brute-force forms of its
+operator.
+
+Results, in every stage: rows are told apart by their content, so rows with null or clashing ids are neither lost nor
+mixed up; null and empty texts pass through (toxicity: without hits; near duplicates: each id's once; surrogates: as they
+are; mixing: taken 0 times, as they have no words); very long texts are read whole; of repeated rows near_duplicates
+keeps one; an empty table gives an empty table; columns beyond those of documents are carried along.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexichron.llm import bpe, mixing, neardup, pii, toxicity
-from lexichron.llm.common import Shelf, table
+from lexichron.llm.common import Shelf, clear_shelves, open_shelves, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +34,19 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return neardup.drop_near_duplicates(docs, k=5, percent=80)
 
 
+#: The session's setting that holds the surrogates' key, in hexadecimal digits.
+KEY_SETTING = "spark.lexichron.surrogate.key"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING, by which runs agree; where it is unset, a fresh one that nobody keeps."""
+    known = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(known) if known else secrets.token_bytes(32)
+
+
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates; n_chars follows the new text where the column is there."""
-    from pyspark.sql import functions as F
-
-    out = pii.replace_pii(docs)
+    out = pii.replace_pii(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
@@ -58,7 +75,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shelf = Shelf(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = shelf.put(stage(spark, docs, sf_dir))
+        since, before = open_shelves(), docs
+        docs = shelf.put(stage(spark, before, sf_dir))
+        clear_shelves(since)
+        shelf.drop(before)
     return docs
 
 

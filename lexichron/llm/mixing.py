@@ -12,9 +12,14 @@ Groups are (source, size class, salt), with as many salts as keep a group near G
 of all rows is spread over many tasks. Only groups' leftovers travel up the tree. Draws come from hashes of the seed
 and the documents, so reruns agree. Source sizes and targets are aggregates, one row a source.
 
-Results: a null or empty text has size 0 and takes nothing; a null source is a source of its own, last in order;
-repeated rows are rows of their own, told apart by their position among equals; an empty table gives an empty table;
-a source without words has target 0.
+Sources may be as many as hosts: they are numbered through a range sort with running counts of its parts, and targets
+follow from sums over all sources, taken anew while any source is above its cap; no step needs all sources in one task.
+
+Results: a null or empty text has size 0 and takes nothing, very long ones count whole; a null source is a source of its
+own, last in order; repeated rows are rows of their own: they share one key, and any of them may stand for another; an
+empty table gives an empty table; a source without words has target 0. mix reads doc_id, source and text only;
+mixed_documents carries all other columns along, whatever their names (but for __key and __copies, which it adds and
+removes).
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .common import Shelf, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 GROUP, FAN, SEED = 4_000, 1_000, 1
+#: Equal rows that one task numbers.
+REPEATS = 4_000
 TOTAL_SHARE, MOST = 1.5, 2.0
 #: Probabilities this close to 0 or 1 are that.
 NEAR = 1e-9
@@ -40,28 +47,39 @@ def word_count(text: str = "text"):
     return F.coalesce(F.expr(f"cast(regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+') as bigint)"), F.lit(0).cast("bigint"))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST) -> DataFrame:
+def numbered(sources: DataFrame, shelf: Shelf) -> DataFrame:
+    """sources with place: the number of each source in code point order from 0, null last."""
+    order = F.col("source").asc_nulls_last()
+    dealt = shelf.put(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    in_part = Window.partitionBy("part").orderBy(order)
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("in_part"))  # a row a part of the sort
+    before = sizes.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return dealt.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.row_number().over(in_part) - 1).drop("part", "before")
+
+
+def source_targets(sizes: DataFrame, shelf: Shelf, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target, n of every source of sizes(source, size).
 
-    Weights repeat over the sources in code point order. Sharing the excess of capped sources by weight until none
-    is above its cap ends at min(cap, level * weight) for one level; sources sorted by cap / weight are capped up to
-    some place, and the level follows from running sums.
+    Weights repeat over the sources in code point order. Sources at their cap keep it, and what is left of the total is
+    shared by weight among the others, until none is above its cap; a round caps at least one source, in practice many.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    per = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), shelf)
     kinds = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("weight", F.get(kinds, ((F.row_number().over(order) - 1) % len(weights)).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * float(most))
-    per = per.withColumn("ratio", F.col("cap") / F.col("weight"))
-    upto = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    total = F.sum("source_size").over(everything) * float(share)
-    per = per.withColumn("level", (total - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("weight").over(rest))
-    # a source is uncapped if the level, with all before it capped, does not lift it above its cap; the first such level holds
-    per = per.withColumn("free", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything))
-    target = F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("free.level") * F.col("weight")))
-    return per.select("source", "source_size", "n", target.alias("target"))
+    per = per.withColumn("weight", F.get(kinds, (F.col("place") % len(weights)).cast("int"))).withColumn("cap", F.col("source_size") * float(most))
+    per = shelf.put(per.drop("place"))
+    left = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = 0.0
+    while True:
+        # sources that a level caps stay capped, as levels only rise
+        capped = F.col("cap") <= F.col("weight") * F.lit(level)
+        full, weight = per.agg(F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight")))).first()
+        if not weight:
+            break
+        risen = (left - (full or 0.0)) / weight
+        if risen <= level:
+            break
+        level = risen
+    return per.select("source", "source_size", "n", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _uniform(*parts) -> float:
@@ -127,6 +145,17 @@ def _head(seed: int, most: float):
     return run
 
 
+def one_by_one(rows: DataFrame) -> DataFrame:
+    """rows(…, repeats) as often as repeats says, numbered by nth from 1; a row of many repeats is dealt to many tasks."""
+    few = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats"))).alias("nth")
+    names = [c for c in rows.columns if c != "repeats"]
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("repeats") - 1) / REPEATS))).alias("block")
+    many = rows.filter(F.col("repeats") > REPEATS).select("*", blocks).repartition("key", "block")
+    first = F.col("block") * REPEATS + 1
+    each = F.explode(F.sequence(first, F.least("repeats", first + REPEATS - 1))).alias("nth")
+    return rows.filter(F.col("repeats") <= REPEATS).select(*names, few).union(many.select(*names, each))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST, seed: int = SEED, group: int = GROUP, fan: int = FAN) -> DataFrame:
     """doc_id, source, key, size, source_size, target, copies of every row of docs; key and nth tell rows apart."""
     spark = docs.sparkSession
@@ -136,8 +165,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TO
     sizes = shelf.put(base)
     # one row per distinct document, with the number of its copies in docs
     rows = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("repeats"))
-    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats")))).drop("repeats")
-    targets = shelf.put(source_targets(sizes, weights, share, most))
+    rows = one_by_one(rows)
+    targets = shelf.put(source_targets(sizes, shelf, weights, share, most))
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "n")
     rows = rows.join(t, rows["source"].eqNullSafe(t["t_source"])).drop("t_source")
     rows = rows.withColumn("class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * 2))
@@ -183,17 +212,31 @@ def _tree(up):
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it."""
-    names = docs.columns
-    # copies of the rows that share a key (repeated rows), in order; nearly always one
-    lists = mix(docs, **options).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", "copies"))).alias("taken"))
-    lists = lists.filter(F.exists("taken", lambda x: x["copies"] > 0))
-    sortable = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("doc_id", "source", "text").alias("key"), F.xxhash64(*sortable).alias("tie"))
-    both = rows.join(lists, "key").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("tie")))
-    copies = F.coalesce(F.get("taken", F.col("nth") - 1)["copies"], F.lit(0))
-    repeated = both.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    return repeated.select("row.*")
+    """The rows of docs, with all their columns, each as often as the mix takes it.
+
+    Of rows that share a key (doc_id, source and text) the mix says how many are taken how often; nearly always there is
+    one. Several are first counted by all their columns, so that equal ones travel as one, and then take their copies in
+    an order that their columns fix.
+    """
+    most = int(options.get("most", MOST))
+    taken = mix(docs, **options).groupBy("key").agg(F.count("*").alias("rows"), *[F.count_if(F.col("copies") == c).alias(f"of_{c}") for c in range(1, most + 1)])
+    plan = F.struct("rows", *[F.col(f"of_{c}") for c in range(1, most + 1)])
+    taken = taken.filter(" + ".join(f"of_{c}" for c in range(1, most + 1)) + " > 0").select(F.col("key").alias("__key"), plan.alias("__plan"))
+    rows = docs.select("*", F.xxhash64("doc_id", "source", "text").alias("__key")).join(taken, "__key")
+    alone = rows.filter("__plan.rows = 1")
+    single = sum((F.col(f"__plan.of_{c}") * c for c in range(2, most + 1)), F.col("__plan.of_1"))
+    alone = alone.select(*docs.columns, single.alias("__copies"))
+    shared = rows.filter("__plan.rows > 1").groupBy(*docs.columns, "__key", "__plan").agg(F.count("*").alias("__m"))
+    line = Window.partitionBy("__key").orderBy(*[c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()])
+    upto = F.sum("__m").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = shared.withColumn("__upto", upto)
+    low, total, copies = F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for c in range(most, 0, -1):  # the first of_most rows are taken most times, and so on
+        low, total = total, total + F.col(f"__plan.of_{c}")
+        copies = copies + c * F.greatest(F.lit(0).cast("bigint"), F.least("__upto", total) - F.greatest(F.col("__upto") - F.col("__m"), low))
+    shared = shared.select(*docs.columns, copies.alias("__copies"))
+    both = alone.union(shared).filter("__copies > 0")
+    return both.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

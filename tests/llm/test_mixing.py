@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexichron.llm import mixing as M
 from tests.llm.conftest import prose
@@ -78,3 +79,31 @@ def test_mixed_documents_repeat_as_mix_says(spark, corpus):
 def test_only_empty_texts(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a")], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.copies) for r in M.mix(df).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_many_equal_rows(spark, monkeypatch, rng):
+    """A row that stands for a third of all is numbered in blocks and takes as many copies as the mix gave its rows."""
+    monkeypatch.setattr(M, "REPEATS", 50)
+    rows = [(7, "hot words here", "a", "same")] * 700 + [(7, "hot words here", "a", f"other {i}") for i in range(40)]
+    rows += [(i, prose(rng, rng.choice([3, 20])), rng.choice("ab"), "x") for i in range(100, 1_400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __m string").repartition(6)
+    made = M.mix(df)
+    per = {r.key: (r.n, r.total) for r in made.groupBy("key").agg(F.count("*").alias("n"), F.sum("copies").alias("total")).collect()}
+    assert made.count() == len(rows) and max(n for n, _ in per.values()) == 740
+    out = M.mixed_documents(df.withColumnRenamed("__m", "extra"))
+    assert out.count() == sum(t for _, t in per.values())
+    hot = out.filter("doc_id = 7").groupBy("extra").count().collect()
+    assert sum(r["count"] for r in hot) == next(t for n, t in per.values() if n == 740)
+    assert all(r["count"] <= 2 * (700 if r.extra == "same" else 1) for r in hot)
+
+
+def test_sources_as_many_as_hosts(spark):
+    rows = [(i, "word " * (1 + i * 7 % 13), f"host-{i * 37 % 900:04d}" if i % 50 else None) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = df.select("source", M.word_count().alias("size"))
+    got = {r.source: r.target for r in M.source_targets(sizes, M.Shelf(spark)).collect()}
+    per = {}
+    for _, text, source in rows:
+        per[source] = per.get(source, 0) + len(text.split())
+    want = level(per, M.WEIGHTS)
+    assert got.keys() == want.keys() and all(np.isclose(got[s], want[s]) for s in want)
