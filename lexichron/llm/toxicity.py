@@ -27,6 +27,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,8 @@ SIGN_COST, DROP_COST, JOIN_COST, ODD_COST = math.log(0.2), math.log(0.3), math.l
 TWICE_COST = ODD_COST
 #: Punctuation after a word's last letter mostly stands for itself.
 CLOSING_COST = math.log(0.5)
-#: Tokens up to this length are remembered, and so many characters of them.
-REMEMBERED, REMEMBERED_CHARS = 200, 4_000_000
+#: Tokens up to this length are remembered, and about so many characters of them (with 50 more a token).
+REMEMBERED, REMEMBERED_CHARS = 200, 16_000_000
 
 WORD = re.compile(r"\w+")
 #: What is restored at once: a run of letters, digits and signs.
@@ -74,10 +75,17 @@ def symbol_table() -> np.ndarray:
     return np.concatenate([narrow, wide])
 
 
+@lru_cache(maxsize=10_000)
 def symbol(c: str) -> int:
     return min(ord(c), WIDE) if c.isalpha() else 0
 
 
+@lru_cache(maxsize=10_000)
+def itself(c: str) -> list[tuple[str, float]]:
+    """The one choice of a letter that stands for itself."""
+    return [(c, 0.0)]
+
+
 BITS = 14
 #: The letters of Latin-1 have small numbers too, by which most trigrams are counted without sorting; 0 is a gap, SMALL - 1 any other.
 SMALL = 64
@@ -190,12 +198,13 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     out, last, imitates = [], len(span.rstrip("!|+*")), IMITATES[script(span)]
     for i, c in enumerate(span):
         prev = span[i - 1] if i else ""
+        if c != prev and c.isalpha():
+            out.append(itself(c))
+            continue
         # most letters that stand twice are spelled so
         drop = DROP_COST if (i > 1 and span[i - 2] == c) or span[i + 1 : i + 2] == c else TWICE_COST
         if c.isalpha():
-            choices = [(c, 0.0)]
-            if c == prev:
-                choices = [(c, ODD_COST / 2 if i > 1 and span[i - 2] == c else 0.0), ("", drop)]
+            choices = [(c, ODD_COST / 2 if i > 1 and span[i - 2] == c else 0.0), ("", drop)]
         elif c in imitates:
             closing = c in "!|+*" and i >= last
             choices = [(c, CLOSING_COST if closing else ODD_COST), *((x, SIGN_COST - math.log(len(imitates[c]))) for x in imitates[c])]
@@ -219,6 +228,12 @@ def restore_span(span: str, model: CharModel) -> str:
     low, log, known = (1 << BITS) - 1, model.log, model.known
     best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by two packed symbols
     for choices in lattice(span):
+        if len(choices) == 1 and len(best) == 1:  # most letters of a word: one state, one way on
+            ((ab, (score, cell)),), ((c, cost),) = best.items(), choices
+            key = ab << BITS | symbol(c)
+            p = known.get(key)
+            best = {key & (1 << 2 * BITS) - 1: (score + cost + (log(key) if p is None else p), (cell, c))}
+            continue
         steps = [(c, symbol(c) if c else 0, cost) for c, cost in choices]
         after: dict[int, tuple[float, tuple | None]] = {}
         for ab, (score, cell) in best.items():
@@ -240,11 +255,31 @@ def restore_span(span: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+class Memory:
+    """What a worker remembers of words, in two generations: when the young one is full it becomes the old one, and what
+    is asked for again moves back. Hot words stay, and memory is bounded."""
+
+    def __init__(self):
+        self.young, self.old, self.chars = {}, {}, 0
+
+    def get(self, word: str):
+        got = self.young.get(word)
+        if got is None and (got := self.old.get(word)) is not None:
+            self.put(word, got)
+        return got
+
+    def put(self, word: str, value) -> None:
+        self.chars += len(word) + 50
+        if self.chars > REMEMBERED_CHARS // 2:
+            self.young, self.old, self.chars = {}, self.young, len(word) + 50
+        self.young[word] = value
+
+
 class Reader:
-    """Words of texts with every disguise undone. Remembers short tokens, REMEMBERED_CHARS characters of them at most."""
+    """Words of texts with every disguise undone; remembers short tokens."""
 
     def __init__(self, model: CharModel):
-        self.model, self.known, self.chars = model, {}, 0
+        self.model, self.known = model, Memory()
 
     def restored(self, token: str) -> str:
         """A token of a text in plain form, with its disguised stretches restored."""
@@ -258,19 +293,17 @@ class Reader:
 
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
-        known, out = self.known, set()
-        for token in set(TOKEN.findall(self.spans(text))):
-            words = known.get(token)
-            if words is None:
-                words = tuple(WORD.findall(self.restored(token)))
-                if len(token) <= REMEMBERED:
-                    if self.chars > REMEMBERED_CHARS:
-                        known.clear()
-                        self.chars = 0
-                    known[token] = words
-                    self.chars += len(token) + 50
-            out.update(words)
-        return out
+        tokens = list(set(TOKEN.findall(self.spans(text))))
+        found = list(map(self.known.young.get, tokens))
+        if None in found:
+            for i, token in enumerate(tokens):
+                if found[i] is None:
+                    if (words := self.known.get(token)) is None:
+                        words = tuple(WORD.findall(self.restored(token)))
+                        if len(token) <= REMEMBERED:
+                            self.known.put(token, words)
+                    found[i] = words
+        return set(chain.from_iterable(found))
 
 
 def restore(text: str, model: CharModel) -> str:
@@ -338,7 +371,7 @@ class Toxicity:
         self._start()
 
     def _start(self) -> None:
-        self.reader, self.strong, self.chars = Reader(self.model), {}, 0
+        self.reader, self.strong = Reader(self.model), Memory()
 
     def __getstate__(self) -> tuple:
         return self.model, self.strengths, self.curve
@@ -349,18 +382,17 @@ class Toxicity:
 
     def hits(self, text: str) -> tuple[list[float], int]:
         """Strengths of the distinct words that hit, and the number of distinct words."""
-        words, strong, found = self.reader.words(text), self.strong, []
-        if self.chars > REMEMBERED_CHARS:
-            strong.clear()
-            self.chars = 0
-        for w in words:
-            s = strong.get(w)
-            if s is None:
-                s = strong[w] = max([self.strengths.get(f, 0.0) for f in word_features(w)])
-                self.chars += len(w) + 50
-            if s:
-                found.append(s)
-        return found, len(words)
+        words = list(self.reader.words(text))
+        found = list(map(self.strong.young.get, words))
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    if (s := self.strong.get(w)) is None:
+                        s = max([self.strengths.get(f, 0.0) for f in word_features(w)])
+                        if len(w) <= REMEMBERED:
+                            self.strong.put(w, s)
+                    found[i] = s
+        return [s for s in found if s], len(words)
 
     def score(self, text: str) -> float:
         if self.curve is None:
