@@ -27,13 +27,29 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Characters that their compatibility form leaves alone: ASCII, letters with marks, dashes and quotation marks.
+STABLE = r"^[\x00-\x7FÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-žƀ-ǃ\u0400-\u04FF–—‘’“”„«»…]*$"
+
+
+def folded(text: Column) -> Column:
+    """A text in compatibility form; those of stable characters alone, nearly all, send nothing to Python."""
+    return F.coalesce(nfkc(F.when(~text.rlike(STABLE), text)), text)
+
+
+def folded_words(words: Column) -> Column:
+    """An array of words, each in compatibility form."""
+    joined = F.array_join(words, "\n")
+    return F.coalesce(F.split(nfkc(F.when(~joined.rlike(STABLE), joined)), "\n"), words)
+
+
 def split_words(text: Column) -> Column:
     """White-space separated words."""
     return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
 
 
 def quote_tokens(text: Column) -> Column:
-    """Comparable tokens: straight apostrophes, lower case, other signs as gaps, apostrophes stripped at the ends."""
+    """Comparable tokens of a folded text: straight apostrophes, lower case, other signs as gaps, apostrophes stripped at the
+    ends."""
     straight = F.replace(F.replace(text, F.lit(STRAIGHT[0][0]), F.lit("'")), F.lit(STRAIGHT[0][1]), F.lit("'"))
     plain = F.regexp_replace(F.lower(straight), r"[^\p{L}\p{N}_\s']+", " ")
     # apostrophes at the ends of words go in one pass over the text rather than one a word

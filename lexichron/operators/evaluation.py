@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +29,36 @@ def first_correct(results: DataFrame, golden: DataFrame, k: int = 10) -> DataFra
     return every.join(found, ["mode", "query_id"], "left")
 
 
+def lookup_golden(golden: DataFrame, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """golden(…, feed_url, guid) with the episode_id of its feed and guid in episodes(id, feed_url, guid), and one row with
+    the number of questions found and missing. Missing ones take no part in an evaluation."""
+    e = episodes.select(F.col("id").alias("episode_id"), "feed_url", "guid")
+    both = golden.join(e, ["feed_url", "guid"], "left")
+    return both.filter("episode_id IS NOT NULL"), both.agg(F.count("episode_id").alias("found"), F.count_if(F.col("episode_id").isNull()).alias("missing"))
+
+
+def generate_golden(sampled: DataFrame, replies: DataFrame, located: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Golden rows of sampled(episode_id, idx, start_ms, end_ms, feed_url, guid) and a model's replies(episode_id, idx, skip,
+    question, evidence), and one row sampled, skipped, unlocated.
+
+    located(episode_id, quote, start_ms, end_ms, …) -> the same with at_ms finds where the evidence is said (quotes.located);
+    a question without question, evidence or place is left out and counted.
+    """
+    rows = sampled.join(replies, ["episode_id", "idx"], "left")
+    asked = ~F.coalesce("skip", F.lit(False)) & (F.coalesce("question", F.lit("")) != "") & (F.coalesce("evidence", F.lit("")) != "")
+    found = located(rows.withColumn("asked", asked).withColumn("quote", F.col("evidence")))
+    stats = found.agg(
+        F.count("*").alias("sampled"), F.count_if(~F.col("asked")).alias("skipped"), F.count_if(F.col("asked") & F.col("at_ms").isNull()).alias("unlocated")
+    )
+    good = found.filter(F.col("asked") & F.col("at_ms").isNotNull())
+    return good.select(F.trim("question").alias("question"), "feed_url", "guid", F.round(F.col("at_ms") / 1000, 2).alias("answer_time")), stats
+
+
+def median_seconds(timings: DataFrame, *by: str) -> DataFrame:
+    """p50_seconds of timings(…, seconds) for each of `by`."""
+    return timings.groupBy(*by).agg(F.median("seconds").alias("p50_seconds"))
+
+
 def retrieval_metrics(firsts: DataFrame, within_ms: int = 15_000) -> DataFrame:
     """Per mode: queries, recall at 1, 5, 10, mean reciprocal rank, median offset of right first hits, and the share of all
     queries whose first hit starts at most within_ms before the answer."""
@@ -43,7 +73,7 @@ def retrieval_metrics(firsts: DataFrame, within_ms: int = 15_000) -> DataFrame:
 
 
 def answer_metrics(answers: DataFrame, citations: DataFrame, golden: DataFrame) -> DataFrame:
-    """One row over all questions. answers: question_id, found, repaired, removed, rejected, tokens; citations:
+    """One row over all questions. answers: question_id, found, repaired, removed, rejected, tokens, seconds; citations:
     question_id, episode_id, at_ms; golden: question_id, episode_id, answer_ms."""
     g = golden.select("question_id", F.col("episode_id").alias("g_episode"), "answer_ms")
     c = citations.join(g, "question_id")
@@ -62,12 +92,25 @@ def answer_metrics(answers: DataFrame, citations: DataFrame, golden: DataFrame)
         F.when(all_cited + all_rejected > 0, all_rejected / (all_rejected + all_cited)).otherwise(0.0).alias("rejected_rate"),
         F.count_if(F.col("removed") > 0).alias("lost_sentences"),
         F.avg("tokens").alias("mean_tokens"),
+        F.median("seconds").alias("p50_seconds"),
     )
 
 
 # --- word error rates -----------------------------------------------------------------------------------------------
 
 
+def wer_words(text: Column) -> Column:
+    """The default normaliser: lower case, marks gone but apostrophes inside words, hyphens as gaps."""
+    return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[-–—]", " "), r"[^\p{L}\p{N}\s']|(?<!\S)'+|'+(?!\S)", ""), r"\s+"), lambda w: w != "")
+
+
+def normalized_pairs(pairs: DataFrame, normalize: Callable[[Column], Column] = wer_words) -> DataFrame:
+    """pairs(pair_id, ref, hyp) of texts as word arrays, by any normaliser (also a pandas function of a text); pairs whose
+    reference has no word left are dropped."""
+    rows = pairs.select("pair_id", normalize(F.col("ref")).alias("ref"), normalize(F.col("hyp")).alias("hyp"))
+    return rows.filter(F.size("ref") > 0)
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Edits between two word arrays: each distinct word becomes one character, and the built-in distance does the rest."""
     names = F.array_distinct(F.concat(reference, hypothesis))

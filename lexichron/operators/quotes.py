@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MIN_QUOTE_TOKENS, clock, contains_phrase, phrase_index, quote_tokens
+from ..functions.text import MIN_QUOTE_TOKENS, clock, contains_phrase, folded, folded_words, phrase_index, quote_tokens
 
 #: Reasons of the critic.
 NO_PASSAGE, QUESTION, NOT_FOUND = "no such passage", "quote is a question, not a statement", "quote not found verbatim in passage"
@@ -19,14 +19,17 @@ def find_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     An inverted index on runs of four tokens proposes the pairs: the first run of each quote is joined with every run
     of the texts, so the cost follows the matches and no pair without a common run is formed.
     """
-    q = quotes.select("quote_id", quote_tokens(F.col("quote")).alias("needle")).filter(F.size("needle") >= MIN_QUOTE_TOKENS)
+    enough = lambda words: F.size(words) >= MIN_QUOTE_TOKENS
     run = lambda words, i: F.xxhash64(*[F.get(words, i + j) for j in range(MIN_QUOTE_TOKENS)])
-    q = q.withColumn("gram", run(F.col("needle"), F.lit(0)))
-    t = texts.select("text_id", quote_tokens(F.col("text")).alias("hay")).filter(F.size("hay") >= MIN_QUOTE_TOKENS)
+    q = quotes.select("quote_id", quote_tokens(folded(F.col("quote"))).alias("needle"))
+    firsts = q.select("quote_id", "needle", F.explode(F.when(enough(F.col("needle")), F.array(run(F.col("needle"), F.lit(0))))).alias("gram"))
+    t = texts.select("text_id", folded(F.col("text")).alias("text"))
+    hay = t.select("text_id", quote_tokens(F.col("text")).alias("hay"))
     grams = F.transform(F.sequence(F.lit(0), F.size("hay") - MIN_QUOTE_TOKENS), lambda i: run(F.col("hay"), i))
-    runs = t.select("text_id", F.explode(grams).alias("gram"))
-    pairs = runs.join(q.select("quote_id", "gram"), "gram").select("quote_id", "text_id").distinct()
-    both = pairs.join(q.select("quote_id", "needle"), "quote_id").join(t, "text_id")
+    # runs that begin no quote go before anything is shuffled (quotes that are many meet the runs in a shuffled join)
+    runs = hay.select("text_id", F.explode(F.when(enough(F.col("hay")), F.array_distinct(grams))).alias("gram"))
+    pairs = runs.join(firsts, "gram").select("quote_id", "text_id", "needle").distinct()
+    both = pairs.join(t, "text_id").withColumn("hay", quote_tokens(F.col("text")))
     return both.filter(contains_phrase(F.col("hay"), F.col("needle"))).select("quote_id", "text_id")
 
 
@@ -43,9 +46,9 @@ def locate(needle: Column, tokens: Column, starts: Column, low: Column, high: Co
 def located(quotes: DataFrame, transcripts: DataFrame) -> DataFrame:
     """quotes(…, episode_id, quote, start_ms, end_ms) with at_ms. Joins on the episode, then looks inside the passage."""
     # only the episodes asked about; the semi join goes below the arrays' making
-    t = transcripts.select("episode_id", "tokens", "starts").join(quotes.select("episode_id").distinct(), "episode_id", "left_semi")
+    t = transcripts.select("episode_id", folded_words(F.col("tokens")).alias("tokens"), "starts").join(quotes.select("episode_id").distinct(), "episode_id", "left_semi")
     low, high = F.col("start_ms") - SLACK_MS, F.col("end_ms") + SLACK_MS
-    at = locate(quote_tokens(F.col("quote")), F.col("tokens"), F.col("starts"), low, high)
+    at = locate(quote_tokens(folded(F.col("quote"))), F.col("tokens"), F.col("starts"), low, high)
     return quotes.join(t, "episode_id", "left").withColumn("at_ms", at).drop("tokens", "starts")
 
 
@@ -70,21 +73,31 @@ def parse_citations(raw: DataFrame) -> DataFrame:
     return raw.select("question_id", F.posexplode_outer(items).alias("ord", "c")).select("question_id", "ord", "c.n", "c.quote")
 
 
+def marker_texts(text: Column) -> Column:
+    """The digits of each [n] marker."""
+    return F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), 1)
+
+
 def markers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), 1), lambda m: m.cast("int"))
+    """The numbers of the [n] markers; those too large for any passage are left out."""
+    return F.filter(F.transform(marker_texts(text), lambda m: m.try_cast("int")), lambda n: n.isNotNull())
 
 
 def supported(text: Column, ok: Column) -> Column:
     """struct<kept, removed>: the sentences with a marker in ok, less their other markers; the number of others."""
-    sentences = F.split(text, r"(?<=[.!?])\s+")
-    kept = F.filter(sentences, lambda s: F.arrays_overlap(markers(s), ok))
+    # white space of any kind at the ends does not count
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    sentences = F.split(bare(text), r"(?<=[.!?])\s+")
+    backed = lambda s: F.arrays_overlap(markers(s), ok)
 
     def clean(s: Column) -> Column:
-        bad = F.array_except(markers(s), ok)
-        return F.replace(F.aggregate(bad, s, lambda acc, n: F.replace(acc, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit(""))), F.lit("  "), F.lit(" "))
+        wrong = F.filter(F.array_distinct(marker_texts(s)), lambda m: ~F.coalesce(F.array_contains(ok, m.try_cast("int")), F.lit(False)))
+        left = F.aggregate(wrong, s, lambda acc, m: F.replace(acc, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
+        return F.replace(left, F.lit("  "), F.lit(" "))
 
-    dropped = F.size(F.filter(sentences, lambda s: (F.trim(s) != "") & ~F.arrays_overlap(markers(s), ok)))
-    return F.struct(F.array_join(F.transform(kept, clean), " ").alias("kept"), dropped.alias("removed"))
+    kept = F.array_join(F.transform(F.filter(sentences, backed), clean), " ")
+    dropped = F.size(F.filter(sentences, lambda s: (s != "") & ~backed(s)))
+    return F.struct(bare(kept).alias("kept"), dropped.alias("removed"))
 
 
 def used_citations(citations: DataFrame, answers: DataFrame) -> DataFrame:

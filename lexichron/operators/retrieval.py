@@ -7,7 +7,7 @@ winners are joined with their texts.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.text import keyword_terms, stems
 
 CANDIDATES, SHORTLIST, RRF_K = 50, 20, 60
-#: Queries that travel to the vectors together.
-QUERY_BLOCK = 1_024
+#: Queries and rows of a block.
+QUERY_BLOCK, ROW_BLOCK = 1_024, 16_384
 
 
 def ranked(scores: DataFrame, k: int, *best: Column) -> DataFrame:
@@ -28,9 +28,18 @@ def ranked(scores: DataFrame, k: int, *best: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "id", "rank")
 
 
-def postings(docs: DataFrame, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
-    """term, id, tf of docs(id, text): what an index would store. analyze may also be stemmed_terms, on both sides."""
-    return docs.select("id", F.explode(analyze(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def query_terms(queries: DataFrame, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
+    """query_id, term of queries(query_id, question), each term once."""
+    return queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
+
+
+def postings(docs: DataFrame, analyze: Callable[[Column], Column] = keyword_terms, only: DataFrame | None = None) -> DataFrame:
+    """term, id, tf of docs(id, text): what an index stores. analyze may also be stemmed_terms, on both sides. Without a
+    stored index, only(term) keeps the terms asked for, and the others go before anything is shuffled."""
+    terms = docs.select("id", F.explode(analyze(F.col("text"))).alias("term"))
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
+    return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
 def stemmed_terms(text: Column) -> Column:
@@ -42,8 +51,7 @@ def keyword_scores(index: DataFrame, queries: DataFrame, analyze: Callable[[Colu
 
     With terms joined by OR every minimal cover is one place, so cover density counts matching places.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
-    return index.join(terms, "term").groupBy("query_id", "id").agg(F.sum("tf").alias("score"))
+    return index.join(query_terms(queries, analyze), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("score"))
 
 
 def keyword_leg(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
@@ -58,46 +66,52 @@ def _matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.
     return ids.filter(good).to_numpy(zero_copy_only=False)[whole], x[whole]
 
 
-def vector_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, queries_a_block: int = QUERY_BLOCK, rows_a_block: int = ROW_BLOCK) -> DataFrame:
     """The k rows of vectors(id, embedding) nearest by cosine distance to each of queries(query_id, embedding).
 
-    Exact. Queries go to the vectors in blocks of about `block` rows, a broadcast of bounded size each; a task keeps the k
-    best a query of its own rows, and only those are shuffled.
+    Exact. Queries and rows are dealt into blocks by hash; each pair of blocks is one group of a co-group, of bounded
+    size, that gives the best k a query. The plan does not depend on how many there are.
     """
-    spark = vectors.sparkSession
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
-    blocks = max(1, math.ceil(asked.count() / block))
-    legs = None
-    for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        if not part.num_rows:
-            continue
-        q_vectors = part["embedding"].combine_chunks()
-        dim = max((n for n in pc.list_value_length(q_vectors).to_pylist() if n), default=1)
-        sent = spark.sparkContext.broadcast((dim, *_matrix(part["query_id"].combine_chunks(), q_vectors, dim)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            dim, q_ids, q = sent.value
-            q_size = np.sqrt((q * q).sum(1))
-            dist, ids = np.full((len(q), 0), np.inf), np.full((len(q), 0), -1, np.int64)
-            for batch in batches:
-                v_ids, v = _matrix(batch.column(0), batch.column(1), dim)
-                v_size = np.sqrt((v * v).sum(1))
-                product = np.zeros((len(q), len(v)))
-                for j in range(dim):  # in order, as a plain loop would add
-                    product += q[:, j, None] * v[None, :, j]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = 1 - product / (q_size[:, None] * v_size[None, :])
-                dist, ids = np.hstack([dist, np.nan_to_num(d, nan=np.inf)]), np.hstack([ids, np.tile(v_ids, (len(q), 1))])
-                at = np.lexsort((ids, dist), axis=1)[:, :k]
-                dist, ids = np.take_along_axis(dist, at, 1), np.take_along_axis(ids, at, 1)
-            real = np.isfinite(dist)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, real.sum(1))), pa.array(ids[real]), pa.array(dist[real])], names=["query_id", "id", "distance"])
-
-        leg = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInArrow(run, "query_id bigint, id bigint, distance double")
-        legs = leg if legs is None else legs.union(leg)
-    if legs is None:
-        legs = spark.createDataFrame([], "query_id bigint, id bigint, distance double")
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
+    row_blocks, query_blocks = max(1, math.ceil(rows.count() / rows_a_block)), max(1, math.ceil(asked.count() / queries_a_block))
+
+    def block(key: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    rows = rows.select("*", block("id", row_blocks).alias("i"), every(query_blocks).alias("j"))
+    asked = asked.select("*", every(row_blocks).alias("i"), block("query_id", query_blocks).alias("j"))
+    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+
+    def run(candidates: pa.Table, asking: pa.Table) -> pa.Table:
+        if not candidates.num_rows or not asking.num_rows:
+            return out.empty_table()
+        candidates, asking = candidates.combine_chunks(), asking.combine_chunks()
+        dim = max((n for n in pc.list_value_length(asking["embedding"]).to_pylist() if n), default=1)
+        v_ids, v = _matrix(candidates["id"].chunk(0), candidates["embedding"].chunk(0), dim)
+        q_ids, q = _matrix(asking["query_id"].chunk(0), asking["embedding"].chunk(0), dim)
+        v_size, columns, parts = np.sqrt((v * v).sum(1)), np.ascontiguousarray(v.T), []
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            product = np.zeros((len(part), len(v)))
+            for j in range(dim):  # in order, as a plain loop would add
+                product += part[:, j, None] * columns[j]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                dist = np.nan_to_num(1 - product / (np.sqrt((part * part).sum(1))[:, None] * v_size), nan=np.inf)
+            if dist.shape[1] > k:  # all rows up to the k-th distance, then the k best with ties to the smaller id
+                near = [np.flatnonzero(row <= edge) for row, edge in zip(dist, np.partition(dist, k - 1, axis=1)[:, k - 1], strict=True)]
+            else:
+                near = [np.arange(dist.shape[1])] * len(part)
+            for row, ids, query in zip(dist, near, q_ids[at : at + 256], strict=True):
+                best = ids[np.lexsort((v_ids[ids], row[ids]))[:k]]
+                best = best[np.isfinite(row[best])]
+                parts.append(pa.table([pa.array(np.full(len(best), query)), pa.array(v_ids[best]), pa.array(row[best])], schema=out))
+        return pa.concat_tables(parts).combine_chunks() if parts else out.empty_table()
+
+    legs = rows.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(run, "query_id bigint, id bigint, distance double")
     return ranked(legs, k, F.asc("distance"))
 
 
@@ -187,13 +201,15 @@ def embed_pending(passages: DataFrame, model: str, embed: Callable[[DataFrame],
     return both.withColumn("embedding", F.coalesce("made", "embedding")).withColumn("embed_model", F.when(new, F.lit(model)).otherwise(F.col("embed_model"))).drop("made")
 
 
-def lsh_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, width: float = 2.0, tables: int = 8, seed: int = 7) -> DataFrame:
-    """An approximate vector leg for unit vectors: hash tables of random projections propose, exact distance ranks."""
+def lsh_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, width: float = 0.5, tables: int = 12, reach: float = 1.2, seed: int = 7) -> DataFrame:
+    """An approximate vector leg for unit vectors: hash tables of random projections propose rows within `reach`, exact
+    distance ranks them. Neighbours at distance d share a bucket of one table with a chance of about 1 - 0.8 d / width
+    (d well under width): meant for near neighbours, as of embedded texts; far ones are found by vector_leg."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     v = vectors.select("id", array_to_vector(F.col("embedding")).alias("v"))
     q = queries.select("query_id", array_to_vector(F.col("embedding")).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(v)
-    near = model.approxSimilarityJoin(q, v, 2.0, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
+    near = model.approxSimilarityJoin(q, v, reach, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
     return ranked(near, k, F.asc("distance"))

@@ -1,23 +1,23 @@
 """Operators over ordered word streams and speech spans.
 
 The order of a transcript is (chunk, position), never the time stamp: times may step back a little. Times are integer
-milliseconds. Scans whose next step depends on the last one (passages, chunk plans, repeated phrases) run as one pass
-over an episode's arrays in an Arrow map, without a shuffle where an episode is one row; everything else is windows and
-array functions.
+milliseconds. Scans whose next step depends on the last one (passages, chunk plans, repeated phrases), and whatever looks at
+an episode's neighbouring words, run as one pass over an episode's arrays in an Arrow map, without a shuffle where an
+episode is one row; everything else is windows and array functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clock, signal_norm
+from ..functions.text import signal_norm
+from .scan import scanned
 
 
 def in_order():
@@ -40,17 +40,26 @@ def shift_words(words: Column, by: Column) -> Column:
 # --- passages -------------------------------------------------------------------------------------------------------
 
 
-def cut_passages(starts: list[int], ends: list[int], window: int, stride: int) -> list[tuple[int, int, int]]:
-    """(first, stop, end) of every passage: words [first, stop), and the largest end among them."""
-    out, n, i = [], len(starts), 0
-    while i < n:
-        anchor, j = starts[i], i + 1
-        while j < n and starts[j] < anchor + window:
-            j += 1
-        out.append((i, j, max(ends[i:j])))
-        if j == n:
-            break
-        i = next((k for k in range(i + 1, j) if starts[k] >= anchor + stride), j)
+def passage_bounds(starts: np.ndarray, ends: np.ndarray, window: int, stride: int) -> list[tuple[int, int, int]]:
+    """(first, stop, end) of every passage: words [first, stop), and the largest end among them.
+
+    Where words start is looked up in the running maximum of starts, which is sorted; only where an earlier word starts
+    later than the anchor (times step back) are the words behind it searched one by one.
+    """
+    n, highest = len(starts), np.maximum.accumulate(starts)
+
+    def later(i: int, time: int) -> int:
+        """The first word after i that starts at time or later; n if there is none."""
+        if highest[i] < time:
+            return int(np.searchsorted(highest, time))
+        rest = np.flatnonzero(starts[i + 1 :] >= time)
+        return i + 1 + int(rest[0]) if len(rest) else n
+
+    out, anchor, stop = [], 0, 0
+    while stop < n:
+        stop = later(anchor, starts[anchor] + window)
+        out.append((anchor, stop, int(ends[anchor:stop].max())))
+        anchor = min(stop, later(anchor, starts[anchor] + stride))
     return out
 
 
@@ -71,7 +80,7 @@ def make_passages(transcripts: DataFrame, window_ms: int = 45_000, stride_ms: in
             rows, idxs, spans, takes = [], [], [], []
             for r in range(batch.num_rows):
                 at, stop, base = s_bounds[r], s_bounds[r + 1], bounds[r]
-                for idx, (i, j, end) in enumerate(cut_passages(s_all[at:stop].tolist(), e_all[at:stop].tolist(), window_ms, stride_ms)):
+                for idx, (i, j, end) in enumerate(passage_bounds(s_all[at:stop], e_all[at:stop], window_ms, stride_ms)):
                     rows.append(r)
                     idxs.append(idx)
                     spans.append((int(s_all[at + i]), end, j - i))
@@ -115,30 +124,21 @@ def split_long_spans(spans: DataFrame, max_ms: int) -> DataFrame:
     return cut.withColumn("e", end).withColumn("start_ms", start).withColumn("end_ms", F.col("e")).drop("e")
 
 
-def pack_spans(starts: list[int], ends: list[int], limit: int) -> list[tuple[int, int, int]]:
-    """(start, end, spans) of each chunk: spans in order join a chunk while it stays within limit."""
-    out: list[tuple[int, int, int]] = []
-    for s, e in zip(starts, ends, strict=True):
-        if out and e - out[-1][0] <= limit:
-            out[-1] = (out[-1][0], e, out[-1][2] + 1)
-        else:
-            out.append((s, e, 1))
-    return out
-
-
 def chunk_plan(spans: DataFrame, max_ms: int = 600_000) -> DataFrame:
     """episode_id, idx, start_ms, end_ms, n_spans: speech spans packed to chunks of at most max_ms, long ones cut first."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_ms", "end_ms"], kind="stable")
-        rows = pack_spans(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), max_ms)
-        out = pd.DataFrame(rows, columns=["start_ms", "end_ms", "n_spans"])
-        out.insert(0, "episode_id", pdf["episode_id"].iloc[0])
-        out.insert(1, "idx", range(len(out)))
-        return out
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        idx, chunk = 0, None  # episode, first start, last end, spans
+        for episode, start, end in rows:
+            fits = chunk is not None and end - chunk[1] <= max_ms
+            if chunk is not None and not fits:
+                yield chunk[0], idx, *chunk[1:]
+                idx += 1
+            chunk = (episode, chunk[1], end, chunk[3] + 1) if fits else (episode, start, end, 1)
+        yield chunk[0], idx, *chunk[1:]
 
-    cut = split_long_spans(spans.select("episode_id", "start_ms", "end_ms"), max_ms)
-    return cut.groupBy("episode_id").applyInPandas(run, "episode_id bigint, idx int, start_ms bigint, end_ms bigint, n_spans int")
+    cut = split_long_spans(spans.select("episode_id", "start_ms", "end_ms"), max_ms).select("episode_id", "start_ms", "end_ms")
+    return scanned(cut, "episode_id", ["start_ms", "end_ms"], run, "episode_id bigint, idx int, start_ms bigint, end_ms bigint, n_spans int")
 
 
 def utterance_offsets(items: DataFrame, gap: int) -> DataFrame:
@@ -184,63 +184,122 @@ def phrase_candidates(transcripts: DataFrame, shortest: int = 3, longest: int =
     return out.select("episode_id", "c.pos", "c.n").filter("n > 0")
 
 
-def keep_greedy(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of (pos, n) in order, those that a left-to-right scan meets when a hit is jumped over."""
-    out, free = [], -1
-    for pos, n in places:
+def repeated_phrases(transcripts: DataFrame) -> DataFrame:
+    """episode_id, pos, n of immediately repeated phrases that do not overlap, from left to right."""
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        free = 0
+        for episode, pos, n in rows:
+            if pos >= free:
+                yield episode, pos, n
+                free = pos + 2 * n
+
+    return scanned(phrase_candidates(transcripts), "episode_id", ["pos"], run, "episode_id bigint, pos int, n int")
+
+
+def phrases_of(words: np.ndarray, empty: int, shortest: int = 3, longest: int = 8) -> list[tuple[int, int]]:
+    """(pos, n) of repeated phrases of one episode's words, given as numbers; `empty` is that of a word without letters."""
+    size = len(words)
+    best = np.zeros(size, np.int64)
+    blank = np.concatenate([[0], np.cumsum(words == empty)])
+    for n in range(shortest, min(longest, size // 2) + 1):
+        again = np.concatenate([[0], np.cumsum(words[:-n] == words[n:])])
+        at = np.arange(size - 2 * n + 1)
+        best[at[(again[at + n] - again[at] == n) & (blank[at + n] == blank[at])]] = n
+    out, free = [], 0
+    for pos in np.flatnonzero(best).tolist():
         if pos >= free:
-            out.append((pos, n))
-            free = pos + 2 * n
+            out.append((pos, int(best[pos])))
+            free = pos + 2 * int(best[pos])
     return out
 
 
-def repeated_phrases(transcripts: DataFrame) -> DataFrame:
-    """episode_id, pos, n of immediately repeated phrases that do not overlap, from left to right."""
-    candidates = phrase_candidates(transcripts)
+def signals_of(starts: np.ndarray, ends: np.ndarray, words: np.ndarray, empty: int, below_ms: int = 50, least: int = 3, jump_ms: int = 500) -> list[tuple[str, int, int]]:
+    """(kind, a, b) of all signals of one episode in order of a: a run of short words [a, b), a jump back (i - 1, i + 1), a
+    repeated phrase (s, s + 2n)."""
+    tiny = np.diff(np.concatenate([[0], (ends - starts < below_ms).astype(np.int8), [0]]))
+    found = [("compressed", a, b) for a, b in zip(np.flatnonzero(tiny == 1).tolist(), np.flatnonzero(tiny == -1).tolist(), strict=True) if b - a >= least]
+    found += [("jump", i, i + 2) for i in np.flatnonzero(starts[:-1] - starts[1:] > jump_ms).tolist()]
+    found += [("phrase", pos, pos + 2 * n) for pos, n in phrases_of(words, empty)]
+    return sorted(found, key=lambda x: x[1])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        kept = keep_greedy(list(zip(pdf["pos"], pdf["n"], strict=True)))
-        return pd.DataFrame({"episode_id": pdf["episode_id"].iloc[0], "pos": [p for p, _ in kept], "n": [n for _, n in kept]})
 
-    return candidates.groupBy("episode_id").applyInPandas(run, "episode_id bigint, pos int, n int")
+def suspects(transcripts: DataFrame, context: int = 4) -> DataFrame:
+    """episode_id, ord, kind, a, b, at_ms, at, snippet of all signals of transcripts(episode_id, tokens, starts, ends), in
+    order of place. A row-wise map: an episode's words are in one row, so nothing is shuffled."""
+    made = transcripts.select("episode_id", "tokens", F.transform("tokens", signal_norm).alias("t"), "starts", "ends")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            episode, tokens, plain, starts, ends = batch.columns
+            coded = pc.dictionary_encode(plain.values)
+            empty = pc.index(coded.dictionary, "").as_py()
+            words, s_all, e_all = coded.indices.to_numpy(zero_copy_only=False), starts.values.to_numpy(), ends.values.to_numpy()
+            bounds = [x.offsets.to_numpy() for x in (tokens, plain, starts, ends)]
+            rows: list[list] = [[] for _ in range(8)]
+            for r in range(batch.num_rows):
+                (t, t_end), (w, w_end), (s, s_end), (e, e_end) = ((b[r], b[r + 1]) for b in bounds)
+                mine = s_all[s:s_end]
+                for i, (kind, a, b) in enumerate(signals_of(mine, e_all[e:e_end], words[w:w_end], empty)):
+                    low, high = max(0, a - context), min(int(t_end - t), b + context)
+                    ms = int(mine[a])
+                    snippet = " ".join(tokens.values.slice(t + low, high - low).to_pylist())
+                    for column, value in zip(rows, (r, i, kind, a, b, ms, f"{ms // 60_000}:{ms // 1_000 % 60:02d}", snippet), strict=True):
+                        column.append(value)
+            types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string())
+            arrays = [episode.take(pa.array(rows[0], pa.int64())), *(pa.array(c, t) for c, t in zip(rows[1:], types, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["episode_id", "ord", "kind", "a", "b", "at_ms", "at", "snippet"])
 
-def suspects(words: DataFrame, transcripts: DataFrame, context: int = 4) -> DataFrame:
-    """episode_id, kind, a, b, snippet of all signals: a run [a, b), a jump (i - 1, i + 1), a phrase (s, s + 2n)."""
-    runs = compressed_runs(words).select("episode_id", F.lit("compressed").alias("kind"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
-    jumps = backward_jumps(words).select("episode_id", F.lit("jump").alias("kind"), (F.col("pos") - 1).cast("int").alias("a"), (F.col("pos") + 1).cast("int").alias("b"))
-    phrases = repeated_phrases(transcripts).select("episode_id", F.lit("phrase").alias("kind"), F.col("pos").alias("a"), (F.col("pos") + 2 * F.col("n")).alias("b"))
-    found = runs.unionByName(jumps).unionByName(phrases).join(transcripts.select("episode_id", "tokens"), "episode_id")
-    low = F.greatest(F.lit(0), F.col("a") - context)
-    return found.select("episode_id", "kind", "a", "b", F.array_join(F.slice("tokens", low + 1, F.least(F.size("tokens"), F.col("b") + context) - low), " ").alias("snippet"))
+    kind = transcripts.schema["episode_id"].dataType.simpleString()
+    return made.mapInArrow(run, f"episode_id {kind}, ord int, kind string, a int, b int, at_ms bigint, at string, snippet string")
 
 
-def signal_summary(words: DataFrame, found: DataFrame) -> DataFrame:
-    """episode_id, counts by kind, and suspects an hour of transcript (0 without duration)."""
-    span = words.groupBy("episode_id").agg((F.max_by("end_ms", "pos") - F.min_by("start_ms", "pos")).alias("span_ms"))
+def signal_summary(transcripts: DataFrame, found: DataFrame) -> DataFrame:
+    """episode_id, span_ms, counts by kind, and suspects an hour of transcript (0 without duration)."""
+    span = transcripts.filter(F.size("starts") > 0).select("episode_id", (F.element_at("ends", -1) - F.element_at("starts", 1)).alias("span_ms"))
     kinds = found.groupBy("episode_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("compressed", "jump", "phrase")])
     both = span.join(kinds, "episode_id", "left").fillna(0, ["compressed", "jump", "phrase"])
     total = F.col("compressed") + F.col("jump") + F.col("phrase")
     return both.withColumn("per_hour", F.when(F.col("span_ms") > 0, total * 3_600_000.0 / F.col("span_ms")).otherwise(0.0))
 
 
-def draft_lines(words: DataFrame, every_s: int = 30) -> DataFrame:
-    """episode_id, line, text of a draft: a line ends after . ? or !, and a "# m:ss" line goes before the first word past
-    each time boundary."""
-    block = F.floor(F.col("start_ms") / 1000 / every_s)
-    seen = F.max("block").over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    w = words.withColumn("block", block).withColumn("marked", seen.isNull() | (F.col("block") > seen))
-    ended = F.lag(F.col("text").rlike(r"[.?!]$")).over(in_order())
-    w = w.withColumn("fresh", (F.col("marked") | F.coalesce(ended, F.lit(False))).cast("int"))
-    w = w.withColumn("part", F.sum("fresh").over(in_order()))
-    parts = w.groupBy("episode_id", "part").agg(
-        F.min("pos").alias("pos"),
-        F.max("marked").alias("marked"),
-        F.min_by("start_ms", "pos").alias("start_ms"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
-    head = F.when(F.col("marked"), F.array(F.concat(F.lit("# "), clock(F.col("start_ms") / 1000)), F.col("text"))).otherwise(F.array("text"))
-    lines = parts.select("episode_id", "part", F.posexplode(head).alias("k", "text"))
-    line = F.row_number().over(Window.partitionBy("episode_id").orderBy("part", "k")).cast("int")
-    return lines.select("episode_id", line.alias("line"), "text")
+def clock_text(ms: int) -> str:
+    s = max(0, ms // 1_000)
+    return f"{s // 3_600}:{s // 60 % 60:02d}:{s % 60:02d}" if s >= 3_600 else f"{s // 60}:{s % 60:02d}"
+
+
+def draft_lines(transcripts: DataFrame, every_s: int = 30) -> DataFrame:
+    """episode_id, line, text of a draft of transcripts(episode_id, tokens, starts): a line ends after . ? or !, and a
+    "# m:ss" line goes before the first word past each time boundary. A row-wise map without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            episode, tokens, starts = batch.columns
+            t, s = tokens.offsets.to_numpy(), starts.offsets.to_numpy()
+            ended = pc.match_substring_regex(tokens.values, r"[.?!]$").to_numpy(zero_copy_only=False)
+            s_all, first, marks, rows = starts.values.to_numpy(), [], [], []
+            for r in range(batch.num_rows):
+                mine = s_all[s[r] : s[r + 1]]
+                if not len(mine):
+                    continue
+                block = mine // (every_s * 1_000)
+                marked = np.concatenate([[True], block[1:] > np.maximum.accumulate(block)[:-1]])
+                at = np.flatnonzero(marked | np.concatenate([[True], ended[t[r] : t[r + 1] - 1]]))
+                first.append(t[r] + at)
+                marks += [clock_text(int(mine[i])) if marked[i] else None for i in at.tolist()]
+                rows += [r] * len(at)
+            cuts = np.concatenate([*first, [t[-1]]]) if first else np.zeros(1, np.int64)
+            # texts are joined from the batch's own words; words of an episode follow one another without gaps
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), tokens.values), " ").to_pylist()
+            out: list[list] = [[], [], []]
+            line, last = 0, None
+            for r, mark, text in zip(rows, marks, texts, strict=True):
+                line, last = (line if r == last else 0), r
+                for x in ([f"# {mark}"] if mark else []) + [text]:
+                    line += 1
+                    for column, value in zip(out, (r, line, x), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([episode.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["episode_id", "line", "text"])
+
+    kind = transcripts.schema["episode_id"].dataType.simpleString()
+    return transcripts.select("episode_id", "tokens", "starts").mapInArrow(run, f"episode_id {kind}, line int, text string")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 LIMIT, RESERVE = 180_000, 2_500
 
 
@@ -29,16 +32,14 @@ def budget_guard(spends: DataFrame, limit: int, reserve: int) -> DataFrame:
 def strict_budget(spends: DataFrame, limit: int, reserve: int) -> DataFrame:
     """id, day, used, refused, where refused calls use nothing: one pass a day."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        used, rows = 0, []
-        for i, day, tokens in zip(pdf["id"], pdf["day"], pdf["tokens"], strict=True):
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        used = 0
+        for i, day, tokens, _ in rows:
             no = used + reserve > limit
-            rows.append((i, day, used, no))
+            yield i, day, used, no
             used += 0 if no else tokens
-        return pd.DataFrame(rows, columns=["id", "day", "used", "refused"])
 
-    return spends.groupBy("day").applyInPandas(run, "id bigint, day date, used bigint, refused boolean")
+    return scanned(spends.select("id", "day", "tokens", "ts"), "day", ["ts", "id"], run, "id bigint, day date, used bigint, refused boolean")
 
 
 def take(tokens: float, since: float, capacity: float, rate: float) -> tuple[bool, float, float]:
@@ -54,16 +55,14 @@ def token_bucket(requests: DataFrame, capacity: float, per_hour: float) -> DataF
     the level depend on the order of requests."""
     rate = per_hour / 3600
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "id"])
-        level, last, rows = capacity, None, []
-        for i, ts in zip(pdf["id"], pdf["ts_us"], strict=True):
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        level, last = capacity, None
+        for i, _, ts in rows:
             allowed, wait, level = take(level, 0.0 if last is None else (ts - last) / 1e6, capacity, rate)
             last = ts
-            rows.append((i, allowed, wait))
-        return pd.DataFrame(rows, columns=["id", "allowed", "wait"])
+            yield i, allowed, wait
 
-    return requests.groupBy("key").applyInPandas(run, "id bigint, allowed boolean, wait double")
+    return scanned(requests.select("id", "key", "ts_us"), "key", ["ts_us", "id"], run, "id bigint, allowed boolean, wait double")
 
 
 def fingerprint(df: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..models import extractive
 from ..operators import quotes as Q
+from ..operators import retrieval as R
 from ..operators.sequence import make_passages
 from ..session import written
 from . import corpus as C
 from .base import query
 
+#: Passages of an episode have numbers of so many bits: a million, a year of speech.
+PASSAGE_BITS = 20
 REPLY = "found boolean, answer string, citations array<struct<n:int,quote:string>>"
 
 
@@ -54,15 +57,16 @@ def ask(questions: DataFrame, hits: DataFrame, transcripts: DataFrame, generate:
     )
 
 
+def passage_pool(spark, sf_dir):
+    """All passages with an id of their own: the episode's number above the passage's."""
+    passages = make_passages(C.transcripts(spark, sf_dir))
+    return written(passages.withColumn("id", F.shiftleft(F.col("episode_id"), PASSAGE_BITS) + F.col("idx")))
+
+
 def asked(spark, sf_dir):
     """questions and hits: each benchmark text asks about its best passages by keyword."""
-    from ..operators import retrieval as R
-    from .quotes import pairs
-
-    held = pairs(spark, sf_dir).select("episode_id").distinct()
-    pool = written(make_passages(C.transcripts(spark, sf_dir).join(held, "episode_id", "left_semi")).withColumn("id", F.col("episode_id") * 100_000 + F.col("idx")))
-    q = C.questions(spark, sf_dir)
-    found = R.hydrate(R.keyword_leg(R.postings(pool), q).filter("rank <= 5"), pool)
+    pool, q = passage_pool(spark, sf_dir), C.questions(spark, sf_dir)
+    found = R.hydrate(R.keyword_leg(R.postings(pool, only=R.query_terms(q)), q).filter("rank <= 5"), pool)
     titles = C.episodes(spark, sf_dir).select(F.col("id").alias("episode_id"), "title")
     hits = written(found.join(titles, "episode_id").select(F.col("query_id").alias("question_id"), F.col("rank").alias("n"), "episode_id", "title", "start_ms", "end_ms", "text"))
     return q.withColumnRenamed("query_id", "question_id"), hits

@@ -7,31 +7,42 @@ from pyspark.sql import functions as F
 from ..functions.text import split_words
 from ..operators import evaluation as V
 from ..operators import retrieval as R
-from ..operators.sequence import make_passages
 from ..session import written
 from . import corpus as C
 from . import quotes as P
+from .ask import PASSAGE_BITS, passage_pool
 from .base import query
 from .quotes import HITS_SQL
 from .retrieval import terms_sql
 from .sequences import SPEECH_SQL
 
-#: The searched passages are those of the documents that hold a benchmark text; the answer is where it is said.
-EVAL_SQL = f"""{HITS_SQL},
-golden AS (SELECT h.question_id // 1000000000 AS query_id, min_by(h.episode_id, h.episode_id) AS episode_id, min_by(p.at_ms, (h.episode_id, h.n)) AS answer_ms
+#: All passages are searched; the answer is where the text is said first in the smallest episode that holds it.
+EVAL_SQL = rf"""{HITS_SQL},
+golden AS (SELECT h.question_id >> {P.TEXT_BITS} AS query_id, min_by(h.episode_id, h.episode_id) AS episode_id, min_by(p.at_ms, (h.episode_id, h.n)) AS answer_ms
   FROM placed p JOIN hit h USING (question_id, n) WHERE p.at_ms IS NOT NULL GROUP BY 1),
-pool AS (SELECT DISTINCT episode_id * 100000 + (n - 1) AS id, episode_id, start_ms, end_ms, text FROM hit),
+pool AS (SELECT (episode_id << {PASSAGE_BITS}) + idx AS id, episode_id, start_ms, end_ms, text FROM passage),
+asked AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id IN (SELECT query_id FROM golden)),
 post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql("text")}) AS term FROM pool) GROUP BY id, term),
-qt AS (SELECT item_id AS query_id, unnest(list_distinct({terms_sql("text")})) AS term FROM benchmark WHERE item_id IN (SELECT query_id FROM golden)),
+qt AS (SELECT query_id, unnest(list_distinct({terms_sql("text")})) AS term FROM asked),
 sc AS (SELECT query_id, id, sum(tf)::BIGINT AS score FROM post JOIN qt USING (term) GROUP BY query_id, id),
-leg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc),
-ov AS (SELECT l.query_id, l.id, row_number() OVER (PARTITION BY l.query_id ORDER BY len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(trim(b.text)), '\\s+'), lambda w: w <> '')), list_distinct(list_filter(regexp_split_to_array(lower(trim(p.text)), '\\s+'), lambda w: w <> '')))) DESC, l.rank) AS rank
-  FROM leg l JOIN pool p USING (id) JOIN benchmark b ON b.item_id = l.query_id WHERE l.rank <= 20),
-res AS (SELECT 'keyword' AS mode, query_id, id, rank FROM leg WHERE rank <= 10 UNION ALL SELECT 'rerank', query_id, id, rank FROM ov WHERE rank <= 10),
+kleg AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 50),
+ew AS (SELECT 'p' AS side, id, unnest(regexp_split_to_array(lower(trim(text)), '\s+')) AS w FROM pool UNION ALL SELECT 'q', query_id, unnest(regexp_split_to_array(lower(trim(text)), '\s+')) FROM asked),
+en AS (SELECT side, id, (('0x' || md5(w)[25:32])::BIGINT % 64)::INTEGER AS bucket, count(*) AS n FROM (SELECT side, id, regexp_replace(w, '^[.,?!]+|[.,?!]+$', '', 'g') AS w FROM ew) WHERE w <> '' GROUP BY 1, 2, 3),
+em AS (SELECT side, id, map(list(bucket), list(wt)) AS m FROM (SELECT side, id, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY side, id)))::FLOAT AS wt FROM en) GROUP BY side, id),
+ev AS (SELECT side, id, list_transform(range(64), lambda b: coalesce(m[b::INTEGER], 0)::DOUBLE) AS e FROM em),
+es AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM ev),
+vd AS (SELECT q.id AS query_id, v.id, 1 - list_inner_product(q.e, v.e) / (q.size * v.size) AS d FROM es q JOIN es v ON q.side = 'q' AND v.side = 'p'),
+vleg AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM vd) WHERE rank <= 50),
+fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + k.rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + x.rank), 0.0::DOUBLE) AS score FROM kleg k FULL JOIN vleg x USING (query_id, id))),
+ov AS (SELECT l.query_id, l.id, row_number() OVER (PARTITION BY l.query_id ORDER BY len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(trim(b.text)), '\s+'), lambda w: w <> '')), list_distinct(list_filter(regexp_split_to_array(lower(trim(p.text)), '\s+'), lambda w: w <> '')))) DESC, l.rank) AS rank
+  FROM fu l JOIN pool p USING (id) JOIN asked b USING (query_id) WHERE l.rank <= 20),
+res AS (SELECT 'keyword' AS mode, query_id, id, rank FROM kleg WHERE rank <= 10 UNION ALL SELECT 'vector', query_id, id, rank FROM vleg WHERE rank <= 10
+  UNION ALL SELECT 'hybrid', query_id, id, rank FROM fu WHERE rank <= 10 UNION ALL SELECT 'rerank', query_id, id, rank FROM ov WHERE rank <= 10),
 jud AS (SELECT r.mode, r.query_id, r.rank, g.answer_ms - p.start_ms AS off, p.episode_id = g.episode_id AND p.start_ms - 500 <= g.answer_ms AND g.answer_ms <= p.end_ms + 500 AS ok
   FROM res r JOIN pool p USING (id) JOIN golden g USING (query_id)),
 fir AS (SELECT m.mode, g.query_id, min(j.rank) FILTER (j.ok) AS rank, max(j.off) FILTER (j.ok AND j.rank = 1) AS off
-  FROM (VALUES ('keyword'), ('rerank')) m(mode) CROSS JOIN golden g LEFT JOIN jud j ON j.mode = m.mode AND j.query_id = g.query_id GROUP BY 1, 2)
+  FROM (VALUES ('keyword'), ('vector'), ('hybrid'), ('rerank')) m(mode) CROSS JOIN golden g LEFT JOIN jud j ON j.mode = m.mode AND j.query_id = g.query_id GROUP BY 1, 2)
 """
 
 
@@ -40,28 +51,32 @@ def golden(spark, sf_dir, asked):
     from ..operators import quotes as Q
 
     h = P.hits(spark, sf_dir, asked).join(asked.select("question_id", "quote"), "question_id")
-    at = Q.located(h, C.transcripts(spark, sf_dir)).filter("at_ms IS NOT NULL").withColumn("query_id", F.floor(F.col("question_id") / 1_000_000_000))
+    at = Q.located(h, C.transcripts(spark, sf_dir)).filter("at_ms IS NOT NULL").withColumn("query_id", F.shiftright("question_id", P.TEXT_BITS))
     return written(at.groupBy("query_id").agg(F.min("episode_id").alias("episode_id"), F.min_by("at_ms", F.struct("episode_id", "n")).alias("answer_ms")))
 
 
-def results(spark, sf_dir, pairs, asked):
-    """mode, query_id, rank, episode_id, start_ms, end_ms of a keyword search over passages, plain and reranked."""
-    held = pairs.select("episode_id").distinct()
-    pool = written(make_passages(C.transcripts(spark, sf_dir).join(held, "episode_id", "left_semi")).withColumn("id", F.col("episode_id") * 100_000 + F.col("idx")))
-    q = C.questions(spark, sf_dir).join(asked.select("query_id"), "query_id", "left_semi")
-    leg = R.keyword_leg(R.postings(pool), q)
-    hydrated = written(R.hydrate(leg.filter(F.col("rank") <= R.SHORTLIST), pool))
-    again = R.rerank(hydrated, q, 10)
+def results(spark, sf_dir, golden):
+    """mode, query_id, rank, episode_id, start_ms, end_ms of searches over all passages: keyword, vector, both fused, and the
+    fused shortlist reranked."""
+    pool = passage_pool(spark, sf_dir)
+    q = C.questions(spark, sf_dir).join(golden.select("query_id"), "query_id", "left_semi")
+    keyword = written(R.keyword_leg(R.postings(pool, only=R.query_terms(q)), q))
+    asked = R.hash_embed(q.select(F.col("query_id").alias("id"), F.col("question").alias("text"))).withColumnRenamed("id", "query_id")
+    vector = written(R.vector_leg(written(R.hash_embed(pool)), written(asked)))
+    both = written(R.fused(keyword, vector))
+    places = pool.select("id", "episode_id", "start_ms", "end_ms")
     columns = ["query_id", "rank", "episode_id", "start_ms", "end_ms"]
-    plain = hydrated.filter("rank <= 10").select(F.lit("keyword").alias("mode"), *columns)
-    return plain.unionByName(again.select(F.lit("rerank").alias("mode"), *columns))
+    again = R.rerank(R.hydrate(both, pool), q, 10).select(F.lit("rerank").alias("mode"), *columns)
+    for mode, leg in (("keyword", keyword), ("vector", vector), ("hybrid", both)):
+        again = again.unionByName(R.hydrate(leg.filter("rank <= 10").select("query_id", "id", "rank"), places).select(F.lit(mode).alias("mode"), *columns))
+    return again
 
 
 @query("retrieval_first_hits", f"WITH RECURSIVE {EVAL_SQL} SELECT mode, query_id, rank::INTEGER AS rank, off::BIGINT AS offset_ms FROM fir")
 def retrieval_first_hits(spark, sf_dir):
     pairs = P.pairs(spark, sf_dir)
     g = golden(spark, sf_dir, pairs)
-    return V.first_correct(results(spark, sf_dir, pairs, g), g)
+    return V.first_correct(results(spark, sf_dir, g), g)
 
 
 @query("retrieval_eval", f"""WITH RECURSIVE {EVAL_SQL} SELECT mode, count(*) AS queries, avg((coalesce(rank, 99) <= 1)::INT) AS recall_1, avg((coalesce(rank, 99) <= 5)::INT) AS recall_5, avg((coalesce(rank, 99) <= 10)::INT) AS recall_10,
@@ -71,7 +86,7 @@ def retrieval_eval(spark, sf_dir):
 
 
 ANSWERS_SQL = """
-answers AS (SELECT event_id AS question_id, event_id % 5 <> 0 AS found, event_id % 6 = 0 AS repaired, event_id % 4 AS removed, event_id % 3 AS rejected, floor(value * 10)::BIGINT AS tokens FROM events),
+answers AS (SELECT event_id AS question_id, event_id % 5 <> 0 AS found, event_id % 6 = 0 AS repaired, event_id % 4 AS removed, event_id % 3 AS rejected, floor(value * 10)::BIGINT AS tokens, value AS seconds FROM events),
 gold AS (SELECT event_id AS question_id, user_id AS episode_id, floor(value * 1000)::BIGINT AS answer_ms FROM events),
 cites AS (SELECT event_id AS question_id, CASE WHEN event_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS episode_id, floor(value * 1000)::BIGINT + k * (event_id % 40) * 1000 AS at_ms FROM events, unnest([1, 3]) r(k) WHERE event_id % 5 <> 0)
 """
@@ -79,13 +94,13 @@ cites AS (SELECT event_id AS question_id, CASE WHEN event_id % 8 = 0 THEN user_i
 
 @query("answers_eval", f"""WITH {ANSWERS_SQL}, best AS (SELECT c.question_id, count(*) AS cited, bool_or(c.episode_id = g.episode_id) AS ok, min(abs(at_ms - answer_ms)) FILTER (c.episode_id = g.episode_id) AS off FROM cites c JOIN gold g USING (question_id) GROUP BY 1)
   SELECT count(*) AS questions, avg(found::INT) AS answered, avg(coalesce(ok, false)::INT) AS right_episode, avg(repaired::INT) AS repaired, avg(coalesce(off <= 15000, false)::INT) AS within_15s, avg(coalesce(off <= 60000, false)::INT) AS within_60s,
-    (sum(rejected) / (sum(rejected) + coalesce(sum(cited), 0)))::DOUBLE AS rejected_rate, count(*) FILTER (removed > 0) AS lost_sentences, avg(tokens) AS mean_tokens
+    (sum(rejected) / (sum(rejected) + coalesce(sum(cited), 0)))::DOUBLE AS rejected_rate, count(*) FILTER (removed > 0) AS lost_sentences, avg(tokens) AS mean_tokens, median(seconds)::DOUBLE AS p50_seconds
   FROM answers LEFT JOIN best USING (question_id)""")
 def answers_eval(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     i, ms = F.col("event_id"), F.floor(F.col("value") * 1000).cast("bigint")
     answers = e.select(
-        i.alias("question_id"), (i % 5 != 0).alias("found"), (i % 6 == 0).alias("repaired"), (i % 4).alias("removed"), (i % 3).alias("rejected"), F.floor(F.col("value") * 10).cast("bigint").alias("tokens")
+        i.alias("question_id"), (i % 5 != 0).alias("found"), (i % 6 == 0).alias("repaired"), (i % 4).alias("removed"), (i % 3).alias("rejected"), F.floor(F.col("value") * 10).cast("bigint").alias("tokens"), F.col("value").alias("seconds")
     )
     gold = e.select(i.alias("question_id"), F.col("user_id").alias("episode_id"), ms.alias("answer_ms"))
     cites = e.filter(i % 5 != 0).select(
@@ -140,3 +155,20 @@ def timing_summary(spark, sf_dir):
 def golden_sample(spark, sf_dir):
     s = C.speech(spark, sf_dir).select("episode_id", F.col("span_id").alias("idx"))
     return V.golden_sample(s, 300)
+
+
+@query("golden_lookup", """WITH g AS (SELECT b.item_id, d.source AS feed_url, 'doc-' || d.doc_id || CASE WHEN b.item_id % 4 = 0 THEN '-gone' ELSE '' END AS guid FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+  e AS (SELECT doc_id AS id, source AS feed_url, 'doc-' || doc_id AS guid FROM documents)
+  SELECT count(e.id) AS found, count(*) FILTER (e.id IS NULL) AS missing FROM g LEFT JOIN e USING (feed_url, guid)""")
+def golden_lookup(spark, sf_dir):
+    e = C.episodes(spark, sf_dir)
+    gone = F.when(F.col("query_id") % 4 == 0, F.concat("guid", F.lit("-gone"))).otherwise(F.col("guid"))
+    g = C.questions(spark, sf_dir).join(e.withColumnRenamed("id", "query_id"), "query_id").select("query_id", "question", "feed_url", gone.alias("guid"))
+    return V.lookup_golden(g, e)[1]
+
+
+@query("wer_normalized", r"""WITH n AS (SELECT item_id AS pair_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(text), '[-–—]', ' ', 'g'), '[^\p{L}\p{N}\s'']', '', 'g'), '(^|\s)''+|''+(\s|$)', '\1\2', 'g'), '\s+'), lambda w: w <> '') AS ref FROM benchmark)
+  SELECT pair_id, len(ref)::BIGINT AS words, md5(array_to_string(ref, ' ')) AS words_md5 FROM n WHERE len(ref) > 0""")
+def wer_normalized(spark, sf_dir):
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pair_id"), F.col("text").alias("ref"), F.upper("text").alias("hyp"))
+    return V.normalized_pairs(b).select("pair_id", F.size("ref").cast("bigint").alias("words"), F.md5(F.array_join("ref", " ").cast("binary")).alias("words_md5"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import citation_parts, quote_tokens
+from ..functions.text import citation_parts, folded, quote_tokens
 from ..operators import quotes as Q
 from ..operators.sequence import make_passages
 from ..session import spread, table, written
@@ -16,6 +16,8 @@ from . import corpus as C
 from . import sequences  # noqa: F401  (its passages query comes first)
 from .base import ORACLES, query
 
+#: A question's number is its quote's above the text's, which has so many bits.
+TEXT_BITS = 40
 TOKENS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(translate({x}, '‘’', '''''')), '[^\p{{L}}\p{{N}}_\s'']', ' ', 'g'), '\s+'), lambda w: regexp_replace(w, '^''+|''+$', '', 'g')), lambda w: w <> '')"
 
 
@@ -36,7 +38,7 @@ def pairs(spark, sf_dir):
     quotes = C.questions(spark, sf_dir).select(F.col("query_id").alias("quote_id"), F.col("question").alias("quote"))
     texts = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("text_id"), "text")
     found = Q.find_quotes(quotes, texts).join(quotes, "quote_id")
-    return written(found.select((F.col("quote_id") * 1_000_000_000 + F.col("text_id")).alias("question_id"), F.col("text_id").alias("episode_id"), "quote"))
+    return written(found.select((F.shiftleft("quote_id", TEXT_BITS) + F.col("text_id")).alias("question_id"), F.col("text_id").alias("episode_id"), "quote"))
 
 
 def hits(spark, sf_dir, asked=None):
@@ -48,13 +50,13 @@ def hits(spark, sf_dir, asked=None):
 
 @query("normalize_tokens", f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def normalize_tokens(spark, sf_dir):
-    t = spread(table(spark, sf_dir, "documents")).select("doc_id", quote_tokens(F.col("text")).alias("t"))
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", quote_tokens(folded(F.col("text"))).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
 @query("quote_in_text", f"WITH {PAIRS_SQL} SELECT quote_id, text_id FROM pairs")
 def quote_in_text(spark, sf_dir):
-    return pairs(spark, sf_dir).select(F.floor(F.col("question_id") / 1_000_000_000).alias("quote_id"), F.col("episode_id").alias("text_id"))
+    return pairs(spark, sf_dir).select(F.shiftright("question_id", TEXT_BITS).alias("quote_id"), F.col("episode_id").alias("text_id"))
 
 
 PASSAGE_SQL = ORACLES["passages"].replace("WITH RECURSIVE ", "", 1)
@@ -62,7 +64,7 @@ _HEAD, _, _TAIL = PASSAGE_SQL.rpartition("SELECT p.episode_id")
 HITS_SQL = f"""
 {_HEAD.rstrip()}, passage AS (SELECT p.episode_id{_TAIL}),
 {PAIRS_SQL.strip()},
-hit AS (SELECT quote_id * 1000000000 + text_id AS question_id, idx + 1 AS n, episode_id, start_ms, end_ms, text, quote, needle FROM pairs JOIN passage ON episode_id = text_id),
+hit AS (SELECT (quote_id << {TEXT_BITS}) + text_id AS question_id, idx + 1 AS n, episode_id, start_ms, end_ms, text, quote, needle FROM pairs JOIN passage ON episode_id = text_id),
 part AS (SELECT h.question_id, h.n, h.start_ms AS from_ms, w.pos, w.start_ms, {tokens_sql("w.text")} AS t, h.end_ms
   FROM hit h JOIN words w ON w.episode_id = h.episode_id AND w.start_ms BETWEEN h.start_ms - 1000 AND h.end_ms + 1000),
 flat AS (SELECT question_id, n, flatten(list(t ORDER BY pos)) AS t, flatten(list(list_transform(t, lambda x: start_ms) ORDER BY pos)) AS s FROM part GROUP BY question_id, n),
@@ -130,13 +132,16 @@ def reject_reasons(spark, sf_dir):
 
 #: Answers with markers: sentences of assistant turns, marked by their last letter.
 ANSWER_SQL = r"""
-answer AS (SELECT conv_id * 1000 + turn AS question_id, conv_id % 2 = 0 AS even,
+marked AS (SELECT conv_id, turn,
   regexp_replace(regexp_replace(regexp_replace(text, 'e\.\s', 'e [1]. ', 'g'), 'n\.\s', 'n  [2]. ', 'g'), 's\.\s', 's [3][1]. ', 'g') AS text FROM conversations WHERE role = 'assistant'),
+answer AS (SELECT conv_id * 1000 + turn AS question_id, conv_id % 2 = 0 AS even,
+  CASE WHEN conv_id % 11 = 0 THEN '  ' || text || ' Large [99999999999]. Padded [01][99999999999] [002].' || chr(10) ELSE text END AS text FROM marked),
+bare AS (SELECT question_id, even, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text FROM answer),
 sentence AS (SELECT question_id, even, r.i, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[r.i] AS s
-  FROM answer, unnest(range(1, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) + 1)) r(i)),
-mark AS (SELECT *, CASE WHEN even THEN list_has_any(regexp_extract_all(s, '\[(\d+)\]', 1), ['1']) ELSE list_has_any(regexp_extract_all(s, '\[(\d+)\]', 1), ['2', '3']) END AS ok FROM sentence),
-kept AS (SELECT question_id, coalesce(string_agg(replace(CASE WHEN even THEN replace(replace(s, '[2]', ''), '[3]', '') ELSE replace(s, '[1]', '') END, '  ', ' '), ' ' ORDER BY i) FILTER (ok), '') AS kept,
-  count(*) FILTER (NOT ok AND trim(s) <> '') AS removed FROM mark GROUP BY question_id)
+  FROM bare, unnest(range(1, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) + 1)) r(i)),
+mark AS (SELECT *, CASE WHEN even THEN list_has_any(list_transform(regexp_extract_all(s, '\[(\d+)\]', 1), lambda m: m::BIGINT), [1]) ELSE list_has_any(list_transform(regexp_extract_all(s, '\[(\d+)\]', 1), lambda m: m::BIGINT), [2, 3]) END AS ok FROM sentence),
+kept AS (SELECT question_id, trim(coalesce(string_agg(replace(CASE WHEN even THEN regexp_replace(s, '\[0*(2|3|99999999999)\]', '', 'g') ELSE regexp_replace(s, '\[0*(1|99999999999)\]', '', 'g') END, '  ', ' '), ' ' ORDER BY i) FILTER (ok), '')) AS kept,
+  count(*) FILTER (NOT ok AND s <> '') AS removed FROM mark GROUP BY question_id)
 """
 
 
@@ -146,6 +151,7 @@ def answers(spark, sf_dir):
     text = F.col("text")
     for last, mark in ((r"e\.\s", "e [1]. "), (r"n\.\s", "n  [2]. "), (r"s\.\s", "s [3][1]. ")):
         text = F.regexp_replace(text, last, mark)
+    text = F.when(F.col("conv_id") % 11 == 0, F.concat(F.lit("  "), text, F.lit(" Large [99999999999]. Padded [01][99999999999] [002].\n"))).otherwise(text)
     ok = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(2), F.lit(3)))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), text.alias("text"), ok.alias("ok"))
 
@@ -155,7 +161,7 @@ def keep_supported(spark, sf_dir):
     return answers(spark, sf_dir).withColumn("s", Q.supported(F.col("text"), F.col("ok"))).select("question_id", "s.kept", "s.removed")
 
 
-@query("used_citations", f"WITH {ANSWER_SQL} SELECT question_id, n::INTEGER AS n FROM kept, unnest([1, 2, 3]) r(n) WHERE contains(kept, '[' || n || ']')")
+@query("used_citations", rf"WITH {ANSWER_SQL} SELECT question_id, n::INTEGER AS n FROM kept, unnest([1, 2, 3]) r(n) WHERE regexp_matches(kept, '\[0*' || n || '\]')")
 def used_citations(spark, sf_dir):
     a = answers(spark, sf_dir)
     cited = a.select("question_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n"))

@@ -21,6 +21,11 @@ bent AS (SELECT episode_id, pos, text, CASE WHEN pos % 97 = 96 THEN start_ms - 1
 """
 
 
+def bent_transcripts(t):
+    starts = F.transform("starts", lambda s, i: F.when(i % 97 == 96, s - 1000).otherwise(s))
+    return t.withColumn("starts", starts).withColumn("ends", F.transform("starts", lambda s, i: s + F.when(i % 61 < 4, 20).otherwise(300)))
+
+
 def bent(words):
     start = F.when(F.col("pos") % 97 == 96, F.col("start_ms") - 1000).otherwise(F.col("start_ms"))
     return words.withColumns({"start_ms": start, "end_ms": start + F.when(F.col("pos") % 61 < 4, 20).otherwise(300)})
@@ -141,9 +146,11 @@ found AS (
 
 
 @query("suspects", f"""WITH RECURSIVE {SUSPECT_SQL}
-  SELECT episode_id, kind, a, b, array_to_string(w[greatest(0, a - 4) + 1 : least(len(w), b + 4)], ' ') AS snippet FROM found JOIN tok USING (episode_id)""")
+  SELECT f.episode_id, (row_number() OVER (PARTITION BY f.episode_id ORDER BY f.a, f.kind) - 1)::INTEGER AS ord, f.kind, f.a::INTEGER AS a, f.b::INTEGER AS b, x.start_ms AS at_ms,
+    printf('%d:%02d', x.start_ms // 60000, (x.start_ms // 1000) % 60) AS at, array_to_string(w[greatest(0, f.a - 4) + 1 : least(len(w), f.b + 4)], ' ') AS snippet
+  FROM found f JOIN tok USING (episode_id) JOIN bent x ON x.episode_id = f.episode_id AND x.pos = f.a""")
 def suspects(spark, sf_dir):
-    return S.suspects(bent(C.words(spark, sf_dir)), C.transcripts(spark, sf_dir))
+    return S.suspects(bent_transcripts(C.transcripts(spark, sf_dir)))
 
 
 @query("signal_summary", f"""WITH RECURSIVE {SUSPECT_SQL},
@@ -153,8 +160,8 @@ def suspects(spark, sf_dir):
     CASE WHEN span_ms > 0 THEN (coalesce(compressed, 0) + coalesce(jump, 0) + coalesce(phrase, 0)) * 3600000.0::DOUBLE / span_ms ELSE 0.0 END::DOUBLE AS per_hour
   FROM span LEFT JOIN k USING (episode_id)""")
 def signal_summary(spark, sf_dir):
-    w, t = bent(C.words(spark, sf_dir)), C.transcripts(spark, sf_dir)
-    return S.signal_summary(w, S.suspects(w, t))
+    t = bent_transcripts(C.transcripts(spark, sf_dir))
+    return S.signal_summary(t, S.suspects(t))
 
 
 @query("utterance_offsets", """WITH o AS (SELECT conv_id AS group_id, turn AS ord, length(text)::BIGINT AS length FROM conversations),
@@ -175,4 +182,4 @@ def utterance_offsets(spark, sf_dir):
     SELECT episode_id, part, 0, '# ' || CASE WHEN s >= 3600000 THEN printf('%d:%02d:%02d', s // 3600000, (s // 60000) % 60, (s // 1000) % 60) ELSE printf('%d:%02d', s // 60000, (s // 1000) % 60) END FROM g WHERE marked)
   SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY part, k)::INTEGER AS line, text FROM l""")
 def draft_lines(spark, sf_dir):
-    return S.draft_lines(C.words(spark, sf_dir))
+    return S.draft_lines(C.transcripts(spark, sf_dir))

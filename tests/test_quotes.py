@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lexichron.functions import text as T
 from lexichron.operators import quotes as Q
 
-PASSAGE = "So the big change last year was agentic systems. You don’t just chat; the model takes actions."
+PASSAGE = "Well the harbour crane stood idle all winter because of salt. We can’t simply grease it; the whole gear needs replacing."
 
 
 def one(spark, column, **values):
@@ -13,20 +13,21 @@ def one(spark, column, **values):
 
 
 def test_tokens(spark):
-    assert one(spark, T.quote_tokens(F.lit("You DON’T just chat!"))) == ["you", "don't", "just", "chat"]
+    assert one(spark, T.quote_tokens(F.lit("We CAN’T simply grease!"))) == ["we", "can't", "simply", "grease"]
 
 
 @pytest.mark.parametrize(
     ("quote", "want"),
     [
-        ("the big change last year was agentic systems", True),
-        ("you don't just chat, the model takes actions", True),
-        ("the major shift last year was agentic systems", False),
-        ("agentic systems", False),
+        ("harbour crane stood idle all winter", True),
+        ("because of salt: we can't simply grease it", True),
+        ("harbour crane stood broken all winter", False),
+        ("the harbour", False),
+        ("ｈａｒｂｏｕｒ ｃｒａｎｅ ｓｔｏｏｄ ｉｄｌｅ", True),
     ],
 )
 def test_quote_in_text(spark, quote, want):
-    assert one(spark, T.contains_phrase(T.quote_tokens(F.lit(PASSAGE)), T.quote_tokens(F.lit(quote)))) is want
+    assert one(spark, T.contains_phrase(T.quote_tokens(F.lit(PASSAGE)), T.quote_tokens(T.folded(F.lit(quote))))) is want
     quotes = spark.createDataFrame([(1, quote)], "quote_id long, quote string")
     texts = spark.createDataFrame([(2, PASSAGE), (3, "nothing of the kind here at all"), (4, None)], "text_id long, text string")
     assert [tuple(r) for r in Q.find_quotes(quotes, texts).collect()] == ([(1, 2)] if want else [])
@@ -35,9 +36,9 @@ def test_quote_in_text(spark, quote, want):
 def test_locate(spark):
     words = PASSAGE.split()
     tokens, starts = F.array(*map(F.lit, words)), F.array(*[F.lit(100_000 + 500 * i) for i in range(len(words))])
-    needle = T.quote_tokens(F.lit("agentic systems. You don't just"))
-    assert one(spark, Q.locate(needle, tokens, starts, F.lit(99_000), F.lit(121_000))) == 103_500
-    assert one(spark, Q.locate(needle, tokens, starts, F.lit(104_000), F.lit(121_000))) is None
+    needle = T.quote_tokens(F.lit("because of salt. We can't"))
+    assert one(spark, Q.locate(needle, tokens, starts, F.lit(99_000), F.lit(121_000))) == 104_000
+    assert one(spark, Q.locate(needle, tokens, starts, F.lit(104_500), F.lit(121_000))) is None
 
 
 @pytest.mark.parametrize(
@@ -48,6 +49,9 @@ def test_locate(spark):
         ("A without a marker. B [1].", [1], "B [1].", 1),
         ("Nothing marked.", [1], "", 1),
         ("", [1], "", 0),
+        ("  A [1].  ", [1], "A [1].", 0),
+        ("A [01][99999999999]. B [99999999999].", [1], "A [01].", 1),
+        ("A [1] [2] ends.", [1], "A [1] ends.", 0),
     ],
 )
 def test_supported(spark, text, ok, kept, removed):
@@ -55,6 +59,15 @@ def test_supported(spark, text, ok, kept, removed):
     assert (got.kept, got.removed) == (kept, removed)
 
 
+def test_compatibility_forms_count_as_plain_ones(spark):
+    texts = spark.createDataFrame([(1, "The ﬁrst ﬂight of № ten lasted 3½ hours"), (2, "the first flight of no ten lasted")], "text_id long, text string")
+    quotes = spark.createDataFrame([(1, "first flight of No ten lasted")], "quote_id long, quote string")
+    assert sorted(tuple(r) for r in Q.find_quotes(quotes, texts).collect()) == [(1, 1), (1, 2)]
+    t = spark.createDataFrame([(9, ["The", "ﬁrst", "ﬂight", "of", "№", "ten"], [0, 500, 1000, 1500, 2000, 2500])], "episode_id long, tokens array<string>, starts array<long>")
+    q = spark.createDataFrame([(1, 9, "First flight of no ten", 0, 3_000)], "question_id long, episode_id long, quote string, start_ms long, end_ms long")
+    assert [r.at_ms for r in Q.located(q, t).collect()] == [500]
+
+
 def test_marker_split(spark):
     parts = one(spark, T.citation_parts(F.lit("Open models matter[2][3]. Done[1].")))
     assert [(p.kind, p.value) for p in parts] == [("text", "Open models matter"), ("marker", "2"), ("marker", "3"), ("text", ". Done"), ("marker", "1"), ("text", ".")]
@@ -69,7 +82,7 @@ def test_verdicts_order_of_rules(spark):
     words = PASSAGE.split()
     t = spark.createDataFrame([(9, words, [500 * i for i in range(len(words))])], "episode_id long, tokens array<string>, starts array<long>")
     hits = spark.createDataFrame([(1, 1, 9, 0, 20_000)], "question_id long, n int, episode_id long, start_ms long, end_ms long")
-    good = "the big change last year was agentic systems"
+    good = "the harbour crane stood idle all winter"
     cited = spark.createDataFrame(
         [(1, 0, 1, good), (1, 1, 2, good + "?"), (1, 2, 1, good + "?"), (1, 3, 1, "this was never said by anyone"), (1, 4, None, good), (1, 5, 1, None)], "question_id long, ord int, n int, quote string"
     )
@@ -98,10 +111,10 @@ def test_ask_end_to_end(spark):
 
     words = PASSAGE.split()
     t = spark.createDataFrame([(9, words, [500 * i for i in range(len(words))])], "episode_id long, tokens array<string>, starts array<long>")
-    hits = spark.createDataFrame([(1, 1, 9, "Agents", 0, 20_000, PASSAGE)], "question_id long, n int, episode_id long, title string, start_ms long, end_ms long, text string")
-    questions = spark.createDataFrame([(1, "what changed?"), (2, "nobody knows?")], "question_id long, question string")
+    hits = spark.createDataFrame([(1, 1, 9, "Harbours", 0, 20_000, PASSAGE)], "question_id long, n int, episode_id long, title string, start_ms long, end_ms long, text string")
+    questions = spark.createDataFrame([(1, "what stood idle?"), (2, "nobody knows?")], "question_id long, question string")
     got = {r.question_id: r for r in ask(questions, hits, t).collect()}
-    assert got[1].answer == "So the big change last year was agentic [1]." and got[1].citations[0].at_ms == 0
+    assert got[1].answer == "Well the harbour crane stood idle all winter [1]." and got[1].citations[0].at_ms == 0
     assert got[2].answer is None and got[2].refusal == "no passages"
 
     def lying(prompts):
@@ -111,5 +124,5 @@ def test_ask_end_to_end(spark):
     from lexichron.models import extractive
 
     fixed = {r.question_id: r for r in ask(questions, hits, t, lying, extractive).collect()}
-    assert fixed[1].repaired and fixed[1].rejected == 1 and fixed[1].answer.startswith("So the big change")
+    assert fixed[1].repaired and fixed[1].rejected == 1 and fixed[1].answer.startswith("Well the harbour crane")
     assert {r.question_id: r.refusal for r in ask(questions, hits, t, lying).collect()}[1] == "nothing supported"

@@ -35,7 +35,7 @@ def test_vector_leg_against_brute_force(spark):
     q = df.filter("id < 40").withColumnRenamed("id", "query_id")
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     got = {}
-    for r in R.vector_leg(df, q, 10, block=16).orderBy("query_id", "rank").collect():
+    for r in R.vector_leg(df, q, 10, queries_a_block=16, rows_a_block=70).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     for i in range(40):
         assert got[i] == sorted(range(300), key=lambda j: (round(1 - float(unit[i] @ unit[j]), 12), j))[:10]
@@ -65,3 +65,14 @@ def test_embed_pending_is_idempotent(spark):
     done = R.embed_pending(df, "new")
     assert R.pending(done, "new").count() == 0
     assert {r.id: r.embedding[0] for r in done.collect()}[3] == 0.5
+
+
+def test_lsh_finds_near_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 24))
+    v = np.repeat(centres, 6, axis=0) + 0.15 * rng.normal(size=(360, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    got = R.lsh_leg(df, df.withColumnRenamed("id", "query_id"), 6).collect()
+    right = {(i, j) for i in range(360) for j in np.argsort(-(v @ v[i]), kind="stable")[:6].tolist()}
+    assert len(right & {(r.query_id, r.id) for r in got}) / len(right) >= 0.9 and len(got) < 360 * 8
