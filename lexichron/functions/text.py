@@ -11,10 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: English function words left out of keyword search (fixed values).
+#: English function words left out of keyword search: the stop words of the Snowball project (fixed values).
 STOPWORDS = (
-    "a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so "
-    "that the their them then there these they this to was we were what when which who will with you your"
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had "
+    "having do does did doing a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why "
+    "how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 #: A quote of fewer tokens proves nothing.
 MIN_QUOTE_TOKENS = 4

@@ -1,8 +1,11 @@
-"""Landed audio to speech spans and samples. Decoding is external: these take 16 kHz mono 16-bit samples."""
+"""Landed audio to speech spans and samples. Codecs are functions the caller may replace; the defaults read and write WAV,
+which the standard library knows. All else takes 16 kHz mono 16-bit samples."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import wave
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,55 @@ FRAME = RATE // 50
 MIN_SILENCE_MS, PAD_MS, MAX_MS = 500, 200, 600_000
 
 
+def wav_samples(content: bytes) -> np.ndarray:
+    """16 kHz mono samples of a 16-bit WAV file: channels are averaged, other rates resampled linearly."""
+    with wave.open(io.BytesIO(content)) as f:
+        if f.getsampwidth() != 2:
+            raise ValueError("16-bit samples are required")
+        raw, channels, rate = np.frombuffer(f.readframes(f.getnframes()), "<i2"), f.getnchannels(), f.getframerate()
+    mono = raw.reshape(-1, channels).mean(1)
+    if rate != RATE and len(mono):
+        at = np.arange(int(len(mono) * RATE / rate)) * rate / RATE
+        mono = np.interp(at, np.arange(len(mono)), mono)
+    return np.round(mono).astype("<i2")
+
+
+def wav_bytes(samples: bytes) -> bytes:
+    """A WAV file of 16 kHz mono samples."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(RATE)
+        f.writeframes(samples)
+    return out.getvalue()
+
+
+def _coded(df: DataFrame, column: str, code: Callable[[bytes], bytes]) -> DataFrame:
+    """df with a binary column passed through a codec, row by row; null stays null, and an error fails the job."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # one file at a time in memory
+                row = batch.slice(i, 1)
+                value = row.column(at)[0].as_py()
+                made = pa.array([None if value is None else code(value)], pa.binary())
+                yield pa.RecordBatch.from_arrays([made if k == at else row.column(k) for k in range(row.num_columns)], names=row.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def load_audio(files: DataFrame, decode: Callable[[bytes], np.ndarray] = wav_samples) -> DataFrame:
+    """files(…, audio) with the content of each file decoded to 16 kHz mono 16-bit samples."""
+    return _coded(files, "audio", lambda content: decode(content).astype("<i2").tobytes())
+
+
+def encode_audio(chunks: DataFrame, encode: Callable[[bytes], bytes] = wav_bytes) -> DataFrame:
+    """chunks(…, audio) with the samples of each chunk encoded for a recogniser."""
+    return _coded(chunks, "audio", encode)
+
+
 def speech_spans(samples: np.ndarray, quiet: float = 0.01) -> list[tuple[int, int]]:
     """(start_ms, end_ms) of the loud parts: pauses under MIN_SILENCE_MS are bridged, ends are padded by PAD_MS."""
     n = len(samples) // FRAME

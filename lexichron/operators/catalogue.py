@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..session import delete, written
+from .jobs import enqueue
 
 
 def insert_if_absent(rows: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
@@ -49,6 +53,44 @@ def cascade(children: DataFrame, deleted: DataFrame, key: str = "episode_id") ->
     return children.join(deleted.select(F.col("id").alias(key)), key, "left_anti")
 
 
-def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
-    """Writes df over the partitions it holds, leaving all others; each partition is swapped whole."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def save_episodes(rows: DataFrame, episodes: DataFrame, jobs: DataFrame, order: str = "ord", kind: str = "transcribe") -> tuple[DataFrame, DataFrame]:
+    """(episodes to append, jobs to append) of a feed's rows(id, dedup_key, …): an episode that is new gets its job in the
+    same step; one that is there already gets neither."""
+    new = insert_if_absent(rows, episodes, "dedup_key", order)
+    return new, enqueue(jobs, new.select(F.col("id").alias("episode_id"), F.lit(kind).alias("kind")))
+
+
+def update_durations(episodes: DataFrame, measured: DataFrame) -> DataFrame:
+    """episodes with the duration that was measured in measured(episode_id, duration_seconds), where there is one."""
+    m = measured.groupBy(F.col("episode_id").alias("id")).agg(F.max("duration_seconds").alias("__measured"))
+    both = episodes.join(m, "id", "left")
+    return both.withColumn("duration_seconds", F.coalesce("__measured", "duration_seconds")).select(episodes.columns)
+
+
+#: Folders of a table whose rows are replaced episode by episode.
+BUCKETS = 64
+
+
+def episode_bucket(buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("episode_id"), F.lit(buckets)).cast("int")
+
+
+def rebuild_rows(made: DataFrame, rebuilt: DataFrame, path: str, schema: StructType, buckets: int = BUCKETS) -> None:
+    """Puts the rows made for the episodes in rebuilt(episode_id) in place of all they had, also where none were made.
+
+    Rows lie in folders by a hash of their episode; only folders that hold a rebuilt episode are written anew, each is
+    swapped whole, and one that is left without rows goes.
+    """
+    spark = made.sparkSession
+    bucket = episode_bucket(buckets)
+    numbers = [r[0] for r in rebuilt.select(bucket.alias("b")).distinct().collect()]  # at most `buckets`
+    if not numbers:
+        return
+    before = spark.read.schema(schema).parquet(path).withColumn("bucket", bucket).filter(F.col("bucket").isin(numbers))
+    kept = before.join(rebuilt.select("episode_id").distinct(), "episode_id", "left_anti").select(*schema.names, "bucket")
+    after = written(kept.unionByName(made.select(*schema.names, bucket.alias("bucket"))))
+    whole = after.repartition("bucket")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    filled = {r[0] for r in after.select("bucket").distinct().collect()}
+    for b in sorted(set(numbers) - filled):
+        delete(spark, f"{path}/bucket={b}")

@@ -61,3 +61,35 @@ def work(jobs: DataFrame, now: Column, workers: int, run: Callable[[DataFrame],
     none = F.lit(None)
     changes = settled.drop("outcome").withColumns({"locked_at": none.cast("timestamp"), "locked_by": none.cast("string")})
     return J.apply_changes(running, changes), settled.select("id", "outcome")
+
+
+def drain(
+    jobs: DataFrame,
+    workers: int,
+    run: Callable[[DataFrame], DataFrame],
+    save: Callable[[DataFrame], DataFrame],
+    now: Callable[[], Column],
+    sleep: Callable[[float], None],
+    until_empty: bool = True,
+    idle_s: float = 5.0,
+    most_turns: int | None = None,
+) -> DataFrame:
+    """The job table after turns of the workers: save(jobs) writes each turn's table and reads it back.
+
+    A turn that settles nothing sleeps idle_s seconds; with until_empty the loop ends when no queued or running job is
+    left, and deferred jobs count as left. A rate limit makes the next turn wait as long as it says.
+    """
+    turns = 0
+    while most_turns is None or turns < most_turns:
+        turns += 1
+        after, outcomes = work(jobs, now(), workers, run)
+        counts = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+        jobs = save(after)
+        if not counts:
+            if until_empty and J.unfinished(jobs).first().unfinished == 0:
+                break
+            sleep(idle_s)
+        elif counts.get("deferred"):
+            first = jobs.filter("status = 'queued'").agg((F.unix_timestamp(F.min("run_after")) - F.unix_timestamp(now())).alias("wait")).first().wait
+            sleep(max(0.0, float(first or 0)))
+    return jobs

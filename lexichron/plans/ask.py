@@ -12,11 +12,10 @@ from ..operators import quotes as Q
 from ..operators import retrieval as R
 from ..operators.sequence import make_passages
 from ..session import written
+from ..sources.index import PASSAGE_BITS
 from . import corpus as C
 from .base import query
 
-#: Passages of an episode have numbers of so many bits: a million, a year of speech.
-PASSAGE_BITS = 20
 REPLY = "found boolean, answer string, citations array<struct<n:int,quote:string>>"
 
 

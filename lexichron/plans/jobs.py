@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.text import dedup_key, duration_seconds, failure_class
 from ..operators import catalogue as K
 from ..operators import jobs as J
+from ..operators.sequence import make_passages
+from ..operators.sequence import shift_words as shifted
+from ..sources.feeds import flatten_segments as flattened
+from ..sources.feeds import parse_transcription as parsed
 from . import corpus as C
-from .base import query
+from . import sequences  # noqa: F401  (its passages query comes first)
+from .base import ORACLES, query
 
 JOBS_SQL = f"""
 jobs AS (SELECT event_id AS id, user_id AS episode_id, event_type AS kind, ['queued', 'running', 'done', 'failed'][event_id % 4 + 1] AS status, ((event_id // 4) % 4)::INTEGER AS attempts,
@@ -200,3 +205,53 @@ def searchable_episodes(spark, sf_dir):
 def cascade_delete(spark, sf_dir):
     gone = C.episodes(spark, sf_dir).filter("feed_url IN ('src1', 'src2')")
     return K.cascade(C.chunks(spark, sf_dir), gone).groupBy("episode_id").agg(F.count("*").alias("n"))
+
+
+@query("save_episodes", f"WITH {FEED_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY ord) AS n FROM feed) SELECT ord AS episode_id, 'transcribe' AS kind FROM x WHERE n = 1 AND dedup_key NOT IN (SELECT dedup_key FROM held)")
+def save_episodes(spark, sf_dir):
+    rows, held = feed(spark, sf_dir)
+    jobs = C.jobs(spark, sf_dir).select("episode_id", "kind")
+    return K.save_episodes(rows.withColumn("id", F.col("ord")), held, jobs)[1]
+
+
+@query("update_durations", """WITH m AS (SELECT user_id, max(floor(value)::INTEGER) AS d FROM events GROUP BY user_id)
+  SELECT doc_id AS id, coalesce(d, (n_chars % 90)::INTEGER) AS duration_seconds FROM documents LEFT JOIN m ON user_id = doc_id""")
+def update_durations(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 90).cast("int").alias("duration_seconds"))
+    measured = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("episode_id"), F.floor("value").cast("int").alias("duration_seconds"))
+    return K.update_durations(d, measured)
+
+
+_NO_WITH = ORACLES["passages"].replace("WITH RECURSIVE ", "", 1)
+
+
+@query("index_new", f"SELECT count(DISTINCT episode_id) AS episodes, count(*) AS passages FROM (WITH RECURSIVE {_NO_WITH}) WHERE episode_id % 3 <> 0 AND episode_id % 4 <> 1")
+def index_new(spark, sf_dir):
+    t = C.transcripts(spark, sf_dir)
+    jobs = t.select("episode_id", F.lit("transcribe").alias("kind"), F.when(F.col("episode_id") % 3 != 0, "done").otherwise("queued").alias("status"))
+    todo = K.to_index(jobs, t.filter("episode_id % 4 = 1").select("episode_id"))
+    made = make_passages(t.join(todo, "episode_id", "left_semi"))
+    return made.agg(F.count_distinct("episode_id").alias("episodes"), F.count("*").alias("passages"))
+
+
+@query("shift_words", """SELECT event_id, round(value + user_id, 3) AS "start", round(value + 0.5 + user_id, 3) AS "end" FROM events""")
+def shift_words(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    word = F.array(F.struct(F.col("event_type").alias("text"), F.col("value").alias("start"), (F.col("value") + 0.5).alias("end")))
+    return e.select("event_id", F.get(shifted(word, F.col("user_id")), F.lit(0)).alias("w")).select("event_id", "w.start", "w.end")
+
+
+@query("parse_transcription", """SELECT doc_id, trim(text) AS text, 1 AS words, source AS first_word FROM documents WHERE text IS NOT NULL""")
+def parse_transcription(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")
+    word = F.struct(F.concat(F.lit(" "), "source", F.lit(" ")).alias("word"), F.lit(0.5).alias("start"), F.lit(1.0).alias("end"))
+    reply = parsed(F.to_json(F.struct(F.concat(F.lit("  "), "text").alias("text"), F.array(word).alias("words"))))
+    return d.select("doc_id", reply.alias("r")).select("doc_id", "r.text", F.size("r.words").alias("words"), F.get("r.words", F.lit(0))["text"].alias("first_word"))
+
+
+@query("flatten_segments", """SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS text, count(*)::INTEGER AS words FROM conversations GROUP BY conv_id""")
+def flatten_segments(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    segment = F.struct("turn", F.concat(F.lit(" "), "text").alias("text"), F.array(F.struct(F.col("role").alias("text"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"))).alias("words"))
+    packed = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(segment)).alias("s"))
+    return packed.select("conv_id", flattened(F.col("s")).alias("f")).select("conv_id", "f.text", F.size("f.words").alias("words"))

@@ -61,6 +61,8 @@ PASSAGES = T.StructType(
     ]
 )
 
+POSTINGS = T.StructType([T.StructField("term", T.StringType(), False), T.StructField("id", T.LongType(), False), T.StructField("tf", T.LongType(), False), T.StructField("episode_id", T.LongType(), False)])
+
 USAGE = T.StructType([T.StructField("day", T.DateType(), False), T.StructField("tokens", T.LongType(), False), T.StructField("answers", T.LongType(), False)])
 
-SCHEMAS = {"episodes": EPISODES, "jobs": JOBS, "chunks": CHUNKS, "passages": PASSAGES, "usage_daily": USAGE}
+SCHEMAS = {"episodes": EPISODES, "jobs": JOBS, "chunks": CHUNKS, "passages": PASSAGES, "postings": POSTINGS, "usage_daily": USAGE}

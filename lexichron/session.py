@@ -61,16 +61,30 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table when the driver ends; results may read it until then."""
-    with contextlib.suppress(Exception):  # the session may have gone first, and its folder with it
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Tables written() has made; results may read them until clear_written().
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def clear_written() -> None:
+    """Deletes the intermediate tables of all plans so far; call it when their results have been written or collected. What
+    is left goes when the driver ends."""
+    while _WRITTEN:
+        with contextlib.suppress(Exception):  # the session may have gone first, and its folder with it
+            delete(*_WRITTEN.pop())
+
+
+atexit.register(clear_written)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: made once however often a plan uses it, and safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, df.sparkSession, path)
+    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)

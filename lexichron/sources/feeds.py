@@ -26,9 +26,12 @@ DATE_FORMAT = "d MMM yyyy HH:mm:ss Z"
 
 
 def fetch_feed(url: str, path: str, timeout: float = 20.0) -> str:
-    """Lands a feed at path; HTTP errors are raised. Redirects are followed."""
-    with urllib.request.urlopen(url, timeout=timeout) as got, open(path, "wb") as out:  # noqa: S310
-        out.write(got.read())
+    """Lands a feed at path, whole or not at all; HTTP errors are raised. Redirects are followed."""
+    with urllib.request.urlopen(url, timeout=timeout) as got:  # noqa: S310
+        content = got.read()
+    with open(f"{path}.part", "wb") as out:
+        out.write(content)
+    os.replace(f"{path}.part", path)
     return path
 
 

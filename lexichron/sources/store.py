@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..operators.catalogue import episode_bucket
 from ..operators.usage import next_id, wide_fingerprint
 from ..schemas import SCHEMAS
 
 
+#: Tables whose rows an episode's rebuild replaces.
+REBUILT = ("passages", "postings")
+
+
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in schema]
 
@@ -26,12 +31,20 @@ def apply_schema(spark: SparkSession, root: str) -> None:
         path = f"{root}/{name}"
         if not _exists(spark, path):
             spark.createDataFrame([], schema).write.parquet(path)
-        elif _shape(spark.read.parquet(path).schema) != _shape(schema):
+        elif [x for x in _shape(spark.read.parquet(path).schema) if x[0] != "bucket"] != _shape(schema):
             raise ValueError(f"{path} has another schema")
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}").select(SCHEMAS[name].names)
+
+
+def save(df: DataFrame, root: str, name: str, mode: str) -> None:
+    """Writes rows of a table in its layout: tables that are rebuilt episode by episode lie in folders by episode."""
+    if name in REBUILT:
+        df.withColumn("bucket", episode_bucket()).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{root}/{name}")
+    else:
+        df.write.mode(mode).parquet(f"{root}/{name}")
 
 
 def write_once(df: DataFrame, path: str) -> None:
@@ -52,7 +65,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 #: Parents before children.
-COPY_ORDER = ("episodes", "jobs", "chunks", "passages")
+COPY_ORDER = ("episodes", "jobs", "chunks", "passages", "postings")
 
 
 def copy_all(spark: SparkSession, source: str, target: str) -> dict[str, int]:
@@ -64,15 +77,15 @@ def copy_all(spark: SparkSession, source: str, target: str) -> dict[str, int]:
     free = {}
     for name in COPY_ORDER:
         rows = load(spark, source, name)
-        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+        save(rows, target, name, "overwrite")
         back = load(spark, target, name)
         if wide_fingerprint(rows, *rows.columns).first() != wide_fingerprint(back, *back.columns).first():
             raise ValueError(f"the copy of {name} differs from its source")
-        if "id" in back.columns:
+        if "id" in back.columns and name != "postings":
             free[name] = next_id(back).first().next_id
     return free
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
     """Appends rows in the declared column order and types."""
-    df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]).write.mode("append").parquet(f"{root}/{name}")
+    save(df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]), root, name, "append")
