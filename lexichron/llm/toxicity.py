@@ -52,7 +52,7 @@ TWICE_COST = ODD_COST
 #: Punctuation after a word's last letter mostly stands for itself.
 CLOSING_COST = math.log(0.5)
 #: Tokens up to this length are remembered, and about so many characters of them (with 50 more a token).
-REMEMBERED, REMEMBERED_CHARS = 200, 16_000_000
+REMEMBERED, REMEMBERED_CHARS = 200, 8_000_000
 
 WORD = re.compile(r"\w+")
 #: What is restored at once: a run of letters, digits and signs.
@@ -368,9 +368,10 @@ class Toxicity:
 
     def __init__(self, model: CharModel, strengths: dict[int, float], curve: list[float] | None):
         self.model, self.strengths, self.curve = model, strengths, curve
-        self._start()
+        self.forget()
 
-    def _start(self) -> None:
+    def forget(self) -> None:
+        """Starts with empty memories."""
         self.reader, self.strong = Reader(self.model), Memory()
 
     def __getstate__(self) -> tuple:
@@ -378,7 +379,7 @@ class Toxicity:
 
     def __setstate__(self, state: tuple) -> None:
         self.model, self.strengths, self.curve = state
-        self._start()
+        self.forget()
 
     def hits(self, text: str) -> tuple[list[float], int]:
         """Strengths of the distinct words that hit, and the number of distinct words."""
@@ -474,6 +475,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sampl
         tox = shared.value
         for part, texts in slices(batches):
             yield part.filter(pa.array([tox.score(t) < threshold for t in texts], pa.bool_()))
+        tox.forget()  # the worker goes on to other stages
 
     return docs.mapInArrow(keep, docs.schema)
 
