@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -101,7 +102,8 @@ def answer_metrics(answers: DataFrame, citations: DataFrame, golden: DataFrame)
 
 def wer_words(text: Column) -> Column:
     """The default normaliser: lower case, marks gone but apostrophes inside words, hyphens as gaps."""
-    return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[-–—]", " "), r"[^\p{L}\p{N}\s']|(?<!\S)'+|'+(?!\S)", ""), r"\s+"), lambda w: w != "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"[-–—]", " "), r"[^\p{L}\p{N}\s']", "")
+    return F.filter(F.split(F.regexp_replace(plain, r"(?<!\S)'+|'+(?!\S)", ""), r"\s+"), lambda w: w != "")
 
 
 def normalized_pairs(pairs: DataFrame, normalize: Callable[[Column], Column] = wer_words) -> DataFrame:
@@ -111,13 +113,17 @@ def normalized_pairs(pairs: DataFrame, normalize: Callable[[Column], Column] = w
     return rows.filter(F.size("ref") > 0)
 
 
+#: Distinct words of a pair that have a character each (those of two bytes, below the surrogates).
+CODES = 0xD700
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edits between two word arrays: each distinct word becomes one character, and the built-in distance does the rest."""
+    """Edits between two word arrays: each distinct word becomes one character, and the built-in distance, which keeps two
+    rows of its table, does the rest. NULL for pairs of more than CODES distinct words."""
     names = F.array_distinct(F.concat(reference, hypothesis))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.chr(F.array_position(names, w) + 32)), "")
-    small = F.levenshtein(code(reference), code(hypothesis))
-    # chr() covers one byte; pairs of more distinct words are aligned in Python
-    return F.when(F.size(names) <= 94, small)
+    number = lambda w: F.lpad(F.hex(F.array_position(names, w) + 0xFF), 4, "0")
+    code = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, number), "")), "UTF-16BE")
+    return F.when(F.size(names) <= CODES, F.levenshtein(code(reference), code(hypothesis)))
 
 
 def pooled_wer(pairs: DataFrame) -> DataFrame:
@@ -129,20 +135,31 @@ def pooled_wer(pairs: DataFrame) -> DataFrame:
 
 
 def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
-    """Steps (equal, sub, del, ins; index in ref; index in hyp) of a cheapest alignment, in order."""
-    n, m = len(ref), len(hyp)
-    cost = [list(range(m + 1))]
+    """Steps (equal, sub, del, ins; index in ref; index in hyp) of a cheapest alignment, in order.
+
+    The table of costs is made row by row in numpy; what is kept of it is one byte a cell, the step that leads there.
+    """
+    codes = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    r, h = (np.array([codes[w] for w in words], np.int64) for words in (ref, hyp))
+    n, m = len(r), len(h)
+    columns = np.arange(m + 1)
+    row, moves = columns, np.full((n + 1, m + 1), 2, np.uint8)  # 0: both, 1: ref alone, 2: hyp alone
     for i in range(1, n + 1):
-        row = [i]
-        for j in range(1, m + 1):
-            row.append(min(cost[-1][j - 1] + (ref[i - 1] != hyp[j - 1]), cost[-1][j] + 1, row[-1] + 1))
-        cost.append(row)
+        both, alone = row[:-1] + (h != r[i - 1]), row + 1
+        best = alone.copy()
+        best[1:] = np.minimum(best[1:], both)
+        # a step along the hypothesis adds one a column: a running minimum of costs less their column
+        now = np.minimum.accumulate(best - columns) + columns
+        moves[i, now == alone] = 1
+        moves[i, 1:][now[1:] == both] = 0
+        row = now
     steps, i, j = [], n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+        move = moves[i, j]
+        if move == 0:
             i, j = i - 1, j - 1
-            steps.append(("equal" if ref[i] == hyp[j] else "sub", i, j))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            steps.append(("equal" if r[i] == h[j] else "sub", i, j))
+        elif move == 1:
             i -= 1
             steps.append(("del", i, j))
         else:
@@ -158,7 +175,7 @@ def edits_of(ref: str, hyp: str) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([sum(s[0] != "equal" for s in align(list(x), list(y))) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
-    skip = F.size(F.array_distinct(F.concat(F.col(ref), F.col(hyp)))) <= 94  # those pairs send nothing to Python
+    skip = F.size(F.array_distinct(F.concat(F.col(ref), F.col(hyp)))) <= CODES  # those pairs send nothing to Python
     return run(F.when(~skip, F.col(ref)), F.when(~skip, F.col(hyp)))
 
 

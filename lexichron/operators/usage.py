@@ -65,11 +65,26 @@ def token_bucket(requests: DataFrame, capacity: float, per_hour: float) -> DataF
     return scanned(requests.select("id", "key", "ts_us"), "key", ["ts_us", "id"], run, "id bigint, allowed boolean, wait double")
 
 
+#: Keys of a block of a fingerprint, and blocks of a block of blocks.
+BLOCK = 4_096
+
+
 def fingerprint(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """n, md5 of all rows as text joined in the order of key: equal for equal tables, comparable with other engines."""
+    """n, md5 of a table with a whole-number key: equal for equal tables, comparable with other engines.
+
+    Rows as text are joined in the order of key and digested for each block of BLOCK keys, the digests of BLOCK blocks are
+    joined and digested again, and those once more; so no task holds more than a block, or a row for each BLOCK**2 keys.
+    """
     row = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    packed = df.select(F.struct(F.col(key), row.alias("r")).alias("s")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("s")).alias("all"))
-    return packed.select("n", F.md5(F.array_join(F.col("all.r"), "|").cast("binary")).alias("md5"))
+    now = df.select(F.col(key).cast("bigint").alias("k"), row.alias("r"), F.lit(1).cast("bigint").alias("n"))
+
+    def digested(rows: DataFrame, *by: str) -> DataFrame:
+        packed = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "r"))).alias("all"))
+        return packed.select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.md5(F.array_join(F.col("all.r"), "|").cast("binary")).alias("r"))
+
+    for _ in range(2):
+        now = digested(now.withColumn("b", F.floor(F.col("k") / BLOCK)), "b").withColumnRenamed("b", "k")
+    return digested(now).withColumnRenamed("r", "md5")
 
 
 def wide_fingerprint(df: DataFrame, *columns: str) -> DataFrame:

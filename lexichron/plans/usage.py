@@ -74,7 +74,9 @@ def valid_requests(spark, sf_dir):
     return b.select("item_id", valid_request(F.col("text"), k).alias("valid"))
 
 
-@query("fingerprint", "SELECT count(*) AS n, md5(coalesce(string_agg(concat_ws(',', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority), '|' ORDER BY o_orderkey), '')) AS md5 FROM orders")
+@query("fingerprint", f"""WITH a AS (SELECT o_orderkey // {U.BLOCK} AS b, count(*) AS n, md5(string_agg(concat_ws(',', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority), '|' ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1),
+  c AS (SELECT b // {U.BLOCK} AS c, sum(n) AS n, md5(string_agg(d, '|' ORDER BY b)) AS d FROM a GROUP BY 1)
+  SELECT coalesce(sum(n), 0)::BIGINT AS n, md5(coalesce(string_agg(d, '|' ORDER BY c), '')) AS md5 FROM c""")
 def fingerprint(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return U.fingerprint(o, "o_orderkey", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")

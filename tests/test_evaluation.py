@@ -21,6 +21,49 @@ def test_wer_of_many_distinct_words(spark):
     assert V.pooled_wer(pairs(spark, (ref, hyp))).first().edits == 15
 
 
+def test_alignment_is_cheapest_and_long_pairs_are_fine(spark, monkeypatch):
+    import random
+    from functools import lru_cache
+
+    rng = random.Random(2)
+    for _ in range(60):
+        ref, hyp = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+
+        @lru_cache(None)
+        def cost(i, j):
+            if not i or not j:
+                return i + j
+            return min(cost(i - 1, j - 1) + (ref[i - 1] != hyp[j - 1]), cost(i - 1, j) + 1, cost(i, j - 1) + 1)
+
+        steps = V.align(ref, hyp)
+        assert sum(k != "equal" for k, _, _ in steps) == cost(len(ref), len(hyp))
+        assert [i for k, i, _ in steps if k != "ins"] == list(range(len(ref))) and [j for k, _, j in steps if k != "del"] == list(range(len(hyp)))
+        assert all((k == "equal") == (ref[i] == hyp[j]) for k, i, j in steps if k in ("equal", "sub"))
+    ref = [f"w{rng.randrange(3_000)}" for _ in range(4_000)]
+    hyp = [w for w in ref if rng.random() > 0.05]
+    assert V.pooled_wer(pairs(spark, (" ".join(ref), " ".join(hyp)))).first().edits == len(ref) - len(hyp)
+    assert sum(k != "equal" for k, _, _ in V.align(ref, hyp)) == len(ref) - len(hyp)
+    monkeypatch.setattr(V, "CODES", 50)
+    assert V.pooled_wer(pairs(spark, (" ".join(ref[:300]), " ".join(ref[10:300])))).first().edits == 10
+
+
+def test_golden_lookup_and_generation(spark):
+    episodes = spark.createDataFrame([(1, "f", "a"), (2, "f", "b")], "id long, feed_url string, guid string")
+    golden = spark.createDataFrame([("q", "f", "a"), ("r", "f", "gone"), ("s", None, "a")], "question string, feed_url string, guid string")
+    found, counts = V.lookup_golden(golden, episodes)
+    assert [(r.question, r.episode_id) for r in found.collect()] == [("q", 1)] and tuple(counts.first()) == (1, 2)
+    sampled = spark.createDataFrame([(1, i, 0, 9_000, "f", "a") for i in range(4)], "episode_id long, idx int, start_ms long, end_ms long, feed_url string, guid string")
+    replies = spark.createDataFrame([(1, 0, False, " why? ", "said here"), (1, 1, True, "x", "y"), (1, 2, None, "how?", "nowhere")], "episode_id long, idx int, skip boolean, question string, evidence string")
+    rows, stats = V.generate_golden(sampled, replies, lambda df: df.withColumn("at_ms", F.when(F.col("quote") == "said here", 1_234)))
+    assert [tuple(r) for r in rows.collect()] == [("why?", "f", "a", 1.23)] and tuple(stats.first()) == (4, 2, 1)
+    assert V.median_seconds(spark.createDataFrame([("m", 1.0), ("m", 5.0), ("m", 2.0)], "mode string, seconds double"), "mode").first().p50_seconds == 2.0
+
+
+def test_normalized_pairs(spark):
+    df = spark.createDataFrame([(1, "Mister Quilter's well-known 'song'!", "mister quilters"), (2, "...", "x")], "pair_id long, ref string, hyp string")
+    assert [(r.pair_id, r.ref) for r in V.normalized_pairs(df).collect()] == [(1, ["mister", "quilter's", "well", "known", "song"])]
+
+
 def test_metrics(spark):
     golden = spark.createDataFrame([(1, 10, 5_000), (2, 10, 70_000), (3, 11, 0)], "query_id long, episode_id long, answer_ms long")
     results = spark.createDataFrame(
