@@ -38,7 +38,7 @@ def usage_stream(spark, sf_dir):
 
 @query("token_bucket_stream", ORACLES["token_bucket"])
 def token_bucket_stream(spark, sf_dir):
-    e = X.read_events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.unix_micros("ts").alias("ts_us"))
+    e = X.read_events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
     return X.drain(X.bucket_stream(e, 2.0, 0.5))
 
 

@@ -48,11 +48,18 @@ def first_of_each(rows: DataFrame, *keys: str, delay: str = "1 day") -> DataFram
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def bucket_stream(requests: DataFrame, capacity: float, per_hour: float) -> DataFrame:
-    """requests(id, key, ts_us) with allowed and wait; the state of a key is its level and its last time."""
+def bucket_stream(requests: DataFrame, capacity: float, per_hour: float, delay: str = "1 hour") -> DataFrame:
+    """requests(id, key, ts) with allowed and wait; the state of a key is its level and its last time.
+
+    A bucket that the watermark finds full again is forgotten: a new one is full too. So state grows with the keys of a
+    refill's time, not with all keys ever seen.
+    """
     rate = per_hour / 3600
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, last = state.get if state.exists else (capacity, -1)
         pdf = pd.concat(list(frames)).sort_values(["ts_us", "id"])
         rows = []
@@ -61,9 +68,12 @@ def bucket_stream(requests: DataFrame, capacity: float, per_hour: float) -> Data
             last = int(ts)
             rows.append((i, allowed, wait))
         state.update((float(level), last))
+        full_ms = last // 1_000 + int((capacity - level) / rate * 1_000) + 1_000
+        state.setTimeoutTimestamp(max(full_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["id", "allowed", "wait"])
 
-    return requests.groupBy("key").applyInPandasWithState(run, "id bigint, allowed boolean, wait double", "level double, last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withWatermark("ts", delay).select("id", "key", F.unix_micros("ts").alias("ts_us"), "ts")
+    return timed.groupBy("key").applyInPandasWithState(run, "id bigint, allowed boolean, wait double", "level double, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def step(state: dict, event: dict, max_attempts: int = 3) -> str:
