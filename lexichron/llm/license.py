@@ -10,8 +10,9 @@ Templates are short fixed texts: three base phrases, counted at every place, and
 added when a span covers at least COVER of them. They and their hash table are literals of the plan, a few hundred
 rows whatever the input.
 
-Results: a null or empty text has no words, no places and score 0; repeated rows repeat their result; an empty table
-gives an empty table; ties between spans do not matter, as a label counts once. Other columns are not read.
+Results: a null or empty text has no words, no places and score 0; very long texts are read whole, in one row's arrays;
+repeated rows repeat their result, whatever their doc_id; an empty table gives an empty table; ties between spans do not
+matter, as a label counts once. Columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ media column; fingerprint() and aligned_groups() take any recordings.
 Results: no samples, or fewer than one filter's width of frames, give an empty fingerprint, a group of its own and no
 links; equal fingerprints are one class before any join, so copies do not multiply; repeated rows get equal results; an
 empty table gives an empty table; null, empty or non-finite embeddings give no samples. A group's id is its smallest
-rec_id.
+rec_id. Recordings are read whole, however long. Columns other than rec_id and audio (op5: vec_id and embedding), whatever
+their names, are not read.
 """
 
 from __future__ import annotations
