@@ -11,9 +11,9 @@ scores are places of merges and no log probabilities (and tokenizers are not tra
 scores -log(r + 2), as under Zipf's law, and the counts are those of that unigram model, not of the file's own merges. A
 character outside all pieces costs BYTE a byte (byte fallback). Of equal scores the segmentation of fewer tokens counts.
 
-Memory is bounded whatever the words: a trie of NODES nodes and REMEMBERED characters of words make a worker start
-afresh, and words of more than LONG characters, which share no prefix worth keeping, run through a window of as many
-scores as the longest piece has letters. Rows are independent: repeated rows repeat their result, null or empty texts
+Memory is bounded whatever the words: at NODES nodes a worker starts a new trie, at REMEMBERED characters of words it
+forgets their counts, and words of more than LONG characters, which share no prefix worth keeping, run through a window of
+as many scores as the longest piece has letters. Rows are independent: repeated rows repeat their result, null or empty texts
 count 0, very long texts are counted whole, an empty table gives an empty table. Columns other than doc_id and text,
 whatever their names, are not read.
 """
@@ -32,7 +32,7 @@ MARK = "▁"
 #: Score of one fallback byte.
 BYTE = -14.0
 #: Nodes of a worker's trie, and characters of its words (with 60 more a word).
-NODES, REMEMBERED = 300_000, 12_000_000
+NODES, REMEMBERED = 200_000, 28_000_000
 LONG = 200
 
 
@@ -57,72 +57,101 @@ def zipf_scores(pieces: list[str]) -> dict[str, float]:
     return {piece: -math.log(rank + 2) for rank, piece in reversed(list(enumerate(pieces)))}
 
 
+#: Bits of a letter in the key of a node's child: node << LETTER | letter.
+LETTER = 21
+
+
 class Counter:
-    """Counts tokens of words along a trie that is kept between calls."""
+    """Counts tokens of words along a trie; keeps counts, and the trie while it is small, between calls.
+
+    Tries are flat: one dictionary from a node and a letter to a child, and lists by node, which a worker's garbage
+    collector need not walk.
+    """
 
     def __init__(self, pieces: dict[str, float]):
         self.score = pieces
-        self.starts: dict[str, int] = {}  # longest piece that ends with a character
-        for piece in pieces:
-            self.starts[piece[-1]] = max(self.starts.get(piece[-1], 0), len(piece))
+        # pieces by their letters from the last to the first, so that all that end at a place are met on one way back
+        self.ends: dict[int, int] = {}
+        self.piece: list[float | None] = [None]
+        for piece, score in pieces.items():
+            node = 0
+            for c in reversed(piece):
+                key = node << LETTER | ord(c)
+                node = self.ends.get(key, 0)
+                if not node:
+                    node = self.ends[key] = len(self.piece)
+                    self.piece.append(None)
+            self.piece[node] = score
         self.longest = max(map(len, pieces), default=1)
+        self.known: dict[str, int] = {}
+        self.chars = 0
         self._start()
 
     def _start(self) -> None:
-        # a node: its children by letter, and (score, -tokens) of the best segmentation of its prefix
-        self.root: tuple[dict, tuple[float, int]] = ({}, (0.0, 0))
-        self.nodes, self.chars = 1, 0
-        self.known: dict[str, int] = {}
-
-    def forward(self, word: str, j: int, best: list[tuple[float, int]], shift: int = 0) -> tuple[float, int]:
-        """(score, -tokens) of word[:j]; best[i - shift] holds those of word[:i]."""
-        c = word[j - 1]
-        raw = len(c.encode("utf-8", "replace"))
-        s, t = best[j - 1 - shift]
-        top = (s + BYTE * raw, t - raw)
-        score = self.score
-        for i in range(max(0, j - self.starts.get(c, 0)), j):
-            p = score.get(word[i:j])
+        # children, and by node the score and the tokens of the best segmentation of its prefix
+        self.child: dict[int, int] = {}
+        self.best: list[float] = [0.0]
+        self.tokens: list[int] = [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.best)
+
+    def forward(self, letters: list[int], j: int, path: list[int], scores: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Score and tokens of the first j letters; path[i] is where scores and tokens hold those of the first i."""
+        i = j - 1
+        c = letters[i]
+        raw = 1 if c < 0x80 else len(chr(c).encode("utf-8", "replace"))
+        top, few = scores[path[i]] + BYTE * raw, tokens[path[i]] + raw
+        ends, piece, node = self.ends, self.piece, 0
+        while node := ends.get(node << LETTER | letters[i], 0):
+            p = piece[node]
             if p is not None:
-                s, t = best[i - shift]
-                made = (s + p, t - 1)
-                if made > top:
-                    top = made
-        return top
+                at = path[i]
+                made = scores[at] + p
+                if made > top or made == top and tokens[at] + 1 < few:
+                    top, few = made, tokens[at] + 1
+            if not i:
+                break
+            i -= 1
+        return top, few
 
     def insert(self, word: str) -> int:
         """Token count of a word; nodes that earlier words made are passed, others are made."""
-        word = MARK + word
-        if len(word) > LONG:
-            return self.windowed(word)
-        children, top = self.root
-        best = [top]
-        for j, c in enumerate(word, 1):
-            node = children.get(c)
-            if node is None:
-                node = children[c] = ({}, self.forward(word, j, best))
-                self.nodes += 1
-            children, top = node
-            best.append(top)
-        return -top[1]
-
-    def windowed(self, word: str) -> int:
-        best, shift = [(0.0, 0)], 0
-        for j in range(1, len(word) + 1):
-            best.append(self.forward(word, j, best, shift))
-            if len(best) > 2 * self.longest:
-                shift += len(best) - self.longest
-                del best[: -self.longest]
-        return -best[-1][1]
+        letters = list(map(ord, MARK + word))
+        if len(letters) > LONG:
+            return self.windowed(letters)
+        child, best, tokens = self.child, self.best, self.tokens
+        node, path = 0, [0]
+        for j, c in enumerate(letters, 1):
+            key = node << LETTER | c
+            node = child.get(key, 0)
+            if not node:
+                score, n = self.forward(letters, j, path, best, tokens)
+                node = child[key] = len(best)
+                best.append(score)
+                tokens.append(n)
+            path.append(node)
+        return tokens[node]
+
+    def windowed(self, letters: list[int]) -> int:
+        """The same for a long word, of which no node is kept: only the last scores, as far back as a piece reaches."""
+        wide, n = self.longest + 1, len(letters)
+        scores, tokens, path = [0.0] * wide, [0] * wide, [i % wide for i in range(n + 1)]
+        for j in range(1, n + 1):
+            scores[j % wide], tokens[j % wide] = self.forward(letters, j, path, scores, tokens)
+        return tokens[n % wide]
 
     def count(self, texts: list[str]) -> tuple[list[int], list[int]]:
         """Tokens and words of each text."""
         cut = [t.split() for t in texts]
-        if self.nodes > NODES or self.chars > REMEMBERED:
+        if self.chars > REMEMBERED:
+            self.known, self.chars = {}, 0
+        if self.nodes > NODES:
             self._start()
         known = self.known
         new = {w for words in cut for w in words} - known.keys()
-        for w in sorted(new):
+        for w in new:
             known[w] = self.insert(w)
         self.chars += sum(map(len, new)) + 60 * len(new)
         return [sum([known[w] for w in words]) for words in cut], [len(words) for words in cut]
