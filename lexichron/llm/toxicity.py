@@ -27,7 +27,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ from .common import Shelf, held_out, labelled, map_texts, sampled_rows, slices,
 
 SAMPLE = 30_000
 FEATURE_BITS = 20
+#: No feature.
+NONE = 1 << FEATURE_BITS
 #: Letters that a sign may stand for, by script (fixed values).
 IMITATES = {
     "latin": {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"},
@@ -52,7 +53,7 @@ TWICE_COST = ODD_COST
 #: Punctuation after a word's last letter mostly stands for itself.
 CLOSING_COST = math.log(0.5)
 #: Tokens up to this length are remembered, and about so many characters of them (with 50 more a token).
-REMEMBERED, REMEMBERED_CHARS = 200, 8_000_000
+REMEMBERED, REMEMBERED_CHARS = 200, 16_000_000
 
 WORD = re.compile(r"\w+")
 #: What is restored at once: a run of letters, digits and signs.
@@ -255,31 +256,18 @@ def restore_span(span: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
-class Memory:
-    """What a worker remembers of words, in two generations: when the young one is full it becomes the old one, and what
-    is asked for again moves back. Hot words stay, and memory is bounded."""
-
-    def __init__(self):
-        self.young, self.old, self.chars = {}, {}, 0
-
-    def get(self, word: str):
-        got = self.young.get(word)
-        if got is None and (got := self.old.get(word)) is not None:
-            self.put(word, got)
-        return got
-
-    def put(self, word: str, value) -> None:
-        self.chars += len(word) + 50
-        if self.chars > REMEMBERED_CHARS // 2:
-            self.young, self.old, self.chars = {}, self.young, len(word) + 50
-        self.young[word] = value
-
-
 class Reader:
-    """Words of texts with every disguise undone; remembers short tokens."""
+    """Words of texts with every disguise undone.
+
+    What stands between white space is read once and remembered as its words, joined by spaces, in two generations: when
+    the young one is full it becomes the old one, and what is met again moves back. Hot words stay, and memory is bounded.
+    """
 
     def __init__(self, model: CharModel):
-        self.model, self.known = model, Memory()
+        self.model = model
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.chars = 0
 
     def restored(self, token: str) -> str:
         """A token of a text in plain form, with its disguised stretches restored."""
@@ -291,19 +279,32 @@ class Reader:
         """The text in plain form, with letters that are set apart joined where that reads likelier."""
         return APART.sub(lambda m: restore_span(m.group(), self.model), plain(text))
 
+    def read(self, chunk: str) -> str:
+        """The words of a chunk, joined by spaces."""
+        made = " ".join([w for token in TOKEN.findall(chunk) for w in WORD.findall(self.restored(token))])
+        return chunk if made == chunk else made
+
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
-        tokens = list(set(TOKEN.findall(self.spans(text))))
-        found = list(map(self.known.young.get, tokens))
+        chunks = list(set(self.spans(text).split()))
+        found = list(map(self.young.get, chunks))
         if None in found:
-            for i, token in enumerate(tokens):
+            for i, chunk in enumerate(chunks):
                 if found[i] is None:
-                    if (words := self.known.get(token)) is None:
-                        words = tuple(WORD.findall(self.restored(token)))
-                        if len(token) <= REMEMBERED:
-                            self.known.put(token, words)
-                    found[i] = words
-        return set(chain.from_iterable(found))
+                    found[i] = self.old.get(chunk)
+                    if found[i] is None:
+                        found[i] = self.read(chunk)
+                    if len(chunk) <= REMEMBERED:
+                        self.remember(chunk, found[i])
+        words = set(" ".join(found).split(" "))
+        words.discard("")
+        return words
+
+    def remember(self, chunk: str, words: str) -> None:
+        self.chars += len(chunk) + 50
+        if self.chars > REMEMBERED_CHARS // 2:
+            self.young, self.old, self.chars = {}, self.young, len(chunk) + 50
+        self.young[chunk] = words
 
 
 def restore(text: str, model: CharModel) -> str:
@@ -313,35 +314,38 @@ def restore(text: str, model: CharModel) -> str:
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself and its beginnings of five and seven letters."""
-    raw = [f"{word}$"] + [word[:k] for k in (5, 7) if len(word) >= k]
-    return [zlib.crc32(x.encode("utf-8", "replace")) & ((1 << FEATURE_BITS) - 1) for x in raw]
-
-
-def word_set_features(words: set[str]) -> set[int]:
-    out: set[int] = set()
-    for w in words:
-        out.update(word_features(w))
-    return out
+    """Hashed features of a word: itself and its beginnings of five and seven letters; NONE where it is shorter."""
+    mask = (1 << FEATURE_BITS) - 1
+    raw = word.encode("utf-8", "replace")
+    if len(word) < 5:
+        return [zlib.crc32(raw + b"$") & mask, NONE, NONE]
+    five = zlib.crc32(word[:5].encode("utf-8", "replace")) & mask
+    return [zlib.crc32(raw + b"$") & mask, five, zlib.crc32(word[:7].encode("utf-8", "replace")) & mask if len(word) >= 7 else NONE]
 
 
 class Lexicon:
-    """Counts of features in toxic and clean labelled texts; strength() is the log odds of one feature."""
+    """Counts of features in toxic and clean labelled texts, as arrays by feature; the last place stands for NONE."""
 
-    def __init__(self, toxic: dict[int, int], clean: dict[int, int], n_toxic: int, n_clean: int):
+    def __init__(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int):
         self.toxic, self.clean, self.n_toxic, self.n_clean = toxic, clean, n_toxic, n_clean
         self.least = max(3, round(0.002 * n_toxic))
-        self.by_feature = {f: s for f in toxic if (s := self.strength(toxic[f], clean.get(f, 0))) > 0}
+        self.strong = self.strength(toxic, clean) > 0
 
-    def strength(self, t: int, c: int) -> float:
-        if t < self.least:
-            return 0.0
-        odds = math.log((t + 0.5) / (self.n_toxic + 1)) - math.log((c + 0.5) / (self.n_clean + 1))
-        return odds if odds > 1.5 else 0.0
+    def strength(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Log odds of features; 0 for weak and rare ones."""
+        odds = np.log((np.maximum(t, 0) + 0.5) / (self.n_toxic + 1)) - np.log((np.maximum(c, 0) + 0.5) / (self.n_clean + 1))
+        return np.where((t >= self.least) & (odds > 1.5), odds, 0.0)
 
-    def without(self, feature: int, toxic: bool) -> float:
-        """Strength as if the labelled text at hand, which holds the feature, had not been counted."""
-        return self.strength(self.toxic[feature] - toxic, self.clean.get(feature, 0) - (not toxic))
+    def by_feature(self) -> dict[int, float]:
+        at = np.flatnonzero(self.strong)
+        return dict(zip(at.tolist(), self.strength(self.toxic[at], self.clean[at]).tolist(), strict=True))
+
+    def hits(self, features: np.ndarray, toxic: bool) -> list[float]:
+        """Strengths of the words of a labelled text, of three features each, as if the text had not been counted."""
+        f = features.reshape(-1, 3)
+        own = self.strength(self.toxic[f] - toxic, self.clean[f] - (not toxic)) * self.strong[f]
+        best = own.max(1) if len(f) else np.zeros(0)
+        return best[best > 0].tolist()
 
 
 def summary(hits: list[float], n_words: int) -> list[float]:
@@ -372,7 +376,11 @@ class Toxicity:
 
     def forget(self) -> None:
         """Starts with empty memories."""
-        self.reader, self.strong = Reader(self.model), Memory()
+        self.reader = Reader(self.model)
+        # words met before, and the strengths of those that hit
+        self.seen: set[str] = set()
+        self.hot: dict[str, float] = {}
+        self.chars = 0
 
     def __getstate__(self) -> tuple:
         return self.model, self.strengths, self.curve
@@ -383,17 +391,17 @@ class Toxicity:
 
     def hits(self, text: str) -> tuple[list[float], int]:
         """Strengths of the distinct words that hit, and the number of distinct words."""
-        words = list(self.reader.words(text))
-        found = list(map(self.strong.young.get, words))
-        if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    if (s := self.strong.get(w)) is None:
-                        s = max([self.strengths.get(f, 0.0) for f in word_features(w)])
-                        if len(w) <= REMEMBERED:
-                            self.strong.put(w, s)
-                    found[i] = s
-        return [s for s in found if s], len(words)
+        words = self.reader.words(text)
+        if self.chars > REMEMBERED_CHARS:
+            self.seen, self.hot, self.chars = set(), {}, 0
+        new = words - self.seen
+        for w in new:
+            s = max([self.strengths.get(f, 0.0) for f in word_features(w)])
+            if s:
+                self.hot[w] = s
+        self.chars += sum(map(len, new)) + 50 * len(new)
+        self.seen |= new
+        return [self.hot[w] for w in words & self.hot.keys()], len(words)
 
     def score(self, text: str) -> float:
         if self.curve is None:
@@ -412,47 +420,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for part, texts in slices(batches):
-            words = [sorted(reader.words(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), part.column(part.schema.get_field_index("label"))], names=["words", "label"])
+            made = [np.array([f for w in reader.words(t) for f in word_features(w)], np.int32) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())), part.column(part.schema.get_field_index("label"))], names=["features", "label"])
 
-    # sample rows, read once: their restored words serve the lexicon and the curve
+    # sample rows, read once: the features of their restored words serve the lexicon and the curve
     sampled = sampled_rows(docs, labelled(labels, "toxic", sample), sample)
-    rows = shelf.put(sampled.select("text", "label").mapInArrow(read, "words array<string>, label int"))
+    rows = shelf.put(sampled.select("text", "label").mapInArrow(read, "features array<int>, label int"))
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        flat, ends = batch.column(0).values.to_numpy(), batch.column(0).offsets.to_numpy()
+        for a, b, label in zip(ends, ends[1:], batch.column(1).to_pylist(), strict=False):
+            yield flat[a:b], label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 + (1 << FEATURE_BITS)), np.int32)
+        n, texts = np.zeros((2, NONE + 1), np.int32), np.zeros(2, np.int32)
         for batch in batches:
-            for words, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                n[label, [-1, *word_set_features(set(words.as_py()))]] += 1
+            for features, label in each(batch):
+                n[label, np.unique(features)] += 1
+                texts[label] += 1
+        n[:, NONE] = texts  # the place of no feature holds the number of texts
         at = np.flatnonzero(n.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], names=["feature", "t", "c"])
 
     counted = rows.mapInArrow(count, "feature bigint, t int, c int").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    toxic, clean, n_toxic, n_clean = {}, {}, 0, 0
-    for f, t, c in counted.filter((F.col("t") >= 3) | (F.col("feature") == 1 << FEATURE_BITS)).toPandas().itertuples(index=False):
-        if f == 1 << FEATURE_BITS:
-            n_toxic, n_clean = int(t), int(c)
-        else:
-            toxic[int(f)], clean[int(f)] = int(t), int(c)
+    got = counted.filter((F.col("t") >= 3) | (F.col("feature") == NONE)).toPandas()
+    toxic, clean = np.zeros(NONE + 1), np.zeros(NONE + 1)
+    at = got["feature"].to_numpy(np.int64)
+    toxic[at], clean[at] = got["t"].to_numpy(), got["c"].to_numpy()
+    n_toxic, n_clean = int(toxic[NONE]), int(clean[NONE])
+    toxic[NONE] = clean[NONE] = 0
     if not n_toxic or not n_clean:
         return Toxicity(model, {}, None)
     lexicon = Lexicon(toxic, clean, n_toxic, n_clean)
     lex = spark.sparkContext.broadcast(lexicon)
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strong = lex.value.by_feature
         for batch in batches:
-            y, x = batch.column(1).to_pylist(), []
-            for words, label in zip(batch.column(0).to_pylist(), y, strict=True):
-                hits = [max([lex.value.without(f, bool(label)) if f in strong else 0.0 for f in word_features(w)]) for w in words]
-                x.append(summary([h for h in hits if h], len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+            made = [(summary(lex.value.hits(features, bool(label)), len(features) // 3), label) for features, label in each(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.list_(pa.float64())), pa.array([y for _, y in made], pa.int32())], names=["x", "y"])
 
     got = rows.mapInArrow(summarize, "x array<double>, y int").toPandas()
     order = sorted(range(len(got)), key=lambda i: (int(got["y"].iloc[i]), *got["x"].iloc[i]))  # sums do not depend on the order of tasks
     curve = fit_curve(np.stack(got["x"].to_numpy())[order], got["y"].to_numpy(float)[order])
     shelf.drop(rows)
-    return Toxicity(model, lexicon.by_feature, [float(w) for w in curve])
+    return Toxicity(model, lexicon.by_feature(), [float(w) for w in curve])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
