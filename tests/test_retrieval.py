@@ -48,9 +48,9 @@ def test_rerank_keeps_ties_in_order(spark):
 
 
 def test_search_modes(spark):
-    docs = spark.createDataFrame([(1, "apples and pears"), (2, "pears only"), (3, "plums")], "id long, text string")
+    docs = spark.createDataFrame([(1, "apples and pears"), (2, "pears alone"), (3, "plums")], "id long, text string")
     vectors = R.hash_embed(docs)
-    q = spark.createDataFrame([(1, "pears only")], "query_id long, question string")
+    q = spark.createDataFrame([(1, "pears alone")], "query_id long, question string")
     q = q.join(R.hash_embed(q.select(F.col("query_id").alias("id"), F.col("question").alias("text"))).withColumnRenamed("id", "query_id"), "query_id")
     for mode in ("keyword", "vector", "hybrid", "rerank"):
         best = R.search(R.postings(docs), vectors, docs, q, mode, 2).orderBy("rank").first()
