@@ -93,8 +93,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
                 start, chars = i + 1, 0
 
 
-def map_texts(df: DataFrame, score: Callable[[list[str]], dict[str, pa.Array]], columns: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Row-wise map: score(texts) gives the new columns; the columns in keep are carried along. One row out per row in."""
+def map_texts(df: DataFrame, score: Callable[..., dict[str, pa.Array]], columns: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Row-wise map: score(texts), or score(values of keep's first column, texts) with_ids, gives the new columns; the
+    columns in keep are carried along. One row out per row in."""
     bounded_batches(df.sparkSession)
     out_names = [c.split()[0] for c in columns.split(", ")]
     source = df.select(*keep, "text")
@@ -102,7 +103,7 @@ def map_texts(df: DataFrame, score: Callable[[list[str]], dict[str, pa.Array]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            made = score(texts)
+            made = score(part.column(0).to_pylist(), texts) if with_ids else score(texts)
             arrays = [part.column(part.schema.get_field_index(k)) for k in keep] + [made[n] for n in out_names]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *out_names])
 

@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from . import ann, bpe, license, media, mixing, neardup, pii, quality, tokencount, toxicity
+from . import ann, bpe, crosstoken, license, media, mixing, neardup, packing, periodic, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_license": license.op1_license,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
+    "op11_packing": packing.op11_packing,
+    "op12_periodic": periodic.op12_periodic,
+    "op13_crosstoken": crosstoken.op13_crosstoken,
 }
 ORACLES: dict[str, str] = {"op1_license": license.OP1_SQL, "op2_minhash": neardup.OP2_SQL, "op3_ann": ann.OP3_SQL}
