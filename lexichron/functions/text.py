@@ -50,14 +50,18 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
 
 
-def quote_tokens(text: Column) -> Column:
-    """Comparable tokens of a folded text: straight apostrophes, lower case, other signs as gaps, apostrophes stripped at the
-    ends."""
+def quote_text(text: Column) -> Column:
+    """A folded text as its comparable tokens with white space between: straight apostrophes, lower case, other signs as
+    gaps, apostrophes stripped at the ends."""
     straight = F.replace(F.replace(text, F.lit(STRAIGHT[0][0]), F.lit("'")), F.lit(STRAIGHT[0][1]), F.lit("'"))
     plain = F.regexp_replace(F.lower(straight), r"[^\p{L}\p{N}_\s']+", " ")
     # apostrophes at the ends of words go in one pass over the text rather than one a word
-    bare = F.regexp_replace(plain, r"(?<!\S)'+|'+(?!\S)", "")
-    return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    return F.regexp_replace(plain, r"(?<!\S)'+|'+(?!\S)", "")
+
+
+def quote_tokens(text: Column) -> Column:
+    """The comparable tokens of a folded text."""
+    return F.filter(F.split(quote_text(text), r"\s+"), lambda w: w != "")
 
 
 def phrase(tokens: Column) -> Column:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_total
+
 #: A hit is right if the answer's time lies in it, give or take this.
 SLACK_MS = 500
 
@@ -221,15 +223,14 @@ def outside_seconds(mid: Column, start: Column, end: Column) -> Column:
 def timing_summary(offsets: DataFrame) -> DataFrame:
     """n, inside_rate, p95, worst of offsets(outside): p95 is the value at index floor(0.95 (n - 1)) in sorted order.
 
-    Equal values are counted before they meet, so the running count goes over distinct values only.
+    Equal values are counted before they meet; the running count over the distinct ones is taken range by range.
     """
-    counted = offsets.groupBy("outside").agg(F.count("*").alias("c"))
-    everything = Window.partitionBy()
-    upto = F.sum("c").over(Window.orderBy("outside").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counted.withColumns({"upto": upto, "n": F.sum("c").over(everything)})
+    counted = offsets.filter("outside IS NOT NULL").groupBy("outside").agg(F.count("*").alias("c"))
+    placed = running_total(counted, "c", ["outside"], name="upto")
+    total = placed.agg(F.max("upto").alias("n"))  # one row
     p95 = F.min(F.when(F.col("upto") > F.floor(0.95 * (F.col("n") - 1)), F.col("outside")))
     inside = F.sum(F.when(F.col("outside") <= 0, F.col("c")).otherwise(0)) / F.max("n")
-    return placed.agg(F.max("n").alias("n"), inside.alias("inside_rate"), p95.alias("p95"), F.max("outside").alias("worst"))
+    return placed.crossJoin(F.broadcast(total)).agg(F.max("n").alias("n"), inside.alias("inside_rate"), p95.alias("p95"), F.max("outside").alias("worst"))
 
 
 def golden_sample(passages: DataFrame, total: int, seed: int = 42) -> DataFrame:

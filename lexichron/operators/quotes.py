@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MIN_QUOTE_TOKENS, clock, contains_phrase, folded, folded_words, phrase_index, quote_tokens
+from .location import in_time_order, places_of
 
 #: Reasons of the critic.
 NO_PASSAGE, QUESTION, NOT_FOUND = "no such passage", "quote is a question, not a statement", "quote not found verbatim in passage"
@@ -44,12 +45,27 @@ def locate(needle: Column, tokens: Column, starts: Column, low: Column, high: Co
 
 
 def located(quotes: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """quotes(…, episode_id, quote, start_ms, end_ms) with at_ms. Joins on the episode, then looks inside the passage."""
-    # only the episodes asked about; the semi join goes below the arrays' making
-    t = transcripts.select("episode_id", folded_words(F.col("tokens")).alias("tokens"), "starts").join(quotes.select("episode_id").distinct(), "episode_id", "left_semi")
+    """quotes(…, episode_id, quote, start_ms, end_ms) with at_ms, the start of the quote's first word in its interval, or NULL.
+
+    Each different question is looked up once in the positional index of its episode's runs. Episodes whose starts go back,
+    where an interval's words need not be neighbours, are searched word by word instead.
+    """
+    keys = ["episode_id", "quote", "start_ms", "end_ms"]
+    ask = F.md5(F.to_json(F.struct(*keys)).cast("binary"))
+    asks = quotes.select(*keys).dropna().distinct().withColumn("ask", ask)
+    t = transcripts.select("episode_id", "tokens", "starts").join(asks.select("episode_id").distinct(), "episode_id", "left_semi")
+    orderly = in_time_order(F.col("starts"))
+    found = places_of(asks, t.filter(orderly), SLACK_MS)
+    found = found.unionByName(located_by_words(asks, t.filter(~orderly)).select("ask", "at_ms"))
+    return quotes.withColumn("ask", ask).join(found, "ask", "left").drop("ask")
+
+
+def located_by_words(quotes: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """quotes with at_ms by filtering an episode's words for each quote; quotes of other episodes are left out."""
+    t = transcripts.select("episode_id", folded_words(F.col("tokens")).alias("tokens"), "starts")
     low, high = F.col("start_ms") - SLACK_MS, F.col("end_ms") + SLACK_MS
     at = locate(quote_tokens(folded(F.col("quote"))), F.col("tokens"), F.col("starts"), low, high)
-    return quotes.join(t, "episode_id", "left").withColumn("at_ms", at).drop("tokens", "starts")
+    return quotes.join(t, "episode_id").withColumn("at_ms", at).drop("tokens", "starts")
 
 
 def verdicts(citations: DataFrame, hits: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_total
 from .scan import scanned
 
 LIMIT, RESERVE = 180_000, 2_500
@@ -23,10 +24,11 @@ def merge_usage(table: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def budget_guard(spends: DataFrame, limit: int, reserve: int) -> DataFrame:
-    """spends(id, ts, day, tokens) with used (the day's tokens before) and refused. Refused calls count as asked for."""
-    before = Window.partitionBy("day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    return spends.withColumn("used", used).withColumn("refused", F.col("used") + reserve > limit)
+    """spends(id, ts, day, tokens) with used (the day's tokens before) and refused. Refused calls count as asked for. A day's
+    calls are added up range by range, so that one busy day is not one task."""
+    used = running_total(spends, "tokens", ["ts", "id"], "day", "used")
+    used = used.withColumn("used", F.col("used") - F.coalesce("tokens", F.lit(0)))
+    return used.withColumn("refused", F.col("used") + reserve > limit)
 
 
 def strict_budget(spends: DataFrame, limit: int, reserve: int) -> DataFrame:
