@@ -84,6 +84,20 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, quer
 
     rows = rows.select("*", block("id", row_blocks).alias("i"), every(query_blocks).alias("j"))
     asked = asked.select("*", every(row_blocks).alias("i"), block("query_id", query_blocks).alias("j"))
+    return ranked(nearest_in_groups(rows, asked, k, "i", "j"), k, F.asc("distance"))
+
+
+#: Far above what rounding moves a cosine distance.
+MARGIN = 1e-9
+
+
+def nearest_in_groups(rows: DataFrame, asked: DataFrame, k: int, *by: str) -> DataFrame:
+    """query_id, id, distance: the k rows(id, embedding) nearest to each of asked(query_id, embedding) within each group of
+    equal `by`, both sides of which must be of bounded size.
+
+    A matrix product chooses the rows up to the k-th distance and a margin beyond; of those alone the distance is summed in
+    order, as a plain loop would.
+    """
     out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
     def run(candidates: pa.Table, asking: pa.Table) -> pa.Table:
@@ -93,26 +107,25 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, quer
         dim = max((n for n in pc.list_value_length(asking["embedding"]).to_pylist() if n), default=1)
         v_ids, v = _matrix(candidates["id"].chunk(0), candidates["embedding"].chunk(0), dim)
         q_ids, q = _matrix(asking["query_id"].chunk(0), asking["embedding"].chunk(0), dim)
-        v_size, columns, parts = np.sqrt((v * v).sum(1)), np.ascontiguousarray(v.T), []
+        v_size, parts = np.sqrt((v * v).sum(1)), []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
-            product = np.zeros((len(part), len(v)))
-            for j in range(dim):  # in order, as a plain loop would add
-                product += part[:, j, None] * columns[j]
+            sizes = np.sqrt((part * part).sum(1))
             with np.errstate(invalid="ignore", divide="ignore"):
-                dist = np.nan_to_num(1 - product / (np.sqrt((part * part).sum(1))[:, None] * v_size), nan=np.inf)
-            if dist.shape[1] > k:  # all rows up to the k-th distance, then the k best with ties to the smaller id
-                near = [np.flatnonzero(row <= edge) for row, edge in zip(dist, np.partition(dist, k - 1, axis=1)[:, k - 1], strict=True)]
-            else:
-                near = [np.arange(dist.shape[1])] * len(part)
-            for row, ids, query in zip(dist, near, q_ids[at : at + 256], strict=True):
-                best = ids[np.lexsort((v_ids[ids], row[ids]))[:k]]
-                best = best[np.isfinite(row[best])]
-                parts.append(pa.table([pa.array(np.full(len(best), query)), pa.array(v_ids[best]), pa.array(row[best])], schema=out))
+                rough = np.nan_to_num(1 - part @ v.T / (sizes[:, None] * v_size), nan=np.inf)
+            edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + MARGIN if rough.shape[1] > k else np.full(len(part), np.inf)
+            asks, found = np.nonzero((rough <= edge[:, None]) & np.isfinite(rough))
+            product = np.zeros(len(asks))
+            for j in range(dim):  # in order, as a plain loop would add
+                product += part[asks, j] * v[found, j]
+            distance = 1 - product / (sizes[asks] * v_size[found])
+            order = np.lexsort((v_ids[found], distance, asks))
+            place = np.arange(len(order)) - np.searchsorted(asks[order], asks[order])
+            best = order[place < k]
+            parts.append(pa.table([pa.array(q_ids[at + asks[best]]), pa.array(v_ids[found[best]]), pa.array(distance[best])], schema=out))
         return pa.concat_tables(parts).combine_chunks() if parts else out.empty_table()
 
-    legs = rows.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(run, "query_id bigint, id bigint, distance double")
-    return ranked(legs, k, F.asc("distance"))
+    return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "query_id bigint, id bigint, distance double")
 
 
 def rrf(*legs: DataFrame, k: int = RRF_K) -> DataFrame:

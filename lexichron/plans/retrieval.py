@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, snippet, vector_literal
+from ..functions.text import STOPWORDS, keyword_terms, snippet, vector_literal
 from ..operators import retrieval as R
-from ..session import spread, table
+from ..session import scratch, spread, table
+from ..sources import textindex, vectorindex
 from . import corpus as C
 from .base import query
 
@@ -60,6 +61,23 @@ def keyword_topk(spark, sf_dir):
     return R.keyword_leg(R.postings(documents(spark, sf_dir), only=R.query_terms(q)), q)
 
 
+@query("stored_keyword_topk", f"WITH {KEYWORD_SQL} SELECT query_id, id, rank FROM kleg")
+def stored_keyword_topk(spark, sf_dir):
+    """The same ranks from a stored index, whose blocks are skipped by their bounds."""
+    path = scratch(spark)
+    textindex.build(documents(spark, sf_dir), path, analyze=keyword_terms)
+    return textindex.search(path, C.questions(spark, sf_dir), analyze=keyword_terms)
+
+
+@query("stemmed_postings", rf"WITH {KEYWORD_SQL} SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS n_places FROM post WHERE regexp_matches(term, '[^\x00-\x7F]') GROUP BY term")
+def stemmed_postings(spark, sf_dir):
+    """The terms of a stored index with stems that are no English words, which no stem rule touches."""
+    path = scratch(spark)
+    textindex.build(documents(spark, sf_dir), path)
+    other = textindex.postings(spark, path).filter(F.col("term").rlike(r"[^\x00-\x7F]"))
+    return other.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_places"))
+
+
 @query("vector_topk", f"WITH {VECTOR_SQL.format(q='id', where='WHERE id % 50 = 0')} SELECT query_id, id, rank FROM vleg")
 def vector_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -127,6 +145,27 @@ def vector_literals(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", vector_literal(F.col("embedding")).alias("literal"))
 
 
+def vector_index(spark, sf_dir):
+    """A stored index over the embeddings, and where it lies."""
+    path = scratch(spark)
+    vectorindex.build(vectors(spark, sf_dir), path)
+    return path
+
+
+@query("ann_index")
+def ann_index(spark, sf_dir):
+    """The stored index at the number of cells that it measured for itself."""
+    q = vectors(spark, sf_dir).filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return vectorindex.nearest(vector_index(spark, sf_dir), q)
+
+
+@query("ann_index_exact", f"WITH {VECTOR_SQL.format(q='id', where='WHERE id % 50 = 0')} SELECT query_id, id, rank FROM vleg")
+def ann_index_exact(spark, sf_dir):
+    """The stored index, and all cells that may hold a nearer row."""
+    q = vectors(spark, sf_dir).filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return vectorindex.nearest(vector_index(spark, sf_dir), q, probes=4, exact=True)
+
+
 @query("ann_lsh")
 def ann_lsh(spark, sf_dir):
     v = vectors(spark, sf_dir)

@@ -82,9 +82,15 @@ def clear_written() -> None:
 atexit.register(clear_written)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted like the tables of written()."""
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: made once however often a plan uses it, and safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
