@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import read_spec
 from .bytebpe import byte_bpe, default_path
@@ -153,6 +154,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if ids else ""))
 
 
+def _shape(rows: DataFrame, more: str) -> T.StructType:
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(more)])
+
+
 def dealt(rows: DataFrame, shelf: Shelf, teams: int) -> DataFrame:
     """rows(row, size, uid) with a team each: in order of size and uid, every teams-th row goes to the same team."""
     from pyspark import TaskContext
@@ -164,9 +169,8 @@ def dealt(rows: DataFrame, shelf: Shelf, teams: int) -> DataFrame:
             nth += b.num_rows
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part)), number], names=["row", "size", "uid", "part", "nth"])
 
-    kind = rows.schema["row"].dataType.simpleString()
     in_order = rows.select("row", "size", "uid").repartitionByRange("size", "uid").sortWithinPartitions("size", "uid")
-    numbered = shelf.put(in_order.mapInArrow(count, f"row {kind}, size bigint, uid bigint, part bigint, nth bigint"))
+    numbered = shelf.put(in_order.mapInArrow(count, _shape(rows, "size bigint, uid bigint, part bigint, nth bigint")))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part of the sort
     upto = numbered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
     return numbered.join(F.broadcast(upto), "part").select("row", "size", "uid", F.pmod(F.col("before") + F.col("nth"), F.lit(teams)).cast("bigint").alias("team"))
@@ -186,8 +190,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan: int
         counts[size] = n
     teams, by = max(1, -(-int(counts.sum()) // group)), best_function(counts, capacity)
     left = dealt(rows.filter(~whole), shelf, teams).withColumn("sequence_id", F.lit(None).cast("bigint"))
-    schema = "uid bigint, team bigint, sequence_id bigint, offset bigint, up boolean"
-    shape = f"row {rows.schema['row'].dataType.simpleString()}, size bigint, {schema}"
+    shape = _shape(rows, "size bigint, uid bigint, team bigint, sequence_id bigint, offset bigint, up boolean")
     level = 0
     while True:
         last = teams == 1
