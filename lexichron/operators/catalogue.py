@@ -67,30 +67,36 @@ def update_durations(episodes: DataFrame, measured: DataFrame) -> DataFrame:
     return both.withColumn("duration_seconds", F.coalesce("__measured", "duration_seconds")).select(episodes.columns)
 
 
-#: Folders of a table whose rows are replaced episode by episode.
-BUCKETS = 64
+#: Episodes of a folder of a table whose rows are replaced episode by episode.
+FOLDER_EPISODES = 4_096
 
 
-def episode_bucket(buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64("episode_id"), F.lit(buckets)).cast("int")
+def episode_folder(size: int = FOLDER_EPISODES) -> Column:
+    """Neighbouring episodes share a folder, so new ones fill the last folders and the table's size sets their number."""
+    return F.floor(F.col("episode_id") / size)
 
 
-def rebuild_rows(made: DataFrame, rebuilt: DataFrame, path: str, schema: StructType, buckets: int = BUCKETS) -> None:
-    """Puts the rows made for the episodes in rebuilt(episode_id) in place of all they had, also where none were made.
+def rebuild_rows(made: DataFrame, rebuilt: DataFrame, path: str, schema: StructType, size: int = FOLDER_EPISODES) -> int:
+    """Puts the rows made for the episodes in rebuilt(episode_id) in place of all they had, also where none were made; returns
+    the number of folders that were written anew.
 
-    Rows lie in folders by a hash of their episode; only folders that hold a rebuilt episode are written anew, each is
-    swapped whole, and one that is left without rows goes.
+    Rows of episodes that had none are appended, and no stored file changes. Only folders that hold rows of a rebuilt episode
+    are written anew, each swapped whole, and one that is left without rows goes.
     """
     spark = made.sparkSession
-    bucket = episode_bucket(buckets)
-    numbers = [r[0] for r in rebuilt.select(bucket.alias("b")).distinct().collect()]  # at most `buckets`
-    if not numbers:
-        return
-    before = spark.read.schema(schema).parquet(path).withColumn("bucket", bucket).filter(F.col("bucket").isin(numbers))
-    kept = before.join(rebuilt.select("episode_id").distinct(), "episode_id", "left_anti").select(*schema.names, "bucket")
-    after = written(kept.unionByName(made.select(*schema.names, bucket.alias("bucket"))))
-    whole = after.repartition("bucket")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    filled = {r[0] for r in after.select("bucket").distinct().collect()}
-    for b in sorted(set(numbers) - filled):
-        delete(spark, f"{path}/bucket={b}")
+    folder = episode_folder(size)
+    ids = rebuilt.select("episode_id").distinct()
+    stored = spark.read.schema(schema).parquet(path)
+    stale = [r[0] for r in stored.select("episode_id").join(ids, "episode_id", "left_semi").select(folder.alias("f")).distinct().collect()]  # folders, not episodes
+    made = written(made.select(*schema.names, folder.alias("bucket")))
+    if stale:
+        before = stored.withColumn("bucket", folder).filter(F.col("bucket").isin(stale))
+        kept = before.join(ids, "episode_id", "left_anti").select(*schema.names, "bucket")
+        after = written(kept.unionByName(made.filter(F.col("bucket").isin(stale))))
+        after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        filled = {r[0] for r in after.select("bucket").distinct().collect()}
+        for f in sorted(set(stale) - filled):
+            delete(spark, f"{path}/bucket={f}")
+    new = made.filter(~F.col("bucket").isin(stale)) if stale else made
+    new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    return len(stale)

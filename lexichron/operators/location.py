@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MIN_QUOTE_TOKENS, folded, quote_text, quote_tokens
+from ..session import written
 
 #: Milliseconds of a bin; an interval of more bins than MOST_BINS is joined without bins.
 BIN_MS, MOST_BINS = 60_000, 64
@@ -26,7 +27,7 @@ def word_tokens(words: Column) -> Column:
 
 def in_time_order(starts: Column) -> Column:
     """True if the starts are all there and none goes back."""
-    return F.coalesce((F.array_sort(starts) == starts) & ~F.exists(starts, lambda s: s.isNull()), F.lit(False))
+    return F.coalesce((F.sort_array(starts) == starts) & ~F.array_contains(F.transform(starts, lambda s: s.isNull()), True), F.lit(False))
 
 
 def token_runs(transcripts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -65,12 +66,14 @@ def places_of(asks: DataFrame, transcripts: DataFrame, slack_ms: int) -> DataFra
     bin_of = lambda ms: F.floor(ms / BIN_MS)
     low, high = F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms
     wanted = quote_runs(asks.withColumn("low", low).withColumn("high", high).filter("low <= high"))
+    wanted = written(wanted.withColumn("bins", bin_of(F.col("high")) - bin_of(F.col("low"))))
     runs = token_runs(transcripts, wanted).withColumn("bin", bin_of(F.col("from_ms")))
-    bins = bin_of(F.col("high")) - bin_of(F.col("low"))
-    binned = wanted.filter(bins < MOST_BINS).withColumn("bin", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))))
-    columns = ["ask", "k", "runs", "at", "from_ms"]
     inside = (F.col("from_ms") >= F.col("low")) & (F.col("to_ms") <= F.col("high"))
+    columns = ["ask", "k", "runs", "at", "from_ms"]
+    binned = wanted.filter(F.col("bins") < MOST_BINS).withColumn("bin", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))))
     met = binned.join(runs, ["episode_id", "run", "bin"]).filter(inside).select(columns)
-    met = met.unionByName(wanted.filter(bins >= MOST_BINS).join(runs, ["episode_id", "run"]).filter(inside).select(columns))
+    wide = wanted.filter(F.col("bins") >= MOST_BINS)
+    if not wide.isEmpty():
+        met = met.unionByName(wide.join(runs, ["episode_id", "run"]).filter(inside).select(columns))
     whole = met.groupBy("ask", (F.col("at") - F.col("k")).alias("at")).agg(F.count("*").alias("n"), F.max("runs").alias("runs"), F.min("from_ms").alias("at_ms"))
     return whole.filter("n = runs").groupBy("ask").agg(F.min_by("at_ms", "at").alias("at_ms"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MIN_QUOTE_TOKENS, clock, contains_phrase, folded, folded_words, phrase_index, quote_tokens
+from ..session import written
 from .location import in_time_order, places_of
 
 #: Reasons of the critic.
@@ -52,11 +53,13 @@ def located(quotes: DataFrame, transcripts: DataFrame) -> DataFrame:
     """
     keys = ["episode_id", "quote", "start_ms", "end_ms"]
     ask = F.md5(F.to_json(F.struct(*keys)).cast("binary"))
-    asks = quotes.select(*keys).dropna().distinct().withColumn("ask", ask)
+    asks = written(quotes.select(*keys).dropna().distinct().withColumn("ask", ask))
     t = transcripts.select("episode_id", "tokens", "starts").join(asks.select("episode_id").distinct(), "episode_id", "left_semi")
-    orderly = in_time_order(F.col("starts"))
-    found = places_of(asks, t.filter(orderly), SLACK_MS)
-    found = found.unionByName(located_by_words(asks, t.filter(~orderly)).select("ask", "at_ms"))
+    # only the episodes asked about are looked at, once
+    t = written(t.withColumn("orderly", in_time_order(F.col("starts"))))
+    found = places_of(asks, t.filter("orderly"), SLACK_MS)
+    if not t.filter("NOT orderly").isEmpty():
+        found = found.unionByName(located_by_words(asks, t.filter("NOT orderly")).select("ask", "at_ms"))
     return quotes.withColumn("ask", ask).join(found, "ask", "left").drop("ask")
 
 

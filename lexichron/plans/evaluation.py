@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import split_words
+from ..functions.text import keyword_terms, split_words
 from ..operators import evaluation as V
 from ..operators import retrieval as R
-from ..session import written
+from ..session import scratch, written
+from ..sources import index, store
 from . import corpus as C
 from . import quotes as P
 from .ask import PASSAGE_BITS, passage_pool
@@ -72,6 +73,19 @@ def results(spark, sf_dir, golden):
     return again
 
 
+@query("stored_hybrid", f"WITH RECURSIVE {EVAL_SQL} SELECT query_id, id, rank::INTEGER AS rank, score FROM fu WHERE rank <= 10")
+def stored_hybrid(spark, sf_dir):
+    """Passages stored and indexed, then found by the stored index alone."""
+    root, pool = scratch(spark), passage_pool(spark, sf_dir)
+    store.apply_schema(spark, root)
+    rows = pool.join(R.hash_embed(pool.select("id", "text")), "id", "left")
+    store.append(rows.select("id", "episode_id", "idx", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "text", "embedding", F.lit("hash-1").alias("embed_model")), root, "passages")
+    index.refresh_search(spark, root, keyword_terms)
+    said = golden(spark, sf_dir, P.pairs(spark, sf_dir)).select("query_id")
+    q = C.questions(spark, sf_dir).join(said, "query_id", "left_semi")
+    return index.search_stored(spark, root, q, k=10, analyze=keyword_terms, exact=True).select("query_id", "id", "rank", "score")
+
+
 @query("retrieval_first_hits", f"WITH RECURSIVE {EVAL_SQL} SELECT mode, query_id, rank::INTEGER AS rank, off::BIGINT AS offset_ms FROM fir")
 def retrieval_first_hits(spark, sf_dir):
     pairs = P.pairs(spark, sf_dir)

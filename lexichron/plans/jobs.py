@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.text import dedup_key, duration_seconds, failure_class
 from ..operators import catalogue as K
 from ..operators import jobs as J
-from ..operators.sequence import make_passages
 from ..operators.sequence import shift_words as shifted
+from ..session import scratch
+from ..sources import index, store
 from ..sources.feeds import flatten_segments as flattened
 from ..sources.feeds import parse_transcription as parsed
 from . import corpus as C
@@ -227,10 +228,20 @@ _NO_WITH = ORACLES["passages"].replace("WITH RECURSIVE ", "", 1)
 
 @query("index_new", f"SELECT count(DISTINCT episode_id) AS episodes, count(*) AS passages FROM (WITH RECURSIVE {_NO_WITH}) WHERE episode_id % 3 <> 0 AND episode_id % 4 <> 1")
 def index_new(spark, sf_dir):
-    t = C.transcripts(spark, sf_dir)
-    jobs = t.select("episode_id", F.lit("transcribe").alias("kind"), F.when(F.col("episode_id") % 3 != 0, "done").otherwise("queued").alias("status"))
-    todo = K.to_index(jobs, t.filter("episode_id % 4 = 1").select("episode_id"))
-    made = make_passages(t.join(todo, "episode_id", "left_semi"))
+    """Stores transcripts and jobs, indexes what is finished in two runs, and counts what the second one stored."""
+    root, t = scratch(spark), C.transcripts(spark, sf_dir)
+    store.apply_schema(spark, root)
+    word = lambda x: F.struct(x["tokens"].alias("text"), (x["starts"] / 1000).alias("start"), (x["ends"] / 1000).alias("end"))
+    chunk = t.select(
+        "episode_id", F.lit(0).alias("idx"), F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s"), F.lit("").alias("text"), F.transform(F.arrays_zip("tokens", "starts", "ends"), word).alias("words"), F.lit("m").alias("model"), F.lit("x").alias("audio_sha256")
+    )
+    store.append(chunk.filter("episode_id IS NOT NULL AND words IS NOT NULL"), root, "chunks")
+    job = t.select(F.col("episode_id").alias("id"), "episode_id", F.lit("transcribe").alias("kind"), F.when(F.col("episode_id") % 3 != 0, "done").otherwise("queued").alias("status"))
+    job = job.select("*", F.lit(1).alias("attempts"), F.lit(1).alias("lease"), F.lit(3).alias("max_attempts"), *[F.lit(None).alias(c) for c in ("run_after", "locked_at", "locked_by", "last_error")])
+    for turn in (F.col("episode_id") % 4 == 1, F.col("episode_id") % 4 != 1):
+        store.append(job.filter(turn), root, "jobs")
+        index.index_new(spark, root)
+    made = store.load(spark, root, "passages").filter("episode_id % 4 <> 1")
     return made.agg(F.count_distinct("episode_id").alias("episodes"), F.count("*").alias("passages"))
 
 

@@ -1,15 +1,16 @@
 """Storing, rebuilding, draining and coding."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexichron.operators import audio as A
 from lexichron.operators import catalogue as K
-from lexichron.operators import retrieval as R
 from lexichron.operators.transcribe import drain
 from lexichron.schemas import SCHEMAS
 from lexichron.sources import store
-from lexichron.sources.index import index_new
+from lexichron.sources import index as index_module
+from lexichron.sources.index import index_new, refresh_search, search_stored
 
 
 def chunk(episode, idx, text):
@@ -33,14 +34,52 @@ def test_index_new_once_and_search(spark, tmp_path):
     assert all(len(r.embedding) == 64 and r.embed_model == "hash-1" for r in p)
     assert index_new(spark, root) == {"episodes": 1, "passages": 0}
     q = spark.createDataFrame([(1, "who runs?"), (2, "breads")], "query_id long, question string")
-    hits = R.keyword_leg(store.load(spark, root, "postings"), q, analyze=R.stemmed_terms).collect()
-    assert {(r.query_id, r.id >> 20) for r in hits} == {(1, 1), (2, 2)}
+    for mode in ("keyword", "vector", "hybrid", "rerank"):
+        hits = search_stored(spark, root, q, mode, 1).collect()
+        assert {(r.query_id, r.episode_id) for r in hits} == {(1, 1), (2, 2)} or mode != "keyword"
+        assert len(hits) == 2 and all(r.text and r.end_s > r.start_s for r in hits)
+    with pytest.raises(ValueError):
+        search_stored(spark, root, q, "magic")
+
+
+def test_new_episodes_leave_stored_files_alone(spark, tmp_path):
+    root = str(tmp_path)
+    store.apply_schema(spark, root)
+
+    def put(number, text):
+        store.append(spark.createDataFrame([job(number, number)], SCHEMAS["jobs"]), root, "jobs")
+        store.append(spark.createDataFrame([chunk(number, 0, text)], SCHEMAS["chunks"]), root, "chunks")
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for part in ("passages", "search/v1") for f in (tmp_path / part).rglob("*.parquet") if "cells" not in str(f) and "shape" not in str(f)}
+
+    def best(words):
+        q = spark.createDataFrame([(1, words)], "query_id long, question string")
+        return [r.episode_id for r in search_stored(spark, root, q, "keyword").collect()]
+
+    for i in range(1, 7):
+        put(i, f"the river ran past house {i}")
+    index_new(spark, root)
+    before = files()
+    put(7, "bread and salt for the rivers")
+    assert index_new(spark, root) == {"episodes": 1, "passages": 1}
+    after = files()
+    assert before.items() <= after.items() and len(after) > len(before)
+    assert best("salt") == [7] and sorted(best("river")) == [1, 2, 3, 4, 5] and refresh_search(spark, root) == "kept"
+    # a changed passage makes a whole new index
+    changed = store.load(spark, root, "passages").filter("episode_id = 2").withColumn("text", F.lit("snow fell"))
+    assert K.rebuild_rows(changed, changed, f"{root}/passages", SCHEMAS["passages"]) == 1
+    assert refresh_search(spark, root) == "built" and best("snow") == [2] and 2 not in best("river house")
+    assert not (tmp_path / "search/v1").exists()
+    # an addition that did not end is made good
+    index_module._set_state(spark, root, 2, "adding")
+    assert refresh_search(spark, root) == "built" and best("snow") == [2]
 
 
 def test_rebuilt_episodes_lose_all_they_had(spark, tmp_path):
     path, schema = str(tmp_path / "t"), SCHEMAS["usage_daily"].__class__.fromDDL("episode_id long, text string")
     spark.createDataFrame([], schema).write.parquet(path)
-    put = lambda rows, ids: K.rebuild_rows(spark.createDataFrame(rows, schema), spark.createDataFrame([(i,) for i in ids], "episode_id long"), path, schema, buckets=3)
+    put = lambda rows, ids: K.rebuild_rows(spark.createDataFrame(rows, schema), spark.createDataFrame([(i,) for i in ids], "episode_id long"), path, schema, size=2)
     read = lambda: sorted(tuple(r) for r in spark.read.schema(schema).parquet(path).select(schema.names).collect())
     put([(i, f"{i}{x}") for i in range(6) for x in "ab"], range(6))
     assert len(read()) == 12
