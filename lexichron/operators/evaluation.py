@@ -136,13 +136,76 @@ def pooled_wer(pairs: DataFrame) -> DataFrame:
     return total.withColumn("wer", F.col("edits") / F.col("words"))
 
 
+#: Cells of a table of steps that is kept whole, and the width that a search for a distance starts with.
+CELLS, WIDTH = 1 << 20, 64
+
+
+def last_row(r: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+    """Edits between r and each beginning of h, for places at most width off the diagonal (far too many for others): one row of
+    the table of costs at a time, and of that the band alone. Costs up to width are right."""
+    n, m = len(r), len(h)
+    lo, hi = 0, min(m, width)
+    row = np.arange(hi + 1)
+    for i in range(1, n + 1):
+        left, right = max(0, i - width), min(m, i + width)
+        if right < left:
+            return np.full(m + 1, n + m + 1)
+        # before[x]: the last row at column left - 1 + x
+        before = np.full(right - left + 2, n + m + 1)
+        a, b = max(lo, left - 1), min(hi, right)
+        before[a - left + 1 : b - left + 2] = row[a - lo : b - lo + 1]
+        best = before[1:] + 1
+        skip = left == 0
+        both = before[skip:-1] + (h[left - 1 + skip : right] != r[i - 1])
+        best[skip:] = np.minimum(best[skip:], both)
+        # a step along the hypothesis adds one a column: a running minimum of costs less their column
+        columns = np.arange(right - left + 1)
+        row, lo, hi = np.minimum.accumulate(best - columns) + columns, left, right
+    out = np.full(m + 1, n + m + 1)
+    out[lo : hi + 1] = row
+    return out
+
+
+def distance(r: np.ndarray, h: np.ndarray) -> int:
+    """Edits between two arrays of codes: bands of doubled width until the cost fits into one, so about n times the edits."""
+    width = max(WIDTH, abs(len(r) - len(h)))
+    while (cost := int(last_row(r, h, width)[-1])) > width:
+        width *= 2
+    return cost
+
+
+def _codes(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    codes = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    return np.array([codes[w] for w in ref], np.int64), np.array([codes[w] for w in hyp], np.int64)
+
+
 def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
     """Steps (equal, sub, del, ins; index in ref; index in hyp) of a cheapest alignment, in order.
 
-    The table of costs is made row by row in numpy; what is kept of it is one byte a cell, the step that leads there.
+    Divide and conquer in linear memory: a cheapest way passes the middle of the reference where the costs of both halves, each
+    a band as wide as the known cost, sum to least. Parts of at most CELLS cells keep a table of steps, one byte a cell.
     """
-    codes = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    r, h = (np.array([codes[w] for w in words], np.int64) for words in (ref, hyp))
+    r, h = _codes(ref, hyp)
+    steps: list[tuple[str, int, int]] = []
+    todo: list[tuple[int, int, int, int, int | None]] = [(0, len(r), 0, len(h), None)]
+    while todo:
+        i, k, j, m, cost = todo.pop()
+        if cost == 0:
+            steps += [("equal", i + x, j + x) for x in range(k - i)]
+        elif (k - i + 1) * (m - j + 1) <= CELLS or k - i < 2:
+            steps += [(kind, i + x, j + y) for kind, x, y in _steps(r[i:k], h[j:m])]
+        else:
+            cost = distance(r[i:k], h[j:m]) if cost is None else cost
+            half = (i + k) // 2
+            width = max(cost, abs(k - i - m + j))
+            upper, lower = last_row(r[i:half], h[j:m], width), last_row(r[half:k][::-1], h[j:m][::-1], width)[::-1]
+            at = int((upper + lower).argmin())
+            todo += [(half, k, j + at, m, int(lower[at])), (i, half, j, j + at, int(upper[at]))]
+    return steps
+
+
+def _steps(r: np.ndarray, h: np.ndarray) -> list[tuple[str, int, int]]:
+    """A cheapest alignment by a table of steps, made row by row."""
     n, m = len(r), len(h)
     columns = np.arange(m + 1)
     row, moves = columns, np.full((n + 1, m + 1), 2, np.uint8)  # 0: both, 1: ref alone, 2: hyp alone
@@ -150,7 +213,6 @@ def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
         both, alone = row[:-1] + (h != r[i - 1]), row + 1
         best = alone.copy()
         best[1:] = np.minimum(best[1:], both)
-        # a step along the hypothesis adds one a column: a running minimum of costs less their column
         now = np.minimum.accumulate(best - columns) + columns
         moves[i, now == alone] = 1
         moves[i, 1:][now[1:] == both] = 0
@@ -171,11 +233,11 @@ def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
 
 
 def edits_of(ref: str, hyp: str) -> Column:
-    """Edits between two word-array columns, by alignment in Python; for pairs the JVM form does not cover."""
+    """Edits between two word-array columns, by bands in Python; for pairs the JVM form does not cover."""
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sum(s[0] != "equal" for s in align(list(x), list(y))) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
+        return pd.Series([distance(*_codes(list(x), list(y))) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
     skip = F.size(F.array_distinct(F.concat(F.col(ref), F.col(hyp)))) <= CODES  # those pairs send nothing to Python
     return run(F.when(~skip, F.col(ref)), F.when(~skip, F.col(hyp)))

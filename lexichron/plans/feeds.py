@@ -48,8 +48,48 @@ def first_of_each_stream(spark, sf_dir):
     return X.drain(X.first_of_each(twice, "event_id")).select("event_id")
 
 
-@query("job_stream")
+OPS = ("claim", "fail", "claim", "defer", "claim", "complete")
+#: The state machine as one recursive step an event: {order} of events, {before} what time alone has changed, {ready} whether a
+#: job may be claimed.
+MACHINE_SQL = """WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id AS seq, ts, {ops}[event_id % 6 + 1] AS op, event_id % 3 AS lease, event_id % 11 = 0 AS permanent, (event_id % 7 * 100000)::BIGINT AS seconds,
+    row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS k FROM events),
+  s AS (
+    SELECT job_id, 0::BIGINT AS k, 'queued' AS status, 0 AS attempts, 0::BIGINT AS lease, TIMESTAMP '1970-01-01' AS run_after, TIMESTAMP '1970-01-01' AS locked, 0::BIGINT AS seq, '' AS outcome FROM (SELECT DISTINCT job_id FROM e)
+    UNION ALL
+    SELECT job_id, k, CASE outcome WHEN 'claimed' THEN 'running' WHEN 'done' THEN 'done' WHEN 'deferred' THEN 'queued' WHEN 'failed' THEN 'failed' WHEN 'retrying' THEN 'queued' ELSE status END,
+      attempts + (outcome = 'claimed')::INT - (outcome = 'deferred')::INT, lease + (outcome = 'claimed')::INT,
+      CASE outcome WHEN 'retrying' THEN ts + INTERVAL 30 SECOND * (2 ** (attempts - 1))::INT WHEN 'deferred' THEN ts + INTERVAL 1 SECOND * seconds ELSE run_after END,
+      CASE WHEN outcome = 'claimed' THEN ts ELSE locked END, seq, outcome
+    FROM (SELECT *, CASE WHEN op = 'claim' THEN CASE WHEN status <> 'queued' THEN 'ignored' WHEN {ready} THEN 'claimed' ELSE 'not_ready' END
+        WHEN status <> 'running' OR event_lease <> lease THEN 'lease_lost' WHEN op = 'complete' THEN 'done' WHEN op = 'defer' THEN 'deferred' WHEN permanent OR attempts >= 3 THEN 'failed' ELSE 'retrying' END AS outcome
+      FROM (SELECT e.job_id, e.k, e.seq, e.ts, e.op, e.lease AS event_lease, e.permanent, e.seconds, s.attempts, s.lease, s.locked, {before}
+        FROM s JOIN e ON e.job_id = s.job_id AND e.k = s.k + 1)))
+  SELECT seq, job_id, outcome, status, attempts, lease FROM s WHERE k > 0"""
+#: A lease of the query's timed jobs.
+STALE_DAYS = 6
+
+
+def queue_events(spark, sf_dir):
+    ops = F.element_at(F.array(*map(F.lit, OPS)), (F.col("event_id") % 6 + 1).cast("int"))
+    e = F.col("event_id")
+    return X.read_events(spark, sf_dir).select(
+        F.col("user_id").alias("job_id"), e.alias("seq"), "ts", ops.alias("op"), (e % 3).alias("lease"), (e % 11 == 0).alias("permanent"), (e % 7 * 100_000).cast("double").alias("seconds")
+    )
+
+
+@query("job_stream", MACHINE_SQL.format(ops=list(OPS), order="event_id", ready="true", before="s.status, s.run_after"))
 def job_stream(spark, sf_dir):
-    ops = F.element_at(F.array(*map(F.lit, ("claim", "fail", "claim", "defer", "claim", "complete"))), (F.col("event_id") % 6 + 1).cast("int"))
-    e = X.read_events(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), ops.alias("op"), (F.col("event_id") % 3).alias("lease"), (F.col("event_id") % 11 == 0).alias("permanent"))
-    return X.drain(X.job_stream(e))
+    return X.drain(X.job_stream(queue_events(spark, sf_dir)))
+
+
+_STALE = f"(s.status = 'running' AND s.locked + INTERVAL {STALE_DAYS} DAY <= e.ts)"
+
+
+@query("timed_job_stream", MACHINE_SQL.format(
+    ops=list(OPS), order="ts, event_id", ready="run_after <= ts",
+    before=f"CASE WHEN {_STALE} THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE s.status END AS status, CASE WHEN {_STALE} THEN s.locked + INTERVAL {STALE_DAYS} DAY ELSE s.run_after END AS run_after",
+))
+def timed_job_stream(spark, sf_dir):
+    """The events' rows; whether a timer or the next event takes a job back makes no difference to them."""
+    made = X.drain(X.timed_job_stream(queue_events(spark, sf_dir), STALE_DAYS * 86_400), conf=X.ROCKS)
+    return made.filter("seq IS NOT NULL").select("seq", "job_id", "outcome", "status", "attempts", "lease")

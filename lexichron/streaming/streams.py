@@ -6,6 +6,7 @@ a checkpoint, so a restarted query goes on where it stopped.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.jobs import BACKOFF_S, STALE_S
 from ..operators.usage import take
 from ..session import shared_dir
 
@@ -24,8 +27,30 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append", where: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now, and returns what it wrote."""
+#: Streams with timers keep their state in this store.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drain(stream: DataFrame, mode: str = "append", where: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now, and returns what it wrote. conf: settings of the session for that time."""
+    with settings(stream.sparkSession, conf or {}):
+        return _drained(stream, mode, where)
+
+
+def _drained(stream: DataFrame, mode: str, where: str | None) -> DataFrame:
     spark = stream.sparkSession
     root = where or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
@@ -116,3 +141,96 @@ def job_stream(events: DataFrame, max_attempts: int = 3) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(
         run, "seq bigint, job_id bigint, outcome string, status string, attempts int, lease bigint", "status string, attempts int, lease bigint", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def at_time(state: dict, ts_ms: int, stale_s: float, max_attempts: int = 3) -> int | None:
+    """Takes a job back from a worker that has held it for stale_s by ts_ms; the moment when that was due, or None."""
+    due = state["locked_ms"] + int(stale_s * 1_000)
+    if state["status"] != "running" or due > ts_ms:
+        return None
+    state.update(status="failed" if state["attempts"] >= max_attempts else "queued", run_after_ms=due)
+    return due
+
+
+def timed_step(state: dict, event: dict, max_attempts: int = 3) -> str:
+    """step() with times: a job is claimed only from its run_after on; a failure waits twice as long each time, a deferral as
+    long as it says."""
+    ts = event["ts_ms"]
+    if event["op"] == "claim" and state["status"] == "queued" and state["run_after_ms"] > ts:
+        return "not_ready"
+    outcome = step(state, event, max_attempts)
+    if outcome == "claimed":
+        state["locked_ms"] = ts
+    elif outcome == "retrying":
+        state["run_after_ms"] = ts + BACKOFF_S * 1_000 * 2 ** (state["attempts"] - 1)
+    elif outcome == "deferred":
+        state["run_after_ms"] = ts + int(max(0.0, event["seconds"]) * 1_000)
+    return outcome
+
+
+class TimedJob(StatefulProcessor):
+    """A job's row as value state, with one timer: when its lease goes stale, or when it may be claimed again."""
+
+    NAMES = ("status", "attempts", "lease", "run_after_ms", "locked_ms")
+    OUT = ("seq", "job_id", "at", "outcome", "status", "attempts", "lease")
+
+    def __init__(self, stale_s: float, max_attempts: int):
+        self.stale_s, self.max_attempts = stale_s, max_attempts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, attempts int, lease bigint, run_after_ms bigint, locked_ms bigint")
+
+    def _read(self) -> dict:
+        kept = self.job.get() if self.job.exists() else ("queued", 0, 0, 0, 0)
+        return dict(zip(self.NAMES, kept, strict=True))
+
+    def _keep(self, state: dict, now_ms: int) -> None:
+        """Stores the row and sets the one timer that it needs."""
+        self.job.update(tuple(state[n] for n in self.NAMES))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        due = {"running": state["locked_ms"] + int(self.stale_s * 1_000), "queued": state["run_after_ms"]}.get(state["status"], 0)
+        if due > now_ms:
+            self.handle.registerTimer(due)
+
+    def _row(self, seq: int | None, key: tuple, at_ms: int, outcome: str, state: dict) -> tuple:
+        return seq, key[0], pd.Timestamp(at_ms, unit="ms"), outcome, state["status"], state["attempts"], state["lease"]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, out, last = self._read(), [], 0
+        for e in pd.concat(list(rows)).sort_values(["ts_ms", "seq"]).to_dict("records"):
+            if (due := at_time(state, e["ts_ms"], self.stale_s, self.max_attempts)) is not None:
+                out.append(self._row(None, key, due, "reclaimed", state))
+            outcome, last = timed_step(state, e, self.max_attempts), e["ts_ms"]
+            out.append(self._row(e["seq"], key, last, outcome, state))
+        self._keep(state, max(last, timerValues.getCurrentWatermarkInMs()))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, now = self._read(), expiredTimerInfo.getExpiryTimeInMs()
+        due = at_time(state, now, self.stale_s, self.max_attempts)
+        ready = due is None and state["status"] == "queued" and state["run_after_ms"] == now
+        if due is not None or ready:
+            self._keep(state, now)
+            yield self._frame([self._row(None, key, now, "ready" if ready else "reclaimed", state)])
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=list(self.OUT))
+        return out.astype({"seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def timed_job_stream(events: DataFrame, stale_s: float = STALE_S, max_attempts: int = 3, delay: str = "1 minute") -> DataFrame:
+    """seq, job_id, at, outcome, status, attempts, lease of events(job_id, seq, ts, op, lease, permanent, seconds), in the order
+    of ts and seq.
+
+    Besides a row for each event, a job whose worker has held it for stale_s is taken back, and one whose waiting time ends is
+    ready: rows without seq, at the moment it was due, which come with the job's next event or, without one, when the
+    watermark passes that moment. Run it with drain(…, conf=ROCKS).
+    """
+    timed = events.withWatermark("ts", delay).select("job_id", "seq", "ts", F.unix_millis("ts").alias("ts_ms"), "op", "lease", "permanent", "seconds")
+    schema = "seq bigint, job_id bigint, at timestamp, outcome string, status string, attempts int, lease bigint"
+    return timed.groupBy("job_id").transformWithStateInPandas(TimedJob(stale_s, max_attempts), schema, "Append", "EventTime")

@@ -1,3 +1,6 @@
+import random
+import tracemalloc
+
 from pyspark.sql import functions as F
 
 from lexichron.operators import evaluation as V
@@ -87,3 +90,47 @@ def test_top_substitutions(spark):
     steps = V.alignments(pairs(spark, ("a b c", "a x c"), ("b q", "x q"), ("z", "y")))
     assert [tuple(r) for r in V.top_substitutions(steps, 1).collect()] == [("b", "x", 2)]
     assert steps.filter(F.col("kind") == "equal").count() == 3
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def replayed(steps, ref, hyp):
+    """The edits of an alignment that uses every word of both sides once, in order."""
+    assert [i for kind, i, _ in steps if kind != "ins"] == list(range(len(ref)))
+    assert [j for kind, _, j in steps if kind != "del"] == list(range(len(hyp)))
+    assert all((ref[i] == hyp[j]) == (kind == "equal") for kind, i, j in steps if kind in ("equal", "sub"))
+    return sum(kind != "equal" for kind, _, _ in steps)
+
+
+def test_alignment_in_parts_costs_no_more(monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(V, "CELLS", 30)
+    monkeypatch.setattr(V, "WIDTH", 2)
+    for _ in range(300):
+        ref = [rng.choice("abcde") for _ in range(rng.randint(0, 60))]
+        hyp = [w for w in ref if rng.random() > 0.2] if rng.random() < 0.5 else [rng.choice("abcde") for _ in range(rng.randint(0, 60))]
+        want = plain_distance(ref, hyp)
+        assert replayed(V.align(ref, hyp), ref, hyp) == want == V.distance(*V._codes(ref, hyp))
+
+
+def test_long_alignment_in_little_memory():
+    """30,000 words a side, one in fifty changed, in well under 200 MB (the whole table would take 900)."""
+    rng = random.Random(13)
+    ref = [f"w{rng.randrange(4_000)}" for _ in range(30_000)]
+    hyp = []
+    for w in ref:
+        p = rng.random()
+        hyp += [] if p < 0.006 else [w, "uh"] if p < 0.012 else ["oh"] if p < 0.02 else [w]
+    tracemalloc.start()
+    steps = V.align(ref, hyp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and replayed(steps, ref, hyp) == V.distance(*V._codes(ref, hyp)) < 1_000
