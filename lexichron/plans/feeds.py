@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch, table
 from ..sources import feeds as S
+from ..sources.feedsource import read_feeds
 from ..streaming import streams as X
 from .base import ORACLES, query
 from . import usage  # noqa: F401  (its SQL is shared)
@@ -31,6 +33,28 @@ def published_at(spark, sf_dir):
     return e.select("event_id", F.unix_seconds(S.published_at(raw)).alias("at"))
 
 
+#: Items of a feed file that the query writes.
+FEED_ITEMS = 1_000
+
+
+@query("fetch_feeds", """SELECT doc_id, 'guid-' || doc_id AS guid, 'Talk ' || doc_id AS title, 'https://audio.example/' || doc_id || '.mp3' AS audio_url, (doc_id % 5000)::INTEGER AS duration_seconds
+  FROM documents WHERE doc_id % 7 <> 3""")
+def fetch_feeds(spark, sf_dir):
+    """Feeds of the documents, written as files and fetched from their URLs, one task a feed; every seventh item has no audio."""
+    i = F.col("doc_id").cast("string")
+    audio = F.when(F.col("doc_id") % 7 != 3, F.concat(F.lit('<enclosure url="https://audio.example/'), i, F.lit('.mp3" type="audio/mpeg"/>'))).otherwise("")
+    item = F.concat(F.lit("<item><title>Talk "), i, F.lit("</title><guid>guid-"), i, F.lit("</guid>"), audio, F.lit("<itunes:duration>"), (F.col("doc_id") % 5_000).cast("string"), F.lit("</itunes:duration></item>"))
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select(F.floor(F.col("doc_id") / FEED_ITEMS).alias("feed"), "doc_id", item.alias("item"))
+    files = d.groupBy("feed").agg(F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "item")))["item"], "").alias("items"))
+    head = '<rss xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" version="2.0"><channel><title>t</title>'
+    root = scratch(spark)
+    files.select("feed", F.concat(F.lit(head), "items", F.lit("</channel></rss>")).alias("value")).repartition("feed").write.partitionBy("feed").text(root)
+    # the shared folder as the executors see it; on a cluster that is a mounted path or a store that serves URLs
+    urls = sorted(r.path for r in spark.read.format("binaryFile").load(f"{root}/*").select("path").collect())  # a path a feed
+    made, _ = read_feeds(spark, urls)
+    return made.select(F.regexp_extract("guid", r"\d+", 0).cast("bigint").alias("doc_id"), "guid", "title", "audio_url", "duration_seconds")
+
+
 @query("usage_stream", ORACLES["usage_daily"])
 def usage_stream(spark, sf_dir):
     return X.drain(X.usage_totals(X.read_events(spark, sf_dir)), "complete")

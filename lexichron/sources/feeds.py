@@ -80,13 +80,13 @@ def item_title(raw: Column) -> Column:
     return F.trim(F.when(F.coalesce(raw, F.lit("")) == "", "Untitled").otherwise(raw))
 
 
-def episodes_of(items: DataFrame, feed_url: str) -> DataFrame:
+def episodes_of(items: DataFrame, feed_url: str | Column) -> DataFrame:
     """ord, feed_url, guid, title, audio_url, published_at, duration_seconds, dedup_key of items(item_pos, …), newest first;
-    items without audio are left out, and undated ones come last."""
+    items without audio are left out, and undated ones come last. feed_url: the feed of all items, or a column."""
     audio = first_audio(F.col("enclosure"))
     rows = items.select(
         "item_pos",
-        F.lit(feed_url).alias("feed_url"),
+        (F.lit(feed_url) if isinstance(feed_url, str) else feed_url).alias("feed_url"),
         F.coalesce(F.nullif(F.trim("guid"), F.lit("")), audio).alias("guid"),
         item_title(F.col("title")).alias("title"),
         audio.alias("audio_url"),
