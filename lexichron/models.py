@@ -8,10 +8,14 @@ A recogniser takes a frame (episode_id, idx, audio) and returns (episode_id, idx
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators.jobs import retry_waits
 
@@ -46,3 +50,56 @@ def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.
                 raise
             sleep(waits[i])
     raise AssertionError("unreachable")
+
+
+#: Models that this Python worker has loaded, by name.
+_LOADED: dict[str, object] = {}
+
+
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """The model of that name, loaded on its first use in a Python worker and kept for all later tasks there."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def asking(name: str, load: Callable[[], Callable[[str], str]], sleep: Callable[[float], None] = time.sleep, most_wait: float = 65.0) -> Callable[[DataFrame], DataFrame]:
+    """A generator (see above) that asks a model on the executors: load() gives a function from a prompt to a reply, once a
+    Python worker, and each call goes through with_retries.
+
+    The frame it makes has, besides question_id and reply, tries and error: a prompt whose calls all fail has no reply, and
+    the others go on.
+    """
+
+    def one(model: Callable[[str], str], prompt: str) -> tuple[str | None, int, str | None]:
+        tries = 0
+
+        def call() -> str:
+            nonlocal tries
+            tries += 1
+            return model(prompt)
+
+        try:
+            return with_retries(call, sleep, most_wait), tries, None
+        except Exception as e:  # whatever a model raises belongs to its prompt
+            return None, tries, f"{type(e).__name__}: {e}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = loaded(name, load)
+        for pdf in frames:
+            made = [one(model, p) for p in pdf["prompt"]]
+            yield pd.DataFrame({"question_id": pdf["question_id"], "reply": [m[0] for m in made], "tries": [m[1] for m in made], "error": [m[2] for m in made]})
+
+    return lambda prompts: prompts.select("question_id", "prompt").mapInPandas(run, "question_id bigint, reply string, tries int, error string")
+
+
+def embedding(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """An embedder, (id, text) -> (id, embedding): load() gives a function from texts to rows of numbers, once a Python worker,
+    which gets `batch` texts at a time."""
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        model = load()
+        return lambda texts: np.asarray(model([str(t) for t in texts]), np.float32)
+
+    udf = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    return lambda docs: docs.filter("text IS NOT NULL").select("id", udf(F.col("text")).alias("embedding"))

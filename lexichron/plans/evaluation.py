@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.spoken import SMALL, spoken_words
 from ..functions.text import keyword_terms, split_words
 from ..operators import evaluation as V
 from ..operators import retrieval as R
@@ -186,3 +187,14 @@ def golden_lookup(spark, sf_dir):
 def wer_normalized(spark, sf_dir):
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pair_id"), F.col("text").alias("ref"), F.upper("text").alias("hyp"))
     return V.normalized_pairs(b).select("pair_id", F.size("ref").cast("bigint").alias("words"), F.md5(F.array_join("ref", " ").cast("binary")).alias("words_md5"))
+
+
+@query("spoken_numbers", """SELECT item_id AS pair_id, 'item ' || item_id || '% of $' || (item_id % 1000) || ' mister' AS form FROM benchmark""")
+def spoken_numbers(spark, sf_dir):
+    """Numbers read out digit by digit, written as numbers; the same form either way."""
+    digits = F.array(*map(F.lit, SMALL[:10]))
+    said = lambda n: F.array_join(F.transform(F.split(n.cast("string"), ""), lambda d: F.element_at(digits, d.cast("int") + 1)), " ")
+    i = F.col("item_id")
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    heard = b.select(i.alias("pair_id"), F.concat(F.lit("Item "), said(i), F.lit(" percent, um, of "), said(i % 1000), F.lit(" dollars, Mr."), F.lit("")).alias("text"))
+    return heard.select("pair_id", F.array_join(spoken_words("text"), " ").alias("form"))
