@@ -190,10 +190,18 @@ def build_index(vectors: DataFrame, quant, top: int = TOP) -> DataFrame:
     return counted.mapInArrow(run, "vec_id bigint, copies bigint, embedding array<double>, code binary")
 
 
+def can_ask(dim: int):
+    """Whether an embedding takes part: of dim finite numbers, not all zero."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (F.size("embedding") == dim) & ~bad & F.exists("embedding", lambda x: x != 0)
+
+
 def search(index: DataFrame, queries: DataFrame, quant, top: int = TOP, depth: int | None = None, queries_a_block: int = QUERIES, rows_a_block: int = ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the top nearest rows of a written index for each row of queries(vec_id, embedding)."""
     dim = quant.value.dim
-    asked = queries.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").dropDuplicates(["vec_id"])
+    # of rows that share an id, one whose vector can ask is the query, whatever the order of rows: the one of smallest hash
+    asked = queries.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(can_ask(dim))
+    asked = asked.groupBy("vec_id").agg(F.min_by("embedding", F.struct(F.xxhash64("embedding"), F.col("embedding"))).alias("embedding"))
     n = index.count()
     row_blocks, query_blocks = max(1, math.ceil(n / rows_a_block)), max(1, math.ceil(asked.count() / queries_a_block))
     depth = depth or math.ceil(DEPTH + ROOT * math.sqrt(n))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -110,6 +111,22 @@ def map_texts(df: DataFrame, score: Callable[..., dict[str, pa.Array]], columns:
     return source.mapInArrow(run, f"{types}, {columns}")
 
 
+#: Columns that operators on documents may read by name.
+READ = ("doc_id", "text", "source")
+
+
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that gives back the columns of its documents, whatever their names: all that it does not read travel under
+    plain names of their own, so that none meets a helper column or needs quoting."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        plain = [c if c in READ else f"carried_{i}" for i, c in enumerate(docs.columns)]
+        return operator(docs.toDF(*plain), *args, **options).toDF(*docs.columns)
+
+    return run
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for rows whose label must not be learnt from: crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

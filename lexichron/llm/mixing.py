@@ -18,8 +18,7 @@ follow from sums over all sources, taken anew while any source is above its cap;
 Results: a null or empty text has size 0 and takes nothing, very long ones count whole; a null source is a source of its
 own, last in order; repeated rows are rows of their own: they share one key, and any of them may stand for another; an
 empty table gives an empty table; a source without words has target 0. mix reads doc_id, source and text only;
-mixed_documents carries all other columns along, whatever their names (but for __key and __copies, which it adds and
-removes).
+mixed_documents carries all other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf, table
+from .common import Shelf, any_names, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 GROUP, FAN, SEED = 4_000, 1_000, 1
@@ -211,6 +210,7 @@ def _tree(up):
     return run
 
 
+@any_names
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, slices, table
+from .common import Shelf, any_names, slices, table
 from .graph import components
 
 BANDS, ROWS = 40, 5
@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+@any_names
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs, with all its columns, of each component: that of smallest doc_id (of several, of smallest hash).
 

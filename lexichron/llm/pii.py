@@ -1,7 +1,7 @@
 """Operator 10: surrogates for personal data.
 
-Detected entities: e-mail addresses, access key ids, IPv4 addresses, card-like numbers, phone numbers, US social security numbers,
-IBANs, keys assigned to secret-like names, and personal names: after a title, as a listed given and family name in a
+Detected entities: e-mail addresses, access key ids, IP addresses, card-like numbers, phone numbers, US social security numbers,
+IBANs, keys assigned to secret-like names, keys and tokens of known prefixes, and personal names: after a title, as a listed given and family name in a
 pair, and wherever else in the text a name so found stands. Each is replaced by a keyed surrogate
 of its own type and format: digits stay digits, letters stay letters of their alphabet and case, separators stay,
 titled names keep their gender.
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_texts, slices, table
+from .common import any_names, bounded_batches, map_texts, slices, table
 
 ROUNDS = 8
 #: The key of the test query alone, so that its reruns agree.
@@ -59,27 +59,33 @@ MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "г
 PLAIN_TITLES = ("Dr", "Prof")
 
 _TITLES = "|".join((*FEMALE_TITLES, *MALE_TITLES, *PLAIN_TITLES))
+#: Words that stand between a given and a family name.
+_PARTICLES = "van|von|de|der|den|di|da|del|dos|la|le|bin|al|ter|zu"
 #: One alternative a type; the first that matches at a place wins.
-_MAIL, _LABEL = r"A-Za-z0-9À-ÖØ-öø-ÿ_%+\-", "[A-Za-z0-9À-ÖØ-öø-ÿ]"
+_MAIL, _LABEL = r"A-Za-z0-9À-ÖØ-öø-ÿͰ-ϿЀ-ӿ_%+\-'!#$&*^`{|}~", "[A-Za-z0-9À-ÖØ-öø-ÿͰ-ϿЀ-ӿ]"
 _CAPITAL, _SMALL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]", "[a-zß-öø-ÿа-яёά-ώ]"
+#: A name in capitals and small letters, as Neill, O'Neill or McNeill, or in capitals alone.
+_WORD = rf"(?:(?:{_CAPITAL}['’]|Mc|Mac)?{_CAPITAL}{_SMALL}++|{_CAPITAL}(?:['’]?{_CAPITAL})++)"
 ENTITY = re.compile(
     # an address is looked for only where a run of its letters starts: linear in the text
-    rf"""(?<![{_MAIL}.])\.*+(?P<email>[{_MAIL}][{_MAIL}.]*+@(?:{_LABEL}(?:(?:{_LABEL}|-){{0,61}}{_LABEL})?\.)+[A-Za-z]{{2,24}}(?![A-Za-z]))"""
+    rf"""(?<![{_MAIL}.])\.*+(?P<email>[{_MAIL}][{_MAIL}.]*+@(?:{_LABEL}(?:(?:{_LABEL}|-){{0,61}}{_LABEL})?\.)+(?:[A-Za-z]{{2,24}}|[а-яё]{{2,10}})(?![A-Za-zа-яё]))"""
     r"""
-    |(?P<secret>(?<![A-Za-z])(?i:(?:[a-z]{1,20}[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,2}[:=][ ]{0,2}["']?)(?P<value>[A-Za-z0-9+/_\-]{12,}+={0,2}))
+    |(?P<secret>(?<![A-Za-z])(?i:(?:[a-z]{1,20}[_-])?(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ ]{0,2}[:=][ ]{0,2}["']?)(?P<value>(?!(?i:bearer|basic)\s)(?:[^\s"'<>,;]{12,}+|(?=[^\s"'<>,;\d]{0,11}\d)[^\s"'<>,;]{6,11}+)))
+    |(?P<key>(?<![A-Za-z0-9])(?:(?P<mark>eyJ|(?:sk|pk|rk)[_\-](?:(?:live|test|proj)[_\-])?|gh[pousr]_|xox[abprs]-|(?i:bearer)\s)(?P<body>(?=[A-Za-z_.\-]{0,60}\d)[A-Za-z0-9_.\-]{16,}+)))
+    |(?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,30}\d)(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:]))
     |(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
+    |(?P<iban>(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?:[ ]?[a-z0-9]{4}){3,7}(?:[ ]?[a-z0-9]{1,3})?)(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
     |(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))
     |(?P<card>(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-]))
     |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|(?<=[ .\-])\d{2,4}[ .\-]|\d{3}[.\-])\d{3,4}[ .\-]\d{3,4}(?![\d\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?![\d\-]))
     """
-    rf"""|(?P<name>(?<!\w)(?P<title>{_TITLES})\.?[ ](?P<given>{_CAPITAL}{_SMALL}++)(?:[ ](?P<family>{_CAPITAL}{_SMALL}++(?:-{_CAPITAL}{_SMALL}++)*+))?(?!\w))""",
+    rf"""|(?P<name>(?<!\w)(?P<title>{_TITLES}|{_TITLES.upper()})\.?\s{{1,3}}(?P<given>{_WORD})(?:\s{{1,3}}(?:(?:{_PARTICLES})\s{{1,3}}){{0,3}}(?P<family>{_WORD}(?:-{_WORD})*+))?(?!\w))""",
     re.X,
 )
-KINDS = ("email", "access", "iban", "ip", "ssn", "card", "phone", "secret")
+KINDS = ("email", "access", "iban", "ip", "ip6", "ssn", "card", "phone", "secret", "key")
 #: A text without any of these holds no entity.
-HINT = re.compile(rf"[\d@]|token|secret|passw|key|a[ks]ia|(?<!\w)(?:{_TITLES})\.? ", re.I)
+HINT = re.compile(rf"[\d@]|token|secret|passw|key|a[ks]ia|(?<!\w)(?:{_TITLES})\.?\s", re.I)
 
 #: Listed names in a pair, with or without a title; what stands before is looked at afterwards, so that the search can skip.
 PAIR = re.compile(rf"(?P<given>{'|'.join(sorted({*FEMALE, *MALE}))})[ ](?P<family>{'|'.join(sorted(FAMILY))})(?!\w)")
@@ -230,6 +236,16 @@ def address_class(number: int) -> int:
     return -1 if 0 < number >> 24 < 224 else -2
 
 
+def sure(kind: str, text: str) -> bool:
+    """Digits in one run are a card, and small letters an IBAN, only with the right check digits."""
+    if kind == "card" and text.isdigit():
+        return luhn(text)
+    if kind == "iban" and text.islower():
+        plain = text.replace(" ", "").upper()
+        return plain[2:4] == check_digits(plain[:2], plain[4:])
+    return True
+
+
 class Replacer:
     """Finds and replaces entities; remembers surrogates within a worker only to save time."""
 
@@ -257,6 +273,15 @@ class Replacer:
             return walk(text, lambda x: c.shaped(x, tweak), lambda x: not set(x) <= set(HEX))
         if kind == "access":
             return text[:4] + c.string(text[4:], UPPER + DIGITS, tweak)
+        if kind == "key":
+            return walk(text, lambda x: c.shaped(x, tweak), lambda x: x != text)
+        if kind == "ip6":  # the kind of address, its first digit, stays
+            at = [i for i, x in enumerate(text) if x != ":"]
+            plain, out = "".join(text[i] for i in at).lower(), list(text)
+            made = walk(plain, lambda x: c.string(x, HEX, tweak), lambda x: x[0] == plain[0])
+            for i, x in zip(at, made, strict=True):
+                out[i] = x.upper() if text.isupper() else x
+            return "".join(out)
         if kind == "ip":
             number = sum(int(x) << 8 * (3 - i) for i, x in enumerate(text.split(".")))
             group = address_class(number)
@@ -281,6 +306,8 @@ class Replacer:
             made = walk(number, lambda x: c.string(x, DIGITS, tweak), lambda x: (x[0] == "0") == (number[0] == "0"))
             return _with_digits(text, digits[:keep] + made)
         if kind == "iban":
+            if text.islower():
+                return self._surrogate(kind, text.upper()).lower()
             plain = text.replace(" ", "")
             country, body = plain[:2], plain[4:]
             if plain[2:4] == check_digits(country, body):
@@ -298,6 +325,8 @@ class Replacer:
         """The surrogate of a given or family name."""
         if "-" in name:
             return "-".join(self.name(x) for x in name.split("-"))
+        if len(name) > 1 and name.isupper():  # the same name as in small letters
+            return self.name(name[0] + name[1:].lower()).upper()
         c = self.cipher
         for tweak, names in ((b"female", FEMALE), (b"male", MALE), (b"family", FAMILY)):
             if name in names:
@@ -311,8 +340,8 @@ class Replacer:
             kind = next((k for k in KINDS if m.group(k) is not None), "name")
             if kind == "name":
                 named.append(m)
-            elif kind != "card" or not m.group().isdigit() or luhn(m.group()):
-                group = "value" if kind == "secret" else kind
+            elif sure(kind, m.group()):
+                group = {"secret": "value", "key": "body"}.get(kind, kind)
                 found.append((kind, m.start(group), m.end(group), self.surrogate(kind, m.group(group))))
         pairs = [m for m in PAIR.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
         if named or pairs:
@@ -380,6 +409,7 @@ def pii_spans(docs: DataFrame, key: bytes) -> DataFrame:
     return made.select("doc_id", F.when(~F.col("gone"), F.col("clean")).alias("text"), "n_entities", "entities")
 
 
+@any_names
 def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with surrogates in text; all other columns stay."""
     Replacer(key)  # a missing key fails here, before any job runs

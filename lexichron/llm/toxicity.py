@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, held_out, labelled, map_texts, sampled_rows, slices, table
+from .common import Shelf, any_names, held_out, labelled, map_texts, sampled_rows, slices, table
 
 SAMPLE = 30_000
 FEATURE_BITS = 20
@@ -478,6 +478,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@any_names
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))

@@ -19,12 +19,22 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sc
 @pytest.fixture
 def awkward(spark):
     """Documents with nulls, empty, long and repeated texts, and a column whose name clashes with results."""
-    return spark.createDataFrame(AWKWARD, SCHEMA)
+    return named(spark.createDataFrame(AWKWARD, SCHEMA))
 
 
 @pytest.fixture
 def nothing(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return named(spark.createDataFrame([], SCHEMA))
+
+
+#: Names that need quoting, and names that operators have used for helper columns.
+CLASHING = ("a.b", "c`d", "__row", "__key", "__plan", "__m", "__upto", "__mark", "__copies", "carried_0", "uid", "row")
+
+
+def named(df):
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
 
 
 @pytest.fixture

@@ -85,3 +85,13 @@ def test_tables_equal_decoded_products():
 
 def test_query_equals_its_sql(spark):
     same(QUERIES["op3_ann"](spark, SF), ORACLES["op3_ann"], database())
+
+
+def test_a_repeated_query_id_asks_with_its_valid_vector(spark):
+    """Of rows that share an id the invalid ones never take the place of a query."""
+    bad = [[0.0, 0.0], None, [1.0], [float("nan"), 1.0], [None, 1.0]]
+    rows = [(20, x) for x in bad] + [(20, [1.0, 0.0])] + [(i, [float(i), 1.0]) for i in range(1, 9)]
+    for order in (rows, rows[::-1]):
+        v = spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1)
+        got = A.nearest(v, v.filter("vec_id = 20")).orderBy("rank").collect()
+        assert [(r.query_id, r.vec_id, r.score) for r in got] == [(20, i, float(i)) for i in range(8, 0, -1)]

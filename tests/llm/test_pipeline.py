@@ -58,7 +58,7 @@ def test_every_query_runs_on_the_small_tables(spark):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and sum(n.startswith("op") for n in names) == 10
+    assert set(QUERIES) | {"pipeline"} <= names and sum(n.startswith("op") for n in names) == 13
     for name in ("op4_tokens", "op5_media", "op9_mixing", "op10_pii"):
         table = "embeddings" if name == "op5_media" else "documents"
         assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
