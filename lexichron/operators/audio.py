@@ -66,13 +66,52 @@ def encode_audio(chunks: DataFrame, encode: Callable[[bytes], bytes] = wav_bytes
     return _coded(chunks, "audio", encode)
 
 
-def speech_spans(samples: np.ndarray, quiet: float = 0.01) -> list[tuple[int, int]]:
-    """(start_ms, end_ms) of the loud parts: pauses under MIN_SILENCE_MS are bridged, ends are padded by PAD_MS."""
+#: Seconds to either side that the noise floor and the loudness of speech are taken from; decibels that count as silence.
+AROUND_S, SILENT_DB = 10, -60.0
+#: Decibels over the floor that speech has at least, and its place between floor and loudness.
+OVER_DB, BETWEEN = 6.0, 0.3
+#: Decibels of a unit of log odds, their bound, and the cost of a change between speech and pause.
+ODDS_DB, MOST_ODDS, CHANGE = 4.0, 3.0, 4.0
+
+
+def frame_odds(samples: np.ndarray) -> np.ndarray:
+    """Log odds that each frame of 20 ms is speech, by its loudness against what is around it.
+
+    The noise floor is the least of the low tenths of the seconds around, so that it follows a room that gets louder; the
+    loudness of speech is the greatest of their high tenths.
+    """
     n = len(samples) // FRAME
-    if not n:
+    power = (samples[: n * FRAME].reshape(n, FRAME).astype(float) ** 2).mean(1) / 32_768**2
+    db = np.maximum(SILENT_DB, 10 * np.log10(power + 1e-12))
+    second = RATE // FRAME
+    blocks = np.pad(db, (0, -n % second), mode="edge").reshape(-1, second)
+    low, high = np.percentile(blocks, 10, axis=1), np.percentile(blocks, 90, axis=1)
+    around = lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, AROUND_S, mode="edge"), 2 * AROUND_S + 1)
+    floor, loud = around(low).min(1), around(high).max(1)
+    edge = np.repeat(floor + np.maximum(OVER_DB, BETWEEN * (loud - floor)), second)[:n]
+    return np.clip((db - edge) / ODDS_DB, -MOST_ODDS, MOST_ODDS)
+
+
+def smoothed(odds: np.ndarray, change: float = CHANGE) -> np.ndarray:
+    """Whether each frame is speech on the likeliest path through two states that costs `change` for each step between them."""
+    off, on, came_off, came_on = 0.0, 0.0, [], []
+    for o in odds.tolist():
+        stay_off, stay_on = off >= on - change, on >= off - change
+        off, on = (off if stay_off else on - change), (on if stay_on else off - change) + o
+        came_off.append(stay_off)
+        came_on.append(stay_on)
+    out, speech = np.zeros(len(odds), bool), on > off
+    for i in range(len(odds) - 1, -1, -1):
+        out[i] = speech
+        speech = came_on[i] if speech else not came_off[i]
+    return out
+
+
+def speech_spans(samples: np.ndarray) -> list[tuple[int, int]]:
+    """(start_ms, end_ms) of speech: pauses under MIN_SILENCE_MS are bridged, ends are padded by PAD_MS."""
+    if len(samples) < FRAME:
         return []
-    level = np.sqrt((samples[: n * FRAME].reshape(n, FRAME).astype(float) ** 2).mean(1)) / 32_768
-    loud = np.flatnonzero(level > quiet)
+    loud = np.flatnonzero(smoothed(frame_odds(samples)))
     if not len(loud):
         return []
     cut = np.flatnonzero(np.diff(loud) > MIN_SILENCE_MS // 20)
@@ -88,7 +127,8 @@ def speech_spans(samples: np.ndarray, quiet: float = 0.01) -> list[tuple[int, in
 
 
 def find_speech(recordings: DataFrame) -> DataFrame:
-    """episode_id, start_ms, end_ms of recordings(episode_id, audio); row-wise, a stand-in for a trained detector."""
+    """episode_id, start_ms, end_ms of recordings(episode_id, audio); row-wise, by loudness over an adaptive noise floor
+    and a two-state path; another detector is a function over the same frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

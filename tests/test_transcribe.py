@@ -25,6 +25,53 @@ def test_speech_spans(spark):
     assert row.c == samples[16_000:24_000].tobytes() and row.d == 7
 
 
+def scene(rng, spans, seconds, noise_db, over_db=18):
+    """Noise whose loudness noise_db(second) changes, with bursts of a speech-like rhythm over it."""
+    n = seconds * A.RATE
+    t = np.arange(n) / A.RATE
+    noise = 10 ** (np.interp(t, np.arange(seconds), [noise_db(s) for s in range(seconds)]) / 20)
+    out = noise * rng.normal(size=n)
+    for a, b in spans:
+        i = slice(int(a * A.RATE), int(b * A.RATE))
+        rhythm = 0.55 + 0.45 * np.sin(2 * np.pi * 4 * t[i])
+        out[i] += noise[i] * 10 ** (over_db / 20) * rhythm * np.sin(2 * np.pi * 220 * t[i]) * 1.4
+    return np.clip(out * 32_768, -32_768, 32_767).astype("<i2")
+
+
+def test_speech_over_changing_noise():
+    """A room that gets 30 decibels louder: late noise is louder than early speech."""
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        at, spans = 2.0, []
+        while at < 110:
+            length = rng.uniform(1.0, 8.0)
+            spans.append((at, at + length))
+            at += length + rng.uniform(1.5, 5.0)
+        found = A.speech_spans(scene(rng, spans, 125, lambda s: -55 + 30 * s / 125))
+        assert len(found) == len(spans)
+        for (a, b), (s, e) in zip(spans, found, strict=True):
+            assert abs(s - (a * 1_000 - A.PAD_MS)) <= 120 and abs(e - (b * 1_000 + A.PAD_MS)) <= 120
+
+
+def test_noise_alone_and_short_clicks_are_no_speech():
+    rng = np.random.default_rng(7)
+    samples = scene(rng, [], 30, lambda s: -30)
+    for i in range(0, 30 * A.RATE, 5 * A.RATE):
+        samples[i : i + A.FRAME] = 20_000  # a click of one frame
+    assert A.speech_spans(samples) == [] and A.speech_spans(np.zeros(A.RATE, "<i2")) == []
+
+
+def test_likeliest_path_equals_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        odds = rng.normal(size=9) * 2
+        cost = lambda path: sum(o for o, x in zip(odds, path, strict=True) if x) - 1.5 * sum(x != y for x, y in itertools.pairwise(path))
+        best = max(itertools.product((False, True), repeat=9), key=cost)
+        assert abs(cost(A.smoothed(odds, 1.5).tolist()) - cost(best)) < 1e-9
+
+
 def test_transcribe_only_what_is_missing(spark):
     plan = spark.createDataFrame([(1, i, i * 60_000, i * 60_000 + 50_000, "h", bytearray(b"x")) for i in range(3)], "episode_id long, idx int, start_ms long, end_ms long, sha256 string, audio binary")
     saved = plan.drop("audio").filter("idx = 0")
