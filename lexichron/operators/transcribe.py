@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.feeds import parse_transcription
 from . import jobs as J
+from .audio import cut_samples, encode_audio, find_speech, wav_bytes
 from .catalogue import checkpoint_diff
-from .sequence import shift_words
+from .sequence import chunk_plan, shift_words
 
 Recogniser = Callable[[DataFrame], DataFrame]
 
@@ -31,6 +33,27 @@ def transcribe(plan: DataFrame, saved: DataFrame, recognise: Recogniser, model:
     )
 
 
+#: Milliseconds of a chunk for recognisers that state no limit of their own.
+CHUNK_MS = 600_000
+
+
+def transcribe_audio(recordings: DataFrame, recognise: Recogniser, max_chunk_ms: int | None = None, encode: Callable[[bytes], bytes] = wav_bytes) -> DataFrame:
+    """episode_id, n_chunks, words (absolute times, in order) of recordings(episode_id, audio), without checkpoints.
+
+    The length of a chunk belongs to the back end: a recogniser may have an attribute max_chunk_ms, else CHUNK_MS holds,
+    unless the caller sets another. Recordings without speech have no row. Chunks are cut from their recording where it lies,
+    and a recording's words meet in one row, as in a transcript.
+    """
+    limit = max_chunk_ms or getattr(recognise, "max_chunk_ms", CHUNK_MS)
+    plan = written(chunk_plan(find_speech(recordings), limit).select("episode_id", "idx", "start_ms", "end_ms"))
+    parts = plan.join(recordings.select("episode_id", "audio"), "episode_id").withColumn("audio", cut_samples(F.col("audio"), F.col("start_ms"), F.col("end_ms")))
+    replies = recognise(encode_audio(parts.select("episode_id", "idx", "audio"), encode))
+    made = plan.join(replies, ["episode_id", "idx"]).withColumn("t", parse_transcription(F.col("reply")))
+    made = made.select("episode_id", "idx", shift_words(F.col("t.words"), F.col("start_ms") / 1000).alias("words"))
+    packed = made.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("idx", "words"))).alias("c"))
+    return packed.select("episode_id", F.size("c").alias("n_chunks"), F.flatten("c.words").alias("words"))
+
+
 def transcription_totals(plan: DataFrame, saved: DataFrame) -> DataFrame:
     """episode_id, chunks_total, transcribed, skipped."""
     todo = checkpoint_diff(saved, plan).withColumn("todo", F.lit(1))

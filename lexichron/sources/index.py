@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,5 +135,21 @@ def search_stored(
     return out.select("query_id", "id", "rank", "score", "episode_id", "title", "start_s", "end_s", "text")
 
 
+def timed_searches(
+    spark: SparkSession, root: str, queries: DataFrame, modes: tuple[str, ...] = ("keyword", "vector", "hybrid", "rerank"), most: int = 20, clock: Callable[[], float] = time.perf_counter, **options
+) -> DataFrame:
+    """mode, query_id, seconds of searches for one question at a time, as a user asks them: the first `most` of queries by id.
+    evaluation.median_seconds gives the median of each mode."""
+    asked = queries.orderBy("query_id").limit(most).select("query_id", "question").collect()
+    rows = []
+    for mode in modes:
+        for r in asked:
+            one = spark.createDataFrame([tuple(r)], queries.select("query_id", "question").schema)
+            start = clock()
+            search_stored(spark, root, one, mode, **options).collect()
+            rows.append((mode, r.query_id, clock() - start))
+    return spark.createDataFrame(rows, "mode string, query_id bigint, seconds double")
+
+
 #: Ids that are handed to the scan as a list.
 LISTED = 2_000

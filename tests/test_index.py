@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from lexichron.operators import audio as A
 from lexichron.operators import catalogue as K
+from lexichron.operators import evaluation as V
 from lexichron.operators.transcribe import drain
 from lexichron.schemas import SCHEMAS
 from lexichron.sources import store
 from lexichron.sources import index as index_module
-from lexichron.sources.index import index_new, refresh_search, search_stored
+from lexichron.sources.index import index_new, refresh_search, search_stored, timed_searches
 
 
 def chunk(episode, idx, text):
@@ -40,6 +41,9 @@ def test_index_new_once_and_search(spark, tmp_path):
         assert len(hits) == 2 and all(r.text and r.end_s > r.start_s for r in hits)
     with pytest.raises(ValueError):
         search_stored(spark, root, q, "magic")
+    ticks = iter(range(100))
+    times = timed_searches(spark, root, q, ("keyword", "hybrid"), most=1, clock=lambda: float(next(ticks)))
+    assert {r["mode"]: r.p50_seconds for r in V.median_seconds(times, "mode").collect()} == {"keyword": 1.0, "hybrid": 1.0}
 
 
 def test_new_episodes_leave_stored_files_alone(spark, tmp_path):

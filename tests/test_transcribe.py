@@ -118,3 +118,22 @@ def test_clip_report(spark):
     pairs = spark.createDataFrame([(1, "a b c d".split(), "a b x d".split(), 600.0, 10.0)], "pair_id long, ref array<string>, hyp array<string>, audio_s double, took_s double")
     drafts = spark.createDataFrame([(1, "a b c d".split())], "pair_id long, draft array<string>")
     assert tuple(V.clip_report(pairs, drafts).first()) == (1, 4, 0.25, 60.0, True)
+
+
+def test_audio_to_words_by_the_limit_of_the_back_end(spark):
+    parts = [tone(1_000, 0)] + [x for _ in range(3) for x in (tone(3_000), tone(1_500, 0))]
+    df = spark.createDataFrame([(1, bytearray(np.concatenate(parts).tobytes())), (2, bytearray(tone(3_000, 0).tobytes()))], "episode_id long, audio binary")
+
+    def recognise(chunks):
+        """Says how long each file is that it gets."""
+        size = ((F.octet_length("audio") - 44) / 2 / A.RATE).cast("string")
+        word = F.concat(F.lit('{"text": "", "words": [{"word": "s'), size, F.lit('", "start": 0.5, "end": 0.7}]}'))
+        return chunks.select("episode_id", "idx", word.alias("reply"))
+
+    whole = T.transcribe_audio(df, recognise).collect()
+    assert [(r.episode_id, r.n_chunks, [w.text for w in r.words]) for r in whole] == [(1, 1, ["s12.4"])]
+    recognise.max_chunk_ms = 4_000
+    (r,) = T.transcribe_audio(df, recognise).collect()
+    assert r.n_chunks == 3 and [w.text for w in r.words] == ["s3.4"] * 3
+    assert [round(w.start, 3) for w in r.words] == [1.3, 5.8, 10.3]
+    assert T.transcribe_audio(df, recognise, max_chunk_ms=8_000).first().n_chunks == 2
