@@ -28,17 +28,19 @@ def session(name: str = "lexichron", **conf: str) -> SparkSession:
 
 #: Bytes of a scan that keep one core busy; larger tables have splits enough by themselves.
 SPLIT = 128 << 20
+#: Bytes that spread() deals anew at most, however many cores there are.
+SPREAD_MOST = 2 << 30
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if it is small and its files hold fewer row groups than there are cores, else df itself.
+    """df dealt to all cores if it is small and its row groups leave more than half of the cores idle, else df itself.
 
-    A small table is often one row group, so that one task would do all the work on its rows. Only the footers of small
-    tables are looked at.
+    A small table is often one row group, so that one task would do all the work on its rows. A job over the footers of such
+    tables, without any column, counts the partitions that hold rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if size >= cores * SPLIT or df.select(F.spark_partition_id()).distinct().count() >= cores:
+    if size >= min(cores * SPLIT, SPREAD_MOST) or 2 * df.select(F.spark_partition_id()).distinct().count() > cores:
         return df
     return df.repartition(cores)
 
