@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,19 +33,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH)
 
 
-#: Shelves whose tables may still be read.
-_OPEN: list[Shelf] = []
+class _Open(threading.local):
+    """Shelves whose tables may still be read, of each thread: runs beside each other never clear each other's."""
+
+    def __init__(self):
+        self.shelves: list[Shelf] = []
+
+
+_OPEN = _Open()
+#: All threads' open shelves, for the end of the driver.
+_EVERY: set[Shelf] = set()
 
 
 def clear_shelves(since: int = 0) -> None:
-    """Deletes the intermediate tables of all operators run so far (from the since-th open shelf on); call it when their
-    results have been written or collected. What is left goes when the driver ends."""
-    while len(_OPEN) > since:
-        _OPEN.pop().clear()
+    """Deletes the intermediate tables of all operators run so far in this thread (from the since-th open shelf on); call it when
+    their results have been written or collected. What is left goes when the driver ends."""
+    while len(_OPEN.shelves) > since:
+        _OPEN.shelves.pop().clear()
 
 
 def open_shelves() -> int:
-    return len(_OPEN)
+    return len(_OPEN.shelves)
+
+
+def _clear_all() -> None:
+    for shelf in list(_EVERY):
+        shelf.clear()
 
 
 class Shelf:
@@ -55,10 +69,12 @@ class Shelf:
         bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/shelf-{uuid.uuid4().hex}"
         self.n = 0
-        _OPEN.append(self)
+        _OPEN.shelves.append(self)
+        _EVERY.add(self)
 
     def clear(self) -> None:
         """Delete all tables."""
+        _EVERY.discard(self)
         with contextlib.suppress(Exception):  # the session may have gone first, and its folder with it
             self._delete(self.root)
 
@@ -150,4 +166,4 @@ def sampled_rows(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return marked.join(F.broadcast(taken), ["doc_id", "__mark"], "left_semi").dropDuplicates(["doc_id", "__mark"]).drop("__mark")
 
 
-atexit.register(clear_shelves)
+atexit.register(_clear_all)

@@ -77,3 +77,23 @@ def test_a_fresh_key_where_none_is_set(spark):
     assert P.surrogate_key(spark) == KEY
     spark.conf.unset(P.KEY_SETTING)
     assert len(P.surrogate_key(spark)) == 32 and P.surrogate_key(spark) != P.surrogate_key(spark)
+
+
+def test_runs_beside_each_other_keep_their_tables(spark):
+    import threading
+
+    from lexichron.llm import common as C
+
+    mine = C.Shelf(spark)
+    kept = mine.put(spark.range(3))
+
+    def other():
+        C.Shelf(spark).put(spark.range(5))
+        C.clear_shelves()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    assert kept.count() == 3 and mine in C._EVERY
+    C.clear_shelves(C.open_shelves() - 1)
+    assert mine not in C._EVERY
