@@ -4,7 +4,7 @@ A source's target over its size is the number of copies, at most two, that each
 average. The whole part is taken at once; the fractions are rounded by the pivotal method: two documents with
 fractional probabilities meet, words move from one to the other at random (keeping both expectations and the sum of
 expected words) until one is 0 or 1, and the other meets the next. Documents first meet those of their own source and
-size class; what is left over, one document a group, meets in a reduction tree whose nodes hold FAN documents. The few
+size class; what is left over, one document a group, is dealt by hash to the nodes of a reduction tree, about FAN documents each. The few
 largest documents of a source, fewer than HEAD, are settled before the others, whose rate then makes up for what those
 missed; so a source misses its target by part of one document of at most 1/HEAD of its words, if it has small ones.
 
@@ -187,15 +187,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TO
     final = done.filter(~open_).union(head)
     left = done.filter(open_)
     up = _rounded(seed + 1)
-    deepest = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    while deepest > 1:
-        # each node of the tree leaves at most one open document
-        place = Window.partitionBy("source").orderBy(F.desc("size"), "key", "nth")
-        left = left.withColumn("at", F.floor((F.row_number().over(place) - 1) / fan))
-        met = shelf.put(left.groupBy("source", "at").applyInPandas(_tree(up), rows.schema))
+    level = 0
+    open_sources = shelf.put(left.groupBy(F.col("source").alias("t_source")).agg(F.count("*").alias("open")))
+    while (open_sources.agg(F.max("open")).first()[0] or 0) > 1:
+        # each node of the tree leaves at most one open document; documents are dealt to nodes by hash, so no source is one task
+        dealt = left.join(open_sources, left["source"].eqNullSafe(open_sources["t_source"])).drop("t_source")
+        place = F.pmod(F.xxhash64(F.lit(seed + level), "key", "nth"), F.ceil(F.col("open") / F.lit(fan)))
+        dealt = dealt.withColumn("at", place).drop("open")
+        met = shelf.put(dealt.groupBy("source", "at").applyInPandas(_tree(up), rows.schema))
         final = final.union(met.filter(~open_))
         left = met.filter(open_)
-        deepest = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        level += 1
+        open_sources = shelf.put(left.groupBy(F.col("source").alias("t_source")).agg(F.count("*").alias("open")))
     # the last document of a source is settled by one draw
     draw = F.pmod(F.xxhash64(F.lit(seed), "key", "nth"), F.lit(1 << 30)) / float(1 << 30)
     last = left.withColumn("p", F.when(draw < F.col("p"), 1.0).otherwise(0.0)).select(names)
