@@ -6,8 +6,11 @@ bins; a bin's value is its least hash, and an empty bin takes the value of a bin
 Buckets of classes that agree in a band give candidate edges in the shape of a star, around the class that shares most
 buckets, so that a bucket of n classes gives n - 1 edges. Each edge is confirmed on the full sets, and components are
 found by alternating stars. What stars may have missed are links between a bucket's largest component and classes
-outside it: in the few buckets that hold several components, each outsider is compared on full sets with the members
-of other components, in blocks of bounded size, and only confirmed links leave the task. Those join the components.
+outside it: in the few buckets that hold several components, outsiders meet the members of other components in blocks
+of bounded size, and only confirmed links leave the task. Those join the components. A pair is compared on full sets
+only if their prefixes, the fifth of each set whose shingles are rarest, share a shingle: an exact filter at 0.8 (Chaudhuri et
+al., 2006). In buckets larger than a block it comes before sets are sent, so pages that share too large a part to stay
+apart in bands and too small a one to link cost no pairs.
 
 A pair at similarity 0.8 misses all of 40 bands of 5 rows with a chance of 1.2e-7; sets of under four shingles are
 similar at 0.8 only if equal, and need no bands (four within five are). Sets are told apart by 64-bit hashes.
@@ -18,7 +21,7 @@ Results: null or empty texts have an empty set and are linked with nothing; very
 are copies and get one component; different texts under one doc_id are rows of their own; a component's id is its
 smallest doc_id, so a null doc_id is never one unless the component has no other; an empty table gives an empty table.
 near_duplicates reads doc_id and text only; drop_near_duplicates carries all other columns along, whatever their names
-(but for __row and __mark, which it adds and removes).
+(any_names).
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Outsiders and members of a bucket that meet in one task; larger buckets are dealt into more blocks.
 OUTSIDE, INSIDE = 2_000, 1_000
+#: Sets of a block whose pairs are compared without a filter before.
+FEW = 32
 U = np.uint64
 
 
@@ -121,11 +126,11 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cls, members (the full set) for the classes in wanted(__row, __mark, cls), each of which names one row of docs."""
+    """cls, members (the full set in order of signed integers) for the classes in wanted(__row, __mark, cls), each of which names one row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            sets = [shingle_set(t, k).view(np.int64) for t in texts]
+            sets = [np.sort(shingle_set(t, k).view(np.int64)) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("cls")), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"])
 
     rows = docs.select("text", *row_keys()).join(wanted, ["__row", "__mark"])
@@ -149,23 +154,61 @@ def stars(members: DataFrame, percent: int) -> DataFrame:
     return joined.filter(close).select(F.col("hub.cls").alias("u"), F.col("cls").alias("v")).distinct()
 
 
+def prefix_pairs(owner: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set numbers and values of each set's prefix: of its n values the n - ceil(percent * n / 100) + 1 that stand in fewest sets
+    (ties: smallest), without those of one set alone. Two sets that link share a value of both prefixes, as each holds
+    percent / 100 of the other's values."""
+    _, which, times = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.lexsort((values, times[which], owner))
+    place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = order[place < np.repeat(sizes + percent * -sizes // 100 + 1, sizes)]
+    first = first[times[which[first]] > 1]
+    return owner[first], values[first]
+
+
+def block_candidates(side: np.ndarray, root: np.ndarray, values: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each outsider of a block with the members of other components that are of like size and, where the block holds more
+    than FEW sets, share a value of both prefixes."""
+    if len(sizes) <= FEW:
+        for o in np.flatnonzero(side):
+            at = np.flatnonzero(~side & alike(o, slice(None), root, sizes, percent))
+            if len(at):
+                yield int(o), at
+        return
+    owner, value = prefix_pairs(np.repeat(np.arange(len(sizes)), sizes), values, sizes, percent)
+    inside = ~side[owner]
+    order = np.argsort(value[inside], kind="stable")
+    held, holder = value[inside][order], owner[inside][order]
+    starts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    for o in np.flatnonzero(side):
+        mine = value[starts[o] : starts[o + 1]]
+        lo, hi = np.searchsorted(held, mine), np.searchsorted(held, mine, "right")
+        at = np.unique(np.concatenate([holder[a:b] for a, b in zip(lo, hi, strict=True)])) if len(mine) else np.zeros(0, np.int64)
+        at = at[alike(o, at, root, sizes, percent)]
+        if len(at):
+            yield int(o), at
+
+
+def alike(o: int, at: np.ndarray | slice, root: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets at are of another component than set o and of a size that may link with it."""
+    return (root[at] != root[o]) & (np.minimum(sizes[at], sizes[o]) * 100 >= np.maximum(sizes[at], sizes[o]) * percent)
+
+
 def links_across(percent: int):
     """Confirmed links (u, v) between the outsiders and the members of one block of a bucket."""
 
     def run(key: tuple, block: pa.Table) -> pa.Table:
-        band = key[0].as_py()
+        bucket = key[0].as_py()
         side, cls, root = (block.column(c).to_numpy() for c in ("outside", "cls", "root"))
-        flat = block.column("members").combine_chunks()
+        flat, met = block.column("members").combine_chunks(), block.column("buckets").combine_chunks()
         ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-        sizes = np.diff(ends)
-        bands = block.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        inside, u, v = np.flatnonzero(~side), [], []
-        for o in np.flatnonzero(side):
-            agree = bands[inside] == bands[o]
-            # a pair is compared in its first common bucket only, and in one direction if both are outsiders
-            first = bands[o][agree.argmax(1)] == band
-            close = np.minimum(sizes[inside], sizes[o]) * 100 >= np.maximum(sizes[inside], sizes[o]) * percent
-            at = inside[first & close & (root[inside] != root[o])]
+        values, ends, sizes = values[ends[0] : ends[-1]], ends - ends[0], np.diff(ends)
+        in_ends, buckets = met.offsets.to_numpy(), met.values.to_numpy()
+        u, v = [], []
+        for o, at in block_candidates(side, root, values, sizes, percent):
+            # a pair is compared in its first common bucket only
+            own = np.sort(buckets[in_ends[o] : in_ends[o + 1]])
+            at = np.array([i for i in at if np.intersect1d(own, buckets[in_ends[i] : in_ends[i + 1]])[0] == bucket], np.int64)
             if not len(at):
                 continue
             mine = values[ends[o] : ends[o + 1]]
@@ -182,20 +225,55 @@ def links_across(percent: int):
     return run
 
 
-def missed_links(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) confirmed between components that share a bucket. met: band, cls, n; roots: node, root."""
-    placed = met.join(roots, met["cls"] == roots["node"], "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+def rare_meetings(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """cls, buckets of the classes in large(cls): the values of their prefixes that another of them holds.
+
+    As prefix_pairs, over all classes of large at once; classes whose prefix nobody shares link with none and are left out.
+    """
+    values = sets.join(large, "cls", "left_semi").select("cls", F.size("members").alias("n"), F.explode("members").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
+    lines = values.join(often, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("line"))
+    # values of one class alone come first in a prefix and meet nothing
+    left = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("n") + F.size("line")).cast("int")
+    return lines.filter(left > 0).select("cls", F.slice("line", 1, left)["value"].alias("buckets"))
+
+
+def missed_links(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, shelf: Shelf, percent: int) -> DataFrame:
+    """(u, v) confirmed between components that share a bucket. met: band, cls, n; roots: node, root.
+
+    Buckets of one block meet as they are. Classes of larger ones meet by the rare values of their prefixes instead, so that
+    sets of a common part too small to link are never sent to each other.
+    """
+    rooted = roots.select(F.col("node").alias("cls"), "root")
+    small, large = dealt(met.join(rooted, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")), shelf)
+    links = in_blocks(small, classes.select("cls", F.col("bands").alias("buckets")), sets, percent)
+    if large.isEmpty():
+        return links
+    rare = shelf.put(rare_meetings(large.select("cls").distinct(), sets, percent))
+    placed = rare.select("cls", F.explode("buckets").alias("band")).join(rooted, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+    few, many = dealt(placed, shelf)
+    return links.union(in_blocks(few.union(many), rare, sets, percent))
+
+
+def dealt(placed: DataFrame, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """The rows of placed(band, cls, root) in buckets of several components, with whether they stand out of the largest one and
+    into how many blocks of outsiders and of members their bucket is cut: the buckets of one block, and the others."""
     parts = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
     several = parts.groupBy("band").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("all")).filter("parts > 1")
-    rows = placed.join(several, "band")
     out_blocks = F.ceil((F.col("all") - F.col("main.size")) / OUTSIDE).cast("int")
     in_blocks = F.ceil(F.col("all") / INSIDE).cast("int")
-    rows = rows.select("band", "cls", "root", (F.col("root") != F.col("main.root")).alias("out"), out_blocks.alias("ob"), in_blocks.alias("ib"))
+    rows = placed.join(several, "band").select("band", "cls", "root", (F.col("root") != F.col("main.root")).alias("out"), out_blocks.alias("ob"), in_blocks.alias("ib"))
+    rows = shelf.put(rows)
+    return rows.filter("ob = 1 AND ib = 1"), rows.filter("ob > 1 OR ib > 1")
+
+
+def in_blocks(rows: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) confirmed among rows (as of dealt). buckets: cls, buckets (all keys under which a class may meet others)."""
     own_out, own_in = F.pmod(F.xxhash64("cls"), F.col("ob")).cast("int"), F.pmod(F.xxhash64("cls"), F.col("ib")).cast("int")
     lone = F.lit(0)
     outsiders = rows.filter("out").select("band", "cls", "root", F.lit(True).alias("outside"), own_out.alias("i"), F.explode(F.sequence(lone, F.col("ib") - 1)).alias("j"))
     insiders = rows.select("band", "cls", "root", F.lit(False).alias("outside"), F.explode(F.sequence(lone, F.col("ob") - 1)).alias("i"), own_in.alias("j"))
-    full = outsiders.union(insiders).join(classes.select("cls", "bands"), "cls").join(sets, "cls")
+    full = outsiders.union(insiders).join(buckets, "cls").join(sets, "cls")
     return full.groupBy("band", "i", "j").applyInArrow(links_across(percent), "u bigint, v bigint")
 
 
@@ -214,7 +292,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     sets = shelf.put(full_sets(docs, classes.select("__row", "__mark", "cls").join(weights.select("cls"), "cls", "left_semi"), k).dropDuplicates(["cls"]))
     links = shelf.put(confirmed(stars(met.join(weights, "cls"), percent), sets, percent))
     roots = shelf.put(components(links, shelf))
-    missed = shelf.put(missed_links(met, roots, classes, sets, percent).distinct())
+    missed = shelf.put(missed_links(met, roots, classes, sets, shelf, percent).distinct())
     named = ["cls", "doc_id", "__row", "__mark"]
     labelled = classes.join(roots, classes["cls"] == roots["node"], "left").select(*named, F.coalesce("root", "cls").alias("root"))
     if not missed.isEmpty():
