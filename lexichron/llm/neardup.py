@@ -9,8 +9,7 @@ found by alternating stars. What stars may have missed are links between a bucke
 outside it: in the few buckets that hold several components, outsiders meet the members of other components in blocks
 of bounded size, and only confirmed links leave the task. Those join the components. A pair is compared on full sets
 only if their prefixes, the fifth of each set whose shingles are rarest, share a shingle: an exact filter at 0.8 (Chaudhuri et
-al., 2006). In buckets larger than a block it comes before sets are sent, so pages that share too large a part to stay
-apart in bands and too small a one to link cost no pairs.
+al., 2006).
 
 A pair at similarity 0.8 misses all of 40 bands of 5 rows with a chance of 1.2e-7; sets of under four shingles are
 similar at 0.8 only if equal, and need no bands (four within five are). Sets are told apart by 64-bit hashes.
@@ -225,46 +224,25 @@ def links_across(percent: int):
     return run
 
 
-def rare_meetings(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """cls, buckets of the classes in large(cls): the values of their prefixes that another of them holds.
-
-    As prefix_pairs, over all classes of large at once; classes whose prefix nobody shares link with none and are left out.
-    """
-    values = sets.join(large, "cls", "left_semi").select("cls", F.size("members").alias("n"), F.explode("members").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
-    lines = values.join(often, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("line"))
-    # values of one class alone come first in a prefix and meet nothing
-    left = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("n") + F.size("line")).cast("int")
-    return lines.filter(left > 0).select("cls", F.slice("line", 1, left)["value"].alias("buckets"))
-
-
 def missed_links(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, shelf: Shelf, percent: int) -> DataFrame:
     """(u, v) confirmed between components that share a bucket. met: band, cls, n; roots: node, root.
 
-    Buckets of one block meet as they are. Classes of larger ones meet by the rare values of their prefixes instead, so that
-    sets of a common part too small to link are never sent to each other.
+    Buckets beyond a block are dealt into several; within a block the prefixes say which pairs are compared.
     """
     rooted = roots.select(F.col("node").alias("cls"), "root")
-    small, large = dealt(met.join(rooted, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")), shelf)
-    links = in_blocks(small, classes.select("cls", F.col("bands").alias("buckets")), sets, percent)
-    if large.isEmpty():
-        return links
-    rare = shelf.put(rare_meetings(large.select("cls").distinct(), sets, percent))
-    placed = rare.select("cls", F.explode("buckets").alias("band")).join(rooted, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
-    few, many = dealt(placed, shelf)
-    return links.union(in_blocks(few.union(many), rare, sets, percent))
+    rows = dealt(met.join(rooted, "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root")), shelf)
+    return in_blocks(rows, classes.select("cls", F.col("bands").alias("buckets")), sets, percent)
 
 
-def dealt(placed: DataFrame, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+def dealt(placed: DataFrame, shelf: Shelf) -> DataFrame:
     """The rows of placed(band, cls, root) in buckets of several components, with whether they stand out of the largest one and
-    into how many blocks of outsiders and of members their bucket is cut: the buckets of one block, and the others."""
+    into how many blocks of outsiders and of members their bucket is cut."""
     parts = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
     several = parts.groupBy("band").agg(F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("all")).filter("parts > 1")
     out_blocks = F.ceil((F.col("all") - F.col("main.size")) / OUTSIDE).cast("int")
     in_blocks = F.ceil(F.col("all") / INSIDE).cast("int")
     rows = placed.join(several, "band").select("band", "cls", "root", (F.col("root") != F.col("main.root")).alias("out"), out_blocks.alias("ob"), in_blocks.alias("ib"))
-    rows = shelf.put(rows)
-    return rows.filter("ob = 1 AND ib = 1"), rows.filter("ob > 1 OR ib > 1")
+    return shelf.put(rows)
 
 
 def in_blocks(rows: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
