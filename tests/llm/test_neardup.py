@@ -74,20 +74,6 @@ def test_full_sets_are_in_order(spark, rng):
     assert len(members) > 50 and members == sorted(members)
 
 
-def test_links_across_one_block():
-    """Every link between an outsider and a member of another component is found, and nothing else."""
-    import pyarrow as pa
-
-    base = np.unique(np.random.default_rng(5).integers(-(2**63), 2**63, 400, dtype=np.int64))
-    near, far = np.unique(np.r_[base[:-20], np.arange(20)]), np.unique(np.r_[base[:200], np.arange(1000, 1200)])
-    for extra in (0, N.FEW):  # without and with the filter
-        own = [np.unique(np.random.default_rng(9 + i).integers(-(2**63), 2**63, 400, dtype=np.int64)) for i in range(extra)]
-        sets = [base, near, far, *own]
-        rows = [(c == 1, c, c, sets[c].tolist(), [7]) for c in range(len(sets))] + [(False, 1, 1, near.tolist(), [7])]
-        block = pa.table(dict(zip(("outside", "cls", "root", "members", "buckets"), map(list, zip(*rows, strict=True)), strict=True)))
-        assert N.links_across(80)((pa.scalar(7),), block).to_pylist() == [{"u": 1, "v": 0}]
-
-
 def common_part(rng, n, shared, own):
     """n texts with a large common part and words of their own: similarity shared / (shared + 2 own)."""
     part = prose(rng, shared, [f"part{i}" for i in range(10**5)])
@@ -105,34 +91,6 @@ def test_a_bucket_of_unlinked_classes(spark, rng, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df, 2).collect()) == brute(rows, 2)
 
 
-def test_pairs_of_a_crowded_block(rng):
-    """5,000 unlinked sets with a common part and 20 near copies: the filter leaves the near copies' pairs."""
-    draw = np.random.default_rng(3)
-    common = draw.integers(-(2**63), 2**63, 140, dtype=np.int64)
-    sets = [np.unique(np.r_[common, draw.integers(-(2**63), 2**63, 60, dtype=np.int64)]) for _ in range(5_000)]
-    sets += [np.unique(np.r_[s[:-4], draw.integers(-(2**63), 2**63, 4, dtype=np.int64)]) for s in sets[:20]]
-    n, sizes = len(sets), np.array([len(s) for s in sets])
-    side = np.arange(2 * n) < n  # all are outsiders and members
-    got = N.block_candidates(side, np.tile(np.arange(n), 2), np.concatenate(sets * 2), np.tile(sizes, 2), 80)
-    pairs = {(o, int(i) - n) for o, at in got for i in at}
-    assert {(i, 5_000 + i) for i in range(20)} <= pairs and len(pairs) < 200
-
-
-@pytest.mark.parametrize("percent", [80, 90])
-def test_prefixes_lose_no_pair(percent):
-    draw = np.random.default_rng(4)
-    sets = [np.sort(draw.choice(60, draw.integers(1, 30), replace=False)) for _ in range(300)]
-    sets += [np.sort(draw.choice(s, max(1, len(s) - draw.integers(0, 3)), replace=False)) for s in sets]
-    sizes = np.array([len(s) for s in sets])
-    owner, value = N.prefix_pairs(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), sizes, percent)
-    prefix = [set(value[owner == i]) for i in range(len(sets))]
-    for i in range(len(sets)):
-        for j in range(i):
-            common = len(set(sets[i]) & set(sets[j]))
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                assert prefix[i] & prefix[j]
-
-
 @pytest.mark.parametrize(("k", "short"), [(2, "a b c d e"), (5, "a b c d e f g h")])
 def test_four_shingles_within_five(spark, k, short):
     rows = [(1, short), (2, short + " i"), (3, " ".join(short.split()[:-1])), (4, "z " + short)]
