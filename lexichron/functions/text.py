@@ -1,5 +1,5 @@
-"""Column functions over text: tokens, phrases, keys, times, request fields. All of them but `nfkc` and `stems` stay in
-the JVM. A phrase is matched as a space-padded substring of space-joined tokens, which is exact since no token holds a
+"""Column functions over text: tokens, phrases, keys, times, request fields. All of them but `nfkc`, `stems` and
+`vector_literal` stay in the JVM. A phrase is matched as a space-padded substring of space-joined tokens, which is exact since no token holds a
 space."""
 
 from __future__ import annotations
@@ -7,6 +7,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,9 +114,16 @@ def clock(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", h, m % 60, r)).otherwise(F.format_string("%d:%02d", m, r))
 
 
+@F.arrow_udf(T.StringType())
+def _literals(vectors: pa.Array) -> pa.Array:
+    made = (None if v is None else ",".join(["%.6f" % x for x in v if x is not None]) for v in vectors.to_pylist())
+    return pa.array([None if x is None else f"[{x}]" for x in made], pa.string())
+
+
 def vector_literal(v: Column) -> Column:
-    """[x, …] with six decimals a number."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+    """[x, …] with six decimals a number, rounded from its exact value, ties to even; nulls in a vector are left out. The JVM
+    formats a number's shortest decimal form and rounds ties up."""
+    return _literals(v.cast("array<double>"))
 
 
 def snippet(text: Column, length: int = 300) -> Column:

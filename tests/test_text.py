@@ -40,3 +40,12 @@ def test_vector_literal_and_request(spark):
     assert one(spark, T.valid_request(F.lit("why"), F.lit(None).cast("int"))) is True
     assert one(spark, T.valid_request(F.lit("no"), F.lit(5))) is False
     assert one(spark, T.valid_request(F.lit("why not"), F.lit(11))) is False
+
+
+def test_vector_literal_rounds_exact_values(spark):
+    """Halves go to the even neighbour; a number just under a half goes down."""
+    v = F.lit("[-0.0703125, 0.0078125, 0.0234375, 1e22, NaN, -1e-9]")
+    some = F.from_json(v, "array<double>", {"allowNonNumericNumbers": "true"})
+    assert one(spark, T.vector_literal(some)) == "[-0.070312,0.007812,0.023438,10000000000000000000000.000000,nan,-0.000000]"
+    assert one(spark, T.vector_literal(F.array(F.lit(1.0), F.lit(None).cast("double")))) == "[1.000000]"
+    assert one(spark, T.vector_literal(F.lit(None).cast("array<float>"))) is None
