@@ -6,8 +6,9 @@ winners are joined with their texts.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ from ..functions.text import keyword_terms, stems
 CANDIDATES, SHORTLIST, RRF_K = 50, 20, 60
 #: Queries and rows of a block.
 QUERY_BLOCK, ROW_BLOCK = 1_024, 16_384
+#: Pairs of a question and a term that go to every task; more are joined. Pairs of a posting and a question, or of a text
+#: and a question, that are added up at a time.
+ASKED_PAIRS, SUMMED = 200_000, 2_000_000
 
 
 def ranked(scores: DataFrame, k: int, *best: Column) -> DataFrame:
@@ -58,6 +62,113 @@ def keyword_leg(index: DataFrame, queries: DataFrame, k: int = CANDIDATES, analy
     return ranked(keyword_scores(index, queries, analyze), k, F.desc("score"))
 
 
+class Asked:
+    """The questions of a scan: their terms, and for each term the places of the questions that have it."""
+
+    def __init__(self, pairs: list[tuple[int, str]]) -> None:
+        queries, at = np.unique(np.array([q for q, _ in pairs], np.int64), return_inverse=True)
+        terms = sorted({t for _, t in pairs})
+        number = {t: i for i, t in enumerate(terms)}
+        code = np.array([number[t] for _, t in pairs], np.int64)
+        self.queries, self.terms = queries, pa.array(terms, pa.string())
+        self.asks = at[np.argsort(code, kind="stable")]
+        self.upto = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(terms)))]).astype(np.int64)
+
+    def codes(self, terms: pa.Array) -> np.ndarray:
+        """The numbers of terms, -1 for those that no question has."""
+        return pc.fill_null(pc.index_in(terms, self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def sums(self, code: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """A row a document and a column a question: the weights of the document's terms that the question has. code: numbers
+        of terms that are asked for, doc: below n and in order."""
+        width, cost = len(self.queries), np.cumsum(np.diff(self.upto)[code])
+        total, lo = np.zeros(n * width), 0
+        while lo < len(code):
+            hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + SUMMED)))
+            c, first = code[lo:hi], self.upto[code[lo:hi]]
+            times = self.upto[c + 1] - first
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at = np.repeat(doc[lo:hi] * width, times) + self.asks[np.repeat(first, times) + place]
+            total += np.bincount(at, np.repeat(weight[lo:hi], times), n * width)
+            lo = hi
+        return total.reshape(n, width)
+
+
+class Best:
+    """The k rows of greatest score of each query so far, ties to the smaller id."""
+
+    def __init__(self, k: int, queries: int) -> None:
+        self.k, self.most = k, max(100_000, 4 * k * queries)
+        self.least, self.held, self.n = np.ones(queries), [], 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, ids, score))
+        self.n += len(query)
+        if self.n > self.most:
+            query, ids, score = self.found()
+            self.held, self.n = [(query, ids, score)], len(query)
+            last = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if len(query) else np.zeros(0, int)
+            full = last[np.bincount(query, minlength=len(self.least))[query[last]] == self.k]
+            self.least[query[full]] = np.maximum(self.least[query[full]], score[full])
+
+    def add_sums(self, sums: np.ndarray, ids: np.ndarray) -> None:
+        doc, query = np.nonzero(sums >= self.least)
+        self.add(query, ids[doc], sums[doc, query])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        keep = np.arange(len(order)) - np.searchsorted(query, query) < self.k
+        return query[keep], ids[order][keep], score[order][keep]
+
+    def batch(self, queries: np.ndarray) -> pa.RecordBatch:
+        query, ids, score = self.found()
+        return pa.RecordBatch.from_arrays([pa.array(queries[query]), pa.array(ids), pa.array(score.astype(np.int64))], names=["query_id", "id", "score"])
+
+
+def few_asked(terms: DataFrame) -> Asked | None:
+    """The terms(query_id, term) if they are few enough to go to every task."""
+    if dict(terms.dtypes)["query_id"] not in ("bigint", "int", "smallint", "tinyint"):
+        return None
+    pairs = [tuple(r) for r in terms.select("query_id", "term").limit(ASKED_PAIRS + 1).collect()]
+    return None if len(pairs) > ASKED_PAIRS or any(q is None for q, _ in pairs) else Asked(pairs)
+
+
+def one_row_an_id(rows: DataFrame) -> bool:
+    """True if each row has a whole number of its own as id: what an id adds up to then is in one row. Reads the ids alone."""
+    return dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint") and rows.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty()
+
+
+def keyword_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
+    """query_id, id, rank: keyword_leg of the postings of docs(id, text), in one pass over the texts.
+
+    All of a document's terms are in its row, so a task adds up its own documents' scores and hands on the k best a query;
+    nothing else is shuffled. Repeated ids, and questions of too many terms for a task, go by joins.
+    """
+    terms = query_terms(queries, analyze)
+    asked = few_asked(terms)
+    if asked is None or not one_row_an_id(docs):
+        return keyword_leg(postings(docs, analyze, only=terms), queries, k, analyze)
+    sent = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks = sent.value
+        best, step = Best(k, len(asks.queries)), max(1, min(256, SUMMED // max(1, len(asks.queries))))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                ids, words = b.column(0).slice(lo, step).to_numpy(), b.column(1).slice(lo, step)
+                doc = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+                code = asks.codes(words.flatten())
+                # a pair of a document and a term once, with its number of places
+                pair, times = np.unique(doc[code >= 0] * len(asks.terms) + code[code >= 0], return_counts=True)
+                best.add_sums(asks.sums(pair % max(1, len(asks.terms)), pair // max(1, len(asks.terms)), times, len(ids)), ids)
+        yield best.batch(asks.queries)
+
+    scores = docs.select(F.col("id").cast("bigint").alias("id"), analyze(F.col("text")).alias("terms")).mapInArrow(run, "query_id bigint, id bigint, score bigint")
+    return ranked(scores, k, F.desc("score"))
+
+
 def _matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and double rows of the vectors of length dim without nulls; others are left out."""
     good = pc.and_(pc.is_valid(vectors), pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False))
@@ -69,11 +180,28 @@ def _matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.
 def vector_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, queries_a_block: int = QUERY_BLOCK, rows_a_block: int = ROW_BLOCK) -> DataFrame:
     """The k rows of vectors(id, embedding) nearest by cosine distance to each of queries(query_id, embedding).
 
-    Exact. Queries and rows are dealt into blocks by hash; each pair of blocks is one group of a co-group, of bounded
-    size, that gives the best k a query. The plan does not depend on how many there are.
+    Exact. One block of queries goes to every task, which hands on the best k a query of its own rows. More queries, and
+    the rows, are dealt into blocks by hash; each pair of blocks is one group of a co-group, of bounded size, that gives the
+    best k a query. The plan does not depend on how many there are.
     """
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
     rows = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
+    few = asked.limit(queries_a_block + 1).toArrow()
+    if few.num_rows <= queries_a_block:
+        sent = vectors.sparkSession.sparkContext.broadcast(few)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[pa.Table] = []
+            for b in batches:
+                for lo in range(0, b.num_rows, rows_a_block):
+                    part = _nearest(pa.Table.from_batches([b.slice(lo, rows_a_block)]), sent.value, k)
+                    best.append(part)
+                    if sum(x.num_rows for x in best) > max(100_000, 4 * k * sent.value.num_rows):
+                        best = [_closest(pa.concat_tables(best), k)]
+            if best:
+                yield from _closest(pa.concat_tables(best), k).combine_chunks().to_batches()
+
+        return ranked(rows.mapInArrow(run, "query_id bigint, id bigint, distance double"), k, F.asc("distance"))
     row_blocks, query_blocks = max(1, math.ceil(rows.count() / rows_a_block)), max(1, math.ceil(asked.count() / queries_a_block))
 
     def block(key: str, blocks: int) -> Column:
@@ -98,34 +226,43 @@ def nearest_in_groups(rows: DataFrame, asked: DataFrame, k: int, *by: str) -> Da
     A matrix product chooses the rows up to the k-th distance and a margin beyond; of those alone the distance is summed in
     order, as a plain loop would.
     """
-    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda candidates, asking: _nearest(candidates, asking, k), "query_id bigint, id bigint, distance double")
+
 
-    def run(candidates: pa.Table, asking: pa.Table) -> pa.Table:
-        if not candidates.num_rows or not asking.num_rows:
-            return out.empty_table()
-        candidates, asking = candidates.combine_chunks(), asking.combine_chunks()
-        dim = max((n for n in pc.list_value_length(asking["embedding"]).to_pylist() if n), default=1)
-        v_ids, v = _matrix(candidates["id"].chunk(0), candidates["embedding"].chunk(0), dim)
-        q_ids, q = _matrix(asking["query_id"].chunk(0), asking["embedding"].chunk(0), dim)
-        v_size, parts = np.sqrt((v * v).sum(1)), []
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            sizes = np.sqrt((part * part).sum(1))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                rough = np.nan_to_num(1 - part @ v.T / (sizes[:, None] * v_size), nan=np.inf)
-            edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + MARGIN if rough.shape[1] > k else np.full(len(part), np.inf)
-            asks, found = np.nonzero((rough <= edge[:, None]) & np.isfinite(rough))
-            product = np.zeros(len(asks))
-            for j in range(dim):  # in order, as a plain loop would add
-                product += part[asks, j] * v[found, j]
-            distance = 1 - product / (sizes[asks] * v_size[found])
-            order = np.lexsort((v_ids[found], distance, asks))
-            place = np.arange(len(order)) - np.searchsorted(asks[order], asks[order])
-            best = order[place < k]
-            parts.append(pa.table([pa.array(q_ids[at + asks[best]]), pa.array(v_ids[found[best]]), pa.array(distance[best])], schema=out))
-        return pa.concat_tables(parts).combine_chunks() if parts else out.empty_table()
-
-    return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "query_id bigint, id bigint, distance double")
+def _closest(found: pa.Table, k: int) -> pa.Table:
+    """The k rows of least distance of each query of found, ties to the smaller id."""
+    query, ids, distance = (found[c].to_numpy() for c in ("query_id", "id", "distance"))
+    order = np.lexsort((ids, distance, query))
+    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    return found.take(pa.array(order[place < k]))
+
+
+def _nearest(candidates: pa.Table, asking: pa.Table, k: int) -> pa.Table:
+    """query_id, id, distance of the k candidates nearest to each row of asking."""
+    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    if not candidates.num_rows or not asking.num_rows:
+        return out.empty_table()
+    candidates, asking = candidates.combine_chunks(), asking.combine_chunks()
+    dim = max((n for n in pc.list_value_length(asking["embedding"]).to_pylist() if n), default=1)
+    v_ids, v = _matrix(candidates["id"].chunk(0), candidates["embedding"].chunk(0), dim)
+    q_ids, q = _matrix(asking["query_id"].chunk(0), asking["embedding"].chunk(0), dim)
+    v_size, parts = np.sqrt((v * v).sum(1)), []
+    for at in range(0, len(q), 256):
+        part = q[at : at + 256]
+        sizes = np.sqrt((part * part).sum(1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rough = np.nan_to_num(1 - part @ v.T / (sizes[:, None] * v_size), nan=np.inf)
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + MARGIN if rough.shape[1] > k else np.full(len(part), np.inf)
+        asks, found = np.nonzero((rough <= edge[:, None]) & np.isfinite(rough))
+        product = np.zeros(len(asks))
+        for j in range(dim):  # in order, as a plain loop would add
+            product += part[asks, j] * v[found, j]
+        distance = 1 - product / (sizes[asks] * v_size[found])
+        order = np.lexsort((v_ids[found], distance, asks))
+        place = np.arange(len(order)) - np.searchsorted(asks[order], asks[order])
+        best = order[place < k]
+        parts.append(pa.table([pa.array(q_ids[at + asks[best]]), pa.array(v_ids[found[best]]), pa.array(distance[best])], schema=out))
+    return pa.concat_tables(parts).combine_chunks() if parts else out.empty_table()
 
 
 def rrf(*legs: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -196,11 +333,31 @@ def hash_weights(docs: DataFrame, dim: int = 64) -> DataFrame:
 
 
 def hash_embed(docs: DataFrame, dim: int = 64) -> DataFrame:
-    """id, embedding of docs(id, text): hash_weights as a dense array; a text without words has no row."""
+    """id, embedding of docs(id, text): hash_weights as a dense array; a text without words has no row. A row-wise map where
+    each id is one row: each different word of a slice of texts is hashed once."""
+    if one_row_an_id(docs):
+        words = docs.select(F.col("id").cast("bigint").alias("id"), F.split(F.lower(F.trim("text")), r"\s+").alias("words"))
+        return words.mapInArrow(lambda batches: _hashed(batches, dim), "id bigint, embedding array<float>").select(F.col("id").cast(docs.schema["id"].dataType).alias("id"), "embedding")
     m = hash_weights(docs, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     return m.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], dim: int, step: int = 1_024) -> Iterator[pa.RecordBatch]:
+    """id, embedding of batches of id, words."""
+    for b in batches:
+        for lo in range(0, b.num_rows, step):
+            ids, words = b.column(0).slice(lo, step), b.column(1).slice(lo, step)
+            doc = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+            coded = words.flatten().dictionary_encode()
+            bare = [w.strip(".,?!").encode() for w in coded.dictionary.to_pylist()]
+            bucket = np.array([int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[12:]) % dim if w else -1 for w in bare], np.int64)[coded.indices.to_numpy()]
+            n = np.bincount(doc[bucket >= 0] * dim + bucket[bucket >= 0], minlength=len(ids) * dim).reshape(-1, dim)
+            some = np.flatnonzero(n.any(1))
+            unit = (n[some] / np.sqrt((n[some] * n[some]).sum(1).astype(np.float64))[:, None]).astype(np.float32)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * dim, pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), values], names=["id", "embedding"])
+
+
 def pending(passages: DataFrame, model: str) -> DataFrame:
     """Rows whose embedding is missing or made by another model."""
     return passages.filter(F.col("embedding").isNull() | ~F.col("embed_model").eqNullSafe(F.lit(model)))

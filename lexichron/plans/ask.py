@@ -65,7 +65,7 @@ def passage_pool(spark, sf_dir):
 def asked(spark, sf_dir):
     """questions and hits: each benchmark text asks about its best passages by keyword."""
     pool, q = passage_pool(spark, sf_dir), C.questions(spark, sf_dir)
-    found = R.hydrate(R.keyword_leg(R.postings(pool, only=R.query_terms(q)), q).filter("rank <= 5"), pool)
+    found = R.hydrate(R.keyword_search(pool, q).filter("rank <= 5"), pool)
     titles = C.episodes(spark, sf_dir).select(F.col("id").alias("episode_id"), "title")
     hits = written(found.join(titles, "episode_id").select(F.col("query_id").alias("question_id"), F.col("rank").alias("n"), "episode_id", "title", "start_ms", "end_ms", "text"))
     return q.withColumnRenamed("query_id", "question_id"), hits

@@ -62,9 +62,9 @@ def results(spark, sf_dir, golden):
     fused shortlist reranked."""
     pool = passage_pool(spark, sf_dir)
     q = C.questions(spark, sf_dir).join(golden.select("query_id"), "query_id", "left_semi")
-    keyword = written(R.keyword_leg(R.postings(pool, only=R.query_terms(q)), q))
+    keyword = written(R.keyword_search(pool, q))
     asked = R.hash_embed(q.select(F.col("query_id").alias("id"), F.col("question").alias("text"))).withColumnRenamed("id", "query_id")
-    vector = written(R.vector_leg(written(R.hash_embed(pool)), written(asked)))
+    vector = written(R.vector_leg(R.hash_embed(pool), written(asked)))
     both = written(R.fused(keyword, vector))
     places = pool.select("id", "episode_id", "start_ms", "end_ms")
     columns = ["query_id", "rank", "episode_id", "start_ms", "end_ms"]

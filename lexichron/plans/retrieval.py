@@ -57,8 +57,7 @@ def asked(spark, sf_dir):
 
 @query("keyword_topk", f"WITH {KEYWORD_SQL} SELECT query_id, id, rank FROM kleg")
 def keyword_topk(spark, sf_dir):
-    q = C.questions(spark, sf_dir)
-    return R.keyword_leg(R.postings(documents(spark, sf_dir), only=R.query_terms(q)), q)
+    return R.keyword_search(documents(spark, sf_dir), C.questions(spark, sf_dir))
 
 
 @query("stored_keyword_topk", f"WITH {KEYWORD_SQL} SELECT query_id, id, rank FROM kleg")
@@ -86,7 +85,7 @@ def vector_topk(spark, sf_dir):
 
 def legs(spark, sf_dir):
     q = asked(spark, sf_dir)
-    return R.keyword_leg(R.postings(documents(spark, sf_dir), only=R.query_terms(q)), q), R.vector_leg(vectors(spark, sf_dir), q.filter("embedding IS NOT NULL"))
+    return R.keyword_search(documents(spark, sf_dir), q), R.vector_leg(vectors(spark, sf_dir), q.filter("embedding IS NOT NULL"))
 
 
 @query("rrf_fusion", f"WITH {FUSED_SQL} SELECT query_id, id, score FROM fused")

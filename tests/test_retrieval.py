@@ -76,3 +76,61 @@ def test_lsh_finds_near_neighbours(spark):
     got = R.lsh_leg(df, df.withColumnRenamed("id", "query_id"), 6).collect()
     right = {(i, j) for i in range(360) for j in np.argsort(-(v @ v[i]), kind="stable")[:6].tolist()}
     assert len(right & {(r.query_id, r.id) for r in got}) / len(right) >= 0.9 and len(got) < 360 * 8
+
+
+def test_keyword_search_is_the_leg_over_postings(spark, monkeypatch):
+    """One pass over the texts gives what joins give: with repeated ids, null texts, and questions that are too many to send."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)] + ["Été", "the"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i - 20, text(int(rng.integers(0, 30)))) for i in range(700)] + [(5_000, None)]
+    q = spark.createDataFrame([(i, text(6)) for i in range(30)] + [(90, "the"), (91, None), (92, "unsaid")], "query_id long, question string")
+    got = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
+    for more in ([], [(3, text(9)), (3, text(9)), (None, text(5))]):
+        docs = spark.createDataFrame(rows + more, "id long, text string").repartition(5)
+        want = got(R.keyword_leg(R.postings(docs), q, 7))
+        assert got(R.keyword_search(docs, q, 7)) == want
+        monkeypatch.setattr(R, "SUMMED", 50)
+        assert got(R.keyword_search(docs, q, 7)) == want
+        monkeypatch.setattr(R, "SUMMED", 2_000_000)
+    monkeypatch.setattr(R, "ASKED_PAIRS", 3)
+    assert got(R.keyword_search(docs, q, 7)) == want
+    monkeypatch.undo()
+    small = docs.filter("id < 400 AND id <> 3")
+    plan = R.keyword_search(small, q, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_best_keeps_the_greatest():
+    rng = np.random.default_rng(6)
+    best, rows = R.Best(3, 2), []
+    best.most = 10
+    for _ in range(40):
+        ids, sums = rng.choice(10_000, 4, replace=False), rng.integers(0, 6, (4, 2)).astype(float)
+        best.add_sums(sums, ids)
+        rows += [(q, -sums[d, q], ids[d]) for d in range(4) for q in range(2) if sums[d, q]]
+    want = [x for q in range(2) for x in sorted(r for r in rows if r[0] == q)[:3]]
+    assert [(q, -s, i) for q, i, s in zip(*best.found(), strict=True)] == want
+
+
+def test_hash_embed_is_row_wise(spark):
+    rows = [(1, "A b, b! ...c"), (2, "?!"), (3, None), (4, " ... "), (5, "été été x")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    twice = docs.unionByName(docs.filter("id = 1"))
+    got = {r.id: r.embedding for r in R.hash_embed(docs).collect()}
+    weights = {}
+    for r in R.hash_weights(docs).collect():
+        weights.setdefault(r.id, [0.0] * 64)[r.bucket] = float(np.float32(r.weight))
+    assert got == weights
+    assert {r.id: r.embedding for r in R.hash_embed(twice).collect()} == weights
+    assert "Generate" not in R.hash_embed(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vector_leg_of_one_block(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)] + [(900, None), (901, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = df.filter("id < 30").withColumnRenamed("id", "query_id")
+    got = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
+    assert got(R.vector_leg(df, q, 9)) == got(R.vector_leg(df, q, 9, queries_a_block=7, rows_a_block=50)) == got(R.vector_leg(df, q, 9, rows_a_block=50))
+    assert R.vector_leg(df, q.limit(0), 9).collect() == []
