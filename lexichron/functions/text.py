@@ -6,8 +6,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,14 +233,10 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """Stems of arrays of words; a word seen before in the batch is not stemmed again."""
-    known: dict[str, str] = {}
-
-    def one(w: str) -> str:
-        if w not in known:
-            known[w] = stem(w)
-        return known[w]
-
-    return words.map(lambda ws: None if ws is None else [one(w) for w in ws])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    """Stems of arrays of words; each different word of a batch is stemmed once."""
+    coded = words.flatten().dictionary_encode()
+    made = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    upto = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy()))
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), made.take(coded.indices), mask=pc.is_null(words))

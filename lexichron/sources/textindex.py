@@ -1,29 +1,34 @@
 """A stored full-text index: postings with positions in blocks of documents, with the largest term count of each block, and a
 top-k search that skips the blocks that cannot hold a result.
 
-Documents are numbered in the order of their ids; BLOCK_DOCS neighbours make a block, the same for all terms. A block's row
+BLOCK_DOCS documents that follow one another in a task's input make a block, the same for all terms. A block's row
 holds a term's postings in it and their largest count, so the counts of a query's terms add up to a bound on every score in
 the block. A search first reads these heads alone, scores each query's most promising blocks, and then reads of all others
 only those whose bound reaches the k-th score found. The result is that of a scan over all postings.
 
-Rows lie in folders by a hash of the term, sorted by term, so that a search lists and reads the folders and row groups of its
+Rows lie in folders by a hash of the term, each file sorted by term, so that a search lists and reads the folders and row groups of its
 terms. Documents without terms have no postings. An id must be indexed once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import running_total
-from ..operators.retrieval import CANDIDATES, query_terms, ranked, stemmed_terms
+from ..operators.retrieval import CANDIDATES, Asked, Best, few_asked, query_terms, ranked, stemmed_terms
 from ..session import written
 
-#: Documents of a block, postings of a folder in a new index, and terms that are handed to the scan as a list.
-BLOCK_DOCS, FOLDER_POSTINGS, LISTED = 64, 20_000_000, 2_000
+#: Documents of a block, characters of a folder in a new index, and terms that are handed to the scan as a list.
+BLOCK_DOCS, FOLDER_CHARACTERS, LISTED = 64, 200_000_000, 2_000
+#: Numbers of blocks that a task has for itself.
+TASK_BLOCKS = 1 << 32
 SCHEMA = "term string, block bigint, top int, n int, ids array<bigint>, tfs array<int>, positions array<array<int>>, folder int"
 
 
@@ -40,43 +45,72 @@ def folder_of(term: Column, folders: int) -> Column:
 
 
 def blocks_of(docs: DataFrame, analyze: Callable[[Column], Column], first: int, block_docs: int) -> DataFrame:
-    """term, block, top, n, ids, tfs, positions of docs(id, text): a row a term and block, its documents by id."""
-    numbered = running_total(docs.select("id").withColumn("one", F.lit(1)), "one", ["id"], name="nth")
-    places = numbered.select("id", (F.floor((F.col("nth") - 1) / block_docs) + first).alias("block"))
-    terms = docs.select("id", F.posexplode(analyze(F.col("text"))).alias("pos", "term"))
-    # one shuffle by (term, block) serves both aggregations
-    dealt = terms.join(places, "id").repartition("term", "block")
-    per = dealt.groupBy("term", "block", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    packed = per.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "positions"))).alias("p"), F.max(F.size("positions")).alias("top"))
-    return packed.select("term", "block", "top", F.size("p").alias("n"), F.col("p.id").alias("ids"), F.transform("p", lambda x: F.size(x["positions"])).alias("tfs"), F.col("p.positions").alias("positions"))
+    """term, block, top, n, ids, tfs, positions of docs(id, text): a row a term and block. A row-wise map without a shuffle:
+    a task makes blocks of the documents as they come, numbered within its own range of TASK_BLOCKS from `first` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = first + TaskContext.get().partitionId() * TASK_BLOCKS
+        for b in batches:
+            for lo in range(0, b.num_rows, block_docs):
+                yield _packed(b.column(0).slice(lo, block_docs), b.column(1).slice(lo, block_docs), block)
+                block += 1
+
+    shape = SCHEMA.removesuffix(", folder int")
+    return docs.select(F.col("id").cast("bigint").alias("id"), analyze(F.col("text")).alias("terms")).mapInArrow(run, shape)
+
+
+def _packed(ids: pa.Array, words: pa.Array, block: int) -> pa.RecordBatch:
+    """The rows of a block: a document's row holds all of its terms, in order."""
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    # terms together, and within them documents and places in order
+    by_id = np.argsort(np.argsort(ids.to_numpy(), kind="stable"), kind="stable")
+    doc = np.repeat(by_id, size)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    code = coded.indices.to_numpy().astype(np.int64)
+    order = np.argsort(code * len(ids) + doc, kind="stable")
+    code, doc = code[order], doc[order]
+    posting = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))) if len(code) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(posting, len(code)))
+    of = code[posting]
+    term = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    lists = lambda at, values, n: pa.ListArray.from_arrays(pa.array(np.append(at, n), pa.int32()), values)
+    places = lists(posting, pa.array(pos[order], pa.int32()), len(code))
+    sorted_ids = pc.take(ids, pc.sort_indices(ids))
+    columns = [
+        coded.dictionary.take(pa.array(of[term])),
+        pa.array(np.full(len(term), block), pa.int64()),
+        pa.array(np.maximum.reduceat(tf, term) if len(term) else term, pa.int32()),
+        pa.array(np.diff(np.append(term, len(of))), pa.int32()),
+        lists(term, sorted_ids.take(pa.array(doc[posting])), len(of)),
+        lists(term, pa.array(tf, pa.int32()), len(of)),
+        lists(term, places, len(of)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "top", "n", "ids", "tfs", "positions"])
 
 
 def build(docs: DataFrame, path: str, analyze: Callable[[Column], Column] = stemmed_terms, block_docs: int = BLOCK_DOCS, folders: int | None = None) -> Shape:
-    """Writes the index of docs(id, text) to path, which must not exist. folders: by the number of postings unless given."""
-    spark = docs.sparkSession
-    made = written(blocks_of(docs, analyze, 0, block_docs))
-    total = made.agg(F.sum("n"), F.max("block")).first()
-    shape = Shape(folders or max(1, -(-(total[0] or 0) // FOLDER_POSTINGS)), 0 if total[1] is None else total[1] + 1)
-    _store(made, path, shape, "errorifexists")
-    _save(spark, path, shape)
-    return shape
+    """Writes the index of docs(id, text) to path, which must not exist. folders: by the length of the texts unless given."""
+    if not folders:
+        folders = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // FOLDER_CHARACTERS))
+    return _store(docs, path, analyze, block_docs, Shape(folders, 0), "errorifexists")
 
 
 def add(docs: DataFrame, path: str, analyze: Callable[[Column], Column] = stemmed_terms, block_docs: int = BLOCK_DOCS) -> Shape:
     """Appends docs(id, text), of ids that the index does not hold, as new blocks; no stored file changes."""
-    spark, shape = docs.sparkSession, load(docs.sparkSession, path)
-    made = written(blocks_of(docs, analyze, shape.next_block, block_docs))
-    _store(made, path, shape, "append")
-    last = made.agg(F.max("block")).first()[0]
-    shape = Shape(shape.folders, shape.next_block if last is None else last + 1)
-    _save(spark, path, shape)
-    return shape
+    return _store(docs, path, analyze, block_docs, load(docs.sparkSession, path), "append")
 
 
-def _store(made: DataFrame, path: str, shape: Shape, mode: str) -> None:
-    # ranges rather than hashes, so that a term of many blocks is spread over several files
-    placed = made.withColumn("folder", folder_of(F.col("term"), shape.folders)).repartitionByRange("folder", "term", "block")
+def _store(docs: DataFrame, path: str, analyze: Callable[[Column], Column], block_docs: int, shape: Shape, mode: str) -> Shape:
+    """Each task sorts and writes the blocks of its own documents: no word is shuffled, and a term of many blocks lies in
+    as many files as tasks had it."""
+    spark = docs.sparkSession
+    placed = blocks_of(docs, analyze, shape.next_block, block_docs).withColumn("folder", folder_of(F.col("term"), shape.folders))
     placed.sortWithinPartitions("folder", "term", "block").write.mode(mode).partitionBy("folder").parquet(f"{path}/blocks")
+    last = blocks(spark, path).agg(F.max("block")).first()[0]
+    shape = Shape(shape.folders, 0 if last is None else last + 1)
+    _save(spark, path, shape)
+    return shape
 
 
 def _save(spark: SparkSession, path: str, shape: Shape) -> None:
@@ -117,28 +151,75 @@ def _scores(stored: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def search_plan(path: str, queries: DataFrame, k: int, analyze: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of a search: query_id, id, score of every document that was scored; and query_id, term, block, n of the stored rows
+    """Of a search: query_id, id, score of the documents that were scored, the k best of a query and task at least; and query_id, term, block, n of the stored rows
     that queries(query_id, question) have, and of those that were read."""
     spark = queries.sparkSession
     shape = load(spark, path)
     terms = written(query_terms(queries, analyze))
     stored = _asked(spark, path, terms, shape)
-    heads = written(stored.select("term", "block", "top", "n").join(terms, "term"))
-    bounds = heads.groupBy("query_id", "block").agg(F.sum("top").alias("bound"), F.max("n").alias("least"))
+    heads = stored.select("term", "block", "top", "n").join(terms, "term")
+    bounds = written(heads.groupBy("query_id", "block").agg(F.sum("top").alias("bound"), F.max("n").alias("least")))
     # the best blocks of a query that hold k documents together: at most k blocks, as each holds one
     best = ranked(bounds.withColumnRenamed("block", "id"), k, F.desc("bound")).withColumnRenamed("id", "block").join(bounds, ["query_id", "block"])
     held = F.sum("least").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     seeds = written(best.withColumn("held", held - F.col("least")).filter(F.col("held") < k).select("query_id", "block"))
     first_rows = heads.join(seeds, ["query_id", "block"], "left_semi")
-    first = written(_scores(stored, first_rows.select("query_id", "term", "block")))
+    few = few_asked(terms)
+    scored_in = (lambda wanted, rows: _swept(stored, few, wanted, k)) if few else (lambda wanted, rows: _scores(stored, rows.select("query_id", "term", "block")))
+    first = written(scored_in(seeds, first_rows))
     kth = ranked(first, k, F.desc("score")).filter(F.col("rank") == k).join(first, ["query_id", "id"]).select("query_id", F.col("score").alias("least_score"))
     rest = bounds.join(seeds, ["query_id", "block"], "left_anti").join(kth, "query_id", "left")
-    rest = rest.filter(F.col("bound") >= F.coalesce("least_score", F.lit(0))).select("query_id", "block")
+    rest = written(rest.filter(F.col("bound") >= F.coalesce("least_score", F.lit(0))).select("query_id", "block"))
     more_rows = heads.join(rest, ["query_id", "block"], "left_semi")
-    scored = first.unionByName(_scores(stored, more_rows.select("query_id", "term", "block")))
+    scored = first.unionByName(scored_in(rest, more_rows))
     return scored, heads, first_rows.unionByName(more_rows)
 
 
+def _swept(stored: DataFrame, asked: Asked, wanted: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score of the k best documents a query and task in the blocks of wanted(query_id, block). The rows of a
+    block, a row a term, come to one task, which adds up the block's scores at once."""
+    spark = stored.sparkSession
+    sent = spark.sparkContext.broadcast(asked)
+    blocks_wanted = wanted.groupBy("block").agg(F.collect_list(F.col("query_id").cast("bigint")).alias("who"))
+    met = stored.select("block", "term", "ids", "tfs").join(blocks_wanted.select("block"), "block", "left_semi").withColumn("who", F.lit(None).cast("array<bigint>"))
+    both = met.unionByName(blocks_wanted.selectExpr("block", "CAST(NULL AS string) AS term", "CAST(NULL AS array<bigint>) AS ids", "CAST(NULL AS array<int>) AS tfs", "who"))
+    sorted_rows = both.repartition("block").sortWithinPartitions("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks = sent.value
+        best, open_rows = Best(k, len(asks.queries)), None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([open_rows, t]).combine_chunks() if open_rows is not None else t
+            block = t["block"].to_numpy()
+            ends = np.flatnonzero(np.append(block[1:] != block[:-1], False)) + 1
+            for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=False):
+                _sweep(t.slice(lo, hi - lo), asks, best)
+            open_rows = t.slice(ends[-1] if len(ends) else 0)
+        if open_rows is not None and open_rows.num_rows:
+            _sweep(open_rows, asks, best)
+        yield best.batch(asks.queries)
+
+    return sorted_rows.mapInArrow(run, "query_id bigint, id bigint, score bigint")
+
+
+def _sweep(rows: pa.Table, asks: Asked, best: Best) -> None:
+    """Adds the scores of one block, of the queries that want it, to best."""
+    rows = rows.combine_chunks()
+    who = rows["who"].combine_chunks().flatten().to_numpy()
+    rows = rows.filter(pc.is_valid(rows["term"])).combine_chunks()
+    if not len(who) or not rows.num_rows:
+        return
+    ids, tfs = rows["ids"].combine_chunks(), rows["tfs"].combine_chunks()
+    code = np.repeat(asks.codes(rows["term"].combine_chunks()), pc.list_value_length(ids).to_numpy())
+    flat, tf = ids.flatten().to_numpy(), tfs.flatten().to_numpy()
+    docs, doc = np.unique(flat[code >= 0], return_inverse=True)
+    wants = np.zeros(len(asks.queries), bool)
+    wants[np.searchsorted(asks.queries, who)] = True
+    sums = asks.sums(code[code >= 0], doc, tf[code >= 0], len(docs))
+    best.add_sums(np.where(wants, sums, 0), docs)
+
+
 def search(path: str, queries: DataFrame, k: int = CANDIDATES, analyze: Callable[[Column], Column] = stemmed_terms) -> DataFrame:
     """query_id, id, rank: the k documents with most matching places of any term of queries(query_id, question), ties to the
     smaller id; what retrieval.keyword_leg gives over all postings. analyze must be the index's own."""

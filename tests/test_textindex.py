@@ -80,3 +80,18 @@ def test_added_documents(spark, tmp_path):
     assert rows(X.search(path, asks(spark), 20, keyword_terms)) == rows(R.keyword_leg(R.postings(docs), asks(spark), 20))
     X.build(docs.limit(0), str(tmp_path / "none"))
     assert X.search(str(tmp_path / "none"), asks(spark)).collect() == []
+
+
+def test_an_index_is_built_without_a_shuffle_of_words(spark, tmp_path, monkeypatch):
+    """A block's rows come from the texts of one task; a search by joins gives what the sweep over blocks gives."""
+    docs, path = corpus(spark, 300), str(tmp_path / "i")
+    plan = X.blocks_of(docs, keyword_terms, 0, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
+    X.build(docs, path, keyword_terms, block_docs=16)
+    stored = X.postings(spark, path).collect()
+    terms = docs.select("id", F.posexplode(keyword_terms(F.col("text"))).alias("pos", "term")).groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    assert sorted((r.term, r.id, r.tf, r.positions) for r in stored) == sorted((r.term, r.id, len(r.p), r.p) for r in terms.collect())
+    assert all(r.ids == sorted(r.ids) and r.n == len(r.ids) <= 16 and r.top == max(r.tfs) for r in X.blocks(spark, path).collect())
+    swept = rows(X.search(path, asks(spark), 5, keyword_terms))
+    monkeypatch.setattr(X, "few_asked", lambda terms: None)
+    assert rows(X.search(path, asks(spark), 5, keyword_terms)) == swept
