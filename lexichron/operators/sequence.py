@@ -269,12 +269,29 @@ def clock_text(ms: int) -> str:
     return f"{s // 3_600}:{s // 60 % 60:02d}:{s % 60:02d}" if s >= 3_600 else f"{s // 60}:{s % 60:02d}"
 
 
+#: Words of the episodes that are looked at together, unless one has more.
+WORDS_AT_ONCE = 200_000
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: int, most: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices whose lists of that column hold at most `most` values together, or a row each; a slice
+    has lists of its own, which begin at 0."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy())
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+            yield batch.take(pa.array(np.arange(lo, hi)))
+            lo = hi
+
+
 def draft_lines(transcripts: DataFrame, every_s: int = 30) -> DataFrame:
     """episode_id, line, text of a draft of transcripts(episode_id, tokens, starts): a line ends after . ? or !, and a
-    "# m:ss" line goes before the first word past each time boundary. A row-wise map without a shuffle."""
+    "# m:ss" line goes before the first word past each time boundary. A row-wise map without a shuffle, over slices of
+    episodes of about as many words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             episode, tokens, starts = batch.columns
             t, s = tokens.offsets.to_numpy(), starts.offsets.to_numpy()
             ended = pc.match_substring_regex(tokens.values, r"[.?!]$").to_numpy(zero_copy_only=False)
