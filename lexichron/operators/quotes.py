@@ -25,13 +25,14 @@ def find_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     run = lambda words, i: F.xxhash64(*[F.get(words, i + j) for j in range(MIN_QUOTE_TOKENS)])
     q = quotes.select("quote_id", quote_tokens(folded(F.col("quote"))).alias("needle"))
     firsts = q.select("quote_id", "needle", F.explode(F.when(enough(F.col("needle")), F.array(run(F.col("needle"), F.lit(0))))).alias("gram"))
-    t = texts.select("text_id", folded(F.col("text")).alias("text"))
-    hay = t.select("text_id", quote_tokens(F.col("text")).alias("hay"))
+    words = lambda rows: rows.withColumn("hay", quote_tokens(folded(F.col("text"))))
+    hay = words(texts.select("text_id", "text"))
     grams = F.transform(F.sequence(F.lit(0), F.size("hay") - MIN_QUOTE_TOKENS), lambda i: run(F.col("hay"), i))
     # runs that begin no quote go before anything is shuffled (quotes that are many meet the runs in a shuffled join)
     runs = hay.select("text_id", F.explode(F.when(enough(F.col("hay")), F.array_distinct(grams))).alias("gram"))
-    pairs = runs.join(firsts, "gram").select("quote_id", "text_id", "needle").distinct()
-    both = pairs.join(t, "text_id").withColumn("hay", quote_tokens(F.col("text")))
+    # written, so that their size is known: where they are few, no text moves to meet them
+    pairs = written(runs.join(firsts, "gram").select("quote_id", "text_id", "needle").distinct())
+    both = words(texts.select("text_id", "text").join(pairs, "text_id"))
     return both.filter(contains_phrase(F.col("hay"), F.col("needle"))).select("quote_id", "text_id")
 
 

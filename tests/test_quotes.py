@@ -126,3 +126,14 @@ def test_ask_end_to_end(spark):
     fixed = {r.question_id: r for r in ask(questions, hits, t, lying, extractive).collect()}
     assert fixed[1].repaired and fixed[1].rejected == 1 and fixed[1].answer.startswith("Well the harbour crane")
     assert {r.question_id: r.refusal for r in ask(questions, hits, t, lying).collect()}[1] == "nothing supported"
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    """Few proposed pairs go to the texts; the texts are not shuffled, and only texts of a pair are folded again."""
+    texts = [(i, f"number {i} of many texts " * 3) for i in range(50)] + [(99, "here we said it word for word again")]
+    spark.createDataFrame(texts, "text_id long, text string").write.parquet(str(tmp_path / "t"))
+    quotes = spark.createDataFrame([(1, "said it word for word"), (2, "nobody said this at all")], "quote_id long, quote string")
+    found = Q.find_quotes(quotes, spark.read.parquet(str(tmp_path / "t")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert [tuple(r) for r in found.collect()] == [(1, 99)]
