@@ -186,22 +186,29 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, quer
     """
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
     rows = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
+    found = by_blocks(rows, asked, lambda candidates, asking: _nearest(candidates, asking, k), k, queries_a_block, rows_a_block)
+    return ranked(found, k, F.asc("distance"))
+
+
+def by_blocks(rows: DataFrame, asked: DataFrame, best: Callable[[pa.Table, pa.Table], pa.Table], k: int, queries_a_block: int, rows_a_block: int) -> DataFrame:
+    """query_id, id, distance: what best(candidates, asking), which gives at most k rows a row of asking, finds in each block of
+    rows(id, …) for each block of asked(query_id, …). No task holds more than a few blocks."""
+    shape = "query_id bigint, id bigint, distance double"
     few = asked.limit(queries_a_block + 1).toArrow()
     if few.num_rows <= queries_a_block:
-        sent = vectors.sparkSession.sparkContext.broadcast(few)
+        sent = rows.sparkSession.sparkContext.broadcast(few)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[pa.Table] = []
+            kept: list[pa.Table] = []
             for b in batches:
                 for lo in range(0, b.num_rows, rows_a_block):
-                    part = _nearest(pa.Table.from_batches([b.slice(lo, rows_a_block)]), sent.value, k)
-                    best.append(part)
-                    if sum(x.num_rows for x in best) > max(100_000, 4 * k * sent.value.num_rows):
-                        best = [_closest(pa.concat_tables(best), k)]
-            if best:
-                yield from _closest(pa.concat_tables(best), k).combine_chunks().to_batches()
-
-        return ranked(rows.mapInArrow(run, "query_id bigint, id bigint, distance double"), k, F.asc("distance"))
+                    kept.append(best(pa.Table.from_batches([b.slice(lo, rows_a_block)]), sent.value))
+                    if sum(x.num_rows for x in kept) > max(100_000, 4 * k * sent.value.num_rows):
+                        kept = [_closest(pa.concat_tables(kept), k)]
+            if kept:
+                yield from _closest(pa.concat_tables(kept), k).combine_chunks().to_batches()
+
+        return rows.mapInArrow(run, shape)
     row_blocks, query_blocks = max(1, math.ceil(rows.count() / rows_a_block)), max(1, math.ceil(asked.count() / queries_a_block))
 
     def block(key: str, blocks: int) -> Column:
@@ -212,7 +219,7 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, quer
 
     rows = rows.select("*", block("id", row_blocks).alias("i"), every(query_blocks).alias("j"))
     asked = asked.select("*", every(row_blocks).alias("i"), block("query_id", query_blocks).alias("j"))
-    return ranked(nearest_in_groups(rows, asked, k, "i", "j"), k, F.asc("distance"))
+    return rows.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(best, shape)
 
 
 #: Far above what rounding moves a cosine distance.
@@ -374,12 +381,67 @@ def embed_pending(passages: DataFrame, model: str, embed: Callable[[DataFrame],
 def lsh_leg(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, width: float = 0.5, tables: int = 12, reach: float = 1.2, seed: int = 7) -> DataFrame:
     """An approximate vector leg for unit vectors: hash tables of random projections propose rows within `reach`, exact
     distance ranks them. Neighbours at distance d share a bucket of one table with a chance of about 1 - 0.8 d / width
-    (d well under width): meant for near neighbours, as of embedded texts; far ones are found by vector_leg."""
+    (d well under width): meant for near neighbours, as of embedded texts; far ones are found by vector_leg.
+
+    Buckets have no bound (a projection of unit vectors falls into a few, whatever their number), so rows and queries do not
+    meet by bucket: each carries its buckets into blocks of bounded size, and only the k best a query leave a block.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def kept(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).cast("bigint").alias(key), "embedding").filter("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)").distinct()
+
+    rows, asked = kept(vectors, "id"), kept(queries, "query_id")
+    if not (first := rows.limit(1).select(array_to_vector("embedding").alias("v"))).count():
+        return ranked(rows.join(asked, F.lit(False)).select("query_id", "id", F.lit(0.0).alias("distance")), k, F.asc("distance"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(first)
+
+    def hashed(df: DataFrame) -> DataFrame:
+        h = model.transform(df.withColumn("v", array_to_vector("embedding")))
+        return h.withColumn("buckets", F.transform("h", lambda x: vector_to_array(x)[0])).drop("v", "h")
+
+    found = by_blocks(hashed(rows), hashed(asked), lambda candidates, asking: _in_buckets(candidates, asking, k, reach), k, QUERY_BLOCK, ROW_BLOCK)
+    return ranked(found, k, F.asc("distance"))
+
 
-    v = vectors.select("id", array_to_vector(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", array_to_vector(F.col("embedding")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(v)
-    near = model.approxSimilarityJoin(q, v, reach, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
-    return ranked(near, k, F.asc("distance"))
+def _in_buckets(candidates: pa.Table, asking: pa.Table, k: int, reach: float) -> pa.Table:
+    """query_id, id, distance of the k candidates nearest to each row of asking, of those that share a bucket of a table with it
+    and lie within reach."""
+    out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    if not candidates.num_rows or not asking.num_rows:
+        return out.empty_table()
+    dim = pc.list_value_length(asking["embedding"])[0].as_py()
+
+    def arrays(t: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = t.combine_chunks()
+        at, x = _matrix(pa.array(np.arange(t.num_rows)), t["embedding"].chunk(0), dim)
+        buckets = t["buckets"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        return t[key].to_numpy()[at], x, buckets[at].T.copy()
+
+    (v_ids, v, v_buckets), (q_ids, q, q_buckets) = arrays(candidates, "id"), arrays(asking, "query_id")
+    v_square, parts = (v * v).sum(1), []
+    for at in range(0, len(q), 64):
+        part = q[at : at + 64]
+        rough = (part * part).sum(1)[:, None] + v_square - 2 * (part @ v.T)
+        asks, found = np.nonzero(rough <= reach * reach + MARGIN)
+        shared = np.zeros(len(asks), bool)
+        for of_q, of_v in zip(q_buckets, v_buckets, strict=True):
+            shared |= of_q[at + asks] == of_v[found]
+        asks, found = asks[shared], found[shared]
+        rough = rough[asks, found]
+        order = np.lexsort((rough, asks))
+        place = np.arange(len(order)) - np.searchsorted(asks[order], asks[order])
+        edge = np.full(len(part), np.inf)
+        edge[asks[order[place == k - 1]]] = rough[order[place == k - 1]]
+        near = rough <= edge[asks] + MARGIN
+        asks, found = asks[near], found[near]
+        square = np.zeros(len(asks))
+        for j in range(dim):  # in order, as a plain loop would add
+            square += (part[asks, j] - v[found, j]) ** 2
+        distance = np.sqrt(square)
+        order = np.lexsort((v_ids[found], distance, asks))
+        place = np.arange(len(order)) - np.searchsorted(asks[order], asks[order])
+        best = order[(place < k) & (distance[order] < reach)]
+        parts.append(pa.table([pa.array(q_ids[at + asks[best]]), pa.array(v_ids[found[best]]), pa.array(distance[best])], schema=out))
+    return pa.concat_tables(parts).combine_chunks() if parts else out.empty_table()

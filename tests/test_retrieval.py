@@ -78,6 +78,34 @@ def test_lsh_finds_near_neighbours(spark):
     assert len(right & {(r.query_id, r.id) for r in got}) / len(right) >= 0.9 and len(got) < 360 * 8
 
 
+def test_lsh_meets_in_blocks_not_in_buckets(spark, monkeypatch):
+    """What the library's own similarity join ranks, without a join by bucket; rows without a vector take no part."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(300, 12)) / 3.0
+    v[200:240] = v[200]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(7, v[7].tolist()), (8, v[9].tolist()), (400, [0.0] * 12)]
+    odd = [(401, None), (402, [None] * 12), (403, [float("nan")] * 12)]
+    shape = "id long, embedding array<double>"
+    good, df = spark.createDataFrame(rows, shape), spark.createDataFrame(rows + odd, shape)
+    asks = lambda x: x.filter("id % 3 = 0 OR id >= 400").withColumnRenamed("id", "query_id")
+    as_vector = lambda x, key: x.select(key, array_to_vector("embedding").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=2, seed=7).fit(as_vector(good, "id"))
+    near = model.approxSimilarityJoin(as_vector(asks(good), "query_id"), as_vector(good, "id"), 1.2, "distance")
+    want = R.ranked(near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance"), 20, F.asc("distance"))
+    found = lambda: R.lsh_leg(df, asks(df), 20, tables=2)
+    got = lambda x: sorted((r.query_id, r.rank, r.id) for r in x.collect())
+    assert "Join" not in found()._jdf.queryExecution().executedPlan().toString()
+    assert got(found()) == got(want)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(R, "ROW_BLOCK", 90)
+    assert "Join" not in found()._jdf.queryExecution().executedPlan().toString()
+    assert got(found()) == got(want)
+    assert R.lsh_leg(df.filter("id > 500"), asks(df)).collect() == []
+
+
 def test_keyword_search_is_the_leg_over_postings(spark, monkeypatch):
     """One pass over the texts gives what joins give: with repeated ids, null texts, and questions that are too many to send."""
     rng = np.random.default_rng(5)
