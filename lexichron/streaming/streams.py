@@ -10,6 +10,7 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,7 +173,8 @@ class TimedJob(StatefulProcessor):
     """A job's row as value state, with one timer: when its lease goes stale, or when it may be claimed again."""
 
     NAMES = ("status", "attempts", "lease", "run_after_ms", "locked_ms")
-    OUT = ("seq", "job_id", "at", "outcome", "status", "attempts", "lease")
+    TAKES = ("ts_ms", "seq", "op", "lease", "permanent", "seconds")
+    OUT = ("seq", "job_id", "at_ms", "outcome", "status", "attempts", "lease")
 
     def __init__(self, stale_s: float, max_attempts: int):
         self.stale_s, self.max_attempts = stale_s, max_attempts
@@ -181,43 +183,54 @@ class TimedJob(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "status string, attempts int, lease bigint, run_after_ms bigint, locked_ms bigint")
 
-    def _read(self) -> dict:
-        kept = self.job.get() if self.job.exists() else ("queued", 0, 0, 0, 0)
-        return dict(zip(self.NAMES, kept, strict=True))
+    def _read(self) -> tuple[dict, int]:
+        """The job's row, and when the timer was due that was set with it; 0 if there is none."""
+        kept = self.job.get()
+        state = dict(zip(self.NAMES, kept or ("queued", 0, 0, 0, 0), strict=True))
+        return state, self._due(state) if kept else 0
 
-    def _keep(self, state: dict, now_ms: int) -> None:
-        """Stores the row and sets the one timer that it needs."""
+    def _due(self, state: dict) -> int:
+        return {"running": state["locked_ms"] + int(self.stale_s * 1_000), "queued": state["run_after_ms"]}.get(state["status"], 0)
+
+    def _keep(self, state: dict, now_ms: int, before: int) -> None:
+        """Stores the row and sets the one timer that it needs, in place of the one due at `before`."""
         self.job.update(tuple(state[n] for n in self.NAMES))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        due = {"running": state["locked_ms"] + int(self.stale_s * 1_000), "queued": state["run_after_ms"]}.get(state["status"], 0)
+        due = self._due(state)
+        if before and (before != due or due <= now_ms):
+            self.handle.deleteTimer(before)
         if due > now_ms:
             self.handle.registerTimer(due)
 
     def _row(self, seq: int | None, key: tuple, at_ms: int, outcome: str, state: dict) -> tuple:
-        return seq, key[0], pd.Timestamp(at_ms, unit="ms"), outcome, state["status"], state["attempts"], state["lease"]
+        return seq, key[0], at_ms, outcome, state["status"], state["attempts"], state["lease"]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, out, last = self._read(), [], 0
-        for e in pd.concat(list(rows)).sort_values(["ts_ms", "seq"]).to_dict("records"):
+        (state, before), out, last = self._read(), [], 0
+        frames = list(rows)
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames)
+        columns = [pdf[c].tolist() for c in self.TAKES]
+        for i in np.lexsort((pdf["seq"].to_numpy(), pdf["ts_ms"].to_numpy())).tolist():
+            e = {c: column[i] for c, column in zip(self.TAKES, columns, strict=True)}
             if (due := at_time(state, e["ts_ms"], self.stale_s, self.max_attempts)) is not None:
                 out.append(self._row(None, key, due, "reclaimed", state))
             outcome, last = timed_step(state, e, self.max_attempts), e["ts_ms"]
             out.append(self._row(e["seq"], key, last, outcome, state))
-        self._keep(state, max(last, timerValues.getCurrentWatermarkInMs()))
+        self._keep(state, max(last, timerValues.getCurrentWatermarkInMs()), before)
         yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, now = self._read(), expiredTimerInfo.getExpiryTimeInMs()
+        (state, before), now = self._read(), expiredTimerInfo.getExpiryTimeInMs()
         due = at_time(state, now, self.stale_s, self.max_attempts)
         ready = due is None and state["status"] == "queued" and state["run_after_ms"] == now
         if due is not None or ready:
-            self._keep(state, now)
+            self._keep(state, now, before)
             yield self._frame([self._row(None, key, now, "ready" if ready else "reclaimed", state)])
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=list(self.OUT))
-        return out.astype({"seq": "Int64"})
+        """rows as columns of plain objects: a job has few rows, so that what a frame costs by itself counts."""
+        values = np.empty((len(rows), len(self.OUT)), object)
+        values[:] = rows
+        return pd.DataFrame(values, columns=list(self.OUT), copy=False)
 
     def close(self) -> None:
         pass
@@ -232,5 +245,6 @@ def timed_job_stream(events: DataFrame, stale_s: float = STALE_S, max_attempts:
     watermark passes that moment. Run it with drain(…, conf=ROCKS).
     """
     timed = events.withWatermark("ts", delay).select("job_id", "seq", "ts", F.unix_millis("ts").alias("ts_ms"), "op", "lease", "permanent", "seconds")
-    schema = "seq bigint, job_id bigint, at timestamp, outcome string, status string, attempts int, lease bigint"
-    return timed.groupBy("job_id").transformWithStateInPandas(TimedJob(stale_s, max_attempts), schema, "Append", "EventTime")
+    schema = "seq bigint, job_id bigint, at_ms bigint, outcome string, status string, attempts int, lease bigint"
+    made = timed.groupBy("job_id").transformWithStateInPandas(TimedJob(stale_s, max_attempts), schema, "Append", "EventTime")
+    return made.select("seq", "job_id", F.timestamp_millis("at_ms").alias("at"), "outcome", "status", "attempts", "lease")

@@ -1,6 +1,9 @@
 """Jobs with timers: what is due happens without an event of the job."""
 
 import datetime as dt
+from types import SimpleNamespace
+
+import pandas as pd
 
 from lexichron.streaming import streams as X
 
@@ -41,3 +44,49 @@ def test_attempts_end(spark, tmp_path):
     rows = [event(1, i, 1_000 * i, "claim") for i in range(1, 5)]
     got = run(spark, tmp_path, rows, [event(2, 9, 9_000, "claim")], [event(2, 10, 9_001, "claim")])
     assert got[1, 4, "ignored"] == (4_000.0, "failed", 3, 3)
+
+
+class Store:
+    """What a job's handle and value state hold, and the calls made: each is a round trip to the store."""
+
+    def __init__(self):
+        self.row, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.row
+
+    def update(self, row):
+        self.calls.append("update")
+        self.row = row
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls.append("set")
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.calls.append("delete")
+        self.timers.discard(ms)
+
+
+def test_few_calls_a_job():
+    """A job costs one read, one write and its own timer's calls, however it comes out; timers are not listed."""
+    store, job = Store(), X.TimedJob(600, 3)
+    job.init(store)
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+
+    def after(*events):
+        store.calls = []
+        frame = pd.DataFrame([(1, seq, START, ms, op, lease, False, seconds) for seq, ms, op, lease, seconds in events], columns=["job_id", "seq", "ts", "ts_ms", "op", "lease", "permanent", "seconds"])
+        halves = [frame[:1], frame[1:]] if len(frame) > 1 else [frame]
+        made = pd.concat(job.handleInputRows((1,), iter(halves), times))
+        return made["outcome"].tolist(), store.calls, store.timers
+
+    assert after((2, 1_000, "claim", 0, 0.0), (1, 1_000, "complete", 1, 0.0)) == (["lease_lost", "claimed"], ["get", "update", "set"], {601_000})
+    assert after((3, 2_000, "claim", 0, 0.0)) == (["ignored"], ["get", "update", "set"], {601_000})
+    assert after((4, 3_000, "defer", 1, 50.0)) == (["deferred"], ["get", "update", "delete", "set"], {53_000})
+    assert after((5, 60_000, "complete", 1, 0.0)) == (["lease_lost"], ["get", "update", "delete"], set())
+    assert after((6, 61_000, "claim", 0, 0.0), (7, 62_000, "complete", 2, 0.0)) == (["claimed", "done"], ["get", "update", "delete"], set())
