@@ -245,14 +245,18 @@ def _closest(found: pa.Table, k: int) -> pa.Table:
 
 
 def _nearest(candidates: pa.Table, asking: pa.Table, k: int) -> pa.Table:
-    """query_id, id, distance of the k candidates nearest to each row of asking."""
+    """query_id, id, distance of the k candidates nearest to each row of asking; where that has a reach that is not negative, of
+    those up to that distance and a margin."""
     out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
     if not candidates.num_rows or not asking.num_rows:
         return out.empty_table()
     candidates, asking = candidates.combine_chunks(), asking.combine_chunks()
     dim = max((n for n in pc.list_value_length(asking["embedding"]).to_pylist() if n), default=1)
     v_ids, v = _matrix(candidates["id"].chunk(0), candidates["embedding"].chunk(0), dim)
-    q_ids, q = _matrix(asking["query_id"].chunk(0), asking["embedding"].chunk(0), dim)
+    whole, q = _matrix(pa.array(np.arange(asking.num_rows)), asking["embedding"].chunk(0), dim)
+    q_ids = asking["query_id"].to_numpy()[whole]
+    reach = asking["reach"].to_numpy()[whole] if "reach" in asking.column_names else np.full(len(q), -1.0)
+    most = np.where(reach < 0, np.inf, reach + MARGIN)
     v_size, parts = np.sqrt((v * v).sum(1)), []
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
@@ -260,6 +264,7 @@ def _nearest(candidates: pa.Table, asking: pa.Table, k: int) -> pa.Table:
         with np.errstate(invalid="ignore", divide="ignore"):
             rough = np.nan_to_num(1 - part @ v.T / (sizes[:, None] * v_size), nan=np.inf)
         edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + MARGIN if rough.shape[1] > k else np.full(len(part), np.inf)
+        edge = np.minimum(edge, most[at : at + 256])
         asks, found = np.nonzero((rough <= edge[:, None]) & np.isfinite(rough))
         product = np.zeros(len(asks))
         for j in range(dim):  # in order, as a plain loop would add

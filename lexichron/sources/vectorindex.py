@@ -23,6 +23,8 @@ from ..session import delete, written
 
 #: Cells at most (their centres go to every task), rows of the sample a cell, and rows that measure the recall.
 MOST_CELLS, SAMPLE_A_CELL, MEASURED = 16_384, 64, 64
+#: Distances of queries to cells in memory at a time, and pairs of a query and a cell that leave a task at a time.
+DISTANCES, PAIRS = 1 << 20, 8_192
 #: Share of the exact neighbours that the measured rows must find.
 RECALL = 0.95
 ROUNDS = 10
@@ -230,30 +232,35 @@ def ranked_distance(found: DataFrame, k: int) -> DataFrame:
 
 
 def _probed(asked: DataFrame, cells: Cells, start: int, stop: int) -> DataFrame:
-    """query_id, embedding, cell of asked(query_id, embedding, reach): the cells at places start to stop of each query's order;
-    with a reach that is not negative, only those that may hold a row within that cosine distance."""
+    """query_id, embedding, reach, cell of asked(query_id, embedding, reach): the cells at places start to stop of each query's
+    order; with a reach that is not negative, only those that may hold a row within that cosine distance.
+
+    A query may have all cells, so its pairs leave PAIRS at a time, however many cells and queries there are."""
     sent = asked.sparkSession.sparkContext.broadcast(cells)
     shape = pa.list_(pa.float64())
+    step = max(1, min(QUERY_BLOCK, DISTANCES // max(1, len(cells.centres))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
         for b in batches:
-            for lo in range(0, b.num_rows, QUERY_BLOCK):
-                part = b.slice(lo, QUERY_BLOCK)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
                 at, x = _unit(pa.array(np.arange(part.num_rows)), part.column(1), c.centres.shape[1])
                 order, chord = _order(x, c)
                 order, chord, reach = order[:, start:stop], chord[:, start:stop], part.column(2).to_numpy()[at][:, None]
                 least = np.maximum(0.0, chord - c.radius[order] - MARGIN)
                 wanted = np.isfinite(chord) & ((reach < 0) | (least**2 / 2 <= reach + MARGIN))
                 row, place = np.nonzero(wanted)
-                ids = part.column(0).take(pa.array(at[row]))
-                yield pa.RecordBatch.from_arrays([ids, part.column(1).take(pa.array(at[row])).cast(shape), pa.array(order[row, place], pa.int32())], names=["query_id", "embedding", "cell"])
+                for first in range(0, len(row), PAIRS):
+                    of, cell = row[first : first + PAIRS], order[row[first : first + PAIRS], place[first : first + PAIRS]]
+                    query, vector, far = (column.take(pa.array(at[of])) for column in part.columns)
+                    yield pa.RecordBatch.from_arrays([query, vector.cast(shape), far, pa.array(cell, pa.int32())], names=["query_id", "embedding", "reach", "cell"])
 
-    return asked.mapInArrow(run, "query_id bigint, embedding array<double>, cell int")
+    return asked.select("query_id", "embedding", "reach").mapInArrow(run, "query_id bigint, embedding array<double>, reach double, cell int")
 
 
 def _compared(path: str, cells: Cells, probed: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance: for each query the k nearest of every block of its cells. Only the folders of cells that some
+    """query_id, id, distance: for each query the k nearest of every block of its cells, within its reach if it has one. Only the folders of cells that some
     query asks for are listed and read; hot cells, and cells that many ask for, are dealt into blocks on both sides."""
     spark = probed.sparkSession
     probed = written(probed)
@@ -264,7 +271,7 @@ def _compared(path: str, cells: Cells, probed: DataFrame, k: int) -> DataFrame:
     block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = rows.select("id", "embedding", "cell", block("id", "row_blocks").alias("i"), every("query_blocks").alias("j"))
-    probed = probed.join(shape, "cell").select("query_id", "embedding", "cell", every("row_blocks").alias("i"), block("query_id", "query_blocks").alias("j"))
+    probed = probed.join(shape, "cell").select("query_id", "embedding", "reach", "cell", every("row_blocks").alias("i"), block("query_id", "query_blocks").alias("j"))
     return nearest_in_groups(rows, probed, k, "cell", "i", "j")
 
 

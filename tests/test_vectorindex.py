@@ -1,6 +1,9 @@
 """The stored vector index against exact search."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +64,31 @@ def test_exact_search_reads_what_it_must(spark, stored):
     assert rows(X.nearest(path, q, 20, probes=1, exact=True)) == rows(R.vector_leg(df, q, 20))
 
 
+def test_pairs_of_queries_and_cells_leave_in_bounded_batches():
+    """An exact search may want all cells for all queries: no batch holds more than PAIRS of them."""
+    rng = np.random.default_rng(2)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 4)))
+    cells = X.Cells(unit(300), np.zeros(300, int), unit(1), np.ones(300, int), np.full(300, 2.0), 1)
+    ran = []
+    asked = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))), select=lambda *_: asked, mapInArrow=lambda f, _: ran.append(f))
+    X._probed(asked, cells, 4, 300)
+    q = pa.record_batch({"query_id": np.arange(500), "embedding": pa.array(list(unit(500))), "reach": np.full(500, 2.0)})
+    made = list(ran[0](iter([q])))
+    assert max(b.num_rows for b in made) <= 8_192
+    pairs = {p for b in made for p in zip(b["query_id"].to_pylist(), b["cell"].to_pylist(), strict=True)}
+    assert len(pairs) == sum(b.num_rows for b in made) == 500 * 296
+
+
+def test_rows_beyond_the_reach_stay_behind():
+    v = clustered(200, dim=8)
+    rows = pa.table({"id": np.arange(200), "embedding": list(v)})
+    asks = pa.table({"query_id": [0, 1], "embedding": list(v[:2])})
+    every = R._nearest(rows, asks, 50).to_pylist()
+    tenth = [[r["distance"] for r in every if r["query_id"] == q][9] for q in (0, 1)]
+    near = R._nearest(rows, asks.append_column("reach", pa.array([tenth[0], -1.0])), 50).to_pylist()
+    assert near == [r for r in every if r["query_id"] == 1 or r["distance"] <= tenth[0]]
+
+
 def test_rows_without_a_direction_and_hot_cells(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "ROW_BLOCK", 50)
     monkeypatch.setattr(X, "QUERY_BLOCK", 7)
