@@ -244,6 +244,15 @@ def _closest(found: pa.Table, k: int) -> pa.Table:
     return found.take(pa.array(order[place < k]))
 
 
+def _sizes(x: np.ndarray) -> np.ndarray:
+    """The lengths of the rows of x, their squares summed in order as a plain loop would: another order of the sum moves the
+    last place of a distance, and with it which of two rows at one distance comes first."""
+    square = np.zeros(len(x))
+    for column in x.T:
+        square += column * column
+    return np.sqrt(square)
+
+
 def _nearest(candidates: pa.Table, asking: pa.Table, k: int) -> pa.Table:
     """query_id, id, distance of the k candidates nearest to each row of asking; where that has a reach that is not negative, of
     those up to that distance and a margin."""
@@ -257,10 +266,10 @@ def _nearest(candidates: pa.Table, asking: pa.Table, k: int) -> pa.Table:
     q_ids = asking["query_id"].to_numpy()[whole]
     reach = asking["reach"].to_numpy()[whole] if "reach" in asking.column_names else np.full(len(q), -1.0)
     most = np.where(reach < 0, np.inf, reach + MARGIN)
-    v_size, parts = np.sqrt((v * v).sum(1)), []
+    v_size, parts = _sizes(v), []
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
-        sizes = np.sqrt((part * part).sum(1))
+        sizes = _sizes(part)
         with np.errstate(invalid="ignore", divide="ignore"):
             rough = np.nan_to_num(1 - part @ v.T / (sizes[:, None] * v_size), nan=np.inf)
         edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + MARGIN if rough.shape[1] > k else np.full(len(part), np.inf)

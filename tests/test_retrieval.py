@@ -162,3 +162,31 @@ def test_vector_leg_of_one_block(spark):
     got = lambda df: sorted((r.query_id, r.id, r.rank) for r in df.collect())
     assert got(R.vector_leg(df, q, 9)) == got(R.vector_leg(df, q, 9, queries_a_block=7, rows_a_block=50)) == got(R.vector_leg(df, q, 9, rows_a_block=50))
     assert R.vector_leg(df, q.limit(0), 9).collect() == []
+
+
+def test_equal_distances_are_told_apart_as_a_plain_loop_does():
+    """Rows of the same counts in other places are equally far but for the order in which a length is summed."""
+    import math
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    counts = np.zeros((600, 64))
+    for row in counts:
+        row[rng.choice(64, 9, replace=False)] = [5, 4, 3, 3, 2, 2, 1, 1, 1]
+    v = (counts / np.sqrt((counts * counts).sum(1))[:, None]).astype(np.float32).astype(np.float64)
+    asked = rng.integers(0, 2, (20, 64)).astype(float)
+
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            total += x * y
+        return total
+
+    size = [math.sqrt(dot(x, x)) for x in v]
+    rows, asks = pa.table({"id": np.arange(600), "embedding": list(v)}), pa.table({"query_id": np.arange(20), "embedding": list(asked)})
+    got = R._nearest(rows, asks, 50).to_pylist()
+    for i, q in enumerate(asked):
+        far = [1 - dot(q, x) / (math.sqrt(dot(q, q)) * s) for x, s in zip(v, size, strict=True)]
+        want = sorted(range(600), key=lambda j: (far[j], j))[:50]
+        assert [(r["id"], r["distance"]) for r in got if r["query_id"] == i] == [(j, far[j]) for j in want]
