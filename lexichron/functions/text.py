@@ -4,6 +4,7 @@ space."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -170,8 +171,15 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
+#: Endings of the steps, the longest first, and whether an ASCII character is a vowel or not, y aside.
+_ENDS2, _ENDS3, _ENDS4 = (tuple(sorted(t, key=len, reverse=True)) for t in (_STEP2, _STEP3, _STEP4))
+_KINDS = {i: "v" if chr(i) in "aeiou" else "c" for i in range(128)}
+
+
 def _shape(stem: str) -> str:
-    """c and v for every letter."""
+    """c and v for every letter of an ASCII word."""
+    if "y" not in stem:
+        return stem.translate(_KINDS)
     out = ""
     for i, ch in enumerate(stem):
         out += "v" if ch in "aeiou" or (ch == "y" and i and out[-1] == "c") else "c"
@@ -179,16 +187,16 @@ def _shape(stem: str) -> str:
 
 
 def _measure(stem: str) -> int:
-    s = _shape(stem)
-    return sum(a == "v" and b == "c" for a, b in zip(s, s[1:], strict=False))
+    return _shape(stem).count("vc")
 
 
 def _cvc(stem: str) -> bool:
     return len(stem) > 2 and _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
 
 
+@functools.lru_cache(1 << 16)
 def stem(word: str) -> str:
-    """The stem of one lower-case English word."""
+    """The stem of one lower-case English word; a worker keeps those of the words it saw last."""
     if len(word) < 3 or not word.isascii():
         return word
     for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
@@ -214,13 +222,13 @@ def stem(word: str) -> str:
         word = cut
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end in sorted(table, key=len, reverse=True):
+    for table, ends in ((_STEP2, _ENDS2), (_STEP3, _ENDS3)):
+        for end in ends if word.endswith(ends) else ():
             if word.endswith(end):
                 if _measure(word[: -len(end)]) > 0:
                     word = word[: -len(end)] + table[end]
                 break
-    for end in sorted(_STEP4, key=len, reverse=True):
+    for end in _ENDS4 if word.endswith(_ENDS4) else ():
         if word.endswith(end):
             base = word[: -len(end)]
             if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):

@@ -88,15 +88,16 @@ def rebuild_rows(made: DataFrame, rebuilt: DataFrame, path: str, schema: StructT
     ids = rebuilt.select("episode_id").distinct()
     stored = spark.read.schema(schema).parquet(path)
     stale = [r[0] for r in stored.select("episode_id").join(ids, "episode_id", "left_semi").select(folder.alias("f")).distinct().collect()]  # folders, not episodes
-    made = written(made.select(*schema.names, folder.alias("bucket")))
+    made = made.select(*schema.names, folder.alias("bucket"))
     if stale:
+        made = written(made)
         before = stored.withColumn("bucket", folder).filter(F.col("bucket").isin(stale))
         kept = before.join(ids, "episode_id", "left_anti").select(*schema.names, "bucket")
         after = written(kept.unionByName(made.filter(F.col("bucket").isin(stale))))
-        after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        after.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
         filled = {r[0] for r in after.select("bucket").distinct().collect()}
         for f in sorted(set(stale) - filled):
             delete(spark, f"{path}/bucket={f}")
     new = made.filter(~F.col("bucket").isin(stale)) if stale else made
-    new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
     return len(stale)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_terms, stems
+from ..functions.text import keyword_terms, stem, stems
 
 CANDIDATES, SHORTLIST, RRF_K = 50, 20, 60
 #: Queries and rows of a block.
@@ -24,6 +24,8 @@ QUERY_BLOCK, ROW_BLOCK = 1_024, 16_384
 #: Pairs of a question and a term that go to every task; more are joined. Pairs of a posting and a question, or of a text
 #: and a question, that are added up at a time.
 ASKED_PAIRS, SUMMED = 200_000, 2_000_000
+#: Words that a task handles at a time.
+SLICE_WORDS = 1 << 20
 
 
 def ranked(scores: DataFrame, k: int, *best: Column) -> DataFrame:
@@ -50,6 +52,10 @@ def stemmed_terms(text: Column) -> Column:
     return stems(keyword_terms(text))
 
 
+#: Analyses that change each word of another one by itself, which may be done once a different word where words are counted.
+BY_WORD = {stemmed_terms: (keyword_terms, stem)}
+
+
 def keyword_scores(index: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column] = keyword_terms) -> DataFrame:
     """query_id, id, score: matching places of any term of queries(query_id, question).
 
@@ -81,17 +87,28 @@ class Asked:
     def sums(self, code: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         """A row a document and a column a question: the weights of the document's terms that the question has. code: numbers
         of terms that are asked for, doc: below n and in order."""
-        width, cost = len(self.queries), np.cumsum(np.diff(self.upto)[code])
-        total, lo = np.zeros(n * width), 0
+        width, total = len(self.queries), np.zeros(n * len(self.queries))
+        for at, value in self._asking(code, doc, weight):
+            total += np.bincount(at, value, n * width)
+        return total.reshape(n, width)
+
+    def greatest(self, code: np.ndarray, doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """As sums, but the greatest value instead of the sum."""
+        most = np.zeros(n * len(self.queries), np.int64)
+        for at, each in self._asking(code, doc, value):
+            np.maximum.at(most, at, each)
+        return most.reshape(n, len(self.queries))
+
+    def _asking(self, code: np.ndarray, doc: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The cells of doc and question that each term belongs to, with its value, about SUMMED at a time."""
+        width, cost, lo = len(self.queries), np.cumsum(np.diff(self.upto)[code]), 0
         while lo < len(code):
             hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + SUMMED)))
             c, first = code[lo:hi], self.upto[code[lo:hi]]
             times = self.upto[c + 1] - first
             place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            at = np.repeat(doc[lo:hi] * width, times) + self.asks[np.repeat(first, times) + place]
-            total += np.bincount(at, np.repeat(weight[lo:hi], times), n * width)
+            yield np.repeat(doc[lo:hi] * width, times) + self.asks[np.repeat(first, times) + place], np.repeat(value[lo:hi], times)
             lo = hi
-        return total.reshape(n, width)
 
 
 class Best:
@@ -169,6 +186,16 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, ana
     return ranked(scores, k, F.desc("score"))
 
 
+def slices(size: np.ndarray, step: int = 1) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with `size` words each: `step` rows, or as many times that as have SLICE_WORDS words together."""
+    upto, lo = np.append(0, np.cumsum(size)), 0
+    while lo < len(size):
+        within = int(np.searchsorted(upto, upto[lo] + SLICE_WORDS, side="right")) - 1 - lo
+        hi = len(size) if lo + within >= len(size) else min(len(size), lo + max(1, within // step) * step)
+        yield lo, hi
+        lo = hi
+
+
 def _matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """ids and double rows of the vectors of length dim without nulls; others are left out."""
     good = pc.and_(pc.is_valid(vectors), pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False))
@@ -357,26 +384,49 @@ def hash_embed(docs: DataFrame, dim: int = 64) -> DataFrame:
     """id, embedding of docs(id, text): hash_weights as a dense array; a text without words has no row. A row-wise map where
     each id is one row: each different word of a slice of texts is hashed once."""
     if one_row_an_id(docs):
-        words = docs.select(F.col("id").cast("bigint").alias("id"), F.split(F.lower(F.trim("text")), r"\s+").alias("words"))
-        return words.mapInArrow(lambda batches: _hashed(batches, dim), "id bigint, embedding array<float>").select(F.col("id").cast(docs.schema["id"].dataType).alias("id"), "embedding")
+        made = _with_vectors(docs.select(F.col("id").cast("bigint").alias("id"), "text"), dim).filter("embedding IS NOT NULL")
+        return made.select(F.col("id").cast(docs.schema["id"].dataType).alias("id"), "embedding")
     m = hash_weights(docs, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     return m.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], dim: int, step: int = 1_024) -> Iterator[pa.RecordBatch]:
-    """id, embedding of batches of id, words."""
-    for b in batches:
-        for lo in range(0, b.num_rows, step):
-            ids, words = b.column(0).slice(lo, step), b.column(1).slice(lo, step)
-            doc = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
-            coded = words.flatten().dictionary_encode()
-            bare = [w.strip(".,?!").encode() for w in coded.dictionary.to_pylist()]
-            bucket = np.array([int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[12:]) % dim if w else -1 for w in bare], np.int64)[coded.indices.to_numpy()]
-            n = np.bincount(doc[bucket >= 0] * dim + bucket[bucket >= 0], minlength=len(ids) * dim).reshape(-1, dim)
-            some = np.flatnonzero(n.any(1))
-            unit = (n[some] / np.sqrt((n[some] * n[some]).sum(1).astype(np.float64))[:, None]).astype(np.float32)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * dim, pa.int32()), pa.array(unit.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), values], names=["id", "embedding"])
+def embedded(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] = hash_embed) -> DataFrame:
+    """docs(id, text, …) with the column embedding of embed(id, text) -> (id, embedding), NULL where that gives none. The default
+    adds it in a row-wise map, without a shuffle of texts, where each id is one row."""
+    if embed is hash_embed and one_row_an_id(docs):
+        return _with_vectors(docs)
+    return docs.join(embed(docs.select("id", "text")), "id", "left")
+
+
+def _with_vectors(docs: DataFrame, dim: int = 64) -> DataFrame:
+    """docs(text, …) with the column embedding, NULL for a text without words. A row-wise map: each different word of a slice of texts is hashed once."""
+    # one string a text goes to Python, not one a word
+    bare = docs.withColumn("__words", F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names = [*docs.columns, "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = pc.split_pattern(b.column(b.num_columns - 1), " ")
+            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+            made = [_hashed(words.slice(lo, hi - lo), size[lo:hi], dim) for lo, hi in slices(size)]
+            vectors = pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], vectors], names=names)
+
+    return bare.mapInArrow(run, f"{shape}, embedding array<float>")
+
+
+def _hashed(words: pa.Array, size: np.ndarray, dim: int) -> pa.Array:
+    """The vector of each list of words, of `size` words each; null without words."""
+    doc = np.repeat(np.arange(len(words)), size)
+    coded = words.flatten().dictionary_encode()
+    bare = [w.strip(".,?!").encode() for w in coded.dictionary.to_pylist()]
+    bucket = np.array([int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[12:]) % dim if w else -1 for w in bare], np.int64)[coded.indices.to_numpy()]
+    n = np.bincount(doc[bucket >= 0] * dim + bucket[bucket >= 0], minlength=len(words) * dim).reshape(-1, dim)
+    some = n.any(1)
+    unit = (n[some] / np.sqrt((n[some] * n[some]).sum(1).astype(np.float64))[:, None]).astype(np.float32)
+    offsets = pa.array(np.append(0, np.cumsum(some)) * dim, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()), mask=pa.array(~some))
 
 
 def pending(passages: DataFrame, model: str) -> DataFrame:

@@ -231,11 +231,13 @@ def index_new(spark, sf_dir):
     """Stores transcripts and jobs, indexes what is finished in two runs, and counts what the second one stored."""
     root, t = scratch(spark), C.transcripts(spark, sf_dir)
     store.apply_schema(spark, root)
+    # known by its tokens: the words would be made twice for a look at whether they are there
+    said = t.filter("episode_id IS NOT NULL AND tokens IS NOT NULL")
     word = lambda x: F.struct(x["tokens"].alias("text"), (x["starts"] / 1000).alias("start"), (x["ends"] / 1000).alias("end"))
-    chunk = t.select(
+    chunk = said.select(
         "episode_id", F.lit(0).alias("idx"), F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s"), F.lit("").alias("text"), F.transform(F.arrays_zip("tokens", "starts", "ends"), word).alias("words"), F.lit("m").alias("model"), F.lit("x").alias("audio_sha256")
     )
-    store.append(chunk.filter("episode_id IS NOT NULL AND words IS NOT NULL"), root, "chunks")
+    store.append(chunk, root, "chunks")
     job = t.select(F.col("episode_id").alias("id"), "episode_id", F.lit("transcribe").alias("kind"), F.when(F.col("episode_id") % 3 != 0, "done").otherwise("queued").alias("status"))
     job = job.select("*", F.lit(1).alias("attempts"), F.lit(1).alias("lease"), F.lit(3).alias("max_attempts"), *[F.lit(None).alias(c) for c in ("run_after", "locked_at", "locked_by", "last_error")])
     for turn in (F.col("episode_id") % 4 == 1, F.col("episode_id") % 4 != 1):

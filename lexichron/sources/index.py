@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalogue import rebuild_rows, to_index
-from ..operators.retrieval import SHORTLIST, fused, hash_embed, hydrate, overlap_score, rerank, single_leg, stemmed_terms
+from ..operators.retrieval import SHORTLIST, embedded, fused, hash_embed, hydrate, overlap_score, rerank, single_leg, stemmed_terms
 from ..operators.sequence import make_passages
 from ..schemas import SCHEMAS
 from ..session import delete, written
@@ -22,10 +22,12 @@ PASSAGE_BITS = 20
 
 def stored_transcripts(chunks: DataFrame) -> DataFrame:
     """episode_id, tokens, starts, ends (milliseconds) of chunks(episode_id, idx, words): one row an episode."""
-    packed = chunks.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("idx", "words"))).alias("c"))
-    words = packed.select("episode_id", F.flatten("c.words").alias("w"))
-    ms = lambda name: F.transform("w", lambda x: F.round(x[name] * 1000).cast("bigint"))
-    return words.select("episode_id", F.col("w.text").alias("tokens"), ms("start").alias("starts"), ms("end").alias("ends"))
+    ms = lambda name: F.transform("words", lambda x: F.round(x[name] * 1000).cast("bigint"))
+    parts = chunks.select("episode_id", "idx", F.col("words.text").alias("tokens"), ms("start").alias("starts"), ms("end").alias("ends"))
+    if chunks.groupBy("episode_id").count().filter("count > 1").isEmpty():  # nothing to put together, so that no word moves
+        return parts.drop("idx")
+    packed = parts.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("idx", "tokens", "starts", "ends"))).alias("c"))
+    return packed.select("episode_id", *[F.flatten(f"c.{name}").alias(name) for name in ("tokens", "starts", "ends")])
 
 
 def index_new(
@@ -38,7 +40,7 @@ def index_new(
     todo = written(to_index(load(spark, root, "jobs"), load(spark, root, "passages")))
     made = make_passages(stored_transcripts(chunks.join(todo, "episode_id", "left_semi")))
     made = written(made.withColumn("id", F.shiftleft(F.col("episode_id"), PASSAGE_BITS) + F.col("idx")))
-    rows = made.join(embed(made.select("id", "text")), "id", "left").select(
+    rows = embedded(made, embed).select(
         "id", "episode_id", "idx", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "text", "embedding", F.lit(model).alias("embed_model")
     )
     new = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS["passages"]])

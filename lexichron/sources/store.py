@@ -42,7 +42,7 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 def save(df: DataFrame, root: str, name: str, mode: str) -> None:
     """Writes rows of a table in its layout: tables that are rebuilt episode by episode lie in folders by episode."""
     if name in REBUILT:
-        df.withColumn("bucket", episode_folder()).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{root}/{name}")
+        df.withColumn("bucket", episode_folder()).hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(f"{root}/{name}")
     else:
         df.write.mode(mode).parquet(f"{root}/{name}")
 

@@ -12,19 +12,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import CANDIDATES, MARGIN, QUERY_BLOCK, ROW_BLOCK, _matrix, nearest_in_groups, ranked, vector_leg
+from ..operators.retrieval import CANDIDATES, MARGIN, QUERY_BLOCK, ROW_BLOCK, _closest, _matrix, _nearest, nearest_in_groups, ranked, vector_leg
 from ..session import delete, written
 
 #: Cells at most (their centres go to every task), rows of the sample a cell, and rows that measure the recall.
 MOST_CELLS, SAMPLE_A_CELL, MEASURED = 16_384, 64, 64
 #: Distances of queries to cells in memory at a time, and pairs of a query and a cell that leave a task at a time.
 DISTANCES, PAIRS = 1 << 20, 8_192
+#: Pairs of a query and a cell that go to every task; more meet their rows in a shuffle.
+SENT_PAIRS = 4_000_000
 #: Share of the exact neighbours that the measured rows must find.
 RECALL = 0.95
 ROUNDS = 10
@@ -95,10 +98,17 @@ def _fit(sample: DataFrame, dim: int, cells: int, seed: int) -> tuple[np.ndarray
     return np.array([r.centre for r in low]).reshape(-1, dim), np.array([r.branch for r in low]), upper
 
 
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """The rows of x as lists of a kind of number."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
+
+
 def _placed(rows: DataFrame, dim: int, cells: Cells) -> DataFrame:
     """id, embedding, cell, away (the chord to the cell's centre) of the rows that have a direction."""
     sent = rows.sparkSession.sparkContext.broadcast((cells.centres, cells.branch_of, cells.branches))
-    shape = pa.list_(pa.float64())
+    # vectors of single precision travel as such
+    single = dict(rows.dtypes)["embedding"] == "array<float>"
+    kind = pa.float32() if single else pa.float64()
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, branch_of, branches = sent.value
@@ -113,10 +123,10 @@ def _placed(rows: DataFrame, dim: int, cells: Cells) -> DataFrame:
                 of, mine = np.flatnonzero(branch_of == branch), at == branch
                 cell[mine] = of[(unit[mine] @ centres[of].T).argmax(1)]
             away = np.sqrt(((unit - centres[cell]) ** 2).sum(1)) if len(unit) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), shape), pa.array(cell, pa.int32()), pa.array(away)], names=["id", "embedding", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(x.astype(np.float32 if single else np.float64), kind), pa.array(cell, pa.int32()), pa.array(away)], names=["id", "embedding", "cell", "away"])
 
-    source = rows.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return source.mapInArrow(put, "id bigint, embedding array<double>, cell int, away double")
+    source = rows.select(F.col("id").cast("bigint").alias("id"), "embedding" if single else F.col("embedding").cast("array<double>").alias("embedding"))
+    return source.mapInArrow(put, f"id bigint, embedding {'array<float>' if single else 'array<double>'}, cell int, away double")
 
 
 def build(vectors: DataFrame, path: str, cells: int | None = None, recall: float = RECALL, k: int = CANDIDATES, seed: int = 7) -> Cells:
@@ -148,9 +158,9 @@ def add(vectors: DataFrame, path: str) -> Cells:
 
 
 def _store(placed: DataFrame, path: str, mode: str) -> None:
-    """Rows of a cell lie together, those of a hot one in several files."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(8))
-    placed.repartition("cell", salt).write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
+    """Rows of a cell lie together in one file; adaptive execution splits the tasks of hot cells, which have several."""
+    dealt = placed.hint("rebalance", "cell").select("id", F.col("embedding").cast("array<double>").alias("embedding"), "cell", "away")
+    dealt.write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -195,7 +205,8 @@ def _measured(spark: SparkSession, path: str, cells: Cells, sample: DataFrame, r
     asks = sample.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(MEASURED)
     rows = _rows(spark, path)
     true = vector_leg(rows.select("id", "embedding"), asks.withColumnRenamed("id", "query_id"), k + 1).filter("query_id <> id")
-    cell = true.join(rows.select("id", "cell"), "id").groupBy("query_id").agg(F.collect_list("cell").alias("cells")).collect()  # k cells a measured row
+    # at most k rows a measured one, which go to the rows
+    cell = rows.select("id", "cell").join(F.broadcast(written(true)), "id").groupBy("query_id").agg(F.collect_list("cell").alias("cells")).collect()  # k cells a measured row
     if not cell:
         return 1
     vector = {r.id: r.embedding for r in asks.collect()}
@@ -260,10 +271,14 @@ def _probed(asked: DataFrame, cells: Cells, start: int, stop: int) -> DataFrame:
 
 
 def _compared(path: str, cells: Cells, probed: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance: for each query the k nearest of every block of its cells, within its reach if it has one. Only the folders of cells that some
-    query asks for are listed and read; hot cells, and cells that many ask for, are dealt into blocks on both sides."""
+    """query_id, id, distance: for each query at least the k nearest of its cells, within its reach if it has one. Only the folders of cells that some
+    query asks for are listed and read. A block of queries goes to the tasks that read the rows, so that no row moves; of more queries,
+    hot cells, and cells that many ask for, are dealt into blocks on both sides."""
     spark = probed.sparkSession
     probed = written(probed)
+    few = _sent(probed)
+    if few is not None:
+        return _read_by(_rows(spark, path).filter(F.col("cell").isin(sorted(few.of))), few, k)
     asks = {r.cell: r["count"] for r in probed.groupBy("cell").count().collect()}  # at most a row a cell
     blocks = [(c, max(1, -(-int(cells.rows[c]) // ROW_BLOCK)), max(1, -(-n // QUERY_BLOCK))) for c, n in asks.items()]
     shape = F.broadcast(spark.createDataFrame(blocks, "cell int, row_blocks int, query_blocks int"))
@@ -275,5 +290,50 @@ def _compared(path: str, cells: Cells, probed: DataFrame, k: int) -> DataFrame:
     return nearest_in_groups(rows, probed, k, "cell", "i", "j")
 
 
+@dataclass
+class Sent:
+    """A block of queries(query_id, embedding, reach), and the places of those that ask for each cell."""
+
+    queries: pa.Table
+    of: dict[int, np.ndarray]
+
+
+def _sent(probed: DataFrame) -> Sent | None:
+    """probed(query_id, embedding, reach, cell) if it is few enough to go to every task."""
+    pairs = probed.select("query_id", "cell").limit(SENT_PAIRS + 1).toArrow()
+    if pairs.num_rows > SENT_PAIRS or pairs["query_id"].null_count:
+        return None
+    ids, at = np.unique(pairs["query_id"].to_numpy(), return_inverse=True)
+    if len(ids) > QUERY_BLOCK:
+        return None
+    queries = probed.select("query_id", "embedding", "reach").distinct().orderBy("query_id").toArrow()
+    if queries.num_rows != len(ids):  # an id with several vectors
+        return None
+    cell = pairs["cell"].to_numpy()
+    order = np.argsort(cell, kind="stable")
+    different, first = np.unique(cell[order], return_index=True)
+    return Sent(queries, dict(zip(different.tolist(), np.split(at[order], first[1:]), strict=False)))
+
+
+def _read_by(rows: DataFrame, few: Sent, k: int) -> DataFrame:
+    """query_id, id, distance: a map over rows(id, embedding, cell), whose tasks hand on the k best a query of their own."""
+    sent = rows.sparkSession.sparkContext.broadcast(few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks, kept = sent.value, []
+        for b in batches:
+            cell = b.column(2).to_numpy()
+            for lo, hi in pairwise([0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]):
+                for first in range(lo, hi, ROW_BLOCK):
+                    part = pa.Table.from_batches([b.slice(first, min(ROW_BLOCK, hi - first))])
+                    kept.append(_nearest(part, asks.queries.take(pa.array(asks.of[int(cell[first])])), k))
+                    if sum(x.num_rows for x in kept) > max(100_000, 4 * k * asks.queries.num_rows):
+                        kept = [_closest(pa.concat_tables(kept), k)]
+        if kept:
+            yield from _closest(pa.concat_tables(kept), k).combine_chunks().to_batches()
+
+    return rows.select("id", "embedding", "cell").mapInArrow(run, "query_id bigint, id bigint, distance double")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     delete(spark, path)

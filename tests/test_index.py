@@ -130,3 +130,22 @@ def test_codecs(spark):
     assert files.filter("episode_id = 1").first().audio[:4] == b"RIFF"
     back = {r.episode_id: r.audio for r in A.load_audio(files).collect()}
     assert back[1] == tone.tobytes() and back[2] is None
+
+
+def test_whole_transcripts_and_vectors_do_not_move(spark):
+    """An episode of one chunk is a transcript as it is, and passages get their vectors in a map; several chunks are put together."""
+    from lexichron.operators import retrieval as R
+    from lexichron.sources.index import stored_transcripts
+
+    shape = "episode_id long, idx int, words array<struct<text:string,start:double,end:double>>"
+    one = [(1, 0, [("a", 0.0, 0.4), ("b", 0.5, 0.9)]), (2, 0, []), (3, 0, None)]
+    got = stored_transcripts(spark.createDataFrame(one, shape))
+    assert sorted(tuple(r) for r in got.collect())[:2] == [(1, ["a", "b"], [0, 500], [400, 900]), (2, [], [], [])]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    more = spark.createDataFrame([*one, (1, 2, [("d", 2.0, 2.1)]), (1, 1, [("c", 1.0, 1.1)])], shape)
+    assert {r.episode_id: r.tokens for r in stored_transcripts(more).collect()} == {1: ["a", "b", "c", "d"], 2: [], 3: None}
+    docs = spark.createDataFrame([(1, "x", "One two,  two"), (2, "y", " \t"), (3, "z", None), (4, None, "two three")], "id long, tag string, text string")
+    plain = {r.id: r.embedding for r in R.hash_embed(docs).collect()}
+    made = R.embedded(docs)
+    assert {(r.id, r.tag, r.text): r.embedding for r in made.collect()} == {(r.id, r.tag, r.text): plain.get(r.id) for r in docs.collect()} and set(plain) == {1, 4}
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()

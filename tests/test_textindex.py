@@ -95,3 +95,17 @@ def test_an_index_is_built_without_a_shuffle_of_words(spark, tmp_path, monkeypat
     swept = rows(X.search(path, asks(spark), 5, keyword_terms))
     monkeypatch.setattr(X, "few_asked", lambda terms: None)
     assert rows(X.search(path, asks(spark), 5, keyword_terms)) == swept
+
+
+def test_a_term_has_one_row_a_slab(spark, tmp_path):
+    """Rows to sort and store are terms of slabs, not of blocks; a slab ends where its words are enough."""
+    docs, path = corpus(spark, 600).coalesce(2), str(tmp_path / "i")
+    X.build(docs, path, R.stemmed_terms, block_docs=16)
+    stored = X._stored(spark, path)
+    assert stored.count() == stored.select("term", "slab").distinct().count() < X.blocks(spark, path).count() / 3
+    words = docs.select("id", F.posexplode(R.stemmed_terms(F.col("text"))).alias("pos", "term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    assert sorted((r.term, r.id, r.tf) for r in X.postings(spark, path).collect()) == sorted(tuple(r) for r in words.collect())
+    much = R.SLICE_WORDS
+    assert list(R.slices([much // 2] * 5, 1)) == [(0, 2), (2, 4), (4, 5)]
+    assert list(R.slices([much // 2] * 5, 4)) == [(0, 4), (4, 5)] and list(R.slices([], 4)) == []
+    assert list(R.slices([1] * 10, 4)) == [(0, 10)] and list(R.slices([much, 0, 2 * much, 1], 1)) == [(0, 2), (2, 3), (3, 4)]

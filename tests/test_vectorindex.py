@@ -121,3 +121,19 @@ def test_no_rows(spark, tmp_path):
     path = str(tmp_path / "i")
     X.build(nothing, path)
     assert X.nearest(path, frame(spark, clustered(3)).withColumnRenamed("id", "query_id")).collect() == []
+
+
+def test_rows_stay_where_they_are_read(spark, stored, monkeypatch):
+    """A block of queries goes to the rows of its cells, each of which is a file; more queries meet them in a shuffle."""
+    df, path, cells = stored
+    assert len(X._rows(spark, path).inputFiles()) == (cells.rows > 0).sum()
+    q = df.filter("id % 100 = 7").withColumnRenamed("id", "query_id").withColumn("reach", F.lit(-1.0))
+    plan = lambda: X._compared(path, cells, X._probed(q, cells, 0, 5), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan()
+    twice = q.unionByName(q.filter("query_id = 7").withColumn("embedding", F.reverse("embedding")))
+    found = lambda: sorted(tuple(r) for r in X.nearest(path, twice.drop("reach"), 20, exact=True).collect())
+    several = found()
+    monkeypatch.setattr(X, "SENT_PAIRS", 3)
+    assert "Exchange" in plan() and found() == several
+    rows = lambda x: sorted((r.query_id, r.id, r.rank) for r in x.collect())
+    assert rows(X.nearest(path, q, 20, exact=True)) == rows(R.vector_leg(df, q, 20))
