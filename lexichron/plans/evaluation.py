@@ -79,8 +79,7 @@ def stored_hybrid(spark, sf_dir):
     """Passages stored and indexed, then found by the stored index alone."""
     root, pool = scratch(spark), passage_pool(spark, sf_dir)
     store.apply_schema(spark, root)
-    rows = pool.join(R.hash_embed(pool.select("id", "text")), "id", "left")
-    store.append(rows.select("id", "episode_id", "idx", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "text", "embedding", F.lit("hash-1").alias("embed_model")), root, "passages")
+    store.append(R.embedded(pool).select("id", "episode_id", "idx", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), "text", "embedding", F.lit("hash-1").alias("embed_model")), root, "passages")
     index.refresh_search(spark, root, keyword_terms)
     said = golden(spark, sf_dir, P.pairs(spark, sf_dir)).select("query_id")
     q = C.questions(spark, sf_dir).join(said, "query_id", "left_semi")
